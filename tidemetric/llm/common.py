@@ -46,3 +46,13 @@ def is_held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5, is 0; a null id counts as the empty text."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     return F.crc32(text.cast("binary")) % 5 == 0
+
+
+TEXT_ROWS = 500
+
+
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Hold Arrow batches to ``rows`` rows from now on: rows are whole texts, and a batch is held in memory twice."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemetric.llm.common import table
+from tidemetric.llm.common import small_batches, table
 
 WHITE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 10
@@ -71,6 +71,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     is one empty line. Rows that repeat a doc_id are one document. Other columns pass
     through; columns named n_lines or n_dropped are replaced.
     """
+    small_batches(docs.sparkSession)
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     lines = docs.select(own.alias("doc"), F.explode(_hashes(min_chars)(F.col("text"))).alias("hash"))
     grouped = lines.groupBy("hash").agg(F.min("doc").alias("owner"), *([F.max("doc").alias("last")] if min_docs <= 2 else [F.count_distinct("doc").alias("docs")]))
