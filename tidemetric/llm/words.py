@@ -70,6 +70,16 @@ def text_buffers(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int,
         first = last
 
 
+def fold_latin(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals U+00C0 to U+00DE made small, so that case does not tell words apart."""
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    capital = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    if len(capital):
+        data = data.copy()
+        data[capital] += 0x20
+    return data
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end, hash) of every word of the rows in ``data``, in order."""
     n = len(data)
