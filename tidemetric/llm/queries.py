@@ -7,11 +7,12 @@ documents and held-out labels.
 
 from __future__ import annotations
 
-from tidemetric.llm import decontaminate, html_extract, langid, line_dedup, mixing, quality_crf, topk, url_filter, warc
+from tidemetric.llm import decontaminate, html_extract, langid, line_dedup, mixing, ngram_join, quality_crf, topk, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_exact_top_k": topk.op2_exact_top_k,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality_classifier": quality_crf.op5_quality_classifier,
     "op6_line_dedup": line_dedup.op6_line_dedup,
@@ -24,6 +25,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_warc": warc.SQL,
     "op2_exact_top_k": topk.SQL,
+    "op3_ngram_join": ngram_join.SQL,
     "op4_mixing": mixing.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op10_url_filters": url_filter.SQL,
