@@ -8,7 +8,8 @@ every candidate's partial score for run j. For a block of queries:
 2. the cutoff is broadcast, and each list sends every entry whose partial score is at
    least cutoff / lists. Whoever reaches the cutoff in sum does so in one list at least,
    so the entries sent are sufficient;
-3. objects seen in all lists have their score as the sum, the others are resolved exactly.
+3. the entries of a candidate meet its vector: partial scores that no list has sent are
+   computed, and exact sums that reach the cutoff remain.
 
 Equal vectors form one class and are scored once; as ties go to the smaller id, k + 1
 ids of a class are enough. Query blocks are broadcast, of ``BLOCK_BYTES`` at most; a
@@ -97,16 +98,44 @@ def _best(block, j: int, width: int, k: int):
 
 
 def _reaching(block, cutoff, j: int, width: int, lists: int):
-    """Phase 2: entries of list j with a partial score of at least cutoff / lists."""
+    """Phase 2: entries of list j with a partial score of at least cutoff / lists, a row per candidate."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queries, least = block.value[j], cutoff.value
         for batch in batches:
             for at in range(0, len(batch), _COLUMNS):
                 part = batch.iloc[at : at + _COLUMNS]
-                s = scores(queries, matrix(part[f"v{j}"], width))
-                q, c = np.nonzero(s * lists >= least[:, None])
-                yield pd.DataFrame({"q": q.astype(np.int32), "cid": part["cid"].to_numpy()[c], "list": np.int32(j), "s": s[q, c].astype(np.int64)})
+                s = scores(matrix(part[f"v{j}"], width), queries)
+                c, q = np.nonzero(s * lists >= least)
+                cuts = np.searchsorted(c, np.arange(1, len(part)))
+                sent = pd.DataFrame({"cid": part["cid"].to_numpy(), "list": np.int32(j), "q": np.split(q.astype(np.int32), cuts), "s": np.split(s[c, q].astype(np.int64), cuts)})
+                yield sent[sent["q"].map(len) > 0]
+
+    return run
+
+
+def _settled(block, cutoff, widths: list[int]):
+    """Phase 3: per candidate the scores that reach the cutoff; what no list has sent is computed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                q = np.unique(np.concatenate([e["q"] for e in row.sent]))
+                total = np.zeros(len(q), object)
+                for j, width in enumerate(widths):
+                    known = [e for e in row.sent if e["list"] == j]
+                    has = np.zeros(len(q), bool)
+                    for e in known:
+                        at = np.searchsorted(q, e["q"])
+                        total[at] += np.asarray(e["s"])
+                        has[at] = True
+                    if not has.all():
+                        v = matrix(pd.Series([getattr(row, f"v{j}")]), width)
+                        total[~has] += scores(block.value[j][q[~has]], v)[:, 0].astype(np.int64)
+                keep = total >= cutoff.value[q]
+                found.append(pd.DataFrame({"q": q[keep].astype(np.int32), "cid": row.cid, "score": np.clip(total[keep], -(2**63), 2**63 - 1).astype(np.int64)}))
+            yield pd.concat(found) if found else pd.DataFrame({"q": [], "cid": [], "score": []})
 
     return run
 
@@ -144,11 +173,10 @@ def _block_hits(rows: DataFrame, block_rows: list, widths: list[int], k: int) ->
     for q, score in edge.select("q", "score").collect():  # one row a query of the block
         least[q] = score
     cutoff = spark.sparkContext.broadcast(least)
-    sent = reduce(DataFrame.unionByName, [rows.select("cid", f"v{j}").mapInPandas(_reaching(block, cutoff, j, w, lists), _PARTIAL) for j, w in enumerate(widths)])
-    seen = cut(sent.groupBy("q", "cid").agg(F.count("*").alias("lists"), F.sum("s").alias("score")))
-    whole = seen.filter(F.col("lists") == lists).select("q", "cid", "score")
-    rest = seen.filter(F.col("lists") < lists).select("q", "cid").join(rows.select(vectors), "cid").mapInPandas(_resolved(block, widths), "q int, cid long, score long")
-    found = whole.unionByName(rest)
+    shape = "cid long, list int, q array<int>, s array<long>"
+    sent = reduce(DataFrame.unionByName, [rows.select("cid", f"v{j}").mapInPandas(_reaching(block, cutoff, j, w, lists), shape) for j, w in enumerate(widths)])
+    gathered = sent.groupBy("cid").agg(F.collect_list(F.struct("list", "q", "s")).alias("sent"))  # at most a block of queries a list
+    found = gathered.join(rows.select(vectors), "cid").mapInPandas(_settled(block, cutoff, widths), "q int, cid long, score long")
     kept = found.withColumn("n", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("n") <= k)
     name = spark.createDataFrame([(i, int(c)) for i, c in enumerate(names)], "q int, query_class long")
     return cut(kept.join(F.broadcast(name), "q").select("query_class", "cid", "score"))
