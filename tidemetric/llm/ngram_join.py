@@ -106,7 +106,7 @@ def subset_keys(shingles: np.ndarray, boundary: int, percent: int) -> list[int]:
     out = set()
     for o in subset_sizes(n, boundary, percent):
         sums = [(total - sum(gone)) & 0xFFFFFFFFFFFFFFFF for gone in combinations(values, n - o)]
-        out.update(mix(np.array(sums, np.uint64) + np.uint64(o) * np.uint64(0xA0761D6478BD642F)).view(np.int64).tolist())
+        out.update(mix(np.array(sums, np.uint64) + np.array(o * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF, np.uint64)).view(np.int64).tolist())
     return sorted(out)
 
 
