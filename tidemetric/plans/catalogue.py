@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemetric.plans import metric_queries  # noqa: F401  each module registers its own
+from tidemetric.plans import inference_queries, metric_queries  # noqa: F401  each module registers its own
 from tidemetric.plans.registry import QUERIES, TWINS, Query
 
 

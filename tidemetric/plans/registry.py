@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,21 @@ QUERIES: dict[str, Query] = {}
 TWINS: dict[str, str] = {}
 
 
+def with_views(sql: str) -> str:
+    """The experiment views before a SELECT, or before the views of its own that it starts with."""
+    own = re.match(r"\s*WITH (RECURSIVE )?", sql)
+    if own is None:
+        return f"WITH {VIEWS}\n{sql}"
+    return f"WITH {own[1] or ''}{VIEWS},\n{sql[own.end():]}"
+
+
 def query(sql: str | None = None, views: bool = True) -> Callable[[Query], Query]:
     """Register a function (spark, sf_dir) under its name, with DuckDB SQL over the experiment views."""
 
     def put(function: Query) -> Query:
         QUERIES[function.__name__] = function
         if sql is not None:
-            TWINS[function.__name__] = f"WITH {VIEWS}{',' if sql.lstrip().lower().startswith('with ') else ''}\n{sql.lstrip()[5:] if sql.lstrip().lower().startswith('with ') else sql}" if views else sql
+            TWINS[function.__name__] = with_views(sql) if views else sql
         return function
 
     return put
