@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemetric.llm.bits import bit_table, has_bit
-from tidemetric.llm.common import cut, small_batches, table
+from tidemetric.llm.common import cut, small_batches, stored, table
 from tidemetric.llm.words import fold_latin, mix, ngrams, text_buffers, words_of
 
 N = 3
@@ -62,8 +62,8 @@ def _hits(bits):
     return run
 
 
-def _windows(bits, reach: int):
-    """Runs of words around seeds: (wid, doc_id, start, words, grams)."""
+def _windows(bits, reach: int, least: int):
+    """Runs of words around ``least`` seeds or more: (wid, doc_id, start, words, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,13 +80,18 @@ def _windows(bits, reach: int):
                 cuts = np.flatnonzero((who[1:] != who[:-1]) | (at[1:] - at[:-1] > reach)) + 1
                 out = []
                 for part in np.split(np.arange(len(at)), cuts):
+                    seeds = np.unique(grams[part])
+                    if len(seeds) < least:
+                        continue
                     r = int(who[part[0]])
                     low, high = max(int(at[part[0]]) - reach, int(begin[r])), min(int(at[part[-1]]) + N + reach, int(begin[r + 1]))
                     doc = ids[first + r].as_py()
                     words = hashes[low:high]
                     own = np.array([doc or 0, doc is None, low - begin[r], len(words)], np.int64).view(np.uint64)
                     wid = mix(np.concatenate([own, words])).sum(keepdims=True) ^ mix(own[:1] * np.uint64(31) + own[2:3])
-                    out.append((int(wid.view(np.int64)[0]), doc, int(low - begin[r]), words.view(np.int64).tolist(), np.unique(grams[part]).tolist()))
+                    out.append((int(wid.view(np.int64)[0]), doc, int(low - begin[r]), words.view(np.int64).tolist(), seeds.tolist()))
+                if not out:
+                    continue
                 columns = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["wid", "doc_id", "start", "words", "grams"])
@@ -144,7 +149,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataF
     small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = cut(items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").mapInArrow(_item_words, "item_id long, words array<long>, grams array<long>").filter(F.size("grams") > 0))
-    sizes = known.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)), F.coalesce(F.max(F.size("words")), F.lit(0))).first()
+    sizes = known.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)), F.coalesce(F.max(F.size("words")), F.lit(0)), F.coalesce(F.min(F.size("grams")), F.lit(0))).first()
     if not sizes[0]:
         return spark.createDataFrame([], "doc_id long, item_id long, similarity double, last_word long")
     grams = known.select("item_id", F.explode("grams").alias("gram"))
@@ -154,7 +159,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataF
     quartile = F.percentile_approx("docs", 0.25, 1000).over(Window.partitionBy("item_id"))
     seeds = cut(rated.withColumn("usual", quartile).filter(F.col("docs") <= TIMES * F.col("usual") + MORE).filter("docs > 0").select("item_id", "gram"))
     found = spark.sparkContext.broadcast(bit_table(seeds, "gram", max(1, seeds.count())))
-    windows = cut(own.mapInArrow(_windows(found, int(sizes[1])), "wid long, doc_id long, start long, words array<long>, grams array<long>"))
+    windows = stored(own.mapInArrow(_windows(found, int(sizes[1]), min(LEAST_SEEDS, int(sizes[2]))), "wid long, doc_id long, start long, words array<long>, grams array<long>"), "windows")
     met = windows.select("wid", F.explode("grams").alias("gram")).distinct().join(seeds, "gram").groupBy("wid", "item_id").agg(F.count("*").alias("seeds"))
     short = known.select("item_id", F.col("words").alias("item_words"), F.least(F.lit(LEAST_SEEDS), F.size("grams")).alias("least"))
     pairs = met.join(short, "item_id").filter("seeds >= least").join(windows.drop("grams"), "wid")
