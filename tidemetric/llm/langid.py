@@ -145,7 +145,7 @@ def train_filter(docs: DataFrame, train_docs: int = TRAIN_DOCS, grams: int = GRA
     rated = counts.withColumn("rate", rate).withColumn("most", F.max("rate").over(Window.partitionBy("gram")))
     own = rated.filter((F.col("n") >= LEAST_COUNT) & (F.col("rate") >= LEAST_RATIO * F.col("most")))
     best = own.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("at") <= grams)
-    found = best.select("lang", "gram").toPandas()  # at most ``grams`` rows a language
+    found = best.select("lang", "gram").toArrow().to_pandas()  # at most ``grams`` rows a language
     return build_filter({lang: part.to_numpy(np.int64) for lang, part in found.groupby("lang")["gram"]}, max(sorted(sizes), key=sizes.get))
 
 

@@ -201,7 +201,7 @@ def train_field(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS
         return None
     picked = known.filter(F.pmod(F.xxhash64(F.lit("crf"), "doc_id"), F.lit(1_000_000)) < int(min(1.0, train_docs / total) * 1_000_000))
     joined = docs.filter("text is not null").select("doc_id", "text").join(picked, "doc_id")
-    rows = joined.mapInArrow(_sampled, "doc_id long, quality int, features binary").limit(2 * train_docs).toPandas().sort_values("doc_id", kind="stable")
+    rows = joined.mapInArrow(_sampled, "doc_id long, quality int, features binary").limit(2 * train_docs).toArrow().to_pandas().sort_values("doc_id", kind="stable")
     if not len(rows):
         return None
     parts = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in rows["features"]]
