@@ -8,14 +8,16 @@ Documents with equal shingle sets are one class; everything below works on class
 * **Heavy** sets scan inverted lists of their shingles, rarest first: as only a set's
   first ``n - ceil(t n) + 1`` shingles need lists, and a shingle at positions i and j
   leaves an overlap of ``min(n - i, m - j)`` at most, few pairs remain.
-* The boundary is the size at which the summed cost of keys (light) and of signatures
-  and lists (heavy) is least, from the sizes of all documents.
+* The boundary is the size at which the summed cost of keys (light) and of lists (heavy)
+  is least, from the sizes of all documents.
 
-Before lists are built, sets without any possible partner are put aside: the universe is
-hashed into one part more than linked sets of that size can differ in shingles, so linked
-sets agree on a whole part. Passages that thousands of otherwise different documents share
-never fill a part, so they cost nothing here. Only documents that agree with another on a
-part (or subset) send their shingles.
+How rare a shingle is comes from all documents: tasks pack their distinct shingles by hash
+range, a range is counted in one group, and shingles in 2, 8, 64 and 1024 documents or
+more go into Bloom filters of bounded size. A shingle that the first filter denies is in no
+other document and needs no list; the rest are ordered by the filters they pass, then by
+hash. Any such order is exact, as long as all documents use the same; a full filter only
+makes lists longer. Thus passages that thousands of documents share come last in every
+set and hardly ever into a list, and shingles themselves are never exploded into rows.
 
 Large buckets (near copies) are not expanded into pairs. Each bucket links its members to
 one pivot, its most central member; components of these exact links follow. Then members
@@ -27,10 +29,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,10 @@ PERCENT = 90
 MOST_LIGHT = 24
 #: Cost of scanning the list of one shingle, in keys.
 LIST_COST = 4.0
+#: Documents that a shingle must be in for each of the filters.
+CLASSES = (2, 8, 64, 1024)
+#: Shingles a task holds before it packs them, and about how many a range counts in one group.
+FLUSH, RANGE_SHINGLES, MOST_RANGES = 1 << 21, 1 << 20, 1 << 16
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -64,36 +70,16 @@ def key_count(n: int, boundary: int, percent: int) -> int:
     return sum(int(np.prod(np.arange(o + 1, n + 1, dtype=float)) / np.prod(np.arange(1, n - o + 1, dtype=float))) for o in subset_sizes(n, boundary, percent))
 
 
-@dataclass
-class Levels:
-    """Size levels: a set meets partners on its own level or the next, in ``parts`` parts each."""
-
-    tops: np.ndarray
-    parts: np.ndarray
-
-    @classmethod
-    def up_to(cls, most: int, percent: int) -> Levels:
-        tops = [0]
-        while len(tops) < 3 or tops[-2] <= most:
-            tops.append((tops[-1] + 1) * 100 // percent)
-        top = np.array(tops[1:], np.int64)
-        return cls(top, 2 * top * (100 - percent) // (100 + percent) + 1)
-
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.tops, sizes, "left")
-
-
-def heavy_cost(n: int, levels: Levels, percent: int) -> float:
-    at = int(levels.of(np.array([n]))[0])
-    return float(levels.parts[at] + levels.parts[at + 1]) + LIST_COST * (n - -(-percent * n // 100) + 1)
+def prefix_length(n, percent: int):
+    """How many of a set's first shingles need a list: two linked sets share one of these."""
+    return n - -(-percent * n // 100) + 1
 
 
 def choose_boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     """The boundary of least cost, from the number of documents of each size up to ``MOST_LIGHT``."""
-    levels = Levels.up_to(MOST_LIGHT, percent)
 
     def cost(boundary: int) -> float:
-        return sum(c * (key_count(n, boundary, percent) if n <= boundary else heavy_cost(n, levels, percent)) for n, c in sizes.items())
+        return sum(c * (key_count(n, boundary, percent) if n <= boundary else LIST_COST * prefix_length(n, percent)) for n, c in sizes.items())
 
     return min(range(MOST_LIGHT + 1), key=lambda b: (cost(b), b))
 
@@ -110,28 +96,6 @@ def subset_keys(shingles: np.ndarray, boundary: int, percent: int) -> list[int]:
     return sorted(out)
 
 
-def part_signatures(sets: list[np.ndarray], rows: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature): for each row and level the hash of the shingles in each part."""
-    if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sizes = np.array([len(sets[r]) for r in rows])
-    tokens = mix(np.concatenate([sets[r] for r in rows]).view(np.uint64))
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    where, added = tokens >> np.uint64(32), mix(tokens + np.uint64(7))
-    found_rows, found = [], []
-    for step in (0, 1):
-        level = levels.of(sizes) + step
-        parts = levels.parts[level]
-        base = np.cumsum(parts) - parts
-        sums = np.zeros(int(parts.sum()), np.uint64)
-        np.add.at(sums, base[owner] + ((where * parts[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64), added)
-        slot = np.repeat(np.arange(len(rows)), parts)
-        name = level[slot].astype(np.uint64) * np.uint64(1 << 32) + (np.arange(len(sums)) - base[slot]).astype(np.uint64)
-        found_rows.append(rows[slot])
-        found.append(mix(sums + mix(name)).view(np.int64))
-    return np.concatenate(found_rows), np.concatenate(found)
-
-
 def _set_key(shingles: np.ndarray) -> bytes | None:
     return hashlib.md5(shingles.tobytes(), usedforsecurity=False).digest() if len(shingles) else None
 
@@ -156,47 +120,127 @@ def _sized(words: int):
     return run
 
 
-def _bucket_keys(sets: list[np.ndarray], boundary: int, percent: int, levels: Levels) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
-    """Subset keys per row, and (row, part signature) of the sets that can have a heavy partner."""
-    sizes = np.array([len(s) for s in sets])
-    light = [subset_keys(s, boundary, percent) if 0 < len(s) <= boundary else [] for s in sets]
-    heavy = np.flatnonzero((sizes > 0) & (100 * sizes >= percent * (boundary + 1)))
-    return light, *part_signatures(sets, heavy, levels)
+def _packed(tokens: np.ndarray, counts: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Rows (range, tokens seen once, tokens seen more often, their counts); six bytes of a token."""
+    tokens, counts = tokens.view(np.uint64), counts.astype(np.uint32)
+    where = (tokens & np.uint64(0xFFFF)) * np.uint64(ranges) >> np.uint64(16)
+    order = np.argsort(where, kind="stable")
+    tokens, counts, where = tokens[order] >> np.uint64(16), counts[order], where[order]
+    ends = np.searchsorted(where, np.arange(ranges), "right")
+    rows, low = [], 0
+    for r, high in enumerate(ends):
+        if high > low:
+            bits, n = tokens[low:high], counts[low:high]
+            six = np.ascontiguousarray(bits.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+            rows.append((r, six[n == 1].tobytes(), six[n > 1].tobytes(), n[n > 1].tobytes()))
+        low = high
+    if rows:
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "once", "more", "counts"])
+
+
+def _spread(words: int, ranges: int):
+    """Distinct shingles of the task's documents with their number of documents, packed by range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for _, sets in _sets(batch, words):
+                held += sets
+                size += sum(map(len, sets))
+                if size >= FLUSH:
+                    yield from _packed(*np.unique(np.concatenate(held), return_counts=True), ranges)
+                    held, size = [], 0
+        if size:
+            yield from _packed(*np.unique(np.concatenate(held), return_counts=True), ranges)
+
+    return run
 
 
-def _signed(words: int, boundary: int, percent: int, levels: Levels):
+def _unpacked(blobs) -> np.ndarray:
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view("<u8")[:, 0].astype(np.uint64)
+
+
+def _merged(group: pd.DataFrame) -> pd.DataFrame:
+    """(token, docs) of a range's shingles in two documents or more."""
+    tokens = np.concatenate([_unpacked(group["once"]), _unpacked(group["more"])])
+    counts = np.ones(len(tokens), np.int64)
+    repeated = np.frombuffer(b"".join(group["counts"]), np.uint32)
+    counts[len(tokens) - len(repeated) :] = repeated
+    names, at = np.unique(tokens, return_inverse=True)
+    docs = np.bincount(at, counts).astype(np.int64)
+    keep = docs > 1
+    return pd.DataFrame({"token": short_token(names[keep] << np.uint64(16)).view(np.int64), "docs": docs[keep]})
+
+
+def short_token(tokens: np.ndarray) -> np.ndarray:
+    """A shingle as the filters know it: its upper six bytes, mixed."""
+    return mix((tokens.view(np.uint64) >> np.uint64(16)) + np.uint64(0x51))
+
+
+def ordered_prefix(shingles: np.ndarray, filters: list[np.ndarray], percent: int) -> tuple[int, np.ndarray]:
+    """(shingles that no other document has, those of the prefix that need lists, in the common order)."""
+    names = short_token(shingles)
+    common = np.zeros(len(shingles), np.int8)
+    for f in filters:
+        common += has_bit(f, names)
+    alone = int((common == 0).sum())
+    room = prefix_length(len(shingles), percent) - alone
+    if room <= 0:
+        return alone, shingles[:0]
+    shared = np.flatnonzero(common)
+    return alone, shingles[shared[np.lexsort((names[shared], common[shared]))[:room]]]
+
+
+def _posted(filters, words: int, boundary: int, percent: int):
+    """(bucket, cid, n, at): inverted lists of prefixes, and light sets by subset; once a class and task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for _, sets in _sets(batch, words):
-                ids = np.array([_class_id(k) if (k := _set_key(s)) else 0 for s in sets], np.int64)
-                light, rows, signatures = _bucket_keys(sets, boundary, percent, levels)
-                counts = [len(x) for x in light]
-                every = np.concatenate([signatures, np.array([k for x in light for k in x], np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.concatenate([ids[rows], np.repeat(ids, counts)]))], ["signature", "cid"])
+                parts = []
+                for s in sets:
+                    key = _set_key(s)
+                    if key is None or key in seen:
+                        continue
+                    seen.add(key)
+                    cid, n = _class_id(key), len(s)
+                    if n <= boundary:
+                        light = np.array(subset_keys(s, boundary, percent), np.int64)
+                        parts.append((light, cid, n, np.zeros(len(light), np.int64)))
+                    if 100 * n >= percent * (boundary + 1):
+                        alone, listed = ordered_prefix(s, filters.value, percent)
+                        parts.append((listed, cid, n, np.arange(alone, alone + len(listed))))
+                sizes = [len(p[0]) for p in parts]
+                if sum(sizes):
+                    columns = [np.concatenate([p[0] for p in parts]), np.repeat(np.array([p[1] for p in parts], np.int64), sizes), np.repeat(np.array([p[2] for p in parts], np.int64), sizes), np.concatenate([p[3] for p in parts]).astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "cid", "n", "at"])
 
     return run
 
 
-def _suspects(bits, words: int, boundary: int, percent: int, levels: Levels):
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+def _wanted_sets(bits, words: int):
+    """(key, cid, n, shingles) of the classes that the filter lets through; once a class and task."""
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for _, sets in _sets(batch, words):
-                light, rows, signatures = _bucket_keys(sets, boundary, percent, levels)
-                hit = np.zeros(len(sets), bool)
-                hit[rows[has_bit(bits.value, signatures)]] = True
-                for r, keys in enumerate(light):
-                    hit[r] |= bool(keys) and bool(has_bit(bits.value, np.array(keys, np.int64)).any())
+                keys = [_set_key(s) for s in sets]
+                ids = np.array([_class_id(k) if k else 0 for k in keys], np.int64)
                 out = []
-                for r in np.flatnonzero(hit):
-                    key = _set_key(sets[r])
-                    if key not in seen:
-                        seen.add(key)
-                        out.append((key, _class_id(key), len(sets[r]), sets[r].tolist(), light[r]))
+                for r in np.flatnonzero(has_bit(bits.value, mix(ids.view(np.uint64)))):
+                    if keys[r] is not None and keys[r] not in seen:
+                        seen.add(keys[r])
+                        out.append((keys[r], int(ids[r]), len(sets[r]), sets[r].tolist()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "cid", "n", "shingles", "subsets"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "cid", "n", "shingles"])
 
     return run
 
@@ -214,28 +258,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(both.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"))
 
 
-def _postings(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """(bucket, cid, n, at): inverted lists of the rarest shingles, and light sets by subset."""
-    heavy = sets.filter(100 * F.col("n") >= percent * (boundary + 1))
-    exploded = heavy.select("cid", "n", F.explode("shingles").alias("bucket"))
-    spread = exploded.groupBy("bucket").agg(F.count("*").alias("sets")).filter("sets > 1")
-    listed = exploded.join(spread, "bucket").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "bucket"))).alias("shared"))
-    alone = F.col("n") - F.size("shared")
-    prefix = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    first = listed.withColumn("alone", alone).withColumn("room", (prefix - alone).cast("int")).filter("room > 0")
-    lists = first.select("cid", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("room"))).alias("place", "shingle"))
-    heavy_lists = lists.select("shingle.bucket", "cid", "n", (F.col("alone") + F.col("place")).cast("long").alias("at"))
-    light = sets.filter(F.col("n") <= boundary).select(F.explode("subsets").alias("bucket"), "cid", "n", F.lit(0).cast("long").alias("at"))
-    return heavy_lists.unionByName(light)
-
-
 def _pair(x: Column, y: Column) -> tuple[Column, Column]:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def class_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
+def class_links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that connect the classes in ``sets`` just as all links between them do."""
-    postings = stored(_postings(sets, boundary, percent), "postings")
     pivots = postings.groupBy("bucket").agg(F.min(F.struct("at", "n", "cid")).alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     met = postings.join(pivots, "bucket").filter(F.col("cid") != F.col("pivot.cid"))
     spokes = cut(met.filter(_reachable(F.col("n"), F.col("at"), F.col("pivot.n"), F.col("pivot.at"), percent)).select(*_pair(F.col("cid"), F.col("pivot.cid"))).distinct())
@@ -273,13 +301,21 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     base = stored(own.mapInArrow(_sized(words), "doc_id long, key binary, n long"), "sets")
     small = {r["n"]: r["docs"] for r in base.filter(F.col("n").between(1, MOST_LIGHT)).groupBy("n").agg(F.count("*").alias("docs")).collect()}  # at most MOST_LIGHT rows
     boundary = choose_boundary(small, percent)
-    levels = Levels.up_to(max(1, base.agg(F.max("n")).first()[0] or 0), percent)
-    signed = own.mapInArrow(_signed(words, boundary, percent, levels), "signature long, cid long")
-    shared = cut(signed.groupBy("signature").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low < high").select("signature"))
-    bits = spark.sparkContext.broadcast(bit_table(shared, "signature", max(1, shared.count())))
-    found = own.mapInArrow(_suspects(bits, words, boundary, percent, levels), "key binary, cid long, n long, shingles array<long>, subsets array<long>")
-    sets = stored(found.dropDuplicates(["key"]), "suspects")
-    roots = components(class_links(sets, boundary, percent))
+    total = base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = min(MOST_RANGES, max(1, -(-total // RANGE_SHINGLES)))
+    spread = own.mapInArrow(_spread(words, ranges), "range int, once binary, more binary, counts binary").groupBy("range").applyInPandas(_merged, "token long, docs long")
+    common = stored(spread, "common")
+    filters = [bit_table(rare, "token", max(1, rare.count())) for rare in (common.filter(F.col("docs") >= least) for least in CLASSES)]
+    posted = own.mapInArrow(_posted(spark.sparkContext.broadcast(filters), words, boundary, percent), "bucket long, cid long, n long, at long")
+    listed = stored(posted.dropDuplicates(["bucket", "cid"]), "postings")
+    full = listed.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
+    postings = stored(listed.join(full, "bucket"), "lists")
+    classes = cut(postings.select("cid").distinct())
+    marks = F.pandas_udf(lambda c: pd.Series(mix(c.to_numpy().view(np.uint64)).view(np.int64)), "long")
+    bits = spark.sparkContext.broadcast(bit_table(classes.select(marks("cid").alias("mark")), "mark", max(1, classes.count())))
+    found = own.mapInArrow(_wanted_sets(bits, words), "key binary, cid long, n long, shingles array<long>")
+    sets = stored(found.join(classes, "cid", "left_semi").dropDuplicates(["key"]), "suspects")
+    roots = components(class_links(postings, sets, percent))
     named = sets.select("key", "cid").join(roots, F.col("cid") == F.col("node")).select("key", "root")
     grouped = base.join(named, "key", "left").select("doc_id", "n", F.coalesce(F.concat(F.lit("c"), F.col("root").cast("string")), F.hex("key")).alias("group"))
     least = grouped.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
