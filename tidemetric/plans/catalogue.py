@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemetric.plans import analysis_queries, inference_queries, metric_queries, stream_queries  # noqa: F401  each module registers its own
+from tidemetric.plans import analysis_queries, building_blocks, inference_queries, metric_queries, stream_queries  # noqa: F401  each module registers its own
 from tidemetric.plans.registry import QUERIES, TWINS, Query
 
 
