@@ -279,13 +279,28 @@ EXPERIMENTS = [
 ]
 
 
-@query()
+def _murmur_views(salt: str) -> str:
+    """Views that end in ``hashed(user_id, h)``: MurmurHash3 of ``user NUL salt``, block by block."""
+    rot = lambda x, n: f"(((({x}) << {n}) | (({x}) >> {32 - n})) & 4294967295)"
+    times = lambda x, c: f"((({x})::hugeint * {c}) % 4294967296)::bigint"
+    return f"""mb AS (SELECT user_id, list_concat(list_transform(regexp_extract_all(user_id::varchar, '.'), lambda c: ascii(c)::bigint), [0::bigint], list_transform(regexp_extract_all('{salt}', '.'), lambda c: ascii(c)::bigint)) AS b FROM (SELECT DISTINCT user_id FROM metric_events)),
+  mk AS (SELECT user_id, len(b) AS n, list_transform(generate_series(0, (len(b) - 1) // 4), lambda k: b[4 * k + 1] + coalesce(b[4 * k + 2], 0) * 256 + coalesce(b[4 * k + 3], 0) * 65536 + coalesce(b[4 * k + 4], 0) * 16777216) AS k FROM mb),
+  ms AS (SELECT user_id, n, list_transform(list_transform(k, lambda x: {times("x", 3432918353)}), lambda x: {times(rot("x", 15), 461845907)}) AS k FROM mk),
+  mh AS (SELECT user_id, n, k, list_reduce(list_prepend(0::bigint, k[:n // 4]), lambda h, x: ({rot("xor(h, x)", 13)} * 5 + 3864292196) & 4294967295) AS h FROM ms),
+  m0 AS (SELECT user_id, xor(CASE WHEN n % 4 > 0 THEN xor(h, k[n // 4 + 1]) ELSE h END, n) AS h FROM mh),
+  m1 AS (SELECT user_id, {times("xor(h, h >> 16)", 2246822507)} AS h FROM m0), m2 AS (SELECT user_id, {times("xor(h, h >> 13)", 3266489909)} AS h FROM m1), hashed AS (SELECT user_id, xor(h, h >> 16) AS h FROM m2)"""
+
+
+_VARIANT_SQL = "CASE WHEN b > 7999 THEN NULL WHEN b / 8000.0 < 0.5 THEN 'control' WHEN b / 8000.0 < 0.8 THEN 't1' ELSE 't2' END"
+
+
+@query(f"WITH {_murmur_views('rank-salt')} SELECT user_id, (h % 10000)::int AS bucket FROM hashed")
 def as1_assign_buckets(spark, sf):
     users = V.metric_events(spark, sf).select("user_id").distinct()
     return S.assign_variants(users, EXPERIMENTS[1]).select("user_id", "bucket")
 
 
-@query()
+@query(f"WITH {_murmur_views('rank-salt')} SELECT {_VARIANT_SQL} AS variant_id, count(*) AS users FROM (SELECT h % 10000 AS b FROM hashed) GROUP BY 1")
 def as2_assign_variants(spark, sf):
     users = V.metric_events(spark, sf).select("user_id").distinct()
     return S.assign_variants(users, EXPERIMENTS[1]).groupBy("variant_id").agg(F.count("*").alias("users"))
