@@ -50,7 +50,7 @@ LIST_COST = 4.0
 #: Documents that a shingle must be in for each of the filters.
 CLASSES = (2, 8, 64, 1024)
 #: Shingles a task holds before it packs them, and about how many a range counts in one group.
-FLUSH, RANGE_SHINGLES, MOST_RANGES = 1 << 21, 1 << 20, 1 << 16
+FLUSH, RANGE_SHINGLES, MOST_RANGES = 1 << 21, 1 << 20, 1 << 24
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -123,20 +123,17 @@ def _sized(words: int):
 def _packed(tokens: np.ndarray, counts: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
     """Rows (range, tokens seen once, tokens seen more often, their counts); six bytes of a token."""
     tokens, counts = tokens.view(np.uint64), counts.astype(np.uint32)
-    where = (tokens & np.uint64(0xFFFF)) * np.uint64(ranges) >> np.uint64(16)
+    where = (tokens & np.uint64(0xFFFFFF)) * np.uint64(ranges) >> np.uint64(24)
     order = np.argsort(where, kind="stable")
     tokens, counts, where = tokens[order] >> np.uint64(16), counts[order], where[order]
-    ends = np.searchsorted(where, np.arange(ranges), "right")
-    rows, low = [], 0
-    for r, high in enumerate(ends):
-        if high > low:
-            bits, n = tokens[low:high], counts[low:high]
-            six = np.ascontiguousarray(bits.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-            rows.append((r, six[n == 1].tobytes(), six[n > 1].tobytes(), n[n > 1].tobytes()))
-        low = high
-    if rows:
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "once", "more", "counts"])
+    cuts = np.flatnonzero(where[1:] != where[:-1]) + 1
+    rows = []
+    for low, high in zip([0, *cuts], [*cuts, len(where)], strict=True):
+        bits, n = tokens[low:high], counts[low:high]
+        six = np.ascontiguousarray(bits.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+        rows.append((int(where[low]), six[n == 1].tobytes(), six[n > 1].tobytes(), n[n > 1].tobytes()))
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "once", "more", "counts"])
 
 
 def _spread(words: int, ranges: int):
