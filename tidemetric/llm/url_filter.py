@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemetric.llm.common import table
+from tidemetric.llm.common import cut, table
 
 # The rules of the contract, as (action, host, path).
 RULES = (
@@ -128,7 +128,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float
     parsed = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     seen = parsed.groupBy("host").agg(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("good"))
     counted = outcomes.filter("good is not null and host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
-    hosts = seen.unionByName(counted).groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    hosts = cut(seen.unionByName(counted).groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
     judged = parsed.join(host_reputation(hosts, z), "host", "left")
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") >= least, "allow").otherwise("block")
