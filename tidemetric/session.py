@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -22,3 +27,21 @@ def build_session(name: str = "tidemetric", master: str | None = None, **more: s
     if master:
         builder = builder.master(master)
     return builder.config(map=SETTINGS | more).getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to Python workers that do not have its folder on their path.
+
+    Workers see what PYTHONPATH and the working folder show them; where neither shows
+    the package (a session started elsewhere), Spark's file server hands it out, as
+    ``--py-files`` would.
+    """
+    home = Path(__file__).resolve().parent.parent
+    seen = [Path.cwd(), *map(Path, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))]
+    if any(p.resolve() == home for p in seen) or any("tidemetric" in f for f in spark.sparkContext.listFiles):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "tidemetric.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted((home / "tidemetric").rglob("*.py")):
+            out.write(source, source.relative_to(home))
+    spark.sparkContext.addPyFile(str(archive))
