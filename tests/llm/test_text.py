@@ -183,6 +183,23 @@ def test_leaks_exact_edited_and_absent(spark):
     assert D.find_leaks(frame(spark, rows), spark.createDataFrame([(1, None)], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("whole", [0, 1])
+def test_leaks_of_many_equal_edited_and_cut_copies(spark, whole):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = [(k, " ".join(word() for _ in range(40))) for k in range(2)]
+    edited = items[0][1].split()
+    for at in (6, 14, 22, 30):
+        edited[at] = "changed"
+    cut = items[1][1].split()[:24]
+    around = lambda: " ".join(word() for _ in range(20))
+    rows = [(1000 * k + i, f"{around()} {' '.join(part)} {around()}") for k, part in enumerate((edited, cut)) for i in range(200)]
+    rows += [(5000 + k, items[k][1]) for k in range(2) if whole]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(1000 * k + i, k): s for k, s in ((0, 0.85), (1, 0.6)) for i in range(200)} | {(5000 + k, k): 1.0 for k in range(2) if whole}
+    assert got.keys() == want.keys() and all(got[p] >= s for p, s in want.items())
+
+
 # --- 8: extraction
 
 

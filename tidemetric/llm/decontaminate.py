@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-1. Word n-grams of the test items go into a bounded bit table; each document sends only
-   the n-grams that it lets through, once each. Spark counts their documents.
-2. Per item the rare ones are its seeds: those in few documents compared with the item's
-   own rarer n-grams. The measure is relative, so an item that a third of all documents
-   hold has seeds as well.
-3. Documents are read once more; around seeds they send windows of word hashes. Windows
-   meet items by seed and are aligned; a pair counts from ``LEAST`` similarity on.
+1. Word n-grams of the test items are its seeds, each of them: a stretch of an item that
+   many documents hold, whole or edited, keeps its seeds however common they are. They
+   go into a bounded bit table.
+2. Documents are read once; around n-grams that the table lets through they send windows
+   of word hashes. Windows meet items by seed.
+3. Pairs that share ``LEAST_SEEDS`` are aligned where enough words of the item are in the
+   window at all; a pair counts from ``LEAST`` similarity on.
 
 Texts are never shuffled, and pairs grow with copies of items, not with their square.
 """
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemetric.llm.bits import bit_table, has_bit
@@ -28,8 +28,6 @@ from tidemetric.llm.words import fold_latin, mix, ngrams, text_buffers, words_of
 N = 3
 LEAST = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: A seed may be in so many times more documents than the n-gram at the item's lower quartile, and so many more.
-TIMES, MORE = 4, 16
 LEAST_SEEDS = 2
 _BATCH = 64
 
@@ -47,21 +45,6 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _hits(bits):
-    """(doc, gram) once a document, of n-grams that the table lets through."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, offsets in text_buffers(batch.column("text"), 1 << 20):
-                row, _, _, hashes = words_of(fold_latin(data), offsets)
-                at, grams = ngrams(row, hashes, N)
-                keep = np.flatnonzero(has_bit(bits.value, grams))
-                pair = np.unique(np.stack([row[at[keep]], grams[keep].view(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[1])], ["gram"])
-
-    return run
-
-
 def _windows(bits, reach: int, least: int):
     """Runs of words around ``least`` seeds or more: (wid, doc_id, start, words, grams)."""
 
@@ -127,14 +110,21 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, where
 
 
-def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        batch = batch.iloc[np.argsort(batch["words"].map(len).to_numpy(), kind="stable")]
-        for at in range(0, len(batch), _BATCH):
-            part = batch.iloc[at : at + _BATCH]
-            items = [np.asarray(x) for x in part["item_words"]]
-            score, where = align(items, [np.asarray(x) for x in part["words"]])
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "item_id": part["item_id"].astype("Int64"), "similarity": score / (MATCH * np.array([len(x) for x in items])), "last_word": part["start"].to_numpy() + where})
+def _aligned(least: float):
+    """Alignments of pairs that can reach ``least``: no more words match than the window holds of the item's."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            can = [np.isin(item, words).sum() >= least * len(item) for item, words in zip(batch["item_words"], batch["words"], strict=True)]
+            batch = batch[np.array(can, bool)]
+            batch = batch.iloc[np.argsort(batch["words"].map(len).to_numpy(), kind="stable")]
+            for at in range(0, len(batch), _BATCH):
+                part = batch.iloc[at : at + _BATCH]
+                items = [np.asarray(x) for x in part["item_words"]]
+                score, where = align(items, [np.asarray(x) for x in part["words"]])
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "item_id": part["item_id"].astype("Int64"), "similarity": score / (MATCH * np.array([len(x) for x in items])), "last_word": part["start"].to_numpy() + where})
+
+    return run
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
@@ -152,18 +142,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataF
     sizes = known.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)), F.coalesce(F.max(F.size("words")), F.lit(0)), F.coalesce(F.min(F.size("grams")), F.lit(0))).first()
     if not sizes[0]:
         return spark.createDataFrame([], "doc_id long, item_id long, similarity double, last_word long")
-    grams = known.select("item_id", F.explode("grams").alias("gram"))
-    wanted = spark.sparkContext.broadcast(bit_table(grams, "gram", sizes[0]))
-    spread = own.mapInArrow(_hits(wanted), "gram long").groupBy("gram").agg(F.count("*").alias("docs"))
-    rated = grams.join(spread, "gram", "left").fillna(0, ["docs"])
-    quartile = F.percentile_approx("docs", 0.25, 1000).over(Window.partitionBy("item_id"))
-    seeds = cut(rated.withColumn("usual", quartile).filter(F.col("docs") <= TIMES * F.col("usual") + MORE).filter("docs > 0").select("item_id", "gram"))
-    found = spark.sparkContext.broadcast(bit_table(seeds, "gram", max(1, seeds.count())))
+    seeds = cut(known.select("item_id", F.explode("grams").alias("gram")))
+    found = spark.sparkContext.broadcast(bit_table(seeds, "gram", sizes[0]))
     windows = stored(own.mapInArrow(_windows(found, int(sizes[1]), min(LEAST_SEEDS, int(sizes[2]))), "wid long, doc_id long, start long, words array<long>, grams array<long>"), "windows")
     met = windows.select("wid", F.explode("grams").alias("gram")).distinct().join(seeds, "gram").groupBy("wid", "item_id").agg(F.count("*").alias("seeds"))
     short = known.select("item_id", F.col("words").alias("item_words"), F.least(F.lit(LEAST_SEEDS), F.size("grams")).alias("least"))
     pairs = met.join(short, "item_id").filter("seeds >= least").join(windows.drop("grams"), "wid")
-    aligned = pairs.select("doc_id", "item_id", "start", "words", "item_words").mapInPandas(_aligned, "doc_id long, item_id long, similarity double, last_word long")
+    aligned = pairs.select("doc_id", "item_id", "start", "words", "item_words").mapInPandas(_aligned(least), "doc_id long, item_id long, similarity double, last_word long")
     good = aligned.filter(F.col("similarity") >= least)
     return good.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("last_word")).alias("minus"))).alias("best")).select("doc_id", "item_id", F.round("best.similarity", 6).alias("similarity"), (-F.col("best.minus")).alias("last_word"))
 
