@@ -1,11 +1,13 @@
 """The pipeline's stages one by one, each against brute force on its own input."""
 
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
 from tests.llm.test_similarity import brute_components
 from tests.llm.test_text import brute_lines
-from tidemetric.llm import decontaminate, quality_crf
+from tidemetric.llm import decontaminate, mixing, quality_crf
 from tidemetric.llm.common import table
 
 
@@ -65,6 +67,22 @@ def test_mixing_stage_takes_words_of_what_is_left(passed):
     assert abs(sum(r["taken"] for r in rows) - words) <= after.select("source").distinct().count()
 
 
+def test_mixing_stage_takes_null_and_repeated_ids_row_by_row(spark):
+    rows = [(None, "a b c", "s"), (None, "d e", "t"), (7, "f g h i", "s"), (7, "j", "t"), (7, "k l", None), (8, "m n o p q", "t"), (8, "m n o p q", "t"), (9, "r " * 30, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.stage(spark, docs, "").collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "source", "n_words", "taken"}
+    assert all(r["n_words"] == len(r["text"].split()) and 0 < r["taken"] <= 3 * r["n_words"] for r in got)
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) <= Counter(rows)
+    want, taken = {}, Counter()
+    for r in mixing.mix_sources(docs).collect():
+        want[r["source"]] = r["target"]
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert {s: taken[s] for s in want} == {s: int(t + 0.5) for s, t in want.items()}
+    assert (None, "d e", "t") in {(r["doc_id"], r["text"], r["source"]) for r in got}
+
+
 def test_empty_documents_pass_all_stages(spark, tiny):
     docs = table(spark, tiny, "documents").filter("false")
     for _, stage in corpus_pipeline.STAGES:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemetric.llm.common import cut, table
+from tidemetric.llm.common import cut, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 EPOCHS = 3
@@ -63,8 +63,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> D
     return level.select("nul", "src", "source_size", F.round(F.least(F.col("cap"), top * F.col("w")), 6).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``.
+def mix_sources(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, rows_per_range: int = ROWS_PER_RANGE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) and the columns ``keep`` for every row of ``docs``.
 
     A null text has size 0 and a null source is a source of its own, the last. Rows that
     repeat a doc_id count each and stand next to each other in key order. An empty table
@@ -78,6 +78,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, rows_per
             F.coalesce(F.col("source"), F.lit("")).alias("src"),
             word_count(text).alias("size"),
             exponential_key(F.col("doc_id"), quality_weight(text)).alias("key"),
+            *keep,
         )
     )
     sources = cut(sized.groupBy("nul", "src").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")))
@@ -102,6 +103,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, rows_per
         "source_size",
         "target",
         (F.col("complete") * F.col("size") + part).cast("long").alias("taken"),
+        *keep,
     )
 
 
@@ -110,9 +112,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the mix takes words of, with the words taken."""
-    mixed = mix_sources(docs).filter("taken > 0").groupBy("doc_id").agg(F.sum("size").alias("n_words"), F.sum("taken").alias("taken"))
-    return docs.join(mixed, "doc_id")
+    """Pipeline stage: the documents that the mix takes words of, with the words taken.
+
+    Rows are told apart by a row number that is written with them, as ids may be null or
+    repeat: each row has its own words and what the mix takes of it.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "mixing")
+    mixed = mix_sources(rows, keep=("__row",)).filter("taken > 0").select("__row", F.col("size").alias("n_words"), "taken")
+    return rows.join(mixed, "__row").drop("__row")
 
 
 SQL = f"""
