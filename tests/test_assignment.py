@@ -113,3 +113,19 @@ def test_guardrail_runs_and_promotion(spark):
     days = spark.createDataFrame([(s, f"2024-01-{d:02d}", ok) for s, ds, bad in (("few", range(1, 5), 0), ("good", range(1, 9), 0), ("gap", [*range(1, 7), 9, 10], 0), ("bad", range(1, 9), 3)) for d in ds for ok in [d != bad]], "shadow_id string, d string, passes boolean")
     status = {r["shadow_id"]: r["status"] for r in A.shadow_promotion(days.withColumn("metric_date", F.to_date("d"))).collect()}
     assert status == {"few": "pending", "good": "approved", "gap": "rejected", "bad": "rejected"}
+
+
+def folded_shares(picks, rate, arms):
+    shares = dict.fromkeys(arms, 1 / len(arms))
+    for pick in picks:
+        shares = {a: (1 - rate) * s + rate * (pick == a) for a, s in shares.items()}
+    return shares
+
+
+def test_allocation_shares_by_ranges_equal_the_fold(spark):
+    rows = [(f"e{k}", i // 2, (i * i + k) % 3) for k, n in enumerate((500, 7, 1)) for i in range(n)]
+    out = B.allocation_shares(spark.createDataFrame(rows, "experiment_id string, at int, arm_id int").repartition(5), "at", 0.01, [0, 1, 2, 3], 0.05, 0.6)
+    got = {(r["experiment_id"], r["arm_id"]): r["share"] for r in out.collect()}
+    want = {(e, a): s for e in ("e0", "e1", "e2") for a, s in folded_shares([arm for x, _, arm in sorted(rows) if x == e], 0.01, [0, 1, 2, 3]).items()}
+    assert got == pytest.approx(want)
+    assert "collect_list" not in out._jdf.queryExecution().toString()  # no key's rows in one array

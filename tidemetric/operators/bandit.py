@@ -138,11 +138,23 @@ def composed(z: dict[str, Column], scheme: str, weights: dict[str, float], ideal
 
 
 def allocation_shares(selections: DataFrame, order: str, rate: float, arms: list[int], low: float, high: float) -> DataFrame:
-    """EMA of selections per arm from equal shares on, in order, and whether it keeps within [low, high]."""
-    ordered = selections.groupBy("experiment_id").agg(F.sort_array(F.collect_list(F.struct(order, "arm_id"))).alias("picks"))
-    each = ordered.select("experiment_id", "picks", F.explode(F.array(*[F.lit(a) for a in arms])).alias("arm_id"))
-    share = F.aggregate(F.transform("picks", lambda p: (p["arm_id"] == F.col("arm_id")).cast("double")), F.lit(1.0 / len(arms)), lambda s, v: (1 - rate) * s + rate * v)
-    return each.select("experiment_id", "arm_id", share.alias("share")).withColumn("in_bounds", F.col("share").between(low, high))
+    """EMA of selections per arm from equal shares on, in order, and whether it keeps within [low, high].
+
+    The share is linear in its start, so rows are dealt by ranges of the order: each range gives
+    its decay and its weighted sum per arm, and the few ranges are combined by the decay after them.
+    """
+    keep = 1 - rate
+    dealt = selections.select("experiment_id", order, "arm_id").repartitionByRange(int(selections.sparkSession.conf.get("spark.sql.shuffle.partitions")), "experiment_id", order).withColumn("range", F.spark_partition_id())
+    back = Window.partitionBy("experiment_id", "range").orderBy(F.col(order).desc(), F.col("arm_id").desc())
+    aged = dealt.withColumn("weight", rate * F.pow(F.lit(keep), F.row_number().over(back) - 1))
+    sums = [F.struct(F.lit(a).alias("arm_id"), F.coalesce(F.sum(F.when(F.col("arm_id") == a, F.col("weight"))), F.lit(0.0)).alias("sum")) for a in arms]
+    ranges = aged.groupBy("experiment_id", "range").agg(F.count("*").alias("n"), F.array(*sums).alias("sums"))
+    later = Window.partitionBy("experiment_id").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.withColumn("decay", F.pow(F.lit(keep), F.coalesce(F.sum("n").over(later), F.lit(0))))
+    each = placed.select("experiment_id", "n", "decay", F.explode("sums").alias("arm"))
+    share = F.pow(F.lit(keep), F.sum("n")) / len(arms) + F.sum(F.col("arm.sum") * F.col("decay"))
+    shares = each.groupBy("experiment_id", F.col("arm.arm_id").alias("arm_id")).agg(share.alias("share"))
+    return shares.withColumn("in_bounds", F.col("share").between(low, high))
 
 
 def daily_shares(selections: DataFrame, day: str) -> DataFrame:
