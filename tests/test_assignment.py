@@ -6,6 +6,8 @@ from tidemetric.operators import analysis as A
 from tidemetric.operators import assignment as S
 from tidemetric.operators import bandit as B
 from tidemetric.operators import offpolicy as O
+from tidemetric.plans import catalogue
+from tidemetric.sources import views as V
 
 EXPERIMENTS = [
     S.Experiment("h", "hs", 0, 999, [("holdout", 1.0)], "x", is_holdout=True),
@@ -129,3 +131,9 @@ def test_allocation_shares_by_ranges_equal_the_fold(spark):
     want = {(e, a): s for e in ("e0", "e1", "e2") for a, s in folded_shares([arm for x, _, arm in sorted(rows) if x == e], 0.01, [0, 1, 2, 3]).items()}
     assert got == pytest.approx(want)
     assert "collect_list" not in out._jdf.queryExecution().toString()  # no key's rows in one array
+
+
+def test_allocation_query_folds_the_whole_table(spark, small):
+    picks = [r["arm_id"] for r in V.reward_events(spark, small).orderBy("event_id").collect()]
+    got = {r["arm_id"]: r["share"] for r in catalogue.queries()["b11_allocation_ema"](spark, small).collect()}
+    assert got == pytest.approx(folded_shares(picks, 0.05, [0, 1, 2, 3]), abs=1e-6)

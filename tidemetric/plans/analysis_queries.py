@@ -400,7 +400,7 @@ def b11_daily_allocation(spark, sf):
 
 @query()
 def b11_allocation_ema(spark, sf):
-    return rounded(B.allocation_shares(V.reward_events(spark, sf).filter("user_id < 20"), "event_id", 0.05, [0, 1, 2, 3], 0.05, 0.6))
+    return rounded(B.allocation_shares(V.reward_events(spark, sf), "event_id", 0.05, [0, 1, 2, 3], 0.05, 0.6))
 
 
 def _rankings(spark, sf):
