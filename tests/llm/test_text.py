@@ -5,6 +5,7 @@ import html
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -233,6 +234,39 @@ def test_page_cases(name):
     assert want is None or got == want
 
 
+DEEP = "<div>" * 5000
+ODD = {
+    "open tags": ("<a" * 500_000, 1_000_000),
+    "open script tags": ("<script" * 150_000, 1_050_000),
+    "open scripts": ("x<script>" * 100_000, 1),
+    "open quotes": ("<p x='y\">\"z" * 90_000, None),
+    "quoted ends only": ("<a \"<b>\" '" * 90_000, None),
+    "open comments": ("<!--" * 250_000, 0),
+    "stray ends": (f"{DEEP}{'</p></table></section>' * 50_000}a", 1),
+    "deep": (f"<h1>t</h1>{DEEP}<p>text</p>{'</div>' * 5000}", 6),
+    "deep heading": (f"{DEEP}<h1>t</h1><p>text</p>", 6),
+    "long reference": (f"a &#{'1' * 1_000_000}; b", 5),
+    "padded reference": ("&#0000000065;", 1),
+    "long text": ("word " * 400_000, 1_999_999),
+}
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_odd_pages_take_linear_time(name):
+    page, chars = ODD[name]
+    for path in (None, "body div", "body" + " div" * 4999, "body nav"):
+        start = time.perf_counter()
+        text = H.main_text(page, path)
+        assert time.perf_counter() - start < 2.5
+        assert chars is None or len(text) == chars or (path is not None and text)
+
+
+def test_deep_pages_pass_the_query(spark):
+    rows = [(i, "http://deep.org/", f"{DEEP}<h1>t</h1><p>text {i}</p>") for i in range(3)] + [(9, "http://deep.org/", "<div><p>other</p></div>"), (None, None, "<a" * 50_000)]
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"t\ntext {i}" for i in range(3)} | {9: "other", None: "<a" * 50_000}
+
+
 def test_host_vote_settles_doubtful_pages(spark):
     usual = '<div class="top"><p>{0} short.</p></div><div class="story-{0}"><p>{0} is the story, and it goes on for a good while here.</p></div>'
     odd = '<div class="top"><p>An unusually long line above the story, longer than all the rest of it.</p></div><div class="story-9"><p>The story.</p></div>'

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,7 +30,7 @@ SHARE = 0.7
 BROADCAST_HOSTS = 100_000
 
 # HTML element kinds.
-RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|select|button|canvas|xmp|noembed|noframes"
+RAW = frozenset("script style noscript template textarea title svg math iframe object select button canvas xmp noembed noframes".split())
 CONTAINERS = frozenset("body main article section div table tbody thead tfoot tr td th ul ol dl center fieldset details figure blockquote nav header footer aside form menu dialog search address hgroup".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre caption figcaption legend summary hr option optgroup".split())
 HEADINGS = frozenset("h1 h2".split())
@@ -42,26 +43,99 @@ LEFT_OUT_NAMES = frozenset(
     "popup promo promoted promotion recommended related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*+)>|<[!?/][^>]*+>",
-    re.DOTALL | re.IGNORECASE,
-)
-_ATTR = re.compile(r"([^\s=/\"'<>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/<>]*+)|/)")
+_PLAIN = re.compile(r"[^>\"']*+>")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_MARK = re.compile(r"[>\"']")
+_ATTR = re.compile(r"([^\s=/\"'<>]++)\s*+(?:=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+")
+_LONG_NUMBER = re.compile(r"&#0*+([0-9]++)")
 _WORD = re.compile(r"[a-z]+")
 _VARYING = re.compile(r"[0-9]+")
 
 
 class Node:
-    """A container: its generalised path, what lies in it, and whether it is left out."""
+    """A container: its path's last step, what lies in it, and whether it is left out.
 
-    __slots__ = ("clean", "heading", "kids", "last", "out", "parent", "path", "tag")
+    ``at`` is the number of steps of a given path that its own path equals, or -1;
+    ``inside`` is whether it or a container above it ends that path.
+    """
 
-    def __init__(self, tag: str, parent: Node | None, label: str, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
-        self.path = label if parent is None else f"{parent.path}/{label}"
-        self.clean, self.heading, self.last, self.kids = 0, False, -1, []
+    __slots__ = ("at", "clean", "heading", "inside", "kids", "label", "out", "parent", "tag")
+
+    def __init__(self, tag: str, parent: Node | None, label: str, out: bool, steps: list[str]):
+        self.tag, self.parent, self.label, self.out = tag, parent, label, out
+        self.clean, self.heading, self.kids = 0, False, []
+        above = 0 if parent is None else parent.at
+        self.at = above + 1 if 0 <= above < len(steps) and steps[above] == label else -1
+        self.inside = (parent is not None and parent.inside) or (self.at > 0 and self.at == len(steps))
+
+
+def path_of(node: Node) -> str:
+    """The steps from the root, parted by blanks; steps hold none."""
+    steps = []
+    while node is not None:
+        steps.append(node.label)
+        node = node.parent
+    return " ".join(reversed(steps))
+
+
+class _Scanner:
+    """Tags of a page in one pass: every character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.ends = page, page.rfind(">"), None
+
+    def tag_end(self, at: int) -> int:
+        """Position after the ``>`` that closes a tag; one within quotes counts where no other does; -1 for none."""
+        page = self.page
+        if at > self.last:
+            return -1
+        found = _PLAIN.match(page, at)
+        if found:
+            return found.end()
+        if self.ends is None:
+            found = _QUOTED.match(page, at)
+            if found:
+                return found.end()
+            self.ends = self._closings(at)
+        mark = _MARK.search(page, at).start()
+        end = self.ends[mark]
+        return end if end >= 0 else page.find(">", at) + 1
+
+    def _closings(self, at: int) -> dict[int, int]:
+        """For every quote or ``>`` from ``at`` on, read outside of quotes, where its tag ends."""
+        ends: dict[int, int] = {-1: -1}
+        later: dict[int, int] = {-1: -1}  # the mark after each mark
+        same = {">": -1, '"': -1, "'": -1}  # the next mark of each kind
+        after = -1
+        for found in reversed(list(_MARK.finditer(self.page, at))):
+            where, kind = found.start(), found.group()
+            ends[where] = where + 1 if kind == ">" else ends[later[same[kind]]]
+            later[where] = after
+            same[kind] = after = where
+        return ends
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, whether it ends a container, attributes); comments and raw parts have no name."""
+        page, at = self.page, 0
+        while (found := _OPEN.search(page, at)) is not None:
+            start, name = found.start(), found.group(2)
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4) + 3
+                end = end if end > 2 else len(page)
+                yield start, end, "", False, ""
+            else:
+                end = self.tag_end(found.end()) if name else page.find(">", found.end()) + 1
+                if end <= 0:
+                    return
+                name = (name or "").lower()
+                if name in RAW and not found.group(1):
+                    close = re.compile(rf"</{name}(?![^\s/>])", re.IGNORECASE).search(page, end)
+                    end = page.find(">", close.end()) + 1 if close else 0
+                    end = end or len(page)
+                    name = ""
+                yield start, end, name, bool(found.group(1)), page[found.end() : end - 1]
+            at = end
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -71,7 +145,8 @@ def _attributes(text: str) -> dict[str, str]:
 def _label(tag: str, attrs: dict[str, str]) -> str:
     """Tag with its classes and id, digits made alike, as the path's step."""
     names = sorted(set(_VARYING.sub("0", attrs.get("class", "").lower()).split()))
-    return tag + "".join(f".{n}" for n in names) + (f"#{_VARYING.sub('0', attrs['id'].lower())}" if attrs.get("id") else "")
+    own = "".join(_VARYING.sub("0", attrs.get("id", "").lower()).split())
+    return tag + "".join(f".{n}" for n in names) + (f"#{own}" if own else "")
 
 
 def _left_out(tag: str, attrs: dict[str, str]) -> bool:
@@ -84,9 +159,21 @@ def _left_out(tag: str, attrs: dict[str, str]) -> bool:
     return any(n in LEFT_OUT_NAMES for n in _WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
 
 
-def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
-    """Root container and the page's text blocks in order, as (container, text, characters in links)."""
-    root = node = Node("body", None, "body", False)
+def decoded(text: str) -> str:
+    """Character references decoded; numbers past the last code point are U+FFFD, however long."""
+    if "&" not in text:
+        return text
+    return html.unescape(_LONG_NUMBER.sub(lambda m: f"&#{m[1]}" if len(m[1]) < 8 else "&#65533", text))
+
+
+def parse(page: str, path: str | None = None) -> tuple[Node, list[tuple[Node, str, int]]]:
+    """Root container and the page's text blocks in order, as (container, text, characters in links).
+
+    Containers nest to any depth: nothing here recurses, and each is visited once.
+    """
+    steps = path.split(" ") if path else []
+    root = node = Node("body", None, "body", False, steps)
+    nodes, opened = [root], Counter()
     blocks: list[tuple[Node, str, int]] = []
     run: list[str] = []
     at = links = depth = gone = 0
@@ -95,30 +182,22 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
     def close() -> None:
         nonlocal run, links
         if run:
-            text = " ".join(html.unescape("".join(run)).split())
+            text = " ".join(decoded("".join(run)).split())
             if text and not gone:
                 blocks.append((node, text, links))
                 if not node.out:
                     if heading:
                         node.heading = True
                     if links * 2 <= len(text):
-                        up = node
-                        while up is not None:
-                            up.clean += len(text)
-                            up = up.parent
+                        node.clean += len(text)
         run, links = [], 0
 
-    for token in _TOKEN.finditer(page):
-        if token.start() > at:
-            piece = page[at : token.start()]
-            run.append(piece)
+    for start, end, tag, ends, attributes in _Scanner(page).tags():
+        if start > at:
+            run.append(page[at:start])
             if depth:
-                links += len(piece)
-        at = token.end()
-        tag = token["tag"] or token["tag2"]
-        if tag is None:
-            continue
-        tag, ends = tag.lower(), bool(token["end"] or token["end2"])
+                links += start - at
+        at = end
         if tag == "br":
             run.append(" ")
         elif tag == "a":
@@ -135,20 +214,24 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
         elif tag in CONTAINERS:
             close()
             depth, gone, heading = 0, 0, False
-            if ends:
-                up = node
-                while up is not root and up.tag != tag:
-                    up = up.parent
-                if up is not root:
-                    node = up.parent
-            else:
-                attrs = _attributes(token["attrs"] or token["attrs2"] or "")
-                inner = Node(tag, node, _label(tag, attrs), node.out or _left_out(tag, attrs))
+            if not ends:
+                attrs = _attributes(attributes)
+                inner = Node(tag, node, _label(tag, attrs), node.out or _left_out(tag, attrs), steps)
                 node.kids.append(inner)
+                nodes.append(inner)
+                opened[tag] += 1
                 node = inner
+            elif opened[tag]:
+                while node.tag != tag:
+                    opened[node.tag] -= 1
+                    node = node.parent
+                opened[tag] -= 1
+                node = node.parent
     if at < len(page):
         run.append(page[at:])
     close()
+    for inner in reversed(nodes[1:]):
+        inner.parent.clean += inner.clean
     return root, blocks
 
 
@@ -165,21 +248,15 @@ def best_container(root: Node) -> Node:
 
 def main_text(page: str | None, path: str | None = None) -> str:
     """Text of the containers on ``path``, or of the best container where the page has none there."""
-    root, blocks = parse(page or "")
-    inside: dict[int, bool] = {}
-
-    def under(node: Node | None, wanted) -> bool:
-        if node is None:
-            return False
-        if id(node) not in inside:
-            inside[id(node)] = wanted(node) or under(node.parent, wanted)
-        return inside[id(node)]
-
-    kept = [b for b in blocks if not b[0].out and under(b[0], lambda n: n.path == path)] if path else []
+    root, blocks = parse(page or "", path)
+    kept = [b for b in blocks if not b[0].out and b[0].inside]
     if not kept:
-        inside.clear()
-        best = best_container(root)
-        kept = [b for b in blocks if not b[0].out and under(b[0], lambda n: n is best)]
+        todo, below = [best_container(root)], set()
+        while todo:
+            node = todo.pop()
+            below.add(id(node))
+            todo += node.kids
+        kept = [b for b in blocks if not b[0].out and id(b[0]) in below]
     return "\n".join(text for _, text, _ in kept)
 
 
@@ -190,7 +267,7 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             root, _ = parse(page or "")
             best = best_container(root)
             if best.clean:
-                rows.append((host, best.path))
+                rows.append((host, path_of(best)))
         yield pd.DataFrame(rows, columns=["host", "path"])
 
 
