@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemetric.llm import decontaminate as D
 from tidemetric.llm import html_extract as H
@@ -36,7 +37,7 @@ def mixed(spark, rows, **more):
 def test_mix_meets_targets_and_caps(spark):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randrange(0, 40), None, rng.choice(["a", "a", "a", "b", "B", None, "é"])) for i in range(600)]
-    for ranges in (3, 2000):
+    for ranges in (30, 100_000):
         got = mixed(spark, rows, rows_per_range=ranges)
         assert len(got) == 600
         names = sorted({r[3] for r in rows if r[3]}, key=lambda s: s.encode()) + [None]
@@ -56,6 +57,27 @@ def test_mix_meets_targets_and_caps(spark):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixed(spark, rows)), key=str)
 
 
+@pytest.mark.parametrize("kind", ["light", "null ids", "one id", "copies"])
+def test_ranges_hold_about_equal_rows(spark, kind):
+    n, symbols = F.col("id"), F.lit("!!! ")
+    text = F.concat(F.lit("word "), F.when(n % 10 > 0, F.repeat(symbols, 3)).otherwise(F.lit("")), n.cast("string"))
+    doc_id = {"light": n, "null ids": F.when(n % 3 > 0, n), "one id": F.when(n % 3 > 0, n).otherwise(7), "copies": F.lit(7).cast("long")}[kind]
+    docs = spark.range(60_000).select(doc_id.alias("doc_id"), F.lit("same text") if kind == "copies" else text, F.when(n % 3 == 0, "hot").otherwise("cold").alias("source")).toDF("doc_id", "text", "source")
+    weight = M.quality_weight(F.col("text"))
+    assert kind == "copies" or docs.filter(weight == M.LEAST_WEIGHT).count() > 50_000
+    sized = docs.select("doc_id", F.lit(False).alias("nul"), F.col("source").alias("src"), M.word_count(F.col("text")).alias("size"), M.exponential_key(F.col("doc_id"), weight).alias("key"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    rows = M.key_ranges(sized, 1000).groupBy("range").count().collect()
+    assert len(rows) > 50 and max(r["count"] for r in rows) <= 3000 and sum(r["count"] for r in rows) == 60_000
+    taken = M.mix_sources(docs, rows_per_range=1000).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 1 for r in taken)
+
+
+def test_weights_of_the_caller_decide(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.when(F.col("id") < 1000, "a").otherwise("b").alias("source"))
+    got = M.mix_sources(docs, quality=F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.01)).filter("source = 'a' and taken > 0").collect()
+    assert sum(r["doc_id"] % 2 == 0 for r in got) > 0.7 * 500 and len(got) < 700
+
+
 def test_mix_of_nothing(spark):
     assert mixed(spark, []) == []
     got = mixed(spark, [(1, None, None, "a"), (2, "", None, None), (None, None, None, None), (None, None, None, None)])

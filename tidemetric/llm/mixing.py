@@ -4,9 +4,12 @@ Every document gets the exponential key ``-ln(u) / w`` (u from a hash of its id,
 quality weight): the documents with the smallest keys are a weighted sample without
 replacement. Per source, complete epochs come first; the rest of the token budget is
 filled in key order by prefix sums, and the document at the edge gives the words that
-are left. Prefix sums run in two levels: key ranges of a source are summed, the few range
-totals are accumulated, and only rows of one range meet in a task, so a source that
-holds a third of all rows is spread over many tasks. Reruns agree, as nothing is random.
+are left. Prefix sums run in two levels: rows are dealt by (source, key) into ranges of equal
+numbers of rows, whatever the weights are; the few range totals are accumulated, and only
+rows of one source and range meet in a task. Rows of one key (ids that are null or repeat)
+are told apart by their size, a hash of their text and last a row number, so they spread
+over ranges too. Reruns agree, as nothing is random: rows that differ in their row number
+alone are exact copies.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from tidemetric.llm.common import cut, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 EPOCHS = 3
-ROWS_PER_RANGE = 2000
+#: About how many rows one range holds, and so one task sorts.
+ROWS_PER_RANGE = 100_000
 # Source weights, repeating, and the symbols whose share lowers a document's quality weight.
 WEIGHTS = (1, 2, 3)
 SYMBOLS = "!|&%$#*"
@@ -63,37 +67,53 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> D
     return level.select("nul", "src", "source_size", F.round(F.least(F.col("cap"), top * F.col("w")), 6).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, rows_per_range: int = ROWS_PER_RANGE, keep: tuple[str, ...] = ()) -> DataFrame:
+ORDER = ("key", "doc_id", "size", "tie", "row")
+
+
+def key_ranges(sized: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``sized`` with ``range``: rows in order of source and ``ORDER``, cut into ranges of about equal rows.
+
+    Spark's range partitioning takes its bounds from the data, so a range does not grow
+    with the share of a source, a weight or an id.
+    """
+    ranges = max(1, -(-sized.count() // rows_per_range))
+    return cut(sized.repartitionByRange(ranges, "nul", "src", *ORDER).withColumn("range", F.spark_partition_id()))
+
+
+def mix_sources(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, rows_per_range: int = ROWS_PER_RANGE, keep: tuple[str, ...] = (), quality: Column | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) and the columns ``keep`` for every row of ``docs``.
 
-    A null text has size 0 and a null source is a source of its own, the last. Rows that
-    repeat a doc_id count each and stand next to each other in key order. An empty table
-    gives no rows; sources of size 0 take nothing.
+    ``quality`` is the documents' weight, above 0; without it, ``quality_weight`` of the
+    text. A null text has size 0 and a null source is a source of its own, the last. Rows
+    that repeat a doc_id, or have none, count each and stand next to each other in key
+    order. An empty table gives no rows; sources of size 0 take nothing. A text of any
+    length is one row of a few numbers here.
     """
     text = F.col("text")
+    weight = quality_weight(text) if quality is None else quality.cast("double")
     sized = cut(
         docs.select(
             "doc_id",
             F.col("source").isNull().alias("nul"),
             F.coalesce(F.col("source"), F.lit("")).alias("src"),
             word_count(text).alias("size"),
-            exponential_key(F.col("doc_id"), quality_weight(text)).alias("key"),
+            exponential_key(F.col("doc_id"), weight).alias("key"),
+            F.xxhash64(text).alias("tie"),
+            F.monotonically_increasing_id().alias("row"),
             *keep,
         )
     )
-    sources = cut(sized.groupBy("nul", "src").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")))
-    largest = sources.agg(F.coalesce(F.max("docs"), F.lit(0))).first()[0]
-    ranges = max(1, -(-largest // rows_per_range))
+    sources = cut(sized.groupBy("nul", "src").agg(F.sum("size").alias("source_size")))
     target = source_targets(sources, weights, epochs)
     budget = F.floor(F.col("target") + 0.5).cast("long")
     complete = F.coalesce(F.try_divide(budget, F.col("source_size")).cast("long"), F.lit(0)).cast("long")
     plan = target.select("nul", "src", "source_size", "target", complete.alias("complete"), (budget - complete * F.col("source_size")).alias("rest"))
 
-    ranged = sized.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int"))
+    ranged = key_ranges(sized, rows_per_range)
     totals = ranged.groupBy("nul", "src", "range").agg(F.sum("size").alias("words"))
     earlier = F.sum("words").over(Window.partitionBy("nul", "src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     starts = totals.select("nul", "src", "range", F.coalesce(earlier, F.lit(0)).alias("start")).join(plan, ["nul", "src"])
-    within = F.sum("size").over(Window.partitionBy("nul", "src", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum("size").over(Window.partitionBy("nul", "src", "range").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1))
     placed = ranged.withColumn("within", F.coalesce(within, F.lit(0))).join(starts, ["nul", "src", "range"])
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("within")))
     return placed.select(
