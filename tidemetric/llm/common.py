@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets a temporary one; a cluster is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -38,6 +45,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a URI or a plain absolute path."""
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+
+
+def remove_folder(path: str) -> None:
+    """Remove an intermediate folder that nothing reads any more."""
+    store, top = open_store(path)
+    store.delete_dir(top)
+
+
+#: Keys that may be broadcast as heavy; each has more than this part of all rows, so there are fewer of them.
+HEAVY_KEYS = 10_000
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has one row a key and their number of rows in ``rows_of_key``.
+
+    Keys with over ``total / HEAVY_KEYS`` rows are fewer than ``HEAVY_KEYS``, whatever the
+    data, and are broadcast, so their rows stay where they are; all others are shuffled,
+    and none of them is a large part of a task. Both sides are read more than once: give
+    stored ones.
+    """
+    limit = max(1, total // HEAVY_KEYS)
+    heavy = F.broadcast(keyed.filter(F.col("rows_of_key") > limit)).drop("rows_of_key")
+    light = keyed.filter(F.col("rows_of_key") <= limit).drop("rows_of_key")
+    rest = rows.join(heavy.select(key), key, "left_anti")
+    return rows.join(heavy, key).unionByName(rest.join(light, key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,10 +1,12 @@
 """Line dedup: repeated lines stay only in the smallest document that holds them.
 
-Lines are exploded to (key hash, document), one row per document and key; distinct
-documents per hash are counted with map-side partial aggregation, so a line that a
-third of all documents share costs one row per task in that shuffle. The pairs to drop
-then meet their documents again by id and texts are reassembled by line position. Only
-hashes travel; a text is shuffled once.
+Lines are exploded to (key hash, document), one row per row and key, and stored once.
+Documents per hash are counted with map-side partial aggregation, so a line that a third
+of all documents share costs one row per task in that shuffle. Hashes that so many share
+are broadcast to the stored lines, the others meet them by hash (``join_by_key``). The
+hashes to drop then meet their rows by id and a hash of the text, so rows that repeat an
+id, or have none, are spread; texts are reassembled by line position. Only hashes travel;
+a text is shuffled once.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemetric.llm.common import small_batches, table
+from tidemetric.llm.common import cut, join_by_key, small_batches, stored, table
 
 WHITE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 10
@@ -72,14 +74,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     through; columns named n_lines or n_dropped are replaced.
     """
     small_batches(docs.sparkSession)
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    lines = docs.select(own.alias("doc"), F.explode(_hashes(min_chars)(F.col("text"))).alias("hash"))
-    grouped = lines.groupBy("hash").agg(F.min("doc").alias("owner"), *([F.max("doc").alias("last")] if min_docs <= 2 else [F.count_distinct("doc").alias("docs")]))
-    shared = grouped.filter("owner < last" if min_docs <= 2 else F.col("docs") >= min_docs).select("hash", "owner")
-    dropped = lines.join(shared, "hash").filter("doc <> owner").groupBy("doc").agg(F.collect_set("hash").alias("__gone")).withColumnRenamed("doc", "__doc")
-    joined = docs.withColumn("__own", own).join(dropped, F.col("__own") == F.col("__doc"), "left")
+    own, body = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text")
+    lines = stored(docs.select(own.alias("doc"), body.alias("body"), F.explode(_hashes(min_chars)(F.col("text"))).alias("hash")), "lines")
+    grouped = lines.groupBy("hash").agg(F.min("doc").alias("owner"), F.count("*").alias("rows_of_key"), *([F.max("doc").alias("last")] if min_docs <= 2 else [F.count_distinct("doc").alias("docs")]))
+    shared = cut(grouped.filter("owner < last" if min_docs <= 2 else F.col("docs") >= min_docs).select("hash", "owner", "rows_of_key"))
+    met = join_by_key(lines, shared, "hash", lines.count())
+    dropped = met.filter("doc <> owner").groupBy("doc", "body").agg(F.collect_set("hash").alias("__gone")).toDF("__doc", "__body", "__gone")  # the lines of one text
+    joined = docs.withColumn("__own", own).join(dropped, (F.col("__own") == F.col("__doc")) & (body == F.col("__body")), "left")
     kept = joined.withColumn("__kept", _reassembled(min_chars)(F.col("text"), F.col("__gone")))
-    return kept.withColumns({"text": F.col("__kept.text"), "n_lines": F.col("__kept.n_lines"), "n_dropped": F.col("__kept.n_dropped")}).drop("__own", "__doc", "__gone", "__kept")
+    return kept.withColumns({"text": F.col("__kept.text"), "n_lines": F.col("__kept.n_lines"), "n_dropped": F.col("__kept.n_dropped")}).drop("__own", "__doc", "__body", "__gone", "__kept")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
