@@ -17,18 +17,16 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemetric.llm.common import new_folder, stored, table
+from tidemetric.llm.common import cut, join_by_key, new_folder, open_store, stored, table
 
 # Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -42,23 +40,22 @@ PIECE = 1 << 18
 INDEX = "archive string, offset long, length long, record_type string, record_id string"
 
 
-def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI or a plain absolute path."""
-    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
-
-
 def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """``page_id, url, payload, n, digest, refers_to`` per row; refers_to is set on revisits.
 
     Of rows with equal payloads of at least ``least`` bytes, those with the largest page_id
-    are responses. Only digests that occur twice are joined back, by id, so a payload that
-    a third of all pages share is counted map-side first.
+    are responses. Ids and digests alone decide: digests that occur twice meet their rows
+    as ``join_by_key`` does, so one that a third of all pages share stays spread. Payloads
+    meet what was decided by id and digest, which no hot payload or null id makes hot.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     full = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("n"), F.sha1(payload.cast("binary")).alias("digest"))
-    keys = full.filter(F.col("n") >= least).select("page_id", "digest")
-    repeated = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
-    return full.join(repeated, "digest", "left").withColumn("refers_to", F.when(F.col("n") < least, None).when(F.coalesce(F.col("page_id"), F.lit(-1)) == F.col("refers_to"), None).otherwise(F.col("refers_to")))
+    keys = stored(full.filter(F.col("n") >= least).select("page_id", "digest"), "digests")
+    grouped = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("rows_of_key"))
+    repeated = cut(grouped.filter("rows_of_key > 1 and refers_to is not null"))
+    later = join_by_key(keys, repeated, "digest", keys.count()).filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    decided = later.distinct().select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "refers_to")
+    return full.join(decided, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").drop("__id", "__digest")
 
 
 def record_id(page_id: Column) -> Column:
