@@ -1,8 +1,10 @@
 """Language ID with language-bitmask n-gram filters.
 
 Training counts character n-grams per language in Spark and keeps, per language, the
-most frequent ones whose rate is not far below their rate elsewhere. They go into a
-bit-sliced Bloom filter: a row of the table holds one bit per language, so ANDing the
+most frequent ones whose rate is not far below their rate elsewhere: down to the count
+that a histogram of counts gives, so n-grams are never sorted within a language. The
+sample of documents is drawn per language, so a rare language is not lost in a large
+corpus. They go into a bit-sliced Bloom filter: a row of the table holds one bit per language, so ANDing the
 rows at an n-gram's hash positions returns all languages that contain it. A text's hits
 are counted per language bit, corrected for the filter's false-positive rate of that
 language, and the largest corrected share decides. Texts are handled in slabs, in Arrow
@@ -19,12 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemetric.llm.common import is_held_out, small_batches, table
+from tidemetric.llm.common import cut, is_held_out, small_batches, stored, table
 from tidemetric.llm.words import mix
 
 SIZES = (3, 4)
-#: Training looks at about so many labelled documents, picked by a hash of the id.
+#: Training looks at about so many labelled documents in all, as many of each language, picked by a hash of the id.
 TRAIN_DOCS = 40_000
+#: N-grams of one language at most; as each language has its own bit in a row, the table need not grow with languages.
 GRAMS = 30_000
 LEAST_RATIO = 0.05
 LEAST_COUNT = 2
@@ -138,14 +141,20 @@ def train_filter(docs: DataFrame, train_docs: int = TRAIN_DOCS, grams: int = GRA
     total = sum(sizes.values())
     if not total:
         return build_filter({}, None)
-    share = min(1.0, train_docs / total)
-    picked = known.filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
-    counts = picked.select("lang", "text").mapInPandas(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rate = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    rated = counts.withColumn("rate", rate).withColumn("most", F.max("rate").over(Window.partitionBy("gram")))
-    own = rated.filter((F.col("n") >= LEAST_COUNT) & (F.col("rate") >= LEAST_RATIO * F.col("most")))
-    best = own.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("at") <= grams)
-    found = best.select("lang", "gram").toArrow().to_pandas()  # at most ``grams`` rows a language
+    quota = train_docs / len(sizes)
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, int(1_000_000 * quota / n)))])
+    picked = known.filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
+    counts = stored(picked.select("lang", "text").mapInPandas(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("all_n"))
+    rated = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("all_n"))  # a row a language
+    most = F.max("rate").over(Window.partitionBy("gram"))
+    own = cut(rated.withColumn("most", most).filter((F.col("n") >= LEAST_COUNT) & (F.col("rate") >= LEAST_RATIO * F.col("most"))).select("lang", "gram", "n"))
+    down = Window.partitionBy("lang").orderBy(F.desc("n"))
+    levels = own.groupBy("lang", "n").agg(F.count("*").alias("level")).withColumn("room", grams - F.sum("level").over(down) + F.col("level"))
+    share = F.least(F.lit(1.0), F.col("room") / F.col("level"))  # the level that fills the room keeps a part of its n-grams, by hash
+    last = F.broadcast(levels.filter("room > 0").groupBy("lang").agg(F.min("n").alias("least"), F.min_by(share, "n").alias("share")))
+    best = own.join(last, "lang").filter((F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & (F.pmod(F.col("gram"), F.lit(1_000_003)) < F.col("share") * 1_000_003)))
+    found = best.select("lang", "gram").toArrow().to_pandas()  # about ``grams`` rows a language
     return build_filter({lang: part.to_numpy(np.int64) for lang, part in found.groupby("lang")["gram"]}, max(sorted(sizes), key=sizes.get))
 
 
