@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemetric.llm import queries as R
 from tidemetric.llm import url_filter as U
@@ -61,9 +62,9 @@ URLS = {
 
 
 def test_urls_and_rules(spark):
-    rows = [(i, u, None) for i, u in enumerate(URLS)] + [(99, None, None), (99, None, None), (None, "http://q.com", None)]
+    rows = [(i, u, None) for i, u in enumerate(URLS)] + [(99, None, None), (99, None, None), (None, "http://q.com", None), (98, "http://long.com/" + "x" * 1_000_000, None)]
     got = U.judge_urls(pages(spark, rows), spark.createDataFrame([], "host string, good int")).collect()
-    assert len(got) == 13 and all(r["verdict"] in ("allow", "block") for r in got)
+    assert len(got) == 14 and all(r["verdict"] in ("allow", "block") for r in got)
     named = {r["page_id"]: r for r in got}
     for i, (host, path, rule, verdict) in enumerate(URLS.values()):
         assert (named[i]["host"], named[i]["path"], named[i]["rule"]) == (host, path, rule)
@@ -81,6 +82,13 @@ def test_reputation_shrinks_towards_the_levels_above(spark):
     assert got["a.good.org"][0] - got["a.good.org"][1] < got["b.good.org"][0] - got["b.good.org"][1]
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.co.in": ("co.in", "b.co.in"), "x.com.cn": ("com.cn", "x.com.cn"), "me.github.io": ("github.io", "me.github.io"), "u:p@www.example.com:8080": ("com", "example.com"), "example.com": ("com", "example.com"), "co.uk": ("co.uk", "co.uk"), "localhost": ("localhost", "localhost"), "": ("", ""), "a." * 50_000 + "org": ("org", "a.org")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r["host"]: (r["s"], r["d"]) for r in df.select("host", U.suffix_of(F.col("host")).alias("s"), U.domain_of(F.col("host")).alias("d")).collect()}
+    assert got == hosts
+
+
 def test_twins_are_registered():
     assert set(R.ORACLE_SQL) < set(R.QUERIES)
     assert sorted(int(n[2:].split("_")[0]) for n in R.QUERIES) == list(range(1, 11))

@@ -27,14 +27,18 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-# Public suffixes of two labels that the registered-domain rule knows.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
+# registries' own second labels under country domains, as in ac.uk or com.br,
+# and hosting domains below which everybody may register.
+SECOND_LABELS = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "govt", "mil", "ne", "net", "nhs", "nom", "or", "org", "sch")
+SHARED_DOMAINS = ("appspot.com", "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "vercel.app", "web.app", "wordpress.com")
+SUFFIX_PATTERN = rf"^((?:{'|'.join(SECOND_LABELS)})\.[a-z]{{2}}|{'|'.join(d.replace('.', '[.]') for d in SHARED_DOMAINS)})$"
 
 LEAST = 0.5
 Z = 1.0
 STRENGTH = (2.0, 200.0)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+NAME = r"^(?:.*@)?([^:]*)"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -48,15 +52,22 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def bare_host(host: Column) -> Column:
+    """The host without user name and port."""
+    return F.regexp_extract(host, NAME, 1)
 
 
-def domain_of(host: Column) -> Column:
+def suffix_of(host: Column, suffixes: str = SUFFIX_PATTERN) -> Column:
+    """The last two labels where they fit the pattern ``suffixes``, else the last one."""
+    two = F.substring_index(bare_host(host), ".", -2)
+    return F.when(two.rlike(suffixes), two).otherwise(F.substring_index(two, ".", -1))
+
+
+def domain_of(host: Column, suffixes: str = SUFFIX_PATTERN) -> Column:
     """The suffix and one label before it."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    bare = bare_host(host)
+    two = F.substring_index(bare, ".", -2)
+    return F.when(two.rlike(suffixes), F.substring_index(bare, ".", -3)).otherwise(two)
 
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -98,12 +109,15 @@ def level_strength(counts: DataFrame) -> DataFrame:
     )
 
 
-def host_reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(hosts: DataFrame, z: float = Z, suffixes: str = SUFFIX_PATTERN) -> DataFrame:
     """Posterior of the good rate per host from counts ``host, n, good`` (n may be 0).
 
-    Returns host, mean, bound. Empty input gives no rows.
+    ``suffixes`` is the pattern of two-label public suffixes; the default knows country
+    registries and some hosting domains, a full public suffix list may be given as
+    alternatives. Ports and user names are no part of domain and suffix. Returns host,
+    mean, bound. Empty input gives no rows.
     """
-    named = hosts.select("host", "n", "good", suffix_of(F.col("host")).alias("suffix"), domain_of(F.col("host")).alias("domain"))
+    named = hosts.select("host", "n", "good", suffix_of(F.col("host"), suffixes).alias("suffix"), domain_of(F.col("host"), suffixes).alias("domain"))
     domains = named.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
 
@@ -118,7 +132,7 @@ def host_reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
     return low.select("host", F.round("mean", 12).alias("mean"), F.round(F.col("mean") - z * sd, 12).alias("bound"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = LEAST, z: float = Z) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = LEAST, z: float = Z, suffixes: str = SUFFIX_PATTERN) -> DataFrame:
     """Verdict for every row of ``pages`` (page_id, url).
 
     ``outcomes`` (host, good 0/1) are labelled pages; null outcomes do not count. A null
@@ -129,7 +143,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float
     seen = parsed.groupBy("host").agg(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("good"))
     counted = outcomes.filter("good is not null and host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
     hosts = cut(seen.unionByName(counted).groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
-    judged = parsed.join(host_reputation(hosts, z), "host", "left")
+    judged = parsed.join(host_reputation(hosts, z, suffixes), "host", "left")
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") >= least, "allow").otherwise("block")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, own).alias("verdict"), "bound")
@@ -152,7 +166,6 @@ _FITS = "\n".join(
     f"    when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{a}|{h + p}'"
     for a, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
 )
-_TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
 
 
 def _strength_sql(source: str) -> str:
@@ -179,8 +192,9 @@ outcome as (
   join (select doc_id, max(quality) as good from labels where doc_id is not null and quality is not null group by doc_id) l using (doc_id)),
 hosts as (
   select p.host, coalesce(any_value(o.n), 0) as n, coalesce(any_value(o.good), 0) as good,
-    case when regexp_extract(p.host, '([^.]*\\.)?[^.]*$') in ({_TWO}) then regexp_extract(p.host, '([^.]*\\.)?[^.]*$') else regexp_extract(p.host, '[^.]*$') end as suffix,
-    case when regexp_extract(p.host, '([^.]*\\.)?[^.]*$') in ({_TWO}) then regexp_extract(p.host, '([^.]*\\.)?([^.]*\\.)?[^.]*$') else regexp_extract(p.host, '([^.]*\\.)?[^.]*$') end as domain
+    regexp_extract(p.host, '{NAME}', 1) as bare, regexp_extract(bare, '([^.]*\\.)?[^.]*$') as two, regexp_matches(two, '{SUFFIX_PATTERN}') as public,
+    case when public then two else regexp_extract(two, '[^.]*$') end as suffix,
+    case when public then regexp_extract(bare, '([^.]*\\.)?([^.]*\\.)?[^.]*$') else two end as domain
   from parsed p left join (select host, count(*) as n, sum(good) as good from outcome group by host) o using (host) group by p.host),
 domains as (select domain, suffix, sum(n) as n, sum(good) as good from hosts group by domain, suffix),
 suffixes as (select suffix, sum(n) as n, sum(good) as good from domains group by suffix),
