@@ -18,7 +18,7 @@ from tidemetric.llm import langid as L
 from tidemetric.llm import line_dedup as N
 from tidemetric.llm import mixing as M
 from tidemetric.llm import quality_crf as Q
-from tidemetric.llm.common import table
+from tidemetric.llm.common import new_folder, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_lines string, score string"
 
@@ -206,6 +206,86 @@ def test_leaks_exact_edited_and_absent(spark):
     assert D.find_leaks(frame(spark, rows), spark.createDataFrame([(1, None)], "item_id long, text string")).count() == 0
 
 
+def edited_words(words, rate, rng):
+    out = []
+    for w in words:
+        x = rng.random()
+        if x < rate / 2:
+            out.append(f"new{rng.randrange(50)}")
+        elif x < 0.75 * rate:
+            out += [w, f"more{rng.randrange(50)}"]
+        elif x >= rate:
+            out.append(w)
+    return out
+
+
+def test_recall_by_rate_of_edits(spark, small):
+    """Against the alignment of all pairs, by rate of edits: substitutions, insertions, deletions."""
+    rng = random.Random(12)
+    items = [(r["item_id"], r["text"]) for r in table(spark, small, "benchmark").collect()]
+    around = [r["text"].split()[:60] for r in table(spark, small, "documents").filter("length(text) > 400").limit(100).collect()]
+    rates = [0.0, 0.1, 0.2, 0.3, 0.4]
+    rows, rate_of = [], {}
+    for rate in rates:
+        for _ in range(60):
+            doc = rng.choice(around)
+            text = doc[:20] + edited_words(rng.choice(items)[1].split(), rate, rng) + doc[20:]
+            rate_of[len(rows)] = rate
+            rows.append((len(rows), " ".join(text)))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    ids = {}
+    code = lambda text: np.array([ids.setdefault(w.lower(), len(ids)) for w in text.split()])
+    known = [(k, code(text)) for k, text in items]
+    found, there = dict.fromkeys(rates, 0), dict.fromkeys(rates, 0)
+    for doc_id, text in rows:
+        words = code(text)
+        score, _ = D.align([w for _, w in known], [words] * len(known))
+        for (k, w), s in zip(known, score, strict=True):
+            similarity = s / (D.MATCH * len(w))
+            if similarity >= D.LEAST:
+                there[rate_of[doc_id]] += 1
+                found[rate_of[doc_id]] += (doc_id, k) in got
+                assert (doc_id, k) not in got or got[doc_id, k] == pytest.approx(similarity, abs=1e-6)
+    recall = {r: found[r] / there[r] for r in rates if there[r]}
+    print("recall by rate of edits", recall, there)
+    assert all(v >= 0.9 for v in recall.values()) and recall[0.0] == recall[0.1] == 1.0
+
+
+def test_long_items_null_ids_and_ties(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    long_item, short, third = [[word() for _ in range(n)] for n in (20_000, 20, 27)]
+    noise = lambda n: [word() for _ in range(n)]
+    every_third = [("x" + w if i % 3 == 1 else w) for i, w in enumerate(third)]
+    items = [(1, " ".join(long_item)), (None, " ".join(short)), (3, " ".join(third))]
+    rows = [(1, " ".join(noise(3000) + short + noise(3000) + short + noise(50))), (2, " ".join(long_item[:15_000])), (None, " ".join(short)), (None, " ".join(noise(40))), (4, " ".join(every_third)), (5, " ".join(short + ["x"] + short))]
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["last_word"]) for r in D.find_leaks(docs, bench).collect()}
+    assert got == {(1, None): (1.0, 3019), (2, 1): (0.75, 14_999), (None, None): (1.0, 19), (5, None): (1.0, 19)}  # no three words of 4 are intact
+    widths = [len(r["words"]) for r in windows_of(spark, docs.filter("doc_id = 1"), bench)]
+    assert widths and max(widths) <= 20 + 4 * 40
+    text = {r["text"] for r in D.stage(spark, docs, FakeBench(spark, bench)).collect()}
+    assert text == {rows[3][1], rows[4][1]}
+
+
+def windows_of(spark, docs, bench):
+    known = bench.filter("text is not null").mapInArrow(D._item_words, "item_id long, words array<long>, grams array<long>")
+    seeds = known.select(D.reach_of(F.size("words"), D.LEAST).alias("reach"), F.explode("grams").alias("gram")).persist()
+    count = seeds.count()
+    shared = [spark.sparkContext.broadcast(x) for x in (D.bit_table(seeds, "gram", count), D.reach_table(seeds, count))]
+    own = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
+    return own.mapInArrow(D._windows(*shared), "wid long, doc_id long, body long, start long, words array<long>, grams array<long>").collect()
+
+
+class FakeBench(str):
+    """A folder that holds the given benchmark."""
+
+    def __new__(cls, spark, bench):
+        folder = new_folder(spark, "bench")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        return super().__new__(cls, folder)
+
+
 @pytest.mark.parametrize("whole", [0, 1])
 def test_leaks_of_many_equal_edited_and_cut_copies(spark, whole):
     rng = random.Random(9)

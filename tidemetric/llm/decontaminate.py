@@ -2,13 +2,16 @@
 
 1. Word n-grams of the test items are its seeds, each of them: a stretch of an item that
    many documents hold, whole or edited, keeps its seeds however common they are. They
-   go into a bounded bit table.
+   go into a bounded bit table, and the lengths of their items into a table of reaches.
 2. Documents are read once; around n-grams that the table lets through they send windows
-   of word hashes. Windows meet items by seed.
-3. Pairs that share ``LEAST_SEEDS`` are aligned where enough words of the item are in the
-   window at all; a pair counts from ``LEAST`` similarity on.
-
-Texts are never shuffled, and pairs grow with copies of items, not with their square.
+   of word hashes, as wide as an alignment with that seed's items can be: a long item
+   widens no other item's windows. Windows meet items by seed.
+3. Pairs are aligned where enough words of the item are in the window at all; a pair
+   counts from ``LEAST`` similarity on.
+
+An alignment of that similarity without one intact n-gram is not found; tests measure
+recall by rate of edits against the alignment of all pairs. Texts are never shuffled, and
+pairs grow with copies of items, not with their square.
 """
 
 from __future__ import annotations
@@ -28,8 +31,12 @@ from tidemetric.llm.words import fold_latin, mix, ngrams, text_buffers, words_of
 N = 3
 LEAST = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-LEAST_SEEDS = 2
-_BATCH = 64
+#: Slots of the table of reaches, at most.
+MOST_SLOTS = 1 << 22
+#: Probes of that table: other bits than those of the bit table, so that it tells most of its false hits.
+REACH_PROBES = (9, 28, 42)
+#: Cells that a step of the alignment holds at most, and pairs.
+_CELLS, _BATCH = 1 << 20, 64
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,39 +52,57 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _windows(bits, reach: int, least: int):
-    """Runs of words around ``least`` seeds or more: (wid, doc_id, start, words, grams)."""
+def reach_of(words, least: float):
+    """How far a word of an alignment can be from a seed: an item's words and the insertions that ``least`` leaves room for."""
+    return words + F.floor(2 * (1 - least) * words)
+
+
+def reach_table(seeds: DataFrame, count: int) -> np.ndarray:
+    """Per slot the largest reach of the seeds with a probe there; the least of a seed's slots is its reach, or more."""
+    slots = 1 << 16
+    while slots < min(32 * count, MOST_SLOTS):
+        slots *= 2
+    slot = F.explode(F.array(*[F.shiftrightunsigned("gram", p).bitwiseAND(F.lit(slots - 1)) for p in REACH_PROBES])).alias("slot")
+    merged = seeds.select("reach", slot).groupBy("slot").agg(F.max("reach").cast("long").alias("reach")).toArrow()  # a row a slot at most
+    out = np.zeros(slots, np.int64)
+    out[merged["slot"].to_numpy()] = merged["reach"].to_numpy()
+    return out
+
+
+def seed_reach(reaches: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    return np.min([reaches[(grams >> np.uint64(p)).astype(np.int64) & (len(reaches) - 1)] for p in REACH_PROBES], axis=0)
+
+
+def _windows(bits, reaches):
+    """Runs of words around seeds: (wid, doc_id, body, start, words, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, bodies = batch.column("doc_id"), batch.column("body").to_numpy(zero_copy_only=False)
             for first, data, offsets in text_buffers(batch.column("text"), 1 << 20):
                 row, _, _, hashes = words_of(fold_latin(data), offsets)
                 at, grams = ngrams(row, hashes, N)
                 keep = np.flatnonzero(has_bit(bits.value, grams))
                 if not len(keep):
                     continue
-                at, grams = at[keep], grams[keep].view(np.int64)
-                who = row[at]
-                begin = np.searchsorted(row, np.arange(len(offsets)))
-                cuts = np.flatnonzero((who[1:] != who[:-1]) | (at[1:] - at[:-1] > reach)) + 1
+                reach = seed_reach(reaches.value, grams[keep])
+                keep, reach = keep[reach > 0], reach[reach > 0]
+                if not len(keep):
+                    continue
+                at, grams = at[keep], grams[keep]
+                who, begin = row[at], np.searchsorted(row, np.arange(len(offsets)))
+                low, high = np.maximum(at - reach, begin[who]), np.minimum(at + N + reach, begin[who + 1])
+                cuts = np.flatnonzero(low[1:] > np.maximum.accumulate(high)[:-1]) + 1
+                cuts = np.union1d(cuts, np.flatnonzero(who[1:] != who[:-1]) + 1)
                 out = []
                 for part in np.split(np.arange(len(at)), cuts):
-                    seeds = np.unique(grams[part])
-                    if len(seeds) < least:
-                        continue
-                    r = int(who[part[0]])
-                    low, high = max(int(at[part[0]]) - reach, int(begin[r])), min(int(at[part[-1]]) + N + reach, int(begin[r + 1]))
-                    doc = ids[first + r].as_py()
-                    words = hashes[low:high]
-                    own = np.array([doc or 0, doc is None, low - begin[r], len(words)], np.int64).view(np.uint64)
+                    r, left, right = int(who[part[0]]), int(low[part].min()), int(high[part].max())
+                    doc, words = ids[first + r].as_py(), hashes[left:right]
+                    own = np.array([doc or 0, doc is None, left - begin[r], len(words), bodies[first + r]], np.int64).view(np.uint64)
                     wid = mix(np.concatenate([own, words])).sum(keepdims=True) ^ mix(own[:1] * np.uint64(31) + own[2:3])
-                    out.append((int(wid.view(np.int64)[0]), doc, int(low - begin[r]), words.view(np.int64).tolist(), seeds.tolist()))
-                if not out:
-                    continue
-                columns = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["wid", "doc_id", "start", "words", "grams"])
+                    out.append((int(wid.view(np.int64)[0]), doc, int(bodies[first + r]), int(left - begin[r]), words.view(np.int64).tolist(), np.unique(grams[part].view(np.int64)).tolist()))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["wid", "doc_id", "body", "start", "words", "grams"])
 
     return run
 
@@ -110,6 +135,20 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, where
 
 
+def _runs(lengths: np.ndarray) -> Iterator[slice]:
+    """Runs of rising lengths whose padded cells stay within ``_CELLS``."""
+    at = 0
+    while at < len(lengths):
+        stop = at + 1
+        while stop < len(lengths) and stop - at < _BATCH and (stop + 1 - at) * lengths[stop] <= _CELLS:
+            stop += 1
+        yield slice(at, stop)
+        at = stop
+
+
+_PAIRS = "doc_id long, body long, item_id long, similarity double, last_word long"
+
+
 def _aligned(least: float):
     """Alignments of pairs that can reach ``least``: no more words match than the window holds of the item's."""
 
@@ -118,38 +157,45 @@ def _aligned(least: float):
             can = [np.isin(item, words).sum() >= least * len(item) for item, words in zip(batch["item_words"], batch["words"], strict=True)]
             batch = batch[np.array(can, bool)]
             batch = batch.iloc[np.argsort(batch["words"].map(len).to_numpy(), kind="stable")]
-            for at in range(0, len(batch), _BATCH):
-                part = batch.iloc[at : at + _BATCH]
+            for some in _runs(batch["words"].map(len).to_numpy()):
+                part = batch.iloc[some]
                 items = [np.asarray(x) for x in part["item_words"]]
                 score, where = align(items, [np.asarray(x) for x in part["words"]])
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "item_id": part["item_id"].astype("Int64"), "similarity": score / (MATCH * np.array([len(x) for x in items])), "last_word": part["start"].to_numpy() + where})
+                similarity = score / (MATCH * np.array([len(x) for x in items]))
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "body": part["body"], "item_id": part["item_id"].astype("Int64"), "similarity": similarity, "last_word": part["start"].to_numpy() + where})[similarity >= least]
 
     return run
 
 
+def alignments(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
+    """(doc_id, body, item_id, similarity, last_word) of every window that aligns with an item; body is ``xxhash64(text)``."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text")
+    read = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").mapInArrow(_item_words, "item_id long, words array<long>, grams array<long>")
+    known = cut(read.filter(F.size("grams") > 0).withColumn("item", F.monotonically_increasing_id()))
+    total = known.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
+    if not total:
+        return spark.createDataFrame([], _PAIRS)
+    seeds = cut(known.select("item", reach_of(F.size("words"), least).alias("reach"), F.explode("grams").alias("gram")))
+    bits, reaches = spark.sparkContext.broadcast(bit_table(seeds, "gram", total)), spark.sparkContext.broadcast(reach_table(seeds, total))
+    windows = stored(own.mapInArrow(_windows(bits, reaches), "wid long, doc_id long, body long, start long, words array<long>, grams array<long>"), "windows")
+    met = windows.select("wid", F.explode("grams").alias("gram")).join(seeds.select("item", "gram"), "gram").select("wid", "item").distinct()
+    pairs = met.join(known.select("item", "item_id", F.col("words").alias("item_words")), "item").join(windows.drop("grams"), "wid")
+    return pairs.select("doc_id", "body", "item_id", "start", "words", "item_words").mapInPandas(_aligned(least), _PAIRS)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, similarity, last_word): best alignment of each test item in each document.
 
     ``docs`` has doc_id and text, ``items`` has item_id and text. Similarity is the local
     alignment score over that of the item with itself; ``last_word`` is the position of the
-    alignment's last word. Null and empty texts match nothing, nor do items of fewer than
-    three words. Rows that repeat an id are one document, or item. Whole texts are read.
+    alignment's last word, the first of them where alignments tie. Null and empty texts
+    match nothing, nor do items of fewer than three words. Rows that repeat an id are one
+    document, or item, and so are those whose id is null. Whole texts are read, and items
+    of any length.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = cut(items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").mapInArrow(_item_words, "item_id long, words array<long>, grams array<long>").filter(F.size("grams") > 0))
-    sizes = known.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)), F.coalesce(F.max(F.size("words")), F.lit(0)), F.coalesce(F.min(F.size("grams")), F.lit(0))).first()
-    if not sizes[0]:
-        return spark.createDataFrame([], "doc_id long, item_id long, similarity double, last_word long")
-    seeds = cut(known.select("item_id", F.explode("grams").alias("gram")))
-    found = spark.sparkContext.broadcast(bit_table(seeds, "gram", sizes[0]))
-    windows = stored(own.mapInArrow(_windows(found, int(sizes[1]), min(LEAST_SEEDS, int(sizes[2]))), "wid long, doc_id long, start long, words array<long>, grams array<long>"), "windows")
-    met = windows.select("wid", F.explode("grams").alias("gram")).distinct().join(seeds, "gram").groupBy("wid", "item_id").agg(F.count("*").alias("seeds"))
-    short = known.select("item_id", F.col("words").alias("item_words"), F.least(F.lit(LEAST_SEEDS), F.size("grams")).alias("least"))
-    pairs = met.join(short, "item_id").filter("seeds >= least").join(windows.drop("grams"), "wid")
-    aligned = pairs.select("doc_id", "item_id", "start", "words", "item_words").mapInPandas(_aligned(least), "doc_id long, item_id long, similarity double, last_word long")
-    good = aligned.filter(F.col("similarity") >= least)
+    good = alignments(docs, items, least)
     return good.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("last_word")).alias("minus"))).alias("best")).select("doc_id", "item_id", F.round("best.similarity", 6).alias("similarity"), (-F.col("best.minus")).alias("last_word"))
 
 
@@ -158,6 +204,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a passage of the benchmark."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti")
+    """Pipeline stage: documents without a passage of the benchmark.
+
+    Each row is judged by its own text: of rows that repeat an id, or have none, those go
+    whose text holds a passage.
+    """
+    leaks = alignments(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__doc"), F.col("body").alias("__body")).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__body")), "left_anti")
