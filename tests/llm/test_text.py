@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,68 @@ def test_quality_edge_texts(spark):
     assert {r["score"] for r in Q.score_quality(docs, None).collect()} == {1.0}
 
 
+def plain_features(text):
+    """The 16 own features of each line, word by word."""
+    kind = lambda b: "u" if 65 <= b <= 90 else "l" if 97 <= b <= 122 else "d" if 48 <= b <= 57 else "s" if b in b".,;:?'\"()-" else " " if b < 0x21 else "h" if b >= 0x80 else "y"
+    lines = text.encode().split(b"\n")
+    words = [[w for w in re.split(rb"[\x20\x09-\x0D]+", line) if w] for line in lines]
+    folded = [[w.lower() for w in ws] for ws in words]
+    flat = [(i, w) for i, ws in enumerate(folded) for w in ws]
+    seen, echo = set(), [0] * len(lines)
+    for a, b, c in zip(flat, flat[1:], flat[2:], strict=False):
+        echo[a[0]] += (a[1], b[1], c[1]) in seen
+        seen.add((a[1], b[1], c[1]))
+    out = []
+    for i, line in enumerate(lines):
+        n = {k: sum(kind(b) == k for b in line) for k in "ulds yh"}
+        letters = n["u"] + n["l"] + n["h"]
+        solid, each, ws = max(letters + n["d"] + n["s"] + n["y"], 1), max(len(words[i]), 1), words[i]
+        out.append([
+            np.log1p(len(line)), np.log1p(len(ws)), min(solid / each, 40) / 10, letters / solid, n["u"] / max(n["u"] + n["l"], 1), n["d"] / solid, n["s"] / solid, n["y"] / solid,
+            sum(not any(kind(b) in "ulh" for b in w) for w in ws) / each, sum(kind(w[-1]) == "y" for w in ws) / each,
+            sum(x == y for x, y in zip(folded[i], folded[i][1:], strict=False)) / each, (len(ws) - len(set(folded[i]))) / each,
+            echo[i] / each, float(len(line) > 0 and kind(line[-1]) == "s"), float(i == 0), float(not line),
+        ])
+    return np.array(out), [len(x) + 1 for x in lines]
+
+
+def test_scores_equal_the_plain_computation(spark, tiny, monkeypatch):
+    """Features, forward-backward and document score against enumeration of all labellings."""
+    docs = table(spark, tiny, "documents")
+    field = Q.train_field(docs, table(spark, tiny, "labels"))
+    texts = [r["text"] for r in docs.limit(30).collect() if r["text"]] + ["", "\n", "ÉCOLE école\n\nA a a. 1 2 !x! a a a\n  \ta", "No end\n"]
+    texts = ["\n".join(t.split("\n")[:7]) for t in texts]
+    monkeypatch.setattr(Q, "BLOCK", 7)
+    got = Q.batch_scores(pa.array(texts), field)
+    for text, score in zip(texts, got, strict=True):
+        own, lengths = plain_features(text)
+        none = np.zeros(Q.NEIGHBOUR)
+        full = np.array([np.concatenate([own[i], own[i - 1][: Q.NEIGHBOUR] if i else none, own[i + 1][: Q.NEIGHBOUR] if i + 1 < len(own) else none, [1.0]]) for i in range(len(own))])
+        u = np.clip(np.clip((full - field.mean) / field.scale, -5, 5) @ field.weights, -30, 30)
+        p, total = np.zeros(len(u)), 0.0
+        for y in itertools.product([0, 1], repeat=len(u)):
+            w = np.exp(sum(u[t] * y[t] for t in range(len(u))) + sum(field.pairs[y[t], y[t + 1]] for t in range(len(u) - 1)))
+            p, total = p + w * np.array(y), total + w
+        assert score == pytest.approx(np.dot(p / total, lengths) / sum(lengths), abs=1e-9)
+
+
+def test_sample_is_bounded_and_repeats(spark, monkeypatch):
+    docs = frame(spark, [(i, f"line {i} of a text\n" * 20, None, None) for i in range(200)] + [(7, "z" * 50, None, None)] * 500)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    sizes = []
+    fit = Q.fit_field
+    monkeypatch.setattr(Q, "fit_field", lambda x, *rest: sizes.append(len(x)) or fit(x, *rest))
+    monkeypatch.setattr(Q, "TRAIN_ALL_LINES", 400)
+    one, two = Q.train_field(docs, labels), Q.train_field(docs.orderBy(F.desc("doc_id")).repartition(7), labels)
+    assert 350 < sizes[0] == sizes[1] <= 400 and np.array_equal(one.weights, two.weights)
+
+
+def test_very_long_text_of_short_lines(spark):
+    field = Q.ChainField(np.zeros(Q.WIDTH), np.ones(Q.WIDTH), np.full(Q.WIDTH, 0.1), np.eye(2))
+    got = Q.score_quality(frame(spark, [(1, "a b.\n" * 400_000)]), field).collect()
+    assert 0 <= got[0]["score"] <= 1
+
+
 # --- 6: lines
 
 
@@ -162,6 +225,13 @@ def test_lines_equal_brute_force(spark):
     assert N.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_lines_of_hot_ids_and_long_texts(spark):
+    shared, long_text = "a line that everybody has", "\n".join(f"line {i % 50_000} of it" for i in range(200_000))
+    rows = [(None, f"{shared}\nown text of row {i}") for i in range(300)] + [(5, f"{shared}\nrow {i}") for i in range(300)] + [(2, long_text), (9, f"{shared}\n{long_text}")]
+    got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in N.dedup_lines(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == brute_lines(rows)
+
+
 def test_line_threshold(spark):
     rows = [(i, "a line that three documents hold\nown line " + "abcdefghij"[i] * 3) for i in range(3)]
     assert {r["n_dropped"] for r in N.dedup_lines(frame(spark, rows), min_docs=4).collect()} == {0}

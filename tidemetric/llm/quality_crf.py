@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemetric.llm.common import is_held_out, small_batches, table
+from tidemetric.llm.common import is_held_out, small_batches, stored, table
 from tidemetric.llm.words import ngrams, text_buffers, words_of
 
-#: Bounds of the training sample: documents (about, picked by a hash of the id), and lines of one document.
+#: Bounds of the training sample: documents (about, picked by a hash of the id), lines of one
+#: document, and lines of all, which bounds what the driver holds (180 bytes a line).
 TRAIN_DOCS = 4000
 TRAIN_LINES = 1000
+TRAIN_ALL_LINES = 200_000
 STEPS = 150
 RATE = 0.1
 RIDGE = 1e-4
@@ -34,6 +36,8 @@ THRESHOLD = 0.3
 NEIGHBOUR = 14
 OWN = 16
 WIDTH = OWN + 2 * NEIGHBOUR + 1
+#: Lines whose features, neighbours' included, are held at a time.
+BLOCK = 1 << 16
 
 _UPPER, _LOWER, _DIGIT, _SENTENCE, _SYMBOL, _SPACE, _HIGH = range(7)
 _CLASS = np.full(256, _SYMBOL, np.uint8)
@@ -66,25 +70,27 @@ def _seen_before(keys: np.ndarray) -> np.ndarray:
 
 
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, length, features) of every line of the rows in ``data``."""
+    """(row, length, own features) of every line of the rows in ``data``; counts are held for one kind of byte at a time."""
     row, start, end = line_bounds(data, offsets)
     lines = len(row)
     kinds = _CLASS[data]
     size = (end - start).astype(float)
-    sums = []
-    for kind in range(_HIGH + 1):
-        total = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(kinds == kind, out=total[1:])
-        sums.append(total)
-    upper, lower, digit, sentence, symbol, _, high = ((s[end] - s[start]).astype(float) for s in sums)
     wrow, ws, we, wh = words_of(data, offsets)
     wline = np.searchsorted(start, ws, "right") - 1
+    counts, in_word = [], np.zeros(len(ws), np.int32)
+    total = np.zeros(len(data) + 1, np.int32)
+    for kind in range(_HIGH + 1):
+        np.cumsum(kinds == kind, out=total[1:])
+        counts.append((total[end] - total[start]).astype(float))
+        if kind in (_UPPER, _LOWER, _HIGH):
+            in_word += total[we] - total[ws]
+    upper, lower, digit, sentence, symbol, _, high = counts
 
     def per_line(mask) -> np.ndarray:
         return np.bincount(wline[mask], minlength=lines).astype(float)
 
     words = np.bincount(wline, minlength=lines).astype(float)
-    bare = (sums[_UPPER][we] + sums[_LOWER][we] + sums[_HIGH][we]) == (sums[_UPPER][ws] + sums[_LOWER][ws] + sums[_HIGH][ws])
+    bare = in_word == 0
     marked = kinds[we - 1] == _SYMBOL if len(we) else np.zeros(0, bool)
     again = np.zeros(len(wh), bool)
     again[1:] = (wh[1:] == wh[:-1]) & (wline[1:] == wline[:-1])
@@ -104,10 +110,19 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         np.bincount(wline[at][echoed], minlength=lines) / each, closes,
         np.append(True, row[1:] != row[:-1])[:lines], size == 0,
     ])
-    before, after = np.zeros((lines, NEIGHBOUR)), np.zeros((lines, NEIGHBOUR))
-    same = (row[1:] == row[:-1])[:, None]
-    before[1:], after[:-1] = own[:-1, :NEIGHBOUR] * same, own[1:, :NEIGHBOUR] * same
-    return row, size + 1, np.hstack([own, before, after, np.ones((lines, 1))])
+    return row, size + 1, own
+
+
+def with_neighbours(row: np.ndarray, own: np.ndarray, low: int, high: int) -> np.ndarray:
+    """All features of the lines ``low`` to ``high``: their own, those of the lines before and after, and 1."""
+    n = high - low
+    out = np.zeros((n, WIDTH))
+    out[:, :OWN], out[:, -1] = own[low:high], 1.0
+    at = np.arange(max(low, 1), high)
+    out[at - low, OWN : OWN + NEIGHBOUR] = own[at - 1, :NEIGHBOUR] * (row[at - 1] == row[at])[:, None]
+    at = np.arange(low, min(high, len(row) - 1))
+    out[at - low, OWN + NEIGHBOUR : -1] = own[at + 1, :NEIGHBOUR] * (row[at + 1] == row[at])[:, None]
+    return out
 
 
 @dataclass
@@ -119,8 +134,12 @@ class ChainField:
     weights: np.ndarray
     pairs: np.ndarray
 
-    def unary(self, features: np.ndarray) -> np.ndarray:
-        return np.clip((features - self.mean) / self.scale, -5, 5) @ self.weights
+    def unary(self, row: np.ndarray, own: np.ndarray) -> np.ndarray:
+        out = np.empty(len(row))
+        for low in range(0, len(row), BLOCK):
+            high = min(low + BLOCK, len(row))
+            out[low:high] = np.clip((with_neighbours(row, own, low, high) - self.mean) / self.scale, -5, 5) @ self.weights
+        return out
 
 
 def forward_backward(unary: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,29 +200,35 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = batch.column("quality").to_numpy(zero_copy_only=False)
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for first, data, offsets in text_buffers(batch.column("text"), 1 << 19):
-            row, _, features = line_features(data, offsets)
+            row, _, own = line_features(data, offsets)
             lengths = np.bincount(row, minlength=len(offsets) - 1)
             for r, end in enumerate(np.cumsum(lengths)):
                 if lengths[r] <= TRAIN_LINES:
-                    rows = features[end - lengths[r] : end].astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(ids[first + r])]), pa.array([int(marks[first + r])], pa.int32()), pa.array([rows.tobytes()])], ["doc_id", "quality", "features"])
+                    rows = with_neighbours(row, own, end - lengths[r], end).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(ids[first + r])]), pa.array([int(marks[first + r])], pa.int32()), pa.array([int(lengths[r])]), pa.array([rows.tobytes()])], ["doc_id", "quality", "lines", "features"])
 
 
 def train_field(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> ChainField | None:
     """Fit on (doc_id, text) ⋈ (doc_id, quality); None where no label is known.
 
-    Rows with a null id, text or label teach nothing. Only ``quality`` is read of the labels.
+    Rows with a null id, text or label teach nothing; of rows that repeat an id one text
+    does. Only ``quality`` is read of the labels. Documents come in order of a hash of
+    their id until the sample holds ``TRAIN_ALL_LINES`` lines, so reruns agree.
     """
     small_batches(docs.sparkSession)
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     total = known.count()
     if not total:
         return None
-    picked = known.filter(F.pmod(F.xxhash64(F.lit("crf"), "doc_id"), F.lit(1_000_000)) < int(min(1.0, train_docs / total) * 1_000_000))
-    joined = docs.filter("text is not null").select("doc_id", "text").join(picked, "doc_id")
-    rows = joined.mapInArrow(_sampled, "doc_id long, quality int, features binary").limit(2 * train_docs).toArrow().to_pandas().sort_values("doc_id", kind="stable")
-    if not len(rows):
+    place = F.pmod(F.xxhash64(F.lit("crf"), "doc_id"), F.lit(1 << 40))
+    picked = known.filter(place < int(min(1.0, train_docs / total) * (1 << 40)))
+    joined = docs.filter("text is not null").select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    sample = stored(joined.mapInArrow(_sampled, "doc_id long, quality int, lines long, features binary"), "sample").withColumn("place", place)
+    sizes = sample.select("place", "lines").toArrow().to_pandas().sort_values("place")  # a row for each of about ``train_docs`` documents
+    taken = sizes["place"][sizes["lines"].cumsum() <= TRAIN_ALL_LINES]
+    if not len(taken):
         return None
+    rows = sample.filter(F.col("place") <= int(taken.iloc[-1])).toArrow().to_pandas().sort_values("place")
     parts = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in rows["features"]]
     lengths = np.array([len(p) for p in parts])
     return fit_field(np.vstack(parts).astype(float), np.repeat(rows["quality"].to_numpy(), lengths), np.cumsum(lengths) - lengths, lengths)
@@ -215,9 +240,9 @@ def batch_scores(column: pa.Array, field: ChainField | None) -> np.ndarray:
     if field is None:
         return out
     for first, data, offsets in text_buffers(column, 1 << 19):
-        row, length, features = line_features(data, offsets)
+        row, length, own = line_features(data, offsets)
         lines = np.bincount(row, minlength=len(offsets) - 1)
-        good, _ = forward_backward(field.unary(features), np.cumsum(lines) - lines, lines, field.pairs)
+        good, _ = forward_backward(field.unary(row, own), np.cumsum(lines) - lines, lines, field.pairs)
         out[first : first + len(lines)] = np.bincount(row, good * length) / np.bincount(row, length)
     return np.clip(out, 0.0, 1.0)
 
