@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidemetric.llm import bits
 from tidemetric.llm import ngram_join as J
 from tidemetric.llm import topk as K
 from tidemetric.llm.words import shingle_sets, text_buffers, words_of
@@ -120,13 +122,94 @@ def test_empty_table(spark):
 
 
 def test_boundary_follows_cost():
-    assert J.choose_boundary({}) == 0
-    many_small = J.choose_boundary({n: 1000 for n in range(1, 10)})
-    assert many_small >= 9  # sets under ten shingles need almost no keys
-    assert J.choose_boundary({24: 10**6}) < 24  # their subsets would cost more than their lists
+    assert J.choose_boundary({}, {}) == 0
+    sizes = dict.fromkeys(range(1, 25), 1000)
+    assert J.choose_boundary(sizes, dict.fromkeys(sizes, 2_000.0)) < 12  # short lists
+    assert J.choose_boundary(sizes, dict.fromkeys(sizes, 1e5)) > 12  # long ones
+    assert J.choose_boundary({24: 10**6}, {24: 2e6}) < 24  # their subsets would cost more than their lists
     assert J.key_count(9, 24, 90) == 1 and J.key_count(19, 24, 90) == 20
 
 
+def test_both_halves_work_at_the_setting_of_the_query(spark, monkeypatch):
+    """Small sets of common shingles enumerate subsets, large ones scan lists, and both meet at the boundary."""
+    rng = random.Random(4)
+    phrases = [" ".join(f"p{k}{j}" for j in range(3)) for k in range(5)]
+    texts = [" ".join(rng.choice(phrases) for _ in range(rng.choice([4, 4, 5]))) for _ in range(500)]
+    texts += [f"{t} {rng.choice('xyz')}" for t in texts[:200]]
+    for k in range(30):
+        base = [f"w{k}{rng.randrange(400)}" for _ in range(80)]
+        texts += [" ".join(base), " ".join([*base[:40], "changed", *base[41:]]), " ".join(base + ["more"])]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    boundaries = []
+    light = J._light
+    monkeypatch.setattr(J, "_light", lambda boundary, percent: boundaries.append(boundary) or light(boundary, percent))
+    buckets = J.candidate_buckets(J.read_sets(df, 3, 90), 90).groupBy((F.col("n") <= 24).alias("small")).count().collect()
+    members = {r["small"]: r["count"] for r in buckets}
+    print("boundary", boundaries, "members of shared buckets: light, heavy", members)
+    assert boundaries[0] >= 11 and J.key_count(11, boundaries[0], 90) > 11
+    assert members[True] > 100 and members[False] > 100
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(df).collect()), key=str)
+    assert got == brute_components(rows, 3, 90)
+
+
+def pages_of_lines(n, seed):
+    rng = random.Random(seed)
+    lines = [" ".join(f"l{k}w{j}" for j in range(10)) for k in range(40)]
+    return [(i, " ".join(rng.sample(lines, 10))) for i in range(n)]
+
+
+def test_pairs_of_a_template_corpus_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(J, "DENSE", 4)
+    tried = []
+    verified = J._verified
+    monkeypatch.setattr(J, "_verified", lambda pairs, *rest: tried.append(pairs.count()) or verified(pairs, *rest))
+    counts = []
+    for n in (800, 1600):
+        tried.clear()
+        rows = pages_of_lines(n, 1)
+        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+        counts.append(sum(tried))
+        assert n > 1000 or got == brute_components(rows, 3, 90)
+    print("pairs verified", counts)
+    assert counts[1] < 2.6 * counts[0]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_dense_buckets_are_split_without_loss(spark, monkeypatch, percent):
+    monkeypatch.setattr(J, "DENSE", 3)
+    monkeypatch.setattr(bits, "MOST_BITS", 1 << 16)
+    rng = random.Random(5)
+    rows = pages_of_lines(120, 2)
+    for i, text in list(rows):
+        copy = text.split()
+        for _ in range(rng.randrange(1, 5)):
+            copy[rng.randrange(len(copy))] = f"new{rng.randrange(3)}"
+        rows.append((1000 + i, " ".join(copy)))
+        rows.append((2000 + i, " ".join(copy[: rng.randrange(80, 100)])))
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, percent).collect()), key=str)
+    assert got == brute_components(rows, 3, percent)
+
+
+def test_linked_sets_share_a_segment():
+    rng = np.random.default_rng(3)
+    for percent in (80, 90):
+        for _ in range(400):
+            n = int(rng.integers(1, 200))
+            a = rng.integers(-(2**62), 2**62, n)
+            b = np.concatenate([a[int(rng.integers(0, n // 8 + 1)) :], rng.integers(-(2**62), 2**62, int(rng.integers(0, n // 8 + 2)))])
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= percent * (len(a) + len(b) - common):
+                assert np.intersect1d(J.segment_keys(np.unique(a), percent), J.segment_keys(np.unique(b), percent)).size
+
+
+def test_long_text_and_hot_copies(spark):
+    long_text = " ".join(f"w{i % 70_000}x{i % 11}" for i in range(300_000))
+    rows = [(i, "the same short text in very many rows") for i in range(500)] + [(900, long_text), (901, long_text + " end"), (902, None)] + [(None, "the same short text in very many rows")] * 50
+    got = sorted(((r["doc_id"], r["component_id"]) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(i, 0) for i in range(500)] + [(900, 900), (901, 900), (902, 902)] + [(None, 0)] * 50, key=str)
+
+
 def test_words_do_not_depend_on_slabs(monkeypatch):
     from tidemetric.llm import words as W
 

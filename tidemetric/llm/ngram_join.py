@@ -8,21 +8,26 @@ Documents with equal shingle sets are one class; everything below works on class
 * **Heavy** sets scan inverted lists of their shingles, rarest first: as only a set's
   first ``n - ceil(t n) + 1`` shingles need lists, and a shingle at positions i and j
   leaves an overlap of ``min(n - i, m - j)`` at most, few pairs remain.
-* The boundary is the size at which the summed cost of keys (light) and of lists (heavy)
-  is least, from the sizes of all documents.
-
-How rare a shingle is comes from all documents: tasks pack their distinct shingles by hash
-range, a range is counted in one group, and shingles in 2, 8, 64 and 1024 documents or
-more go into Bloom filters of bounded size. A shingle that the first filter denies is in no
-other document and needs no list; the rest are ordered by the filters they pass, then by
-hash. Any such order is exact, as long as all documents use the same; a full filter only
-makes lists longer. Thus passages that thousands of documents share come last in every
-set and hardly ever into a list, and shingles themselves are never exploded into rows.
-
-Large buckets (near copies) are not expanded into pairs. Each bucket links its members to
-one pivot, its most central member; components of these exact links follow. Then members
-are counted in cells of equal (size, position): cell pairs that cannot link, or that lie in
-one component already, are settled as cells. What is left is verified pair by pair.
+* The boundary is the size at which the cost of keys (light) and of lists (heavy) is
+  least. Keys are counted; a list costs its postings and the members that each of them
+  meets, as measured on the lists themselves. Small sets of common shingles have long
+  lists and become light; rare shingles make lists cheap and the boundary low.
+
+How rare a shingle is comes from all documents, at any size of the corpus: tasks send their
+shingles in packed form to hash ranges, a range counts them in one group and answers with
+the number of documents of each shingle that is in two or more. A shingle without an
+answer is in no other document and needs no list; the others are ordered by their number
+of documents. Thus passages that thousands of documents share come last in every set and
+hardly ever into a list, and shingles are never exploded into rows.
+
+Large buckets are not expanded into pairs. Each bucket links its members to one pivot, its
+most central member; components of these exact links follow, and buckets that lie in one
+component are settled. Members of other buckets of over ``DENSE`` members (documents that
+share common shingles without being alike) are dealt again by segments: shingles are
+hashed into one segment more than two linked sets can differ in, so linked sets agree
+on a whole segment. Cells of equal (size, position) sort out what remains, and only open
+pairs of small buckets are verified one by one. What is left quadratic is a family of
+documents that agree on whole segments, just below the bound, without a link.
 """
 
 from __future__ import annotations
@@ -34,23 +39,25 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemetric.llm.bits import bit_table, has_bit
-from tidemetric.llm.common import cut, small_batches, stored, table
+from tidemetric.llm.common import cut, join_by_key, small_batches, stored, table
 from tidemetric.llm.components import components
 from tidemetric.llm.words import mix, shingle_sets, text_buffers, words_of
 
 WORDS = 3
 PERCENT = 90
+#: Sizes for which keys are considered: beyond it subsets are always more than any list is worth.
 MOST_LIGHT = 24
-#: Cost of scanning the list of one shingle, in keys.
-LIST_COST = 4.0
-#: Documents that a shingle must be in for each of the filters.
-CLASSES = (2, 8, 64, 1024)
-#: Shingles a task holds before it packs them, and about how many a range counts in one group.
-FLUSH, RANGE_SHINGLES, MOST_RANGES = 1 << 21, 1 << 20, 1 << 24
+#: Members of a bucket whose pairs may be tried one by one.
+DENSE = 100
+#: Shingles and documents of a chunk that is sent at a time, and about how many shingles a range counts in one group.
+FLUSH, CHUNK_DOCS, RANGE_SHINGLES = 1 << 21, 60_000, 1 << 20
+#: About how many bytes of text make a shingle, to choose the number of ranges.
+SHINGLE_BYTES = 6
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -75,11 +82,15 @@ def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def choose_boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
-    """The boundary of least cost, from the number of documents of each size up to ``MOST_LIGHT``."""
+def choose_boundary(sizes: dict[int, int], list_costs: dict[int, float], percent: int = PERCENT) -> int:
+    """The boundary of least cost, from the number of sets and the summed cost of their lists per size.
+
+    Light sets that can link with heavy ones stay in lists as well, and cost both.
+    """
 
     def cost(boundary: int) -> float:
-        return sum(c * (key_count(n, boundary, percent) if n <= boundary else LIST_COST * prefix_length(n, percent)) for n, c in sizes.items())
+        keys = sum(c * key_count(n, boundary, percent) for n, c in sizes.items() if n <= boundary)
+        return keys + sum(c for n, c in list_costs.items() if 100 * n >= percent * (boundary + 1))
 
     return min(range(MOST_LIGHT + 1), key=lambda b: (cost(b), b))
 
@@ -110,113 +121,132 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, list[np.ndar
         yield first, shingle_sets(row, hashes, words, len(offsets) - 1)
 
 
-def _sized(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, sets in _sets(batch, words):
-                keys = pa.array([_set_key(s) for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(sets)), keys, pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "key", "n"])
-
-    return run
-
-
-def _packed(tokens: np.ndarray, counts: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
-    """Rows (range, tokens seen once, tokens seen more often, their counts); six bytes of a token."""
-    tokens, counts = tokens.view(np.uint64), counts.astype(np.uint32)
-    where = (tokens & np.uint64(0xFFFFFF)) * np.uint64(ranges) >> np.uint64(24)
-    order = np.argsort(where, kind="stable")
-    tokens, counts, where = tokens[order] >> np.uint64(16), counts[order], where[order]
-    cuts = np.flatnonzero(where[1:] != where[:-1]) + 1
-    rows = []
-    for low, high in zip([0, *cuts], [*cuts, len(where)], strict=True):
-        bits, n = tokens[low:high], counts[low:high]
-        six = np.ascontiguousarray(bits.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-        rows.append((int(where[low]), six[n == 1].tobytes(), six[n > 1].tobytes(), n[n > 1].tobytes()))
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "once", "more", "counts"])
+_SENT = "range long, chunk long, tokens binary, docs binary, ids binary, nulls binary, keys binary, sizes binary, fresh binary, small binary"
+_SENT_KINDS = [pa.int64(), pa.int64(), *[pa.binary()] * 8]
 
 
-def _spread(words: int, ranges: int):
-    """Distinct shingles of the task's documents with their number of documents, packed by range."""
+def _six(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            for _, sets in _sets(batch, words):
-                held += sets
-                size += sum(map(len, sets))
-                if size >= FLUSH:
-                    yield from _packed(*np.unique(np.concatenate(held), return_counts=True), ranges)
-                    held, size = [], 0
-        if size:
-            yield from _packed(*np.unique(np.concatenate(held), return_counts=True), ranges)
 
-    return run
-
-
-def _unpacked(blobs) -> np.ndarray:
+def _tokens(blobs) -> np.ndarray:
     raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, :6] = raw
     return out.view("<u8")[:, 0].astype(np.uint64)
 
 
-def _merged(group: pd.DataFrame) -> pd.DataFrame:
-    """(token, docs) of a range's shingles in two documents or more."""
-    tokens = np.concatenate([_unpacked(group["once"]), _unpacked(group["more"])])
-    counts = np.ones(len(tokens), np.int64)
-    repeated = np.frombuffer(b"".join(group["counts"]), np.uint32)
-    counts[len(tokens) - len(repeated) :] = repeated
-    names, at = np.unique(tokens, return_inverse=True)
-    docs = np.bincount(at, counts).astype(np.int64)
-    keep = docs > 1
-    return pd.DataFrame({"token": short_token(names[keep] << np.uint64(16)).view(np.int64), "docs": docs[keep]})
+def _chunk(chunk: int, ids: list, keys: list, fresh: list, sets: list, sizes: list, ranges: int) -> pa.RecordBatch:
+    """Rows of one chunk: its header, and per range the shingles of its fresh sets with their documents' positions."""
+    where = np.repeat(np.flatnonzero(fresh).astype(np.uint16), [len(s) for s in sets])
+    full = np.concatenate(sets).view(np.uint64) if sets else np.zeros(0, np.uint64)
+    tokens = full >> np.uint64(16)
+    place = ((full & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    tokens, where, place = tokens[order], where[order], place[order]
+    cuts = np.flatnonzero(place[1:] != place[:-1]) + 1
+    small = b"".join(s.tobytes() for s in sets if len(s) <= MOST_LIGHT)
+    rows = [(-1 - chunk, chunk, None, None, np.array([i or 0 for i in ids], np.int64).tobytes(), bytes(i is None for i in ids), b"".join(k or bytes(16) for k in keys), np.array(sizes, np.int64).tobytes(), bytes(fresh), small)]
+    if len(tokens):
+        rows += [(int(place[low]), chunk, _six(tokens[low:high]), where[low:high].tobytes(), *[None] * 6) for low, high in zip([0, *cuts], [*cuts, len(place)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _SENT_KINDS, strict=True)], [f.split()[0] for f in _SENT.split(", ")])
 
 
-def short_token(tokens: np.ndarray) -> np.ndarray:
-    """A shingle as the filters know it: its upper six bytes, mixed."""
-    return mix((tokens.view(np.uint64) >> np.uint64(16)) + np.uint64(0x51))
+def _sent(words: int, ranges: int):
+    """Chunks of the task's documents; a set is sent once a task, every document is in a header."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        seen: set[bytes] = set()
+        ids, keys, fresh, sets, sizes, held = [], [], [], [], [], 0
+        for batch in batches:
+            names = batch.column("doc_id").to_pylist()
+            for first, some in _sets(batch, words):
+                for r, s in enumerate(some):
+                    key = _set_key(s)
+                    ids.append(names[first + r])
+                    keys.append(key)
+                    sizes.append(len(s))
+                    fresh.append(key is not None and key not in seen)
+                    if fresh[-1]:
+                        seen.add(key)
+                        sets.append(s)
+                        held += len(s)
+                    if held >= FLUSH or len(ids) >= CHUNK_DOCS:
+                        yield _chunk(chunk, ids, keys, fresh, sets, sizes, ranges)
+                        chunk += 1
+                        ids, keys, fresh, sets, sizes, held = [], [], [], [], [], 0
+        if ids:
+            yield _chunk(chunk, ids, keys, fresh, sets, sizes, ranges)
 
-def ordered_prefix(shingles: np.ndarray, filters: list[np.ndarray], percent: int) -> tuple[int, np.ndarray]:
-    """(shingles that no other document has, those of the prefix that need lists, in the common order)."""
-    names = short_token(shingles)
-    common = np.zeros(len(shingles), np.int8)
-    for f in filters:
-        common += has_bit(f, names)
-    alone = int((common == 0).sum())
-    room = prefix_length(len(shingles), percent) - alone
-    if room <= 0:
-        return alone, shingles[:0]
-    shared = np.flatnonzero(common)
-    return alone, shingles[shared[np.lexsort((names[shared], common[shared]))[:room]]]
+    return run
 
 
-def _posted(filters, words: int, boundary: int, percent: int):
-    """(bucket, cid, n, at): inverted lists of prefixes, and light sets by subset; once a class and task."""
+_ANSWERS = "chunk long, tokens binary, docs binary, counts binary, ids binary, nulls binary, keys binary, sizes binary, fresh binary, small binary"
+
+
+def _answered(group: pd.DataFrame) -> pd.DataFrame:
+    """Of a range's shingles those in two documents or more, with their number of documents, back to each chunk."""
+    names = [f.split()[0] for f in _ANSWERS.split(", ")]
+    if group["range"].iloc[0] < 0:
+        return group.assign(counts=None)[names]
+    tokens = _tokens(group["tokens"])
+    _, at, docs = np.unique(tokens, return_inverse=True, return_counts=True)
+    counts = np.minimum(docs, 0xFFFF).astype(np.uint16)[at]
+    rows, low = [], 0
+    for chunk, blob in zip(group["chunk"], group["docs"], strict=True):
+        where = np.frombuffer(blob, np.uint16)
+        high = low + len(where)
+        keep = counts[low:high] > 1
+        rows.append((chunk, _six(tokens[low:high][keep]), where[keep].tobytes(), counts[low:high][keep].tobytes()))
+        low = high
+    return pd.DataFrame(rows, columns=names[:4]).reindex(columns=names).astype(object).where(lambda d: d.notna(), None).astype({"chunk": "int64"})
+
+
+_READ = "bucket long, cid long, n long, at long, doc_id long, key binary, small binary"
+
+
+def _read(percent: int):
+    """A chunk's documents (doc_id, key, n, cid, small) and the list postings (bucket, cid, n, at) of its sets."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        head = group[group["ids"].notna()].iloc[0]
+        ids, sizes, fresh = np.frombuffer(head["ids"], np.int64), np.frombuffer(head["sizes"], np.int64), np.frombuffer(head["fresh"], np.uint8) > 0
+        null = np.frombuffer(head["nulls"], np.uint8) > 0
+        raw = head["keys"]
+        keys = [raw[16 * i : 16 * i + 16] if n else None for i, n in enumerate(sizes)]
+        cids = np.array([_class_id(k) if k else 0 for k in keys], np.int64)
+        small, low = [], 0
+        for n, new in zip(sizes, fresh, strict=True):
+            has = new and n <= MOST_LIGHT
+            small.append(head["small"][low : low + 8 * n] if has else None)
+            low += 8 * int(n) if has else 0
+        base = pd.DataFrame({"bucket": None, "cid": cids, "n": sizes, "at": None, "doc_id": pd.array(ids, "Int64"), "key": keys, "small": small})
+        base.loc[null, "doc_id"] = pd.NA
+        parts = group[group["tokens"].notna()]
+        tokens = _tokens(parts["tokens"])
+        where, counts = np.frombuffer(b"".join(parts["docs"]), np.uint16), np.frombuffer(b"".join(parts["counts"]), np.uint16)
+        order = np.lexsort((tokens, counts, where))
+        tokens, where = tokens[order], where[order].astype(np.int64)
+        shared = np.bincount(where, minlength=len(sizes))
+        rank = np.arange(len(where)) - (np.cumsum(shared) - shared)[where]
+        at = (sizes - shared)[where] + rank
+        keep = at < prefix_length(sizes, percent)[where]
+        lists = pd.DataFrame({"bucket": mix(tokens[keep] + np.uint64(0x51)).view(np.int64), "cid": cids[where[keep]], "n": sizes[where[keep]], "at": at[keep]})
+        out = pd.concat([base.astype({"bucket": "Int64", "at": "Int64"}), lists.astype("Int64")])
+        return out[[f.split()[0] for f in _READ.split(", ")]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+    return run
+
+
+def _light(boundary: int, percent: int):
+    """(bucket, cid, n, at): subset keys of light sets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, sets in _sets(batch, words):
-                parts = []
-                for s in sets:
-                    key = _set_key(s)
-                    if key is None or key in seen:
-                        continue
-                    seen.add(key)
-                    cid, n = _class_id(key), len(s)
-                    if n <= boundary:
-                        light = np.array(subset_keys(s, boundary, percent), np.int64)
-                        parts.append((light, cid, n, np.zeros(len(light), np.int64)))
-                    if 100 * n >= percent * (boundary + 1):
-                        alone, listed = ordered_prefix(s, filters.value, percent)
-                        parts.append((listed, cid, n, np.arange(alone, alone + len(listed))))
-                sizes = [len(p[0]) for p in parts]
-                if sum(sizes):
-                    columns = [np.concatenate([p[0] for p in parts]), np.repeat(np.array([p[1] for p in parts], np.int64), sizes), np.repeat(np.array([p[2] for p in parts], np.int64), sizes), np.concatenate([p[3] for p in parts]).astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "cid", "n", "at"])
+            keys = [subset_keys(np.frombuffer(s, np.int64), boundary, percent) for s in batch["small"]]
+            many = [len(k) for k in keys]
+            yield pd.DataFrame({"bucket": np.array([x for k in keys for x in k], np.int64), "cid": np.repeat(batch["cid"].to_numpy(), many), "n": np.repeat(batch["n"].to_numpy(), many), "at": np.int64(0)})
 
     return run
 
@@ -259,28 +289,107 @@ def _pair(x: Column, y: Column) -> tuple[Column, Column]:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def class_links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect the classes in ``sets`` just as all links between them do."""
-    pivots = postings.groupBy("bucket").agg(F.min(F.struct("at", "n", "cid")).alias("pivot"), F.count("*").alias("members")).filter("members > 1")
-    met = postings.join(pivots, "bucket").filter(F.col("cid") != F.col("pivot.cid"))
+def size_class(n: int, percent: int) -> tuple[int, int, int]:
+    """(number of the size's class, largest size in it and below it): linked sets are of one class or of neighbours."""
+    number, low = 0, 1
+    while (after := 100 * low // percent + 1) <= n:
+        number, low = number + 1, after
+    return number, after - 1, low - 1
+
+
+def most_apart(n: int, percent: int) -> int:
+    """In how many shingles two linked sets can differ, the smaller of size ``n`` at most."""
+    return (n + 100 * n // percent) * (100 - percent) // (100 + percent)
+
+
+def segment_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the segments of a set, towards sets of its own size class or above, and of the class below."""
+    number, largest, below = size_class(len(shingles), percent)
+    tokens = shingles.view(np.uint64)
+    place, value = mix(tokens ^ np.uint64(0x5E61)), mix(tokens + np.uint64(0x7F))
+    out = []
+    for c, size in ((number, largest), (number - 1, below)):
+        parts = most_apart(size, percent) + 1
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, (place % np.uint64(parts)).astype(np.int64), value)
+        out.append(mix(sums + mix(np.arange(parts, dtype=np.uint64) + np.uint64((c + 1) << 32))).view(np.int64))
+    return np.concatenate(out)
+
+
+def _segments(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = [segment_keys(np.asarray(s, np.int64), percent) for s in batch["shingles"]]
+            many = [len(k) for k in keys]
+            yield pd.DataFrame({"bucket": np.concatenate(keys), "cid": np.repeat(batch["cid"].to_numpy(), many), "n": np.repeat(batch["n"].to_numpy(), many), "at": np.int64(0)})
+
+    return run
+
+
+def shared_buckets(postings: DataFrame) -> DataFrame:
+    """Stored postings of buckets with two members or more, with ``members``."""
+    full = cut(postings.groupBy("bucket").agg(F.count("*").alias("rows_of_key")).filter("rows_of_key > 1").withColumn("members", F.col("rows_of_key")))
+    return stored(join_by_key(postings, full, "bucket", postings.count()), "lists")
+
+
+def class_links(postings: DataFrame, sets: DataFrame, percent: int, split: bool = True) -> DataFrame:
+    """Links that connect the classes in ``sets`` just as all links between them do.
+
+    ``postings`` are stored (bucket, cid, n, at, members). With ``split``, members of open
+    buckets of more than ``DENSE`` are dealt again by segments.
+    """
+    pivots = cut(postings.groupBy("bucket").agg(F.min(F.struct("at", "n", "cid")).alias("pivot"), F.count("*").alias("rows_of_key")))
+    met = join_by_key(postings, pivots, "bucket", postings.count()).filter(F.col("cid") != F.col("pivot.cid"))
     spokes = cut(met.filter(_reachable(F.col("n"), F.col("at"), F.col("pivot.n"), F.col("pivot.at"), percent)).select(*_pair(F.col("cid"), F.col("pivot.cid"))).distinct())
     links = _verified(spokes, sets, percent)
     roots = components(links)
 
-    named = postings.join(roots, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "n", "at", F.coalesce("root", "cid").alias("root"))
-    cells = named.groupBy("bucket", "n", "at").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = cells.groupBy("bucket").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("bucket")
-    open_cells = cut(cells.join(mixed, "bucket"))
-    x, y = open_cells.alias("x"), open_cells.alias("y")
+    named = cut(postings.join(roots, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "n", "at", "members", F.coalesce("root", "cid").alias("root")))
+    mixed = cut(named.groupBy("bucket").agg(F.min("root").alias("l"), F.max("root").alias("h"), F.count("*").alias("rows_of_key")).filter("l < h").select("bucket", "rows_of_key"))
+    open_members = stored(join_by_key(named, mixed, "bucket", named.count()), "open")
+    few = open_members.filter(F.col("members") <= DENSE) if split else open_members
+    cells = few.groupBy("bucket", "n", "at").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    x, y = cells.alias("x"), cells.alias("y")
     ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.at") <= F.col("y.at")))
     apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
     meets = _reachable(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent)
     cell_pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & ordered & apart & meets).select(
         F.col("x.bucket").alias("bucket"), F.col("x.n").alias("n"), F.col("x.at").alias("at"), F.col("y.n").alias("m"), F.col("y.at").alias("to")
     )
-    other = named.select("bucket", F.col("cid").alias("cid2"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("root2"))
-    open_pairs = cell_pairs.join(named, ["bucket", "n", "at"]).join(other, ["bucket", "m", "to"]).filter("root <> root2").select(*_pair(F.col("cid"), F.col("cid2"))).distinct()
-    return links.unionByName(_verified(open_pairs.join(spokes, ["a", "b"], "left_anti"), sets, percent))
+    other = few.select("bucket", F.col("cid").alias("cid2"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("root2"))
+    open_pairs = cell_pairs.join(few, ["bucket", "n", "at"]).join(other, ["bucket", "m", "to"]).filter("root <> root2").select(*_pair(F.col("cid"), F.col("cid2"))).distinct()
+    links = links.unionByName(_verified(open_pairs.join(spokes, ["a", "b"], "left_anti"), sets, percent))
+    if not split:
+        return links
+    dense = cut(open_members.filter(F.col("members") > DENSE).select("cid").distinct())
+    dealt = stored(sets.join(dense, "cid", "left_semi").select("cid", "n", "shingles").mapInPandas(_segments(percent), "bucket long, cid long, n long, at long").dropDuplicates(["bucket", "cid"]), "segments")
+    return links.unionByName(class_links(shared_buckets(dealt), sets, percent, split=False))
+
+
+def read_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Stored rows of ``_READ``: the documents, and the list postings of their sets (bucket is not null)."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = max(1, -(-size // (SHINGLE_BYTES * RANGE_SHINGLES)))
+    answers = own.mapInArrow(_sent(words, ranges), _SENT).groupBy("range").applyInPandas(_answered, _ANSWERS)
+    return stored(answers.groupBy("chunk").applyInPandas(_read(percent), _READ), "sets")
+
+
+def candidate_buckets(read: DataFrame, percent: int) -> DataFrame:
+    """Stored (bucket, cid, n, at, members): lists of heavy sets and subset keys of light ones."""
+    listed = stored(read.filter("bucket is not null").select("bucket", "cid", "n", "at").dropDuplicates(["bucket", "cid"]), "postings")
+    lists = shared_buckets(listed)
+    small = cut(read.filter("small is not null").select("cid", "n", "small").dropDuplicates(["cid"]))
+    sizes = {r["n"]: r["sets"] for r in small.groupBy("n").agg(F.count("*").alias("sets")).collect()}  # at most MOST_LIGHT rows
+    costs = dict.fromkeys(sizes, 0.0)
+    for part, cost in ((listed, F.count("*")), (lists, F.sum("members") / 2)):
+        for r in part.filter(F.col("n") <= MOST_LIGHT).groupBy("n").agg(cost.alias("cost")).collect():  # at most MOST_LIGHT rows
+            costs[r["n"]] += float(r["cost"])
+    boundary = choose_boundary(sizes, costs, percent)
+    if not boundary:
+        return lists
+    keys = stored(small.filter(F.col("n") <= boundary).mapInPandas(_light(boundary, percent), "bucket long, cid long, n long, at long"), "keys")
+    return lists.filter(100 * F.col("n") >= percent * (boundary + 1)).unionByName(shared_buckets(keys))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -294,29 +403,29 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """
     spark = docs.sparkSession
     small_batches(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = stored(own.mapInArrow(_sized(words), "doc_id long, key binary, n long"), "sets")
-    small = {r["n"]: r["docs"] for r in base.filter(F.col("n").between(1, MOST_LIGHT)).groupBy("n").agg(F.count("*").alias("docs")).collect()}  # at most MOST_LIGHT rows
-    boundary = choose_boundary(small, percent)
-    total = base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    ranges = min(MOST_RANGES, max(1, -(-total // RANGE_SHINGLES)))
-    spread = own.mapInArrow(_spread(words, ranges), "range int, once binary, more binary, counts binary").groupBy("range").applyInPandas(_merged, "token long, docs long")
-    common = stored(spread, "common")
-    filters = [bit_table(rare, "token", max(1, rare.count())) for rare in (common.filter(F.col("docs") >= least) for least in CLASSES)]
-    posted = own.mapInArrow(_posted(spark.sparkContext.broadcast(filters), words, boundary, percent), "bucket long, cid long, n long, at long")
-    listed = stored(posted.dropDuplicates(["bucket", "cid"]), "postings")
-    full = listed.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
-    postings = stored(listed.join(full, "bucket"), "lists")
+    read = read_sets(docs, words, percent)
+    postings = stored(candidate_buckets(read, percent), "buckets")
     classes = cut(postings.select("cid").distinct())
     marks = F.pandas_udf(lambda c: pd.Series(mix(c.to_numpy().view(np.uint64)).view(np.int64)), "long")
     bits = spark.sparkContext.broadcast(bit_table(classes.select(marks("cid").alias("mark")), "mark", max(1, classes.count())))
-    found = own.mapInArrow(_wanted_sets(bits, words), "key binary, cid long, n long, shingles array<long>")
+    found = docs.select("text").mapInArrow(_wanted_sets(bits, words), "key binary, cid long, n long, shingles array<long>")
     sets = stored(found.join(classes, "cid", "left_semi").dropDuplicates(["key"]), "suspects")
     roots = components(class_links(postings, sets, percent))
-    named = sets.select("key", "cid").join(roots, F.col("cid") == F.col("node")).select("key", "root")
-    grouped = base.join(named, "key", "left").select("doc_id", "n", F.coalesce(F.concat(F.lit("c"), F.col("root").cast("string")), F.hex("key")).alias("group"))
-    least = grouped.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
-    return grouped.join(least, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+    base = read.filter("bucket is null").select("doc_id", "n", "key")
+    rows = base.filter("key is not null")
+    copies = rows.groupBy("key").agg(F.min("doc_id").alias("own"), F.count("*").alias("rows_of_key"))
+    linked = sets.select("key", "cid").join(roots, F.col("cid") == F.col("node")).select("key", "root")
+    named = cut(copies.join(linked, "key", "left"))
+    inside = named.filter("root is not null")
+    least = cut(inside.groupBy("root").agg(F.min("own").alias("component_id"), F.count("*").alias("rows_of_key")))
+    members = join_by_key(inside.withColumnRenamed("rows_of_key", "copies"), least, "root", named.count()).withColumnRenamed("copies", "rows_of_key")
+    alone = named.filter("root is null").withColumn("component_id", F.col("own"))
+    columns = ["key", "component_id", "rows_of_key"]
+    placed = cut(members.select(columns).unionByName(alone.select(columns)))
+    empty = base.filter("key is null").withColumn("component_id", F.col("doc_id"))
+    together = join_by_key(rows, placed, "key", rows.count()).unionByName(empty)
+    return together.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
