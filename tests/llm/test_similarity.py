@@ -160,7 +160,7 @@ def pages_of_lines(n, seed):
 
 
 def test_pairs_of_a_template_corpus_grow_with_its_rows(spark, monkeypatch):
-    monkeypatch.setattr(J, "DENSE", 4)
+    monkeypatch.setattr(J, "DENSE", 0.1)
     tried = []
     verified = J._verified
     monkeypatch.setattr(J, "_verified", lambda pairs, *rest: tried.append(pairs.count()) or verified(pairs, *rest))

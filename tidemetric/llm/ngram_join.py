@@ -22,12 +22,13 @@ hardly ever into a list, and shingles are never exploded into rows.
 
 Large buckets are not expanded into pairs. Each bucket links its members to one pivot, its
 most central member; components of these exact links follow, and buckets that lie in one
-component are settled. Members of other buckets of over ``DENSE`` members (documents that
-share common shingles without being alike) are dealt again by segments: shingles are
-hashed into one segment more than two linked sets can differ in, so linked sets agree
-on a whole segment. Cells of equal (size, position) sort out what remains, and only open
-pairs of small buckets are verified one by one. What is left quadratic is a family of
-documents that agree on whole segments, just below the bound, without a link.
+component are settled. Members are counted in cells of equal (size, position): cell pairs
+that cannot link, or that lie in one component already, are settled as cells, and what is
+left is verified pair by pair while it is ``DENSE`` pairs a member at most. Members of
+other buckets (documents that share common shingles without being alike) are dealt again
+by segments: shingles are hashed into one segment more than two linked sets can differ in,
+so linked sets agree on a whole segment. What is left quadratic is a family of documents
+that agree on whole segments, just below the bound, without a link.
 """
 
 from __future__ import annotations
@@ -52,8 +53,8 @@ WORDS = 3
 PERCENT = 90
 #: Sizes for which keys are considered: beyond it subsets are always more than any list is worth.
 MOST_LIGHT = 24
-#: Members of a bucket whose pairs may be tried one by one.
-DENSE = 100
+#: Pairs that may be tried one by one for each open member of a bucket, and its cells of equal size and position.
+DENSE, MOST_CELLS = 100, 1000
 #: Shingles and documents of a chunk that is sent at a time, and about how many shingles a range counts in one group.
 FLUSH, CHUNK_DOCS, RANGE_SHINGLES = 1 << 21, 60_000, 1 << 20
 #: About how many bytes of text make a shingle, to choose the number of ranges.
@@ -335,8 +336,8 @@ def shared_buckets(postings: DataFrame) -> DataFrame:
 def class_links(postings: DataFrame, sets: DataFrame, percent: int, split: bool = True) -> DataFrame:
     """Links that connect the classes in ``sets`` just as all links between them do.
 
-    ``postings`` are stored (bucket, cid, n, at, members). With ``split``, members of open
-    buckets of more than ``DENSE`` are dealt again by segments.
+    ``postings`` are stored (bucket, cid, n, at, members). With ``split``, members of
+    buckets that leave more than ``DENSE`` pairs a member open are dealt again by segments.
     """
     pivots = cut(postings.groupBy("bucket").agg(F.min(F.struct("at", "n", "cid")).alias("pivot"), F.count("*").alias("rows_of_key")))
     met = join_by_key(postings, pivots, "bucket", postings.count()).filter(F.col("cid") != F.col("pivot.cid"))
@@ -344,25 +345,32 @@ def class_links(postings: DataFrame, sets: DataFrame, percent: int, split: bool
     links = _verified(spokes, sets, percent)
     roots = components(links)
 
-    named = cut(postings.join(roots, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "n", "at", "members", F.coalesce("root", "cid").alias("root")))
+    named = cut(postings.join(roots, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "n", "at", F.coalesce("root", "cid").alias("root")))
     mixed = cut(named.groupBy("bucket").agg(F.min("root").alias("l"), F.max("root").alias("h"), F.count("*").alias("rows_of_key")).filter("l < h").select("bucket", "rows_of_key"))
     open_members = stored(join_by_key(named, mixed, "bucket", named.count()), "open")
-    few = open_members.filter(F.col("members") <= DENSE) if split else open_members
-    cells = few.groupBy("bucket", "n", "at").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    x, y = cells.alias("x"), cells.alias("y")
+    cells = cut(open_members.groupBy("bucket", "n", "at").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")))
+    crowded = cells.groupBy("bucket").agg(F.count("*").alias("cells")).filter(F.col("cells") > MOST_CELLS).select("bucket")
+    settled = cells.join(crowded, "bucket", "left_anti") if split else cells
+    x, y = settled.alias("x"), settled.alias("y")
     ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.at") <= F.col("y.at")))
     apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
     meets = _reachable(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent)
-    cell_pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & ordered & apart & meets).select(
-        F.col("x.bucket").alias("bucket"), F.col("x.n").alias("n"), F.col("x.at").alias("at"), F.col("y.n").alias("m"), F.col("y.at").alias("to")
+    met_cells = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & ordered & apart & meets).select(
+        F.col("x.bucket").alias("bucket"), F.col("x.n").alias("n"), F.col("x.at").alias("at"), F.col("y.n").alias("m"), F.col("y.at").alias("to"), (F.col("x.size") * F.col("y.size")).alias("tries")
     )
+    cell_pairs = cut(met_cells)
+    heavy = cell_pairs.groupBy("bucket").agg(F.sum("tries").alias("tries")).join(cells.groupBy("bucket").agg(F.sum("size").alias("open")), "bucket").filter(F.col("tries") > DENSE * F.col("open")).select("bucket")
+    dense = cut(crowded.unionByName(heavy)) if split else None
+    few = open_members.join(dense, "bucket", "left_anti") if split else open_members
     other = few.select("bucket", F.col("cid").alias("cid2"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("root2"))
     open_pairs = cell_pairs.join(few, ["bucket", "n", "at"]).join(other, ["bucket", "m", "to"]).filter("root <> root2").select(*_pair(F.col("cid"), F.col("cid2"))).distinct()
     links = links.unionByName(_verified(open_pairs.join(spokes, ["a", "b"], "left_anti"), sets, percent))
     if not split:
         return links
-    dense = cut(open_members.filter(F.col("members") > DENSE).select("cid").distinct())
-    dealt = stored(sets.join(dense, "cid", "left_semi").select("cid", "n", "shingles").mapInPandas(_segments(percent), "bucket long, cid long, n long, at long").dropDuplicates(["bucket", "cid"]), "segments")
+    crowd = cut(open_members.join(dense, "bucket", "left_semi").select("cid").distinct())
+    if not crowd.limit(1).count():
+        return links
+    dealt = stored(sets.join(crowd, "cid", "left_semi").select("cid", "n", "shingles").mapInPandas(_segments(percent), "bucket long, cid long, n long, at long").dropDuplicates(["bucket", "cid"]), "segments")
     return links.unionByName(class_links(shared_buckets(dealt), sets, percent, split=False))
 
 
