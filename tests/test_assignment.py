@@ -137,3 +137,50 @@ def test_allocation_query_folds_the_whole_table(spark, small):
     picks = [r["arm_id"] for r in V.reward_events(spark, small).orderBy("event_id").collect()]
     got = {r["arm_id"]: r["share"] for r in catalogue.queries()["b11_allocation_ema"](spark, small).collect()}
     assert got == pytest.approx(folded_shares(picks, 0.05, [0, 1, 2, 3]), abs=1e-6)
+
+
+def test_reward_averages_by_ranges_equal_the_fold(spark):
+    rows = [(f"e{k}", i, float((i * i + k) % 7)) for k, n in enumerate((3000, 7, 1)) for i in range(n)]
+    out = B.ema_normalised(spark.createDataFrame(rows, "experiment_id string, at int, reward double").repartition(5), ["experiment_id"], "at", 0.02)
+    got = {r["experiment_id"]: (r["mean"], r["variance"], r["z"]) for r in out.collect()}
+    for name in ("e0", "e1", "e2"):
+        mean, variance = 0.0, 1.0
+        for _, _, reward in sorted(r for r in rows if r[0] == name):
+            delta = reward - mean
+            mean, variance = mean + 0.02 * delta, 0.98 * (variance + 0.02 * delta * delta)
+        assert got[name] == pytest.approx((mean, variance, (reward - mean) / variance**0.5))
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_wins_are_tested_exactly_or_by_chi_square(spark):
+    wins = spark.createDataFrame([("a", 9), ("b", 1), ("c", 5)], "algorithm string, wins long")
+    assert A.win_test(wins, ["a", "b"]).first()["p_value"] == pytest.approx(0.021484375)
+    assert A.win_test(wins, ["a", "b", "c"]).first()["p_value"] == pytest.approx(0.040762, abs=1e-6)  # exp(-6.4 / 2)
+    assert A.win_test(wins.filter("false"), ["a", "b"]).first()["p_value"] == 1.0
+    assert A.win_test(wins.filter("false"), ["a", "b", "c"]).first()["p_value"] == 1.0
+
+
+def test_interference_and_feedback_decisions(spark):
+    same = [(v, c, 100.0, 50) for v in ("control", "t") for c in range(20)]
+    columns = "variant_id string, content_id int, watch_time_seconds double, view_count long"
+    for rows, want in ((same, False), ([*same[:39], ("t", 19, 100.0, 400)], True), ([*same[:39], ("t", 19, 5000.0, 50)], True)):
+        df = spark.createDataFrame(rows, columns)
+        spill = A.spillover_tests(A.title_spillover(df, "t"))
+        assert A.interference_decision(A.consumption_divergence(df, "t"), spill).first()["interference_detected"] is want
+    shifts = spark.createDataFrame([(0.1, 0.0, 0.31), (0.3, 0.0, 0.92), (0.2, 0.0, 0.60), (0.4, 0.0, 1.21)], "treatment_contamination_fraction double, pre_effect double, post_effect double")
+    found = A.feedback_decision(A.feedback_loop(shifts)).first()
+    assert found["detected"] and found["p_value"] == pytest.approx(0.0301, abs=2e-3) and found["correlation"] > 0.99
+    flat = shifts.withColumn("post_effect", F.col("pre_effect"))
+    calm = A.feedback_decision(A.feedback_loop(flat)).first()
+    assert not calm["detected"] and calm["p_value"] == 1.0
+
+
+def test_users_are_drafted_across_batches(spark):
+    rows = [(u, a, r, (r * (2 if a == "x" else 3) + u) % 11) for u in range(300) for a in ("x", "y") for r in range(1, 6)]
+    rankings = spark.createDataFrame(rows, "user_id long, algorithm string, rank int, item int")
+    whole = sorted(map(tuple, B.interleave(rankings).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, B.interleave(rankings).collect())) == whole and len({r[0] for r in whole}) == 300
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")

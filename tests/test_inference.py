@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -108,3 +109,43 @@ def test_empty_observations(spark):
     none = observations(spark, [1, 2], [2, 3]).filter("false")
     assert I.welch(pairs(none)).count() == 0
     assert I.ipw(none.withColumn("p", F.lit(0.5)), ["metric_id"]).count() == 0
+
+
+def trend_panel(spark, common, effect):
+    rng = np.random.default_rng(5)
+    base = np.cumsum(rng.normal(0, 1, 40)) + np.where(np.arange(40) >= 30, common, 0.0)
+    rows = []
+    for unit in range(6):
+        y = 100 + 5 * unit + (1 + 0.1 * unit) * base + rng.normal(0, 0.3, 40)
+        if unit == 0:
+            y[30:] += effect
+        rows += [("e", unit, t, float(y[t]), unit == 0, t >= 30) for t in range(40)]
+    return spark.createDataFrame(rows, "experiment_id string, unit_id int, period int, value double, is_treated_unit boolean, is_post boolean")
+
+
+def test_trend_counterfactual_leaves_common_shocks_to_the_donors(spark):
+    assert abs(P.trend_counterfactual(trend_panel(spark, 50.0, 0.0)).first()["att"]) < 2
+    shock = P.trend_counterfactual(trend_panel(spark, 3.0, 0.0)).first()
+    assert abs(shock["att"]) < 1 and shock["p_value"] > 0.05 and shock["ci_lower"] < 0 < shock["ci_upper"]
+    real = P.trend_counterfactual(trend_panel(spark, 3.0, 8.0)).first()
+    assert real["att"] == pytest.approx(8, abs=2) and real["p_value"] < 0.01 and real["ci_lower"] > 0
+    assert P.trend_counterfactual(trend_panel(spark, 0.0, 0.0).filter("unit_id = 0")).count() == 0
+
+
+def test_few_blocks_are_permuted_exactly(spark):
+    values = [5.0, 1.0, 6.0, 2.0, 4.5, 0.5, 7.0, 3.0]
+    series = spark.createDataFrame([("e", i, i % 2 ^ 1, v) for i, v in enumerate(values)], "experiment_id string, block long, arm int, value double")
+    got = P.switchback_randomization(series, ["experiment_id"]).first()
+    own = sum(values[::2]) / 4 - sum(values[1::2]) / 4
+    contrasts = [sum(values[i] for i in pick) / 4 - sum(values[i] for i in range(8) if i not in pick) / 4 for pick in itertools.combinations(range(8), 4)]
+    assert got["exact"] and got["draws"] == 70
+    assert got["p_value"] == pytest.approx(sum(abs(c) >= abs(own) - 1e-12 for c in contrasts) / 70)
+
+
+def test_earlier_sums_by_ranges_equal_the_running_sums(spark):
+    rows = [(f"k{k}", i, float((i * 7 + k) % 5)) for k, n in enumerate((900, 3, 1)) for i in range(n)]
+    got = I.earlier_sums(spark.createDataFrame(rows, "k string, at int, y double").repartition(6), ["k"], ["at"], "y").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        earlier = [y for k, at, y in rows if k == r["k"] and at < r["at"]]
+        assert (r["n_before"], r["sum_before"]) == (len(earlier), sum(earlier))

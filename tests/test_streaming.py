@@ -57,5 +57,5 @@ def test_freshness_gate(spark):
 
 @pytest.mark.parametrize(("kind", "c", "t"), [("normal", 8, 10), ("bernoulli", 0.5, 0.6), ("poisson", 3, 5)])
 def test_synthetic_arms_have_their_means(spark, kind, c, t):
-    got = {r["variant_id"]: r["m"] for r in synthetic_arms(spark, 20_000, kind).groupBy("variant_id").agg(F.avg("value").alias("m")).collect()}
+    got = {r["variant_id"]: r["m"] for r in synthetic_arms(spark.range(20_000).withColumnRenamed("id", "user_id"), kind).groupBy("variant_id").agg(F.avg("value").alias("m")).collect()}
     assert got["control"] == pytest.approx(c, rel=0.05) and got["treatment"] == pytest.approx(t, rel=0.05)

@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemetric.functions import distributions as D
 from tidemetric.operators.catalog import gini
+from tidemetric.operators.inference import benjamini_hochberg
 
 
 def consumption_divergence(consumption: DataFrame, treatment: str, control: str = "control", top: int = 100) -> DataFrame:
@@ -17,13 +19,13 @@ def consumption_divergence(consumption: DataFrame, treatment: str, control: str
     """
     side = lambda v, a: consumption.filter(F.col("variant_id") == v).groupBy("content_id").agg(F.sum("watch_time_seconds").alias(a))
     both = side(treatment, "t").join(side(control, "c"), "content_id", "full_outer").fillna(0.0, ["t", "c"])
-    total = Window.partitionBy()
-    shares = both.select("content_id", "t", "c", (F.col("t") / F.sum("t").over(total)).alias("p"), (F.col("c") / F.sum("c").over(total)).alias("q"))
+    totals = both.agg(F.sum("t").alias("all_t"), F.sum("c").alias("all_c"))
+    shares = both.crossJoin(F.broadcast(totals)).select("content_id", "t", "c", (F.col("t") / F.col("all_t")).alias("p"), (F.col("c") / F.col("all_c")).alias("q"))
     m = (F.col("p") + F.col("q")) / 2
     part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) / m)).otherwise(0.0)
-    rank = lambda x: F.row_number().over(Window.orderBy(F.desc(x), "content_id"))
-    ranked = shares.withColumns({"rt": rank("t"), "rc": rank("c"), "jt": part("p"), "jc": part("q")})
-    in_t, in_c = (F.col("rt") <= top) & (F.col("t") > 0), (F.col("rc") <= top) & (F.col("c") > 0)
+    first = lambda x: F.broadcast(both.filter(F.col(x) > 0).orderBy(F.desc(x), "content_id").limit(top).select("content_id", F.lit(True).alias(f"in_{x}")))
+    ranked = shares.join(first("t"), "content_id", "left").join(first("c"), "content_id", "left").withColumns({"jt": part("p"), "jc": part("q")})
+    in_t, in_c = F.coalesce("in_t", F.lit(False)), F.coalesce("in_c", F.lit(False))
     out = ranked.agg(
         (0.5 * F.sum("jt") + 0.5 * F.sum("jc")).alias("js_divergence"),
         F.try_divide(F.sum((in_t & in_c).cast("int")), F.sum((in_t | in_c).cast("int"))).alias("top_jaccard"),
@@ -35,7 +37,7 @@ def consumption_divergence(consumption: DataFrame, treatment: str, control: str
 
 
 def title_spillover(consumption: DataFrame, treatment: str, control: str = "control") -> DataFrame:
-    """Two-proportion z per content that both arms watched, from (variant_id, content_id, view_count)."""
+    """Two-proportion z per content that both arms watched, from (variant_id, content_id, view_count); see ``spillover_tests``."""
     totals = consumption.groupBy("variant_id").agg(F.sum("view_count").alias("total"))
     rows = consumption.join(F.broadcast(totals), "variant_id")
     side = lambda v, s: rows.filter(F.col("variant_id") == v).select("content_id", F.col("view_count").alias(f"n_{s}"), F.col("total").alias(f"total_{s}"))
@@ -45,6 +47,32 @@ def title_spillover(consumption: DataFrame, treatment: str, control: str = "cont
     return both.withColumn("z", F.try_divide(F.col("n_t") / F.col("total_t") - F.col("n_c") / F.col("total_c"), se))
 
 
+def spillover_tests(spillover: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """p per content, adjusted over contents by false discovery rate, and whether the content spills over; without a z, p is 1."""
+    tests = spillover.select("content_id", "z", F.lit(0).alias("all"), F.coalesce(D.normal_p_value(F.col("z")), F.lit(1.0)).alias("p_value"))
+    return benjamini_hochberg(tests, ["all"], alpha, tie="content_id").select("content_id", "z", "p_value", "p_adjusted", F.col("reject").alias("spills_over"))
+
+
+def interference_decision(divergence: DataFrame, spillover: DataFrame, js_threshold: float = 0.05) -> DataFrame:
+    """Interference is detected by the divergence over its threshold, or by any content that spills over."""
+    titles = spillover.agg(F.count(F.when(F.col("spills_over"), 1)).alias("spillover_titles"))
+    out = divergence.crossJoin(F.broadcast(titles))
+    return out.withColumn("interference_detected", (F.col("js_divergence") > js_threshold) | (F.col("spillover_titles") > 0))
+
+
+def win_test(wins: DataFrame, algorithms: list[str]) -> DataFrame:
+    """One row: whether users' winners differ; exact sign test of two algorithms, χ² of more; p is 1 without decisive users."""
+    rows = wins.filter(F.col("algorithm").isin(*algorithms)).select("algorithm", "wins")
+    count = lambda a: F.coalesce(F.sum(F.when(F.col("algorithm") == a, F.col("wins"))), F.lit(0))
+    one = rows.agg(*[count(a).alias(f"wins_{i}") for i, a in enumerate(algorithms)], F.coalesce(F.sum("wins"), F.lit(0)).alias("decisive"))
+    if len(algorithms) == 2:
+        return one.select("decisive", D.sign_test_p(F.col("wins_0"), F.col("wins_1")).alias("p_value"))
+    even = F.col("decisive") / len(algorithms)
+    chi = sum(((F.col(f"wins_{i}") - even) * (F.col(f"wins_{i}") - even) for i in range(len(algorithms))), F.lit(0.0))
+    p = D.chi_square_p(F.try_divide(chi, even), F.lit(len(algorithms) - 1.0))
+    return one.select("decisive", F.when(F.col("decisive") == 0, 1.0).otherwise(p).alias("p_value"))
+
+
 def win_rates(scores: DataFrame) -> DataFrame:
     """Wins and rate per algorithm among users with a single winner."""
     wins = scores.filter("winning_algorithm_id is not null").groupBy(F.col("winning_algorithm_id").alias("algorithm")).agg(F.count("*").alias("wins"))
@@ -134,19 +162,30 @@ def backtest_surrogate(rows: DataFrame) -> DataFrame:
 
 
 def feedback_loop(contamination: DataFrame) -> DataFrame:
-    """Paired t of post against pre effects, correlation with the training share, OLS slope and intercept.
+    """Paired t of post against pre effects, correlation of post effects with the training share, OLS slope and intercept.
 
-    The intercept is the effect corrected for contamination. Needs three retrainings or more.
+    The intercept is the effect corrected for contamination. Without a spread of shares or
+    effects correlation and slope are 0. Needs three retrainings or more.
     """
     change = F.col("post_effect") - F.col("pre_effect")
     share = "treatment_contamination_fraction"
     out = contamination.withColumn("change", change).agg(
-        F.count("*").alias("n"), F.avg("change").alias("mean_change"), F.stddev_samp("change").alias("sd"), F.corr("change", share).alias("correlation"),
-        F.regr_slope("post_effect", share).alias("slope"), F.regr_intercept("post_effect", share).alias("corrected_effect"),
+        F.count("*").alias("n"), F.avg("change").alias("mean_change"), F.stddev_samp("change").alias("sd"), F.avg("post_effect").alias("mean_post"), F.avg(share).alias("mean_share"),
+        F.covar_samp(share, "post_effect").alias("cov"), F.var_samp(share).alias("var_share"), F.var_samp("post_effect").alias("var_post"),
     )
+    correlation = F.coalesce(F.try_divide("cov", F.sqrt("var_share") * F.sqrt("var_post")), F.lit(0.0))
+    slope = F.coalesce(F.try_divide("cov", "var_share"), F.lit(0.0))
+    out = out.withColumns({"correlation": correlation, "slope": slope, "corrected_effect": F.col("mean_post") - slope * F.col("mean_share")}).drop("mean_post", "mean_share", "cov", "var_share", "var_post")
     return out.filter("n >= 3").withColumn("t", F.try_divide("mean_change", F.col("sd") / F.sqrt("n"))).drop("sd")
 
 
+def feedback_decision(loop: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The paired test's p, and whether a feedback loop is detected: p < α with a strong correlation, or p < α / 2."""
+    out = loop.withColumn("p_value", F.coalesce(D.t_p_value(F.col("t"), F.col("n") - 1.0), F.lit(1.0)))
+    strong = F.coalesce(F.abs("correlation") > 0.5, F.lit(False))
+    return out.withColumn("detected", ((F.col("p_value") < alpha) & strong) | (F.col("p_value") < alpha / 2))
+
+
 def guardrail_breaches(checks: DataFrame, threshold: float, lower_is_better: bool, consecutive: int) -> DataFrame:
     """Runs of breached checks (experiment_id, metric_id, variant_id, check_time, current_value) of ``consecutive`` or more."""
     keys = ["experiment_id", "metric_id", "variant_id"]

@@ -38,7 +38,7 @@ def linucb_weights(sums: DataFrame) -> DataFrame:
 
 def ucb_scores(contexts: DataFrame, weights: DataFrame, alpha: float = 1.0) -> DataFrame:
     """Score θ·x + α √(xᵀ A⁻¹ x) of every context row and arm. Arms are few; JVM-side throughout."""
-    rows = contexts.join(F.broadcast(weights), "experiment_id")
+    rows = contexts.join(weights, "experiment_id")
     dot = F.aggregate(F.zip_with("theta", "context", lambda t, x: t * x), F.lit(0.0), lambda s, v: s + v)
     d = F.size("context")
     spread = F.aggregate(
@@ -110,18 +110,22 @@ def ema_normalised(rewards: DataFrame, keys: list[str], order: str, rate: float
     """Running mean and variance by exponential moving average in order, and the z of the last reward.
 
     Starts at mean 0 and variance 1: mean += rate·Δ and variance = (1 - rate)·(variance + rate·Δ²)
-    with Δ against the old mean; z uses the updated state. A fold over one key's ordered rewards.
+    with Δ against the old mean. Mean and second moment are both linear in their start and
+    variance is their difference, so ranges of the order give a decay and two weighted sums
+    each, and the few ranges of a key are combined by the decay after them. z uses the
+    updated state.
     """
-    ordered = rewards.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "reward"))).alias("rs"))
-    zero = F.struct(F.lit(0.0).alias("mean"), F.lit(1.0).alias("variance"), F.lit(0.0).alias("z"), F.lit(-1e308).alias("ideal"))
-
-    def step(s, r):
-        delta = r["reward"] - s["mean"]
-        mean, variance = s["mean"] + rate * delta, (1 - rate) * (s["variance"] + rate * delta * delta)
-        z = (r["reward"] - mean) / F.sqrt(F.greatest(variance, F.lit(1e-12)))
-        return F.struct(mean.alias("mean"), variance.alias("variance"), z.alias("z"), F.greatest(s["ideal"], z).alias("ideal"))
-
-    return ordered.withColumn("s", F.aggregate("rs", zero, step)).select(*keys, F.col("s.mean").alias("mean"), F.col("s.variance").alias("variance"), F.col("s.z").alias("z"), F.col("s.ideal").alias("ideal"))
+    keep = 1 - rate
+    parts = int(rewards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rewards.select(*keys, order, "reward").repartitionByRange(parts, *keys, order).withColumn("range", F.spark_partition_id())
+    back = Window.partitionBy(*keys, "range").orderBy(F.col(order).desc(), F.col("reward").desc())
+    aged = dealt.withColumn("weight", rate * F.pow(F.lit(keep), F.row_number().over(back) - 1))
+    sums = aged.groupBy(*keys, "range").agg(F.count("*").alias("n"), F.sum(F.col("weight") * F.col("reward")).alias("a"), F.sum(F.col("weight") * F.col("reward") * F.col("reward")).alias("b"), F.max_by("reward", F.struct(order, "reward")).alias("last"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("decay", F.pow(F.lit(keep), F.coalesce(F.sum("n").over(later), F.lit(0))))
+    ends = placed.groupBy(*keys).agg(F.sum(F.col("a") * F.col("decay")).alias("mean"), (F.pow(F.lit(keep), F.sum("n")) + F.sum(F.col("b") * F.col("decay"))).alias("second"), F.max_by("last", "range").alias("last"))
+    out = ends.withColumn("variance", F.greatest(F.col("second") - F.col("mean") * F.col("mean"), F.lit(0.0)))
+    return out.select(*keys, "mean", "variance", ((F.col("last") - F.col("mean")) / F.sqrt(F.greatest("variance", F.lit(1e-12)))).alias("z"))
 
 
 def composed(z: dict[str, Column], scheme: str, weights: dict[str, float], ideal: dict[str, Column] | None = None, floors: dict[str, float] | None = None) -> Column:
@@ -163,28 +167,45 @@ def daily_shares(selections: DataFrame, day: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("experiment_id", day)))
 
 
-def _drafted(kind: str, length: int, seed: int, weights: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        user = int(group["user_id"].iloc[0])
-        rng = np.random.default_rng([seed, user & 0xFFFFFFFF])
-        lists = {a: part.sort_values("rank")["item"].tolist() for a, part in group.groupby("algorithm")}
-        names, picked, owner = sorted(lists), [], []
-        won = dict.fromkeys(names, 0)
-        while len(picked) < length:
-            open_to = [a for a in names if any(i not in picked for i in lists[a])]
-            if not open_to:
-                break
-            if kind == "optimized":
-                chance = np.array([sum(np.exp(-weights * r) for r, i in enumerate(lists[a]) if i not in picked) for a in open_to])
-                team = open_to[rng.choice(len(open_to), p=chance / chance.sum())]
-            else:
-                fewest = min(won[a] for a in open_to)
-                team = rng.choice([a for a in open_to if won[a] == fewest])
-            item = next(i for i in lists[team] if i not in picked)
-            picked.append(item)
-            owner.append(str(team))
-            won[team] += 1
-        return pd.DataFrame({"user_id": user, "position": np.arange(len(picked), dtype=np.int32), "item": picked, "algorithm": owner})
+def _draft(lists: dict[str, list], kind: str, length: int, rng: np.random.Generator, sharpness: float) -> tuple[list, list]:
+    names, picked, owner = sorted(lists), [], []
+    won = dict.fromkeys(names, 0)
+    while len(picked) < length:
+        open_to = [a for a in names if any(i not in picked for i in lists[a])]
+        if not open_to:
+            break
+        if kind == "optimized":
+            chance = np.array([sum(np.exp(-sharpness * r) for r, i in enumerate(lists[a]) if i not in picked) for a in open_to])
+            team = open_to[rng.choice(len(open_to), p=chance / chance.sum())]
+        else:
+            fewest = min(won[a] for a in open_to)
+            team = rng.choice([a for a in open_to if won[a] == fewest])
+        picked.append(next(i for i in lists[team] if i not in picked))
+        owner.append(str(team))
+        won[team] += 1
+    return picked, owner
+
+
+def _drafted(kind: str, length: int, seed: int, sharpness: float):
+    """Lists of all users of a batch; a user whose rows run on into the next batch waits for it."""
+
+    def lists_of(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for user, group in rows.groupby("user_id", sort=False):
+            rng = np.random.default_rng([seed, int(user) & 0xFFFFFFFF])
+            picked, owner = _draft({a: part["item"].tolist() for a, part in group.groupby("algorithm", sort=False)}, kind, length, rng, sharpness)
+            out += [(int(user), at, item, team) for at, (item, team) in enumerate(zip(picked, owner, strict=True))]
+        return pd.DataFrame(out, columns=["user_id", "position", "item", "algorithm"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch])
+            last = rows["user_id"].iloc[-1] if len(rows) else None
+            held = rows[rows["user_id"] == last]
+            yield lists_of(rows[rows["user_id"] != last])
+        if held is not None:
+            yield lists_of(held)
 
     return run
 
@@ -194,11 +215,12 @@ def interleave(rankings: DataFrame, kind: str = "team_draft", length: int = 10,
 
     team_draft and multileave: the team with fewest contributions picks, ties by a generator
     seeded with the user. optimized: teams are drawn by the softmax weight of what they have left.
-    A group is one user's few short rankings.
+    Users are dealt to partitions and sorted there; a task reads them batch by batch.
     """
     if kind not in ("team_draft", "multileave", "optimized"):
         raise ValueError(f"no such kind: {kind!r}")
-    return rankings.groupBy("user_id").applyInPandas(_drafted(kind, length, seed, sharpness), "user_id long, position int, item int, algorithm string")
+    ordered = rankings.filter("user_id is not null").repartition("user_id").sortWithinPartitions("user_id", "algorithm", "rank", "item")
+    return ordered.mapInPandas(_drafted(kind, length, seed, sharpness), "user_id long, position int, item int, algorithm string")
 
 
 def mad_e_process(rewards: DataFrame, keys: list[str], order: list[str], sigma_sq: float, alpha: float = 0.05) -> DataFrame:

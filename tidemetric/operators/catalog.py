@@ -63,8 +63,11 @@ def entropy(counts: DataFrame, keys: list[str]) -> DataFrame:
 def longtail_share(counts: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Share of an arm's impressions on contents past ``threshold`` in the popularity order of all arms."""
     totals = counts.groupBy("content_id").agg(F.sum("n").alias("all"))
-    ranked = totals.withColumn("rank", F.percent_rank().over(Window.orderBy(F.desc("all"))))
-    tail = ranked.select("content_id", (F.col("rank") >= threshold).alias("tail"))
+    levels = totals.groupBy("all").agg(F.count("*").alias("contents"))  # far fewer rows than contents: one a distinct count
+    down = Window.orderBy(F.desc("all")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = levels.select("all", F.coalesce(F.sum("contents").over(down), F.lit(0)).alias("above"), F.sum("contents").over(Window.partitionBy()).alias("total"))
+    place = F.coalesce(F.try_divide("above", F.col("total") - 1), F.lit(0.0))
+    tail = totals.join(ranked, "all").select("content_id", (place >= threshold).alias("tail"))
     return counts.join(tail, "content_id").groupBy("variant_id").agg(F.try_divide(F.sum(F.when(F.col("tail"), F.col("n")).otherwise(0)), F.sum("n")).alias("metric_value"))
 
 

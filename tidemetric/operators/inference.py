@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemetric.functions import distributions as D
+from tidemetric.sources.store import kept
 
 CONTROL = "control"
 
@@ -156,14 +157,33 @@ def group_sequential(looks: DataFrame, boundaries: dict[int, float], alpha: floa
     return out.withColumns({"crossed": F.abs("t") >= F.col("boundary"), "alpha_spent": alpha_spent(F.col("look") / F.lit(float(max(boundaries))), alpha, spending)})
 
 
+def earlier_sums(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """``rows`` with n_before and sum_before: count and sum of ``value`` over a key's earlier rows.
+
+    Rows are dealt into ranges of the order of about equal size; the few ranges of a key are
+    summed first, and windows run within ranges alone.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(rows.repartitionByRange(parts, *keys, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    back = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys, "range").agg(F.count("*").alias("n"), F.sum(value).alias("s"))
+    starts = sums.select(*keys, "range", F.coalesce(F.sum("n").over(back), F.lit(0)).alias("n_start"), F.coalesce(F.sum("s").over(back), F.lit(0.0)).alias("s_start"))
+    own = Window.partitionBy(*keys, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.withColumns({"n_own": F.count("*").over(own), "s_own": F.coalesce(F.sum(value).over(own), F.lit(0.0))})
+    placed = within.join(starts, [*keys, "range"])
+    return placed.withColumns({"n_before": F.col("n_start") + F.col("n_own"), "sum_before": F.col("s_start") + F.col("s_own")}).drop("range", "n_start", "s_start", "n_own", "s_own")
+
+
 def e_value_grow(obs: DataFrame, keys: list[str], order: list[str], sigma_sq: float, alpha: float = 0.05) -> DataFrame:
     """Growth-rate e-value of y in a given order: the bet is the mean of earlier rows over σ².
 
     The result depends on row order, so order columns are required; ties must be broken by them.
+    Sums of earlier rows are taken in two levels, so a key with most of all rows is no single task.
     """
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    bet = F.coalesce(F.avg("y").over(before), F.lit(0.0)) / sigma_sq
-    grown = obs.filter("y is not null").withColumn("bet", bet).groupBy(*keys).agg(F.sum(F.col("bet") * F.col("y") - 0.5 * F.col("bet") * F.col("bet") * sigma_sq).alias("log_e"), F.count("*").alias("n"))
+    rows = obs.filter("y is not null").select(*keys, *order, "y")
+    sums = earlier_sums(rows, keys, order, "y")
+    bet = F.coalesce(F.try_divide("sum_before", "n_before"), F.lit(0.0)) / sigma_sq
+    grown = sums.withColumn("bet", bet).groupBy(*keys).agg(F.sum(F.col("bet") * F.col("y") - 0.5 * F.col("bet") * F.col("bet") * sigma_sq).alias("log_e"), F.count("*").alias("n"))
     return grown.withColumns({"e_value": F.exp(F.least("log_e", F.lit(700.0))), "reject": F.col("log_e") > math.log(1 / checked_alpha(alpha))})
 
 

@@ -7,6 +7,10 @@ on a series whose length is the number of days, blocks or periods.
 
 from __future__ import annotations
 
+import itertools
+import math
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -83,7 +87,11 @@ def carry_over(series: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def switchback_randomization(series: DataFrame, keys: list[str], permutations: int = 2000, blocks: int = 8, seed: int = 3) -> DataFrame:
-    """Permutation p of the arm contrast: blocks of permutation ids are tasks, exceedances are summed."""
+    """Permutation p of the arm contrast: blocks of permutations are tasks, exceedances are summed.
+
+    All assignments are tried where there are no more than ``permutations`` of them, and p is
+    exact; otherwise that many are drawn.
+    """
     block_rows = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block", "arm", "value"))).alias("rows"))
     ids = series.sparkSession.range(blocks).select(F.col("id").cast("int").alias("chunk"))
     each = permutations // blocks
@@ -93,16 +101,24 @@ def switchback_randomization(series: DataFrame, keys: list[str], permutations: i
             out = []
             for rows, chunk, *key in batch[["rows", "chunk", *keys]].itertuples(index=False):
                 arm, value = np.array([r["arm"] for r in rows], float), np.array([r["value"] for r in rows], float)
-                rng = np.random.default_rng([seed, int(chunk)])
-                shuffled = rng.permuted(np.tile(arm, (each, 1)), axis=1)
-                n = arm.sum()
-                contrast = lambda a: (a @ value) / n - ((1 - a) @ value) / (len(arm) - n)
-                out.append([*key, int((np.abs(contrast(shuffled)) >= abs(contrast(arm)) - 1e-12).sum()), each])
-            yield pd.DataFrame(out, columns=[*keys, "extreme", "draws"])
+                n = int(arm.sum())
+                exact = math.comb(len(arm), n) <= permutations
+                if exact:
+                    picks = [list(p) for p in itertools.islice(itertools.combinations(range(len(arm)), n), int(chunk), None, blocks)]
+                    tried = np.zeros((len(picks), len(arm)))
+                    for row, pick in enumerate(picks):
+                        tried[row, pick] = 1
+                else:
+                    tried = np.random.default_rng([seed, int(chunk)]).permuted(np.tile(arm, (each, 1)), axis=1)
+                contrast = lambda a: (a @ value) / max(n, 1) - ((1 - a) @ value) / max(len(arm) - n, 1)
+                out.append([*key, int((np.abs(contrast(tried)) >= abs(contrast(arm)) - 1e-12).sum()), len(tried), exact])
+            yield pd.DataFrame(out, columns=[*keys, "extreme", "draws", "exact"])
 
     kinds = ", ".join(f"{k} {t}" for k, t in series.dtypes if k in keys)
-    counts = block_rows.crossJoin(F.broadcast(ids)).repartition(blocks, "chunk").mapInPandas(permuted, f"{kinds}, extreme long, draws long")
-    return counts.groupBy(*keys).agg(((1 + F.sum("extreme")) / (1 + F.sum("draws"))).alias("p_value"), F.sum("draws").alias("draws"))
+    counts = block_rows.crossJoin(F.broadcast(ids)).repartition(blocks, "chunk").mapInPandas(permuted, f"{kinds}, extreme long, draws long, exact boolean")
+    own = F.when(F.col("exact"), 0).otherwise(1)  # a drawn test counts the assignment itself
+    summed = counts.groupBy(*keys, "exact").agg(F.sum("extreme").alias("extreme"), F.sum("draws").alias("draws"))
+    return summed.select(*keys, ((own + F.col("extreme")) / (own + F.col("draws"))).alias("p_value"), "draws", "exact")
 
 
 def _simplex(v: np.ndarray) -> np.ndarray:
@@ -129,22 +145,50 @@ def simplex_fit(donors: np.ndarray, target: np.ndarray, passes: int = 3000) -> n
     return w
 
 
-def _kalman(y: np.ndarray, horizon: int) -> np.ndarray:
-    """Forecast of a local linear trend fitted on y."""
-    var = max(float(np.var(np.diff(y))) if len(y) > 1 else 1.0, 1e-9)
-    move, noise = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag([0.1 * var, 0.01 * var])
-    state, cov = np.array([y[0], 0.0]), np.eye(2) * 10 * var
+def _regression(donors: np.ndarray, target: np.ndarray, ridge: float = 1e-3) -> tuple[float, np.ndarray]:
+    """Intercept and a coefficient per donor, with a small ridge on the coefficients, about the means."""
+    x, y = donors - donors.mean(0), target - target.mean()
+    gram = x.T @ x
+    beta = np.linalg.solve(gram + max(ridge * np.trace(gram) / len(gram), 1e-12) * np.eye(len(gram)), x.T @ y)
+    return float(target.mean() - donors.mean(0) @ beta), beta
+
+
+def _trend_forecast(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(forecast, its variance, deviation of one-step errors) of a local linear trend filtered over y."""
+    var = max(float(np.var(y)), 1e-9)
+    move, noise = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag([0.01 * var, 1e-6 * var])
+    state, cov, errors = np.array([y[0], 0.0]), np.diag([var, 1e-3 * var]), []
     for value in y[1:]:
         state, cov = move @ state, move @ cov @ move.T + noise
+        errors.append(value - state[0])
         gain = cov[:, 0] / (cov[0, 0] + var)
-        state, cov = state + gain * (value - state[0]), cov - np.outer(gain, cov[0])
-    return state[0] + state[1] * np.arange(1, horizon + 1)
+        state, cov = state + gain * errors[-1], cov - np.outer(gain, cov[0])
+    ahead, spread = [], []
+    for _ in range(horizon):
+        state, cov = move @ state, move @ cov @ move.T + noise
+        ahead.append(state[0])
+        spread.append(cov[0, 0] + var)
+    return np.array(ahead), np.array(spread), float(np.sqrt(np.mean(np.square(errors)))) if errors else 0.0
+
+
+def trend_effect(pre: np.ndarray, post: np.ndarray, target_pre: np.ndarray, target_post: np.ndarray, alpha: float = 0.05) -> tuple[float, float, float, float]:
+    """(effect, interval, p) against a counterfactual of donors and trend.
+
+    The target is regressed on its donors before the treatment, so shocks that all units share
+    are no effect; a local linear trend follows what is left. The interval comes from the
+    forecast's variance, p from the one-step errors before the treatment.
+    """
+    intercept, beta = _regression(pre, target_pre)
+    fit = lambda x: intercept + x @ beta
+    ahead, spread, error = _trend_forecast(target_pre - fit(pre), len(target_post))
+    effect = float((target_post - fit(post) - ahead).mean())
+    half = NormalDist().inv_cdf(1 - alpha / 2) * float(np.sqrt(spread.sum())) / len(target_post)
+    p = math.erfc(abs(effect) / error / math.sqrt(2)) if error > 1e-14 else 1.0
+    return effect, effect - half, effect + half, p
 
 
 def counterfactual_effect(method: str, pre: np.ndarray, post: np.ndarray, target_pre: np.ndarray, target_post: np.ndarray) -> float:
     """Mean post-period effect of one unit against a counterfactual from its donors."""
-    if method == "kalman":
-        return float((target_post - _kalman(target_pre, len(target_post))).mean())
     w = simplex_fit(pre, target_pre)
     gap = target_post - post @ w
     if method == "classic":
@@ -160,6 +204,26 @@ def counterfactual_effect(method: str, pre: np.ndarray, post: np.ndarray, target
     raise ValueError(f"no such method: {method!r}")
 
 
+def trend_counterfactual(panel: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Effect, interval and p per experiment by ``trend_effect``; the panel is that of ``synthetic_control``.
+
+    An experiment's panel of aggregates, units × periods, is one group. Periods that a unit
+    lacks are left out; without donors, or without both kinds of periods, there is no row.
+    """
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        wide = group.pivot_table(index="period", columns="unit_id", values="value").dropna()
+        after = group.groupby("period")["is_post"].max().reindex(wide.index).to_numpy(bool)
+        treated = group.loc[group["is_treated_unit"], "unit_id"].unique()
+        donors = [c for c in wide.columns if c not in treated]
+        if not donors or len(treated) == 0 or not after.any() or after.sum() > len(after) - 2:
+            return pd.DataFrame({"experiment_id": [], "att": [], "ci_lower": [], "ci_upper": [], "p_value": []})
+        y, x = wide[treated[0]].to_numpy(float), wide[donors].to_numpy(float)
+        return pd.DataFrame([[group["experiment_id"].iloc[0], *trend_effect(x[~after], x[after], y[~after], y[after], alpha)]], columns=["experiment_id", "att", "ci_lower", "ci_upper", "p_value"])
+
+    return panel.groupBy("experiment_id").applyInPandas(fit, "experiment_id string, att double, ci_lower double, ci_upper double, p_value double")
+
+
 def synthetic_control(panel: DataFrame, method: str = "classic") -> DataFrame:
     """ATT and placebo p per experiment from (experiment_id, unit_id, period, value, is_treated_unit, is_post).
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemetric.functions.predicates import targeting
 from tidemetric.operators import analysis as A
 from tidemetric.operators import assignment as S
 from tidemetric.operators import bandit as B
@@ -14,7 +15,7 @@ from tidemetric.operators import resampling as R
 from tidemetric.operators.exposure import exposed_users
 from tidemetric.plans.inference_queries import observations
 from tidemetric.plans.metric_queries import _CLICKS, _CONTAMINATION, _interleaving
-from tidemetric.plans.registry import query, rounded
+from tidemetric.plans.registry import half_normal_sql, query, rounded, t_two_sided_sql
 from tidemetric.sources import views as V
 
 
@@ -27,17 +28,21 @@ _CONS = "cons AS (SELECT variant_id, content_id, sum(value) AS w, count(*) AS n
 _BOTH = _CONS + ", both_arms AS (SELECT coalesce(t.content_id, c.content_id) AS content_id, coalesce(t.w, 0) AS t, coalesce(c.w, 0) AS c FROM (SELECT * FROM cons WHERE variant_id = 't1') t FULL JOIN (SELECT * FROM cons WHERE variant_id = 'control') c ON t.content_id = c.content_id)"
 
 
-@query(f"""WITH {_BOTH}, s AS (SELECT *, t / sum(t) OVER () AS p, c / sum(c) OVER () AS q, row_number() OVER (ORDER BY t DESC, content_id) AS rt, row_number() OVER (ORDER BY c DESC, content_id) AS rc, row_number() OVER (ORDER BY t, content_id) AS at_, row_number() OVER (ORDER BY c, content_id) AS ac_ FROM both_arms)
+_SPILL = f"tot AS (SELECT variant_id, sum(n) AS total FROM cons GROUP BY 1), r AS (SELECT * FROM cons JOIN tot USING (variant_id)), zs AS (SELECT content_id, (n_t / tt - n_c / tc) / sqrt(p * (1 - p) * (1 / tt + 1 / tc)) AS z FROM (SELECT t.content_id, t.n AS n_t, c.n AS n_c, t.total AS tt, c.total AS tc, (t.n + c.n) / (t.total + c.total) AS p FROM r t JOIN r c USING (content_id) WHERE t.variant_id = 't1' AND c.variant_id = 'control')), ps AS (SELECT *, 1 - 2 * {half_normal_sql('z')} AS p FROM zs), rs AS (SELECT *, row_number() OVER (ORDER BY p, content_id) AS k, count(*) OVER () AS m FROM ps), spill AS (SELECT *, least(1, min(p * m / k) OVER (ORDER BY p, content_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS a FROM rs)"
+
+
+@query(f"""WITH {_BOTH}, {_SPILL}, s AS (SELECT *, t / sum(t) OVER () AS p, c / sum(c) OVER () AS q, row_number() OVER (ORDER BY t DESC, content_id) AS rt, row_number() OVER (ORDER BY c DESC, content_id) AS rc, row_number() OVER (ORDER BY t, content_id) AS at_, row_number() OVER (ORDER BY c, content_id) AS ac_ FROM both_arms)
   SELECT round(0.5 * sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END) + 0.5 * sum(CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END), 6) AS js_divergence,
   round(count(*) FILTER (rt <= 20 AND t > 0 AND rc <= 20 AND c > 0)::double / count(*) FILTER (rt <= 20 AND t > 0 OR rc <= 20 AND c > 0), 6) AS top_jaccard, round(avg((t > 0)::int), 6) AS treatment_coverage, round(avg((c > 0)::int), 6) AS control_coverage,
-  round(2 * sum(at_ * t) / (count(*) * sum(t)) - (count(*) + 1.0) / count(*), 6) AS treatment_gini, round(2 * sum(ac_ * c) / (count(*) * sum(c)) - (count(*) + 1.0) / count(*), 6) AS control_gini FROM s""")
+  round(2 * sum(at_ * t) / (count(*) * sum(t)) - (count(*) + 1.0) / count(*), 6) AS treatment_gini, round(2 * sum(ac_ * c) / (count(*) * sum(c)) - (count(*) + 1.0) / count(*), 6) AS control_gini, (SELECT count(*) FROM spill WHERE a <= 0.05) AS spillover_titles, 0.5 * sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END) + 0.5 * sum(CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) > 0.05 OR (SELECT count(*) FROM spill WHERE a <= 0.05) > 0 AS interference_detected FROM s""")
 def a25_interference(spark, sf):
-    return rounded(A.consumption_divergence(_consumption(spark, sf), "t1", top=20))
+    consumption = _consumption(spark, sf)
+    return rounded(A.interference_decision(A.consumption_divergence(consumption, "t1", top=20), A.spillover_tests(A.title_spillover(consumption, "t1"))))
 
 
-@query(f"WITH {_CONS}, tot AS (SELECT variant_id, sum(n) AS total FROM cons GROUP BY 1), r AS (SELECT * FROM cons JOIN tot USING (variant_id)), z AS (SELECT t.content_id, t.n AS n_t, c.n AS n_c, t.total AS tt, c.total AS tc, (t.n + c.n) / (t.total + c.total) AS p FROM r t JOIN r c USING (content_id) WHERE t.variant_id = 't1' AND c.variant_id = 'control') SELECT content_id, round((n_t / tt - n_c / tc) / sqrt(p * (1 - p) * (1 / tt + 1 / tc)), 6) AS z FROM z")
+@query(f"WITH {_CONS}, {_SPILL} SELECT content_id, round(z, 6) AS z, round(p, 6) AS p_value, round(a, 6) AS p_adjusted, a <= 0.05 AS spills_over FROM spill")
 def a26_title_spillover(spark, sf):
-    return rounded(A.title_spillover(_consumption(spark, sf), "t1").select("content_id", "z"))
+    return rounded(A.spillover_tests(A.title_spillover(_consumption(spark, sf), "t1")))
 
 
 _WINNERS = _CLICKS + ", w AS (SELECT user_id, CASE WHEN count(*) FILTER (n = top) = 1 THEN max(algorithm) FILTER (n = top) END AS winner FROM (SELECT *, max(n) OVER (PARTITION BY user_id) AS top FROM clicks) GROUP BY 1)"
@@ -48,6 +53,11 @@ def a27_win_rates(spark, sf):
     return rounded(A.win_rates(_interleaving(spark, sf, "proportional")))
 
 
+@query(f"WITH {_WINNERS}, c AS (SELECT count(*) FILTER (winner = 'algo_a') AS a, count(*) FILTER (winner = 'algo_b') AS b, count(winner) AS n FROM w) SELECT n::bigint AS decisive, round(CASE WHEN n = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(generate_series(0, least(a, b)), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) END, 6) AS p_value FROM c")
+def a27_win_test(spark, sf):
+    return rounded(A.win_test(A.win_rates(_interleaving(spark, sf, "proportional")), ["algo_a", "algo_b"]))
+
+
 @query(f"WITH {_WINNERS} SELECT w.winner, c.algorithm AS loser, count(*) AS wins FROM w JOIN clicks c USING (user_id) WHERE winner IS NOT NULL AND winner <> algorithm GROUP BY 1, 2")
 def a28_pairwise_wins(spark, sf):
     return A.pairwise_wins(_interleaving(spark, sf, "proportional"))
@@ -136,11 +146,16 @@ def _scm(method):
     def run(spark, sf):
         return P.synthetic_control(control_panel(spark, sf), method)
 
-    run.__name__ = {"classic": "a31_synthetic_control", "augmented": "a32_augmented_control", "did": "a33_synthetic_did", "kalman": "a34_trend_counterfactual"}[method]
+    run.__name__ = {"classic": "a31_synthetic_control", "augmented": "a32_augmented_control", "did": "a33_synthetic_did"}[method]
     return query()(run)
 
 
-a31, a32, a33, a34 = map(_scm, ("classic", "augmented", "did", "kalman"))
+a31, a32, a33 = map(_scm, ("classic", "augmented", "did"))
+
+
+@query()
+def a34_trend_counterfactual(spark, sf):
+    return rounded(P.trend_counterfactual(control_panel(spark, sf)), 4)
 
 
 @query("WITH i AS (SELECT variant_id, avg(metric_value) AS v FROM summaries WHERE computation_date BETWEEN DATE '2024-01-17' AND DATE '2024-01-31' GROUP BY 1), s AS (SELECT variant_id, 1.5 + 0.2 * v AS p FROM i), e AS (SELECT a.variant_id, a.p, a.p - b.p AS e FROM s a, s b WHERE b.variant_id = 'control' AND a.variant_id <> 'control') SELECT variant_id, round(p, 6) AS projected, round(e, 6) AS projected_effect, round(e - 1.96 * abs(e) * sqrt(0.36 / 0.64), 6) AS ci_lower, round(e + 1.96 * abs(e) * sqrt(0.36 / 0.64), 6) AS ci_upper FROM e")
@@ -210,9 +225,9 @@ def a42_dr_off_policy(spark, sf):
     return rounded(O.dr_off_policy(_trajectories(spark, sf), 5, 2, 0.95, 10.0, F.lit(0.5)))
 
 
-@query(f"WITH k AS (SELECT *, post_effect - pre_effect AS ch FROM ({_CONTAMINATION})) SELECT count(*) AS n, round(avg(ch), 6) AS mean_change, round(corr(ch, treatment_contamination_fraction), 6) AS correlation, round(regr_slope(post_effect, treatment_contamination_fraction), 6) AS slope, round(regr_intercept(post_effect, treatment_contamination_fraction), 6) AS corrected_effect, round(avg(ch) / (stddev_samp(ch) / sqrt(count(*))), 6) AS t FROM k")
+@query(f"WITH k AS (SELECT *, post_effect - pre_effect AS ch FROM ({_CONTAMINATION})) SELECT count(*) AS n, round(avg(ch), 6) AS mean_change, round(corr(post_effect, treatment_contamination_fraction), 6) AS correlation, round(regr_slope(post_effect, treatment_contamination_fraction), 6) AS slope, round(regr_intercept(post_effect, treatment_contamination_fraction), 6) AS corrected_effect, round(avg(ch) / (stddev_samp(ch) / sqrt(count(*))), 6) AS t, round(any_value(p), 6) AS p_value, any_value(p < 0.05 AND abs(r) > 0.5 OR p < 0.025) AS detected FROM k, (SELECT r, {t_two_sided_sql('t', 'df')} AS p FROM (SELECT corr(post_effect, treatment_contamination_fraction) AS r, avg(ch) / (stddev_samp(ch) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM k))")
 def a43_feedback_loop(spark, sf):
-    return rounded(A.feedback_loop(M.feedback_loop_contamination(V.metric_summaries(spark, sf), V.model_retraining_events(spark))))
+    return rounded(A.feedback_decision(A.feedback_loop(M.feedback_loop_contamination(V.metric_summaries(spark, sf), V.model_retraining_events(spark)))))
 
 
 @query("""WITH c AS (SELECT variant_id, event_date AS d, avg(value) AS v FROM metric_events JOIN eu USING (user_id) WHERE event_type = 'error' GROUP BY 1, 2), f AS (SELECT *, v > 50 AS b, sum((NOT (v > 50))::int) OVER (PARTITION BY variant_id ORDER BY d) AS g FROM c)
@@ -279,16 +294,16 @@ EXPERIMENTS = [
 ]
 
 
-def _murmur_views(salt: str) -> str:
-    """Views that end in ``hashed(user_id, h)``: MurmurHash3 of ``user NUL salt``, block by block."""
+def _murmur_views(salt: str, units: str = "SELECT DISTINCT user_id FROM metric_events", to: str = "hashed") -> str:
+    """Views that end in ``to(user_id, h)``: MurmurHash3 of ``user NUL salt``, block by block, for the ``units``."""
     rot = lambda x, n: f"(((({x}) << {n}) | (({x}) >> {32 - n})) & 4294967295)"
     times = lambda x, c: f"((({x})::hugeint * {c}) % 4294967296)::bigint"
-    return f"""mb AS (SELECT user_id, list_concat(list_transform(regexp_extract_all(user_id::varchar, '.'), lambda c: ascii(c)::bigint), [0::bigint], list_transform(regexp_extract_all('{salt}', '.'), lambda c: ascii(c)::bigint)) AS b FROM (SELECT DISTINCT user_id FROM metric_events)),
-  mk AS (SELECT user_id, len(b) AS n, list_transform(generate_series(0, (len(b) - 1) // 4), lambda k: b[4 * k + 1] + coalesce(b[4 * k + 2], 0) * 256 + coalesce(b[4 * k + 3], 0) * 65536 + coalesce(b[4 * k + 4], 0) * 16777216) AS k FROM mb),
-  ms AS (SELECT user_id, n, list_transform(list_transform(k, lambda x: {times("x", 3432918353)}), lambda x: {times(rot("x", 15), 461845907)}) AS k FROM mk),
-  mh AS (SELECT user_id, n, k, list_reduce(list_prepend(0::bigint, k[:n // 4]), lambda h, x: ({rot("xor(h, x)", 13)} * 5 + 3864292196) & 4294967295) AS h FROM ms),
-  m0 AS (SELECT user_id, xor(CASE WHEN n % 4 > 0 THEN xor(h, k[n // 4 + 1]) ELSE h END, n) AS h FROM mh),
-  m1 AS (SELECT user_id, {times("xor(h, h >> 16)", 2246822507)} AS h FROM m0), m2 AS (SELECT user_id, {times("xor(h, h >> 13)", 3266489909)} AS h FROM m1), hashed AS (SELECT user_id, xor(h, h >> 16) AS h FROM m2)"""
+    return f"""mb{to} AS (SELECT user_id, list_concat(list_transform(regexp_extract_all(user_id::varchar, '.'), lambda c: ascii(c)::bigint), [0::bigint], list_transform(regexp_extract_all('{salt}', '.'), lambda c: ascii(c)::bigint)) AS b FROM ({units})),
+  mk{to} AS (SELECT user_id, len(b) AS n, list_transform(generate_series(0, (len(b) - 1) // 4), lambda k: b[4 * k + 1] + coalesce(b[4 * k + 2], 0) * 256 + coalesce(b[4 * k + 3], 0) * 65536 + coalesce(b[4 * k + 4], 0) * 16777216) AS k FROM mb{to}),
+  ms{to} AS (SELECT user_id, n, list_transform(list_transform(k, lambda x: {times("x", 3432918353)}), lambda x: {times(rot("x", 15), 461845907)}) AS k FROM mk{to}),
+  mh{to} AS (SELECT user_id, n, k, list_reduce(list_prepend(0::bigint, k[:n // 4]), lambda h, x: ({rot("xor(h, x)", 13)} * 5 + 3864292196) & 4294967295) AS h FROM ms{to}),
+  m0{to} AS (SELECT user_id, xor(CASE WHEN n % 4 > 0 THEN xor(h, k[n // 4 + 1]) ELSE h END, n) AS h FROM mh{to}),
+  m1{to} AS (SELECT user_id, {times("xor(h, h >> 16)", 2246822507)} AS h FROM m0{to}), m2{to} AS (SELECT user_id, {times("xor(h, h >> 13)", 3266489909)} AS h FROM m1{to}), {to} AS (SELECT user_id, xor(h, h >> 16) AS h FROM m2{to})"""
 
 
 _VARIANT_SQL = "CASE WHEN b > 7999 THEN NULL WHEN b / 8000.0 < 0.5 THEN 'control' WHEN b / 8000.0 < 0.8 THEN 't1' ELSE 't2' END"
@@ -306,7 +321,7 @@ def as2_assign_variants(spark, sf):
     return S.assign_variants(users, EXPERIMENTS[1]).groupBy("variant_id").agg(F.count("*").alias("users"))
 
 
-@query()
+@query(f"WITH {_murmur_views('rank-salt', "SELECT DISTINCT user_id || '-' || session_no AS user_id FROM sessions")} SELECT {_VARIANT_SQL} AS variant_id, count(*) AS sessions FROM (SELECT h % 10000 AS b FROM hashed) GROUP BY 1")
 def as3_session_assignment(spark, sf):
     s = V.sessions(spark, sf).select("user_id", F.concat_ws("-", "user_id", "session_no").alias("session_id")).distinct()
     return S.assign_variants(s, EXPERIMENTS[1], unit=S.session_unit(True)).groupBy("variant_id").agg(F.count("*").alias("sessions"))
@@ -317,12 +332,26 @@ def _assigned(spark, sf):
     return S.assign_all(users, EXPERIMENTS, F.col("attributes"))
 
 
-@query()
+_ALL_SQL = f"""WITH {_murmur_views('hold-salt', to='h1')}, {_murmur_views('rank-salt', to='h2')}, {_murmur_views('art-salt', to='h3')},
+  held AS (SELECT user_id, 'hold' AS experiment_id, 'home' AS layer, 'holdout' AS variant_id FROM h1 WHERE h % 10000 <= 499),
+  ranked AS (SELECT user_id, 'rank' AS experiment_id, 'home' AS layer, {_VARIANT_SQL} AS variant_id FROM (SELECT user_id, h % 10000 AS b FROM h2)),
+  art AS (SELECT user_id, 'art' AS experiment_id, 'art' AS layer, CASE WHEN (h % 10000 - 2000) / 8000.0 < 0.5 THEN 'control' ELSE 't1' END AS variant_id FROM h3 WHERE h % 10000 >= 2000 AND user_id % 4 < 3),
+  assigned AS (SELECT * FROM held UNION ALL SELECT * FROM ranked WHERE variant_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM held) UNION ALL SELECT * FROM art)"""
+
+
+@query("SELECT user_id, (user_id % 4 < 3 OR content_id % 2 = 0) AND user_id % 5 = 0 AS eligible, count(*) AS n FROM metric_events GROUP BY 1, 2")
+def as4_eligibility(spark, sf):
+    rules = [[("platform", "IN", ["0", "1", "2"]), ("even", "EQUALS", ["yes"])], [("fifth", "EQUALS", ["0"])]]
+    attributes = F.create_map(F.lit("platform"), (F.col("user_id") % 4).cast("string"), F.lit("even"), F.when(F.col("content_id") % 2 == 0, "yes").otherwise("no"), F.lit("fifth"), (F.col("user_id") % 5).cast("string"))
+    return V.metric_events(spark, sf).select("user_id", targeting(attributes, rules).alias("eligible")).groupBy("user_id", "eligible").agg(F.count("*").alias("n"))
+
+
+@query(f"{_ALL_SQL} SELECT user_id, experiment_id, layer, variant_id FROM assigned")
 def as5_assign_all(spark, sf):
     return _assigned(spark, sf)
 
 
-@query()
+@query(f"{_ALL_SQL} SELECT experiment_id, count(*) AS exposures, count(*) FILTER (user_id % 10 = 0) AS mismatches FROM assigned GROUP BY 1")
 def as6_parity_audit(spark, sf):
     logged = _assigned(spark, sf).withColumn("variant_id", F.when(F.col("user_id") % 10 == 0, "other").otherwise(F.col("variant_id")))
     return S.parity_audit(_assigned(spark, sf), logged)
@@ -341,7 +370,13 @@ def b2_linucb_sums(spark, sf):
     return rounded(B.linucb_sums(V.reward_events(spark, sf)))
 
 
-@query()
+_UCB = _CTX.replace("AS x FROM metric_events", "AS x, event_id, user_id % 6 AS segment FROM metric_events") + """, m AS (SELECT arm_id, 1 + sum(x[1] * x[1]) AS a, sum(x[1] * x[2]) AS b, sum(x[1] * x[3]) AS c, 1 + sum(x[2] * x[2]) AS d, sum(x[2] * x[3]) AS e, 1 + sum(x[3] * x[3]) AS f, sum(r * x[1]) AS u, sum(r * x[2]) AS v, sum(r * x[3]) AS w FROM ctx GROUP BY 1),
+  g AS (SELECT *, d * f - e * e AS i11, c * e - b * f AS i12, b * e - c * d AS i13, a * f - c * c AS i22, b * c - a * e AS i23, a * d - b * b AS i33, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM m),
+  th AS (SELECT *, (i11 * u + i12 * v + i13 * w) / det AS t1, (i12 * u + i22 * v + i23 * w) / det AS t2, (i13 * u + i23 * v + i33 * w) / det AS t3 FROM g),
+  sc AS (SELECT c.event_id, c.segment, th.arm_id, t1 * x[1] + t2 * x[2] + t3 * x[3] AS mean, (i11 * x[1] * x[1] + i22 * x[2] * x[2] + i33 * x[3] * x[3] + 2 * (i12 * x[1] * x[2] + i13 * x[1] * x[3] + i23 * x[2] * x[3])) / det AS var FROM ctx c, th)"""
+
+
+@query(f"WITH {_UCB} SELECT event_id, arm_id, round(mean + sqrt(greatest(0, var)), 6) AS score FROM sc")
 def b3_ucb_scores(spark, sf):
     r = V.reward_events(spark, sf)
     return rounded(B.ucb_scores(r.select("experiment_id", "event_id", "context"), B.linucb_weights(B.linucb_sums(r))).select("event_id", "arm_id", "score"))
@@ -352,7 +387,7 @@ def b4_selection_probabilities(spark, sf):
     return B.selection_probabilities(B.thompson_posteriors(V.reward_events(spark, sf)))
 
 
-@query()
+@query(f"WITH {_UCB}, k AS (SELECT segment, arm_id, avg(mean) AS score FROM sc GROUP BY 1, 2) SELECT segment, arg_max(arm_id, score) AS arm_id, round(max(score), 6) AS score FROM k GROUP BY 1")
 def b5_best_arm_per_segment(spark, sf):
     r = V.reward_events(spark, sf)
     contexts = r.select("experiment_id", (F.col("user_id") % 6).alias("segment"), "context")
@@ -364,14 +399,18 @@ def _slates(spark, sf):
     return r.select(F.col("event_id").alias("slate_id"), F.array(*[F.lit(i) for i in range(5)]).alias("items"), F.when(F.col("user_id") % 3 > 0, F.col("position")).alias("clicked"), "reward")
 
 
-@query("WITH s AS (SELECT event_id, CASE WHEN user_id % 3 > 0 THEN content_id % 5 END AS c, CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END AS r FROM metric_events WHERE event_type IN ('click', 'purchase')) SELECT event_id AS slate_id, p::int AS position, (CASE WHEN p = c THEN r ELSE 0 END)::double AS reward FROM s, range(0, 5) t(p) WHERE c IS NULL OR p <= c")
+@query("""WITH s AS (SELECT event_id, CASE WHEN user_id % 3 > 0 THEN content_id % 5 END AS c, CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END AS r FROM metric_events WHERE event_type IN ('click', 'purchase')), p AS (SELECT *, p::int AS position, CASE WHEN p = c THEN r ELSE 0 END AS hit FROM s, range(0, 5) t(p))
+  SELECT scheme, event_id AS slate_id, position, round(CASE scheme WHEN 'position_weighted' THEN hit / (position + 1) ELSE hit END, 6)::double AS reward FROM p, (VALUES ('leave_one_out'), ('clicked_only'), ('position_weighted')) v(scheme) WHERE scheme <> 'leave_one_out' OR c IS NULL OR position <= c""")
 def b6_slate_rewards(spark, sf):
-    return B.slate_rewards(_slates(spark, sf), "leave_one_out").select("slate_id", "position", "reward")
+    each = [B.slate_rewards(_slates(spark, sf), s).select(F.lit(s).alias("scheme"), "slate_id", "position", "reward") for s in ("leave_one_out", "clicked_only", "position_weighted")]
+    return rounded(each[0].unionByName(each[1]).unionByName(each[2]))
 
 
-@query("SELECT event_id, round(greatest(0, least(1, CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END * 0.5 / pow(0.85, content_id % 5))), 6) AS cascade FROM metric_events WHERE event_type IN ('click', 'purchase')")
+@query("SELECT event_id, round(greatest(0, least(1, r * 0.5 / pow(0.85, p))), 6) AS cascade, round(greatest(0, least(1, r * 0.5 / CASE p WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 ELSE 1.0 END)), 6) AS examination, round(r * 0.5, 6) AS plain FROM (SELECT event_id, CASE WHEN value > 20 THEN 1.0::double ELSE 0.0 END AS r, content_id % 5 AS p FROM metric_events WHERE event_type IN ('click', 'purchase'))")
 def b7_position_bias(spark, sf):
-    return rounded(V.reward_events(spark, sf).select("event_id", B.debiased(F.col("reward") * 0.5, F.col("position"), "cascade").alias("cascade")))
+    half, at = F.col("reward") * 0.5, F.col("position")
+    seen = {0: 1.0, 1: 0.7, 2: 0.4}
+    return rounded(V.reward_events(spark, sf).select("event_id", B.debiased(half, at, "cascade").alias("cascade"), B.debiased(half, at, "examination", examination=seen).alias("examination"), B.debiased(half, at).alias("plain")))
 
 
 @query("SELECT 'exp' AS experiment_id, round(avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END / (0.05 + 0.01 * (content_id % 5))), 6) AS value, count(*) AS n FROM metric_events WHERE event_type IN ('click', 'purchase')")
@@ -379,11 +418,21 @@ def b8_lips_estimate(spark, sf):
     return rounded(B.lips_estimate(V.reward_events(spark, sf), ["experiment_id"]))
 
 
-@query("""WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY event_id) AS k, CASE WHEN value > 20 THEN 1.0::double ELSE 0.0 END AS r FROM metric_events WHERE event_type IN ('click', 'purchase') AND user_id < 3),
-  f(k, m, v) AS (SELECT 0::bigint, 0.0::double, 1.0::double UNION ALL SELECT f.k + 1, m + 0.01 * (r - m), 0.99 * (v + 0.01 * (r - m) * (r - m)) FROM f JOIN e ON e.k = f.k + 1)
-  SELECT 'exp' AS experiment_id, round(m, 6) AS mean, round(v, 6) AS variance FROM f WHERE k = (SELECT max(k) FROM e)""")
+@query("""WITH e AS (SELECT CASE WHEN value > 20 THEN 1.0::double ELSE 0.0 END AS r, row_number() OVER (ORDER BY event_id DESC) - 1 AS back, count(*) OVER () AS n FROM metric_events WHERE event_type IN ('click', 'purchase')),
+  s AS (SELECT sum(0.01 * pow(0.99, back) * r) AS m, sum(0.01 * pow(0.99, back) * r * r) + pow(0.99, any_value(n)) AS q, max(r) FILTER (back = 0) AS last FROM e)
+  SELECT 'exp' AS experiment_id, round(m, 6) AS mean, round(q - m * m, 6) AS variance, round((last - m) / sqrt(q - m * m), 6) AS z FROM s""")
 def b9_reward_normalisation(spark, sf):
-    return rounded(B.ema_normalised(V.reward_events(spark, sf).filter("user_id < 3"), ["experiment_id"], "event_id").select("experiment_id", "mean", "variance"))
+    # tests hold the weighted sums against the step-by-step recursion
+    return rounded(B.ema_normalised(V.reward_events(spark, sf), ["experiment_id"], "event_id"))
+
+
+@query("""WITH z AS (SELECT event_id, CASE WHEN value > 20 THEN 1.0::double ELSE 0.0 END - 0.5 AS a, content_id / 100.0 - 0.5 AS b FROM metric_events WHERE event_type IN ('click', 'purchase'))
+  SELECT event_id, round(0.7 * a + 0.3 * b, 6) AS weighted, round(0.7 * a + 0.3 * b - 10 * greatest(0, 0.1 - b), 6) AS constrained, round(-greatest(0.7 * abs(0.5 - a), 0.3 * abs(0.5 - b), 0), 6) AS tchebycheff FROM z""")
+def b9_composed_rewards(spark, sf):
+    z = {"reward": F.col("reward") - 0.5, "place": F.element_at("context", 2) - 0.5}
+    weights = {"reward": 0.7, "place": 0.3}
+    half = {m: F.lit(0.5) for m in z}
+    return rounded(V.reward_events(spark, sf).select("event_id", B.composed(z, "weighted", weights).alias("weighted"), B.composed(z, "epsilon_constraint", weights, floors={"place": 0.1}).alias("constrained"), B.composed(z, "tchebycheff", weights, half).alias("tchebycheff")))
 
 
 @query("WITH r AS (SELECT event_id, (content_id % 4)::int AS arm, CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END - 0.5 AS y FROM metric_events WHERE event_type IN ('click', 'purchase') AND user_id % 2 = 0), b AS (SELECT arm, y, coalesce(avg(y) OVER (PARTITION BY arm ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 0.25 AS l FROM r) SELECT arm AS arm_id, round(sum(l * y - 0.5 * l * l * 0.25), 6) AS log_e, count(*) AS n FROM b GROUP BY 1")
@@ -398,7 +447,8 @@ def b11_daily_allocation(spark, sf):
     return rounded(B.daily_shares(r, "event_date"))
 
 
-@query()
+@query("""WITH e AS (SELECT (content_id % 4)::int AS arm, row_number() OVER (ORDER BY event_id DESC) - 1 AS back, count(*) OVER () AS n FROM metric_events WHERE event_type IN ('click', 'purchase')), s AS (SELECT a::int AS arm_id, pow(0.95, any_value(n)) / 4 + sum(CASE WHEN arm = a THEN 0.05 * pow(0.95, back) ELSE 0 END) AS share FROM e, range(0, 4) t(a) GROUP BY a)
+  SELECT 'exp' AS experiment_id, arm_id, round(share, 6) AS share, share BETWEEN 0.05 AND 0.6 AS in_bounds FROM s""")
 def b11_allocation_ema(spark, sf):
     return rounded(B.allocation_shares(V.reward_events(spark, sf), "event_id", 0.05, [0, 1, 2, 3], 0.05, 0.6))
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemetric.functions import distributions as D
 from tidemetric.functions.events import clamped, ebvs_detected, is_finite, json_features, sound_map
 from tidemetric.operators import catalog as C
 from tidemetric.operators import metrics as M
 from tidemetric.operators.exposure import exposed_users
-from tidemetric.plans.registry import query, rounded
+from tidemetric.plans.registry import half_normal_sql, query, rounded
 from tidemetric.sources import lake
 from tidemetric.sources import views as V
 from tidemetric.sources.store import append_run_log, check_fresh, shared_folder, write_partitions
@@ -116,10 +117,10 @@ def j13_map_lookup(spark, sf):
     return V.metric_events(spark, sf).withColumn("algorithm", F.try_element_at(provenance, F.col("content_id"))).groupBy("user_id", "algorithm").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, event_id, round(avg(value) OVER w, 6) AS prior_mean, round(sum(value) OVER r, 3) AS running_total FROM metric_events WHERE user_id < 20 WINDOW w AS (PARTITION BY user_id ORDER BY event_timestamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r AS (PARTITION BY user_id ORDER BY event_timestamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+@query("SELECT user_id, event_id, round(avg(value) OVER w, 6) AS prior_mean, round(sum(value) OVER r, 3) AS running_total FROM metric_events WINDOW w AS (PARTITION BY user_id ORDER BY event_timestamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r AS (PARTITION BY user_id ORDER BY event_timestamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def w4_running_windows(spark, sf):
     own = Window.partitionBy("user_id").orderBy("event_timestamp", "event_id")
-    rows = V.metric_events(spark, sf).filter("user_id < 20")
+    rows = V.metric_events(spark, sf)
     return rounded(rows.select("user_id", "event_id", F.round(F.avg("value").over(own.rowsBetween(Window.unboundedPreceding, -1)), 6).alias("prior_mean"), F.round(F.sum("value").over(own.rowsBetween(Window.unboundedPreceding, 0)), 3).alias("running_total")))
 
 
@@ -149,9 +150,9 @@ def x2_set_overlap(spark, sf):
     return arms.agg(F.count(F.when(F.col("arms") == 2, 1)).alias("shared"), F.count("*").alias("either"))
 
 
-@query("SELECT event_id, (event_date - 7)::varchar AS week_before, (event_date + 3)::varchar AS later, strftime(event_timestamp + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M') AS plus, round(ln(1 + value), 6) AS log_value, round(power(value, 2), 4) AS squared, abs(content_id - 50) AS distance, content_id % 7 AS fold FROM metric_events WHERE event_id % 10 = 0")
+@query("SELECT event_id, (event_date - 7)::varchar AS week_before, (event_date + 3)::varchar AS later, strftime(event_timestamp + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M') AS plus, round(ln(1 + value), 6) AS log_value, round(power(value, 2), 4) AS squared, abs(content_id - 50) AS distance, content_id % 7 AS fold FROM metric_events")
 def f1_f2_scalar_functions(spark, sf):
-    e = V.metric_events(spark, sf).filter("event_id % 10 = 0")
+    e = V.metric_events(spark, sf)
     return rounded(e.select(
         "event_id", F.date_sub("event_date", 7).cast("string").alias("week_before"), F.date_add("event_date", 3).cast("string").alias("later"), F.date_format(F.col("event_timestamp") + F.expr("INTERVAL 36 HOURS"), "yyyy-MM-dd HH:mm").alias("plus"),
         F.ln(1 + F.col("value")).alias("log_value"), F.round(F.pow("value", F.lit(2)), 4).alias("squared"), F.abs(F.col("content_id") - 50).alias("distance"), F.pmod("content_id", F.lit(7)).alias("fold"),
@@ -177,13 +178,38 @@ def f10_ebvs_rule(spark, sf):
     return q.groupBy("ebvs_detected").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, round(least(100, greatest(5, value)), 4) AS held, true AS finite, event_type <> 'error' AS tagged FROM metric_events WHERE event_id % 20 = 0")
+@query("SELECT event_id, round(least(100, greatest(5, value)), 4) AS held, true AS finite, event_type <> 'error' AS tagged FROM metric_events")
 def f11_clamp_and_checks(spark, sf):
     tags = F.create_map(F.lit("type"), F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")))
-    return rounded(V.metric_events(spark, sf).filter("event_id % 20 = 0").select("event_id", clamped(F.col("value"), 5.0, 100.0).alias("held"), is_finite(F.col("value")).alias("finite"), sound_map(tags).alias("tagged")), 4)
+    return rounded(V.metric_events(spark, sf).select("event_id", clamped(F.col("value"), 5.0, 100.0).alias("held"), is_finite(F.col("value")).alias("finite"), sound_map(tags).alias("tagged")), 4)
 
 
-@query()
+@query("SELECT CASE WHEN user_id % 2 = 0 THEN 'control' ELSE 'treatment' END AS variant_id, count(*) AS users, true AS near FROM (SELECT DISTINCT user_id FROM metric_events) GROUP BY 1")
 def s14_synthetic_arms(spark, sf):
-    users = V.metric_events(spark, sf).select("user_id").distinct().count()
-    return rounded(lake.synthetic_arms(spark, 100 * users, "poisson").groupBy("variant_id").agg(F.count("*").alias("users"), F.avg("value").alias("mean")), 3)
+    users = V.metric_events(spark, sf).select("user_id").distinct()
+    drawn = lake.synthetic_arms(users, "poisson").groupBy("variant_id").agg(F.count("*").alias("users"), F.avg("value").alias("mean"))
+    rate = F.when(F.col("variant_id") == "treatment", 5.0).otherwise(3.0)
+    return drawn.select("variant_id", "users", (F.abs(F.col("mean") - rate) <= 4 * F.sqrt(rate / F.col("users"))).alias("near"))
+
+
+@query("WITH c AS (SELECT user_id, CASE WHEN content_id % 2 = 0 THEN 'algo_a' ELSE 'algo_b' END AS algorithm, count(*) AS n FROM metric_events JOIN eu USING (user_id) WHERE event_type = 'click' GROUP BY 1, 2) SELECT 'exp' AS experiment_id, user_id::varchar AS user_id, algorithm, round(n / sum(n) OVER (PARTITION BY user_id), 6) AS score FROM c")
+def s4_interleaving_scores(spark, sf):
+    scores = M.interleaving_scores(V.metric_events(spark, sf), _users(spark, sf), F.when(F.col("content_id") % 2 == 0, "algo_a").otherwise("algo_b"), "click", "proportional")
+    path = shared_folder(spark, "interleaving-scores")
+    scores.select(F.lit("exp").alias("experiment_id"), F.col("user_id").cast("string").alias("user_id"), "algorithm_scores", "winning_algorithm_id", F.lit(0).alias("total_engagements"), F.to_date(F.lit(V.START)).alias("computation_date")).write.parquet(path)
+    return rounded(lake.read_interleaving_scores(spark, path, "exp").select("experiment_id", "user_id", "algorithm", "score"))
+
+
+@query("SELECT 'exp' AS experiment_id, 'value' AS metric_id, block AS period_id, round(avg(value), 6) AS value, (block % 2)::bigint AS is_treatment, row_number() OVER (ORDER BY block)::int AS at FROM (SELECT value, floor(epoch_us(event_timestamp) / 1000000.0 / 43200)::bigint AS block FROM metric_events) GROUP BY block")
+def s7_switchback_periods(spark, sf):
+    block = F.floor(F.unix_micros(F.col("event_timestamp").cast("timestamp")) / 1_000_000 / 43_200)
+    series = V.metric_events(spark, sf).groupBy(block.cast("long").alias("period_id")).agg(F.avg("value").alias("value"))
+    path = shared_folder(spark, "switchback-periods")
+    series.select(F.lit("exp").alias("experiment_id"), F.lit("value").alias("metric_id"), "period_id", "value", (F.col("period_id") % 2).alias("is_treatment")).write.parquet(path)
+    return rounded(lake.read_switchback_periods(spark, path, "exp").select("experiment_id", "metric_id", "period_id", "value", "is_treatment", "at"))
+
+
+@query("SELECT user_id, round(exp(-x / 2) * (1 + x / 2), 6) AS chi_square_p, round(1 - sqrt(x * x / (2 + x * x)), 6) AS t_p, " + f"round(2 * (0.5 - {half_normal_sql('z')}), 6) AS normal_p" + " FROM (SELECT user_id, (avg(value) / 10)::double AS x, ((avg(value) - 50) / 10)::double AS z FROM metric_events GROUP BY 1)")
+def f12_distribution_functions(spark, sf):
+    x = V.metric_events(spark, sf).groupBy("user_id").agg((F.avg("value") / 10).alias("x"), ((F.avg("value") - 50) / 10).alias("z"))
+    return rounded(x.select("user_id", D.chi_square_p(F.col("x"), F.lit(4.0)).alias("chi_square_p"), D.t_p_value(F.col("x"), F.lit(2.0)).alias("t_p"), D.normal_p_value(F.col("z")).alias("normal_p")))

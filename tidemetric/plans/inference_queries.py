@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemetric.operators import inference as I
-from tidemetric.plans.registry import query, rounded
+from tidemetric.plans.registry import normal_cdf_sql, query, rounded, t_two_sided_sql
 from tidemetric.sources import views as V
 
 KEYS = ["metric_id"]
@@ -38,14 +38,20 @@ def a1_welch(spark, sf):
     return rounded(I.welch(_pairs(spark, sf)).select("variant_id", "effect", "se", F.round("df", 4).alias("df"), "t"))
 
 
-@query()
+_T975 = " + ".join(f"{c / d!r} / pow(df, {k})" for k, (c, d) in enumerate([(Z975, 1), (Z975**3 + Z975, 4), (5 * Z975**5 + 16 * Z975**3 + 3 * Z975, 96), (3 * Z975**7 + 19 * Z975**5 + 17 * Z975**3 - 15 * Z975, 384), (79 * Z975**9 + 776 * Z975**7 + 1482 * Z975**5 - 1920 * Z975**3 - 945 * Z975, 92160)]))
+
+
+@query(f"WITH {_PAIRS}, p AS (SELECT *, {t_two_sided_sql('(effect / se)', 'df')} AS p FROM welch) SELECT variant_id, round(effect, 6) AS effect, round(p, 6) AS p_value, round(effect - ({_T975}) * se, 5) AS ci_lower, round(effect + ({_T975}) * se, 5) AS ci_upper, p < 0.05 AS significant FROM p")
 def a1_welch_p_values(spark, sf):
-    return rounded(I.with_t_test(I.welch(_pairs(spark, sf))).select("variant_id", "effect", "p_value", "ci_lower", "ci_upper", "significant"))
+    # the twin's quantile is its expansion in 1 / df, good to 1e-8 from 30 degrees of freedom on
+    out = I.with_t_test(I.welch(_pairs(spark, sf)))
+    return rounded(out.select("variant_id", "effect", "p_value", F.round("ci_lower", 5).alias("ci_lower"), F.round("ci_upper", 5).alias("ci_upper"), "significant"))
 
 
-@query("SELECT experiment_id, round(sum(pow(u - tot / 3.0, 2) / (tot / 3.0)), 6) AS chi_square, count(*) - 1 AS df, sum(u)::bigint AS users FROM (SELECT experiment_id, variant_id, count(DISTINCT user_id) AS u, sum(count(DISTINCT user_id)) OVER (PARTITION BY experiment_id) AS tot FROM exposures WHERE user_id % 7 > 0 GROUP BY 1, 2) GROUP BY 1")
+@query("WITH s AS (SELECT experiment_id, sum(pow(u - tot * share, 2) / (tot * share)) AS chi_square, count(*) - 1 AS df, sum(u)::bigint AS users FROM (SELECT experiment_id, variant_id, CASE variant_id WHEN 'control' THEN 0.4 ELSE 0.3 END AS share, count(DISTINCT user_id) AS u, sum(count(DISTINCT user_id)) OVER (PARTITION BY experiment_id) AS tot FROM exposures GROUP BY 1, 2) GROUP BY 1) SELECT experiment_id, round(chi_square, 6) AS chi_square, df, users, round(exp(-chi_square / 2), 6) AS p_value, exp(-chi_square / 2) < 0.001 AS mismatch FROM s")
 def a2_srm_check(spark, sf):
-    return rounded(I.srm_check(V.exposures(spark, sf).filter("user_id % 7 > 0"), ["experiment_id"]))
+    # three arms have two degrees of freedom, where the tail of χ² is exp(-x / 2)
+    return rounded(I.with_srm_p(I.srm_check(V.exposures(spark, sf), ["experiment_id"], {"control": 0.4, "t1": 0.3, "t2": 0.3})))
 
 
 @query(f"WITH {_PAIRS} SELECT variant_id, round(th, 6) AS theta, round(raw_effect, 6) AS raw_effect, round(effect, 6) AS effect, round(se, 6) AS se, round(variance_reduction, 6) AS variance_reduction, round(effect - {Z975} * se, 6) AS ci_lower, round(effect + {Z975} * se, 6) AS ci_upper FROM cup")
@@ -85,9 +91,16 @@ def a8_e_value_adjusted(spark, sf):
     return rounded(I.e_value_adjusted(_pairs(spark, sf, True), 0.5).select("variant_id", "log_e"))
 
 
-@query(f"WITH {_PAIRS} SELECT variant_id, round((effect + 0.1 * mc) / se, 6) AS t_lower, round((0.1 * mc - effect) / se, 6) AS t_upper FROM welch")
+def _upper_p(t: str, df: str) -> str:
+    return f"CASE WHEN {t} > 0 THEN {t_two_sided_sql(t, df)} / 2 ELSE 1 - {t_two_sided_sql(t, df)} / 2 END"
+
+
+_TOST = _PAIRS + f", tt AS (SELECT variant_id, (effect + 0.1 * mc) / se AS tl, (0.1 * mc - effect) / se AS tu, df FROM welch), tost AS (SELECT *, greatest({_upper_p('tl', 'df')}, {_upper_p('tu', 'df')}) AS p FROM tt)"
+
+
+@query(f"WITH {_TOST} SELECT variant_id, round(tl, 6) AS t_lower, round(tu, 6) AS t_upper, round(p, 6) AS p_value, p < 0.05 AS equivalent FROM tost")
 def a9_tost(spark, sf):
-    return rounded(I.tost(I.welch(_pairs(spark, sf)), 0.1 * F.col("mean_c")).select("variant_id", "t_lower", "t_upper"))
+    return rounded(I.with_tost_p(I.tost(I.welch(_pairs(spark, sf)), 0.1 * F.col("mean_c"))).select("variant_id", "t_lower", "t_upper", "p_value", "equivalent"))
 
 
 @query(f"WITH {_PAIRS} SELECT variant_id, round((effect + 5) / se, 6) AS t_lower, round((5 - effect) / se, 6) AS t_upper FROM cup")
@@ -95,9 +108,9 @@ def a10_tost_cuped(spark, sf):
     return rounded(I.tost_cuped(_pairs(spark, sf, True), F.lit(5.0)).select("variant_id", "t_lower", "t_upper"))
 
 
-@query(f"WITH {_PAIRS} SELECT variant_id, ceil(2 * (vt + vc) / 2 * pow(({I.z_quantile(0.95)!r} + {I.z_quantile(0.9)!r}) / 5, 2))::bigint AS n_per_arm, round(5 / sqrt(vt / nt + vc / nc) - {I.z_quantile(0.95)!r}, 6) AS z_now FROM pairs")
+@query(f"WITH {_PAIRS} SELECT variant_id, ceil(2 * (vt + vc) / 2 * pow(({I.z_quantile(0.95)!r} + {I.z_quantile(0.9)!r}) / 5, 2))::bigint AS n_per_arm, round(5 / sqrt(vt / nt + vc / nc) - {I.z_quantile(0.95)!r}, 6) AS z_now, round(greatest(0, 2 * {normal_cdf_sql(f"(5 / sqrt(vt / nt + vc / nc) - {I.z_quantile(0.95)!r})")} - 1), 6) AS power FROM pairs")
 def a11_tost_sample_size(spark, sf):
-    return rounded(I.tost_sample_size(_pairs(spark, sf), 5.0).select("variant_id", "n_per_arm", "z_now"))
+    return rounded(I.with_tost_power(I.tost_sample_size(_pairs(spark, sf), 5.0)).select("variant_id", "n_per_arm", "z_now", "power"))
 
 
 @query(f"""WITH {_OBS}, w AS (SELECT variant_id, y, 1 / least(greatest(p, 0.25), 0.75) AS w, (p < 0.25 OR p > 0.75) AS clip FROM obs),
@@ -160,13 +173,13 @@ def a17_benjamini_hochberg(spark, sf):
     return rounded(I.benjamini_hochberg(_tests(spark, sf), KEYS, 0.6).select("variant_id", "p_adjusted", "reject"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY user_id) AS k, user_id, CASE WHEN user_id % 9 = 0 THEN 4000.0 ELSE 0.5 END AS e FROM (SELECT DISTINCT user_id FROM metric_events WHERE user_id < 30)),
+@query("""WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY user_id) AS k, user_id, CASE WHEN user_id % 9 = 0 THEN 4000.0 ELSE 0.5 END AS e FROM (SELECT DISTINCT user_id FROM metric_events)),
   f(k, wealth, hits) AS (SELECT 0::bigint, 0.05::double, 0 UNION ALL SELECT f.k + 1,
     greatest(0, wealth - wealth * 0.1 * pow(0.9, f.k) + CASE WHEN e.e * wealth * 0.1 * pow(0.9, f.k) >= 1 THEN 0.05 ELSE 0 END), hits + CASE WHEN e.e * wealth * 0.1 * pow(0.9, f.k) >= 1 THEN 1 ELSE 0 END
     FROM f JOIN e ON e.k = f.k + 1)
   SELECT k::int AS tests, hits AS rejections, round(wealth, 9) AS wealth FROM f WHERE k = (SELECT max(k) FROM e)""")
 def a18_online_fdr(spark, sf):
-    users = V.metric_events(spark, sf).filter("user_id < 30").select("user_id").distinct()
+    users = V.metric_events(spark, sf).select("user_id").distinct()
     tests = users.select(F.lit("program").alias("program"), "user_id", F.when(F.col("user_id") % 9 == 0, 4000.0).otherwise(0.5).alias("e_value"))
     return rounded(I.online_fdr(tests, ["program"], "user_id", 0.05, 0.9).drop("program"), 9)
 
@@ -176,15 +189,29 @@ def a20_bayes_normal(spark, sf):
     return rounded(I.bayes_normal(_pairs(spark, sf), 0.0, 4.0).select("variant_id", "posterior_mean", "posterior_sd"))
 
 
-@query(f"WITH {_OBS} SELECT metric_id, round(var_samp(y), 4) AS blinded_var, round(3 * sqrt(count(*) / 3.0 / 2) / stddev_samp(y), 6) AS ncp_now, round(3 * sqrt(2000 / 2) / stddev_samp(y), 6) AS ncp_planned FROM obs GROUP BY 1")
+_Z_EXTRA = I.z_quantile(0.975) + I.z_quantile(0.9)
+
+
+@query(f"""WITH {_OBS}, b AS (SELECT metric_id, var_samp(y) AS v, count(*) / 3.0 AS n FROM obs GROUP BY 1), c AS (SELECT *, 3 * sqrt(n / 2) / sqrt(v) AS now, 3 * sqrt(2000 / 2) / sqrt(v) AS planned FROM b),
+  p AS (SELECT *, {normal_cdf_sql(f"(planned - {Z975})")} + {normal_cdf_sql(f"(-planned - {Z975})")} AS power FROM c), z AS (SELECT *, CASE WHEN power >= 0.9 THEN 'favorable' WHEN power >= 0.3 THEN 'promising' ELSE 'futile' END AS zone FROM p)
+  SELECT metric_id, round(v, 4) AS blinded_var, round(now, 6) AS ncp_now, round(planned, 6) AS ncp_planned, round(power, 6) AS power, zone, (CASE WHEN zone = 'promising' THEN least(ceil(2 * v * pow({_Z_EXTRA!r} / 3, 2)), 4000) ELSE 2000 END)::bigint AS extended_n FROM z""")
 def a23_adaptive_sample_size(spark, sf):
-    out = I.adaptive_sample_size(observations(spark, sf), KEYS, 3.0, 2000)
-    return rounded(out.select("metric_id", F.round("blinded_var", 4).alias("blinded_var"), "ncp_now", "ncp_planned"))
+    out = I.with_conditional_power(I.adaptive_sample_size(observations(spark, sf), KEYS, 3.0, 2000), 3.0, planned=2000)
+    return rounded(out.select("metric_id", F.round("blinded_var", 4).alias("blinded_var"), "ncp_now", "ncp_planned", "power", "zone", "extended_n"))
+
 
+_SRM = "srm AS (SELECT exp(-sum(pow(u - tot / 3.0, 2) / (tot / 3.0)) / 2) AS p FROM (SELECT count(DISTINCT user_id) AS u, sum(count(DISTINCT user_id)) OVER () AS tot FROM summaries GROUP BY variant_id))"
+_SEG_Q = _SEG.split("arms AS", 1)[1].replace("arms", "sarms")
 
-@query(f"WITH {_PAIRS} SELECT c.variant_id, round(c.raw_effect, 6) AS effect, round(w.se, 6) AS se, round(c.effect, 6) AS adjusted_effect, round(c.se, 6) AS adjusted_se, round(c.variance_reduction, 6) AS variance_reduction, nt::bigint AS n_treatment, nc::bigint AS n_control FROM cup c JOIN (SELECT variant_id, se FROM welch) w USING (variant_id)")
+
+@query(f"""WITH {_TOST}, {_SRM}, sarms AS{_SEG_Q}, sq AS (SELECT variant_id, count(*) AS k, sum(1 / (se * se)) AS w, sum(effect / (se * se)) AS we, sum(effect * effect / (se * se)) AS wee FROM seg GROUP BY 1),
+  le AS (SELECT variant_id, 0.5 * ln(q / (q + 0.5)) + effect * effect * 0.5 / (2 * q * (q + 0.5)) AS log_e FROM (SELECT *, greatest((syy - sxy * sxy / sxx) / (nt + nc - 1), syy / (nt + nc - 1) * 1e-12) * (1.0 / nt + 1.0 / nc) AS q FROM cup))
+  SELECT c.variant_id, round(c.raw_effect, 6) AS effect, round(w.se, 6) AS se, round({t_two_sided_sql('(w.effect / w.se)', 'w.df')}, 6) AS p_value, round(c.effect, 6) AS adjusted_effect, round(c.se, 6) AS adjusted_se, round(c.variance_reduction, 6) AS variance_reduction, c.nt::bigint AS n_treatment, c.nc::bigint AS n_control,
+  round(le.log_e, 6) AS log_e, round(tost.p, 6) AS tost_p, sq.k AS segments, round(greatest(0, wee - we * we / w), 6) AS q, round(srm.p, 6) AS srm_p
+  FROM cup c JOIN (SELECT variant_id, effect, se, df FROM welch) w USING (variant_id) JOIN le USING (variant_id) JOIN tost USING (variant_id) JOIN sq USING (variant_id), srm""".replace("we * we / w)", "we * we / sq.w)"))
 def a47_analysis_report(spark, sf):
     from tidemetric.plans.report import analysis_report
 
-    out = analysis_report(observations(spark, sf), KEYS)
-    return rounded(out.select("variant_id", "effect", "se", "adjusted_effect", "adjusted_se", "variance_reduction", "n_treatment", "n_control"))
+    obs = observations(spark, sf).withColumn("lifecycle_segment", F.concat(F.lit("d"), (F.dayofmonth("computation_date") % 4).cast("string")))
+    out = analysis_report(obs, KEYS, delta=0.1 * F.col("mean_c"))
+    return rounded(out.select("variant_id", "effect", "se", "p_value", "adjusted_effect", "adjusted_se", "variance_reduction", "n_treatment", "n_control", "log_e", "tost_p", "segments", "q", "srm_p"))

@@ -30,10 +30,11 @@ def t1_validate_split(spark, sf):
     return good.unionByName(bad).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, count(*) AS n FROM (SELECT DISTINCT user_id, content_id, event_type FROM metric_events WHERE event_date <= DATE '2024-01-02') GROUP BY 1")
+@query("SELECT event_type, count(DISTINCT event_id) AS n FROM metric_events GROUP BY 1")
 def t2_deduplicate(spark, sf):
-    stream = _stream(spark, sf).filter(F.col("event_timestamp") < F.lit("2024-01-03").cast("timestamp"))
-    out = E.run_once(E.deduplicated(stream, ["user_id", "content_id", "event_type"], "event_timestamp", "72 hours"), spark, shared_folder(spark, "t2"))
+    """Every event is delivered twice; one of them passes."""
+    twice = _stream(spark, sf).withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
+    out = E.run_once(E.deduplicated(twice, ["event_id"], "event_timestamp", "72 hours"), spark, shared_folder(spark, "t2"))
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -101,6 +102,16 @@ def t9_consecutive_breaches(spark, sf):
     return rounded(out.select("variant_id", F.date_format("check_time", "yyyy-MM-dd HH:mm:ss").alias("check_time"), "current_value", "run"))
 
 
+@query(f"WITH {_WINDOWS}, f AS (SELECT *, v > 50 AS b, sum((NOT v > 50)::int) OVER (PARTITION BY variant_id ORDER BY t) AS g FROM fin), r AS (SELECT *, row_number() OVER (PARTITION BY variant_id, g ORDER BY t) AS run FROM f WHERE b) SELECT 'exp' AS key, 'error' AS metric_id, variant_id, round(v, 6) AS current_value, 3 AS consecutive_breach_count FROM r WHERE run = 3")
+def s11_alert_sink(spark, sf):
+    folder = shared_folder(spark, "s11")
+    checks = E.run_once(_guardrail(_stream(spark, sf)), spark, f"{folder}/checks")
+    again = spark.readStream.schema(checks.schema).parquet(f"{folder}/checks/out")
+    sent = E.run_once(E.alert_messages(E.consecutive_breaches(again.drop("n"), 50.0, True, 3)), spark, f"{folder}/alerts")
+    alert = F.from_json("value", "metric_id string, variant_id string, current_value double, consecutive_breach_count int").alias("a")
+    return rounded(sent.select("key", alert).select("key", "a.*"))
+
+
 @query("SELECT 'exp' AS experiment_id, (content_id % 4)::int AS arm_id, (1 + count(*) FILTER (value > 20))::double AS alpha, (1 + count(*) FILTER (value <= 20))::double AS beta, count(*) AS pulls FROM metric_events WHERE event_type IN ('click', 'purchase') GROUP BY 2")
 def t10_running_posteriors(spark, sf):
     rewards = _stream(spark, sf).filter(F.col("event_type").isin("click", "purchase")).select(F.lit("exp").alias("experiment_id"), (F.col("content_id") % 4).alias("arm_id"), F.when(F.col("value") > 20, 1.0).otherwise(0.0).alias("reward"))
@@ -117,6 +128,15 @@ def t11_online_sequential_test(spark, sf):
     return rounded(I.avlm(I.arm_pairs(E.moments_from_sums(sums), [], "0"), 0.5).select("variant_id", "effect", "se"), 5)
 
 
+@query("SELECT event_type, 2 * count(*) AS rows, 2 * count(*) FILTER (NOT ok) AS rejected, count(*) FILTER (ok) AS accepted, count(*) FILTER (ok) AS duplicates, 90.0::double AS mean_delay_seconds FROM (SELECT event_type, value BETWEEN 0 AND 100 AND content_id BETWEEN 0 AND 97 AS ok FROM metric_events) GROUP BY 1")
+def t12_stream_counts(spark, sf):
+    """Every event arrives after a minute and again after two: the second of those that are valid is a duplicate."""
+    twice = _stream(spark, sf).withColumn("minutes", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("arrived", F.col("event_timestamp") + F.make_interval(mins=F.col("minutes")))
+    folder = shared_folder(spark, "t12")
+    E.run_once(twice, spark, folder, write=E.counting_write(f"{folder}/counts", f"{folder}/seen", E.failure_reason(**_REASON), "event_id", "event_timestamp", "arrived"))
+    return rounded(E.total_counts(spark.read.parquet(f"{folder}/counts")))
+
+
 @query("SELECT count(*) AS rows, count(*) FILTER (value BETWEEN 0 AND 100 AND content_id BETWEEN 0 AND 97) AS accepted FROM metric_events")
 def t12_ingest_counts(spark, sf):
     from pyspark.sql import Observation

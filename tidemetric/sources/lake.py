@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -51,15 +52,33 @@ def read_daily_effects(spark: SparkSession, path: str, experiment_id: str, metri
     return df.join(F.broadcast(first), "metric_id")
 
 
+def read_interleaving_scores(spark: SparkSession, path: str, experiment_id: str) -> DataFrame:
+    """An experiment's scores, a row for each user and algorithm of the map."""
+    df = read_table(spark, path, "interleaving_scores", experiment_id=experiment_id)
+    return df.select("experiment_id", "user_id", "winning_algorithm_id", "total_engagements", "computation_date", F.explode("algorithm_scores").alias("algorithm", "score"))
+
+
+def read_switchback_periods(spark: SparkSession, path: str, experiment_id: str, metric_id: str | None = None) -> DataFrame:
+    """An experiment's block values with their place ``at`` in the order of blocks; a metric has few blocks."""
+    df = read_table(spark, path, "switchback_periods", experiment_id=experiment_id)
+    df = df if metric_id is None else df.filter(F.col("metric_id") == metric_id)
+    return df.withColumn("at", F.row_number().over(Window.partitionBy("metric_id").orderBy("period_id")))
+
+
 def split_consumption(consumption: DataFrame, control: str = "control") -> DataFrame:
     """Content with watch time of control and of all treatments side by side."""
     is_control = F.col("variant_id") == control
     return consumption.groupBy("content_id").agg(F.coalesce(F.sum(F.when(is_control, F.col("watch_time_seconds"))), F.lit(0.0)).alias("control_time"), F.coalesce(F.sum(F.when(~is_control, F.col("watch_time_seconds"))), F.lit(0.0)).alias("treatment_time"))
 
 
-def synthetic_arms(spark: SparkSession, users: int, kind: str, seed: int = 1) -> DataFrame:
-    """Synthetic (user_id, variant_id, value): half control, half treatment; normal, bernoulli or poisson."""
-    base = spark.range(users).select(F.col("id").alias("user_id"), F.when(F.col("id") % 2 == 0, "control").otherwise("treatment").alias("variant_id"), F.rand(seed).alias("u"), F.randn(seed).alias("z"))
+def synthetic_arms(users: DataFrame, kind: str, seed: int = 1) -> DataFrame:
+    """Synthetic arms for ``users`` (user_id): half control, half treatment; normal, bernoulli or poisson values.
+
+    Values come from hashes of the user id, so reruns agree however rows are dealt.
+    """
+    uniform = lambda salt: (F.pmod(F.xxhash64(F.lit(f"{salt}-{seed}"), "user_id"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    gauss = F.sqrt(-2 * F.ln(uniform("radius"))) * F.cos(2 * math.pi * uniform("angle"))
+    base = users.select("user_id", F.when(F.col("user_id") % 2 == 0, "control").otherwise("treatment").alias("variant_id"), uniform("u").alias("u"), gauss.alias("z"))
     treated = F.col("variant_id") == "treatment"
     if kind == "normal":
         value = F.when(treated, 10.0).otherwise(8.0) + 2.0 * F.col("z")

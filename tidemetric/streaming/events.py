@@ -96,13 +96,15 @@ def guardrail_windows(events: DataFrame, time: str, value: str, keys: list[str],
 def consecutive_breaches(checks: DataFrame, threshold: float, lower_is_better: bool, alert_at: int) -> DataFrame:
     """Alerts when a (experiment, metric, variant) breaches ``alert_at`` checks in a row; a good check resets.
 
-    State is one counter per key. Checks of a batch are taken in order of check_time.
+    State is one counter per key. Checks of a batch are taken in order of check_time; a check
+    that comes in a later batch than a younger one counts when it comes, so feed this from
+    windows that the watermark has closed.
     """
     keys = ["experiment_id", "metric_id", "variant_id"]
 
     def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("check_time")
+        rows = pd.concat([b for b in batches if len(b)]).sort_values("check_time")
         alerts = []
         for at, value in zip(rows["check_time"], rows["current_value"], strict=True):
             run = run + 1 if (value > threshold) == lower_is_better and value != threshold else 0
@@ -164,6 +166,41 @@ def observed(events: DataFrame, event_time: str, arrival_time: str, reason: Colu
     return events.observe(name, F.count("*").alias("rows"), F.count(F.when(reason.isNull(), 1)).alias("accepted"), F.count(reason).alias("rejected"), (F.avg(delay) / 1e6).alias("mean_delay_seconds"))
 
 
+def alert_messages(alerts: DataFrame) -> DataFrame:
+    """Guardrail alerts as topic messages: key is the experiment, value is JSON. For a Kafka or file sink."""
+    value = F.to_json(F.struct("experiment_id", "metric_id", "variant_id", F.col("check_time").alias("detected_at"), "current_value", F.col("run").alias("consecutive_breach_count")))
+    return alerts.select(F.col("experiment_id").alias("key"), value.alias("value"))
+
+
+def counting_write(path: str, seen_path: str, reason: Column, event_id: str, event_time: str, arrival_time: str, type_column: str = "event_type"):
+    """A ``foreachBatch`` function that counts, per type, rejected, accepted and repeated rows and sums their delay.
+
+    Ids that earlier batches accepted are kept beside the counts; a batch that is redone replaces its own part.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        marked = batch.withColumn("bad", reason.isNotNull()).persist()
+        delay = (F.unix_micros(F.col(arrival_time).cast("timestamp")) - F.unix_micros(F.col(event_time).cast("timestamp"))) / 1e6
+        good = marked.filter("not bad").select(type_column, event_id).distinct()
+        if batch_id:
+            earlier = spark.read.parquet(seen_path).filter(F.col("batch") < batch_id).drop("batch")
+            good = good.join(earlier, [type_column, event_id], "left_anti")
+        good.write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
+        fresh = spark.read.schema(good.schema).parquet(f"{seen_path}/batch={batch_id}").groupBy(type_column).agg(F.count("*").alias("accepted"))
+        counts = marked.groupBy(type_column).agg(F.count("*").alias("rows"), F.count(F.when(F.col("bad"), 1)).alias("rejected"), F.sum(delay).alias("delay"))
+        counts.join(fresh, type_column, "left").fillna(0, ["accepted"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        marked.unpersist()
+
+    return write
+
+
+def total_counts(counts: DataFrame, type_column: str = "event_type") -> DataFrame:
+    """Totals of ``counting_write`` over all batches: what is neither rejected nor accepted is a duplicate."""
+    total = counts.groupBy(type_column).agg(*[F.sum(c).alias(c) for c in ("rows", "rejected", "accepted", "delay")])
+    return total.select(type_column, "rows", "rejected", "accepted", (F.col("rows") - F.col("rejected") - F.col("accepted")).alias("duplicates"), (F.col("delay") / F.col("rows")).alias("mean_delay_seconds"))
+
+
 def run_once(stream: DataFrame, spark: SparkSession, folder: str, mode: str = "append", write=None) -> DataFrame | None:
     """Drains what is there into Parquet under ``folder`` (or through ``write``) and reads it back.
 
