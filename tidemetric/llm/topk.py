@@ -182,6 +182,14 @@ def _block_hits(rows: DataFrame, block_rows: list, widths: list[int], k: int) ->
     return cut(kept.join(F.broadcast(name), "q").select("query_class", "cid", "score"))
 
 
+def query_blocks(names: DataFrame, per_block: int) -> DataFrame:
+    """``names`` with a block number; queries are counted off within partitions, so no block has more than ``per_block``."""
+    parts = max(1, names.count() // (16 * per_block))
+    at = F.monotonically_increasing_id()  # partition number in the upper 31 bits, row number in the lower 33
+    low = F.lit((1 << 33) - 1)
+    return cut(names.repartition(parts).withColumn("block", F.shiftright(at, 33) * F.lit(1 << 33) + F.floor(at.bitwiseAND(low) / per_block)))
+
+
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS) -> DataFrame:
     """The ``k`` highest scores of every query row against all rows but its own.
 
@@ -199,15 +207,11 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int =
     asked = cut(queries.groupBy("q", "vec_id").agg(F.lit(1).alias("one")).join(rows.select("q", "cid"), "q").select("vec_id", F.col("cid").alias("query_class")))
     names = cut(asked.select(F.col("query_class").alias("cid")).distinct())
     per_block = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, dims))))
-    blocks = max(1, -(-2 * names.count() // per_block)) if names.count() > per_block else 1
+    numbered = query_blocks(names, per_block)
     hits = []
-    for b in range(blocks):
-        part = names.filter(F.pmod(F.xxhash64("cid"), F.lit(blocks)) == b).join(rows, "cid")
-        got = part.select("cid", *[f"v{j}" for j in range(lists)]).limit(per_block + 1).collect()
-        if len(got) > per_block:
-            raise ValueError("a query block is larger than its bound")
-        if got:
-            hits.append(_block_hits(rows, got, widths, k + 1))
+    for b in sorted(r["block"] for r in numbered.select("block").distinct().collect()):  # a row a block
+        part = numbered.filter(F.col("block") == b).join(rows, "cid").select("cid", *[f"v{j}" for j in range(lists)])
+        hits.append(_block_hits(rows, part.collect(), widths, k + 1))  # ``per_block`` rows at most
     if not hits:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     pairs = reduce(DataFrame.unionByName, hits).join(rows.select("cid", "ids"), "cid").select("query_class", "score", F.explode("ids").alias("vec_id"))
