@@ -217,7 +217,7 @@ def trend_counterfactual(panel: DataFrame, alpha: float = 0.05) -> DataFrame:
         treated = group.loc[group["is_treated_unit"], "unit_id"].unique()
         donors = [c for c in wide.columns if c not in treated]
         if not donors or len(treated) == 0 or not after.any() or after.sum() > len(after) - 2:
-            return pd.DataFrame({"experiment_id": [], "att": [], "ci_lower": [], "ci_upper": [], "p_value": []})
+            return pd.DataFrame({"experiment_id": np.zeros(0, object), "att": np.zeros(0), "ci_lower": np.zeros(0), "ci_upper": np.zeros(0), "p_value": np.zeros(0)}).astype({"experiment_id": object})
         y, x = wide[treated[0]].to_numpy(float), wide[donors].to_numpy(float)
         return pd.DataFrame([[group["experiment_id"].iloc[0], *trend_effect(x[~after], x[after], y[~after], y[after], alpha)]], columns=["experiment_id", "att", "ci_lower", "ci_upper", "p_value"])
 
