@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,29 @@ def test_large_components_stay_exact():
     assert K.scores(a, a)[0, 0] == 2**60 + (2**30 + 1) ** 2
 
 
+def test_settled_sums_equal_plain_ones(monkeypatch):
+    """Phase 3 adds what lists have sent and computes the rest, at sizes within and beyond 64 bits, in slabs of any height."""
+    held = lambda v: type("Held", (), {"value": v})()
+    rng = np.random.default_rng(8)
+    for size in (9, 2**31, 2**40):
+        query, vector = rng.integers(-size, size, (5, 4)), rng.integers(-size, size, (30, 4))
+        whole = np.clip(query.astype(object) @ vector.astype(object).T, -(2**63), 2**63 - 1)
+        sent = []
+        for v in vector:
+            part = [{"list": j, "q": np.flatnonzero(rng.random(5) < 0.5).astype(np.int32)} for j in (0, 1)]
+            sent.append([e | {"s": np.array([int(np.clip(sum(int(a) * int(b) for a, b in zip(query[q, 2 * e["list"] :][:2], v[2 * e["list"] :][:2], strict=True)), -(2**62), 2**62)) for q in e["q"]], np.int64)} for e in part if len(e["q"])])
+        batch = pd.DataFrame({"cid": range(30), "sent": sent, "v0": list(vector[:, :2]), "v1": list(vector[:, 2:])})
+        cutoff = np.array([float(np.median(w)) for w in whole])
+        for cells in (1, 1 << 20):
+            monkeypatch.setattr(K, "_CELLS", cells)
+            out = pd.concat(K._settled(held([query[:, :2], query[:, 2:]]), held(cutoff), [2, 2])(iter([batch])))
+            got = {(q, c): s for q, c, s in out.itertuples(index=False)}
+            if size < 2**40:
+                assert got == {(q, c): whole[q, c] for c in range(30) for q in {int(q) for e in sent[c] for q in e["q"]} if whole[q, c] >= cutoff[q]}
+            else:
+                assert all(-(2**63) <= s < 2**63 for s in got.values())
+
+
 def shingles(text, n):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split(" ")
     w = [x for x in w if x]

@@ -34,6 +34,7 @@ BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 4096
 _COLUMNS = 2048
 _SALTS = 16
+_CELLS = 1 << 21  # components at hand at once in phase 3
 _PARTIAL = "q int, cid long, list int, s long"
 
 
@@ -114,28 +115,41 @@ def _reaching(block, cutoff, j: int, width: int, lists: int):
     return run
 
 
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of ``a`` with the same rows of ``b``; in Python integers where 64 bits could overflow."""
+    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    return np.einsum("ij,ij->i", a, b) if bound < 2**62 else (a.astype(object) * b.astype(object)).sum(1)
+
+
 def _settled(block, cutoff, widths: list[int]):
     """Phase 3: per candidate the scores that reach the cutoff; what no list has sent is computed."""
 
+    def slab(part: pd.DataFrame) -> pd.DataFrame:
+        names, n_q = part["cid"].to_numpy(), len(cutoff.value)
+        partial, has = np.zeros((len(widths), len(part) * n_q), np.int64), np.zeros((len(widths), len(part) * n_q), bool)
+        for i, sent in enumerate(part["sent"]):
+            for e in sent:
+                at = i * n_q + np.asarray(e["q"], np.int64)
+                partial[e["list"], at], has[e["list"], at] = e["s"], True
+        pairs = np.flatnonzero(has.any(axis=0))
+        row, q = pairs // n_q, pairs % n_q
+        total = np.zeros(len(pairs), object if np.abs(partial.astype(float)).max(initial=0) >= 2**61 else np.int64)
+        for j, width in enumerate(widths):
+            open_ = ~has[j, pairs]
+            total += partial[j, pairs]
+            rest = paired(block.value[j][q[open_]], matrix(part[f"v{j}"], width)[row[open_]])
+            if rest.dtype == object or np.abs(rest.astype(float)).max(initial=0) >= 2**61:
+                total = total.astype(object)
+            total[open_] += rest
+        keep = total >= cutoff.value[q]
+        score = np.clip(total[keep], -(2**63), 2**63 - 1).astype(np.int64)
+        return pd.DataFrame({"q": q[keep].astype(np.int32), "cid": names[row[keep]], "score": score})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = max(1, _CELLS // (max(widths) * max(1, len(cutoff.value))))
         for batch in batches:
-            found = []
-            for row in batch.itertuples(index=False):
-                q = np.unique(np.concatenate([e["q"] for e in row.sent]))
-                total = np.zeros(len(q), object)
-                for j, width in enumerate(widths):
-                    known = [e for e in row.sent if e["list"] == j]
-                    has = np.zeros(len(q), bool)
-                    for e in known:
-                        at = np.searchsorted(q, e["q"])
-                        total[at] += np.asarray(e["s"])
-                        has[at] = True
-                    if not has.all():
-                        v = matrix(pd.Series([getattr(row, f"v{j}")]), width)
-                        total[~has] += scores(block.value[j][q[~has]], v)[:, 0].astype(np.int64)
-                keep = total >= cutoff.value[q]
-                found.append(pd.DataFrame({"q": q[keep].astype(np.int32), "cid": row.cid, "score": np.clip(total[keep], -(2**63), 2**63 - 1).astype(np.int64)}))
-            yield pd.concat(found) if found else pd.DataFrame({"q": [], "cid": [], "score": []})
+            for at in range(0, len(batch), rows):
+                yield slab(batch.iloc[at : at + rows])
 
     return run
 
@@ -150,9 +164,7 @@ def _resolved(block, widths: list[int]):
                 q = part["q"].to_numpy()
                 total = np.zeros(len(part), object)
                 for j, width in enumerate(widths):
-                    a, b = block.value[j][q], matrix(part[f"v{j}"], width)
-                    small = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, width) < 2**62
-                    total = total + ((a * b).sum(1) if small else (a.astype(object) * b.astype(object)).sum(1))
+                    total = total + paired(block.value[j][q], matrix(part[f"v{j}"], width))
                 yield pd.DataFrame({"q": q, "cid": part["cid"].to_numpy(), "score": np.clip(total, -(2**63), 2**63 - 1).astype(np.int64)})
 
     return run
