@@ -224,37 +224,46 @@ def trend_counterfactual(panel: DataFrame, alpha: float = 0.05) -> DataFrame:
     return panel.groupBy("experiment_id").applyInPandas(fit, "experiment_id string, att double, ci_lower double, ci_upper double, p_value double")
 
 
+#: Tasks that share an experiment's placebo fits; the panel goes to each of them.
+PLACEBO_SLICES = 16
+
+
 def synthetic_control(panel: DataFrame, method: str = "classic") -> DataFrame:
     """ATT and placebo p per experiment from (experiment_id, unit_id, period, value, is_treated_unit, is_post).
 
-    Every unit takes its turn as target against the donors: one task per (experiment, unit).
-    The panel of an experiment is units × periods of aggregates; periods that a unit lacks
-    are left out. p is
+    Every unit takes its turn as target against the donors. Targets are dealt by a hash to
+    ``PLACEBO_SLICES`` tasks an experiment, each with the panel (units × periods of
+    aggregates) once, so rows grow with the units and not with their square; periods that
+    a unit lacks are left out. p is
     (1 + #{|att_k| ≥ |att|}) / (1 + donors), and 1 with fewer than two donors.
     """
     units = F.size(F.collect_set("unit_id").over(Window.partitionBy("experiment_id")))
     seen = F.size(F.collect_set("unit_id").over(Window.partitionBy("experiment_id", "period")))
     panel = panel.withColumns({"units": units, "seen": seen}).filter("units = seen").drop("units", "seen")
     series = panel.groupBy("experiment_id", "unit_id", "is_treated_unit").agg(F.sort_array(F.collect_list(F.struct("period", "is_post", "value"))).alias("rows"))
-    targets = series.select("experiment_id", F.col("unit_id").alias("target"), F.col("is_treated_unit").alias("target_treated"))
-    jobs = series.join(targets, "experiment_id").filter(~F.col("is_treated_unit") | (F.col("unit_id") == F.col("target")))
+    own = F.pmod(F.xxhash64("unit_id"), F.lit(PLACEBO_SLICES)).cast("int")
+    jobs = series.withColumn("own", own).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(PLACEBO_SLICES - 1))))
+    # a set number, which adaptive execution leaves apart: rows are few, but fits are long
+    jobs = jobs.repartition(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), "experiment_id", "slice")
     placebo_method = method if method in ("classic", "did") else "classic"
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        target = group["target"].iloc[0]
-        own = group[group["unit_id"] == target].iloc[0]
-        donors = group[group["unit_id"] != target].sort_values("unit_id")
-        values = lambda rows: np.array([r["value"] for r in rows])
-        after = np.array([bool(r["is_post"]) for r in own["rows"]])
-        matrix = np.column_stack([values(r) for r in donors["rows"]]) if len(donors) else np.zeros((len(after), 0))
-        y = values(own["rows"])
-        if matrix.shape[1] == 0 or not after.any() or after.all():
-            return pd.DataFrame({"experiment_id": [], "target": [], "treated": [], "att": []})
-        use = method if own["target_treated"] else placebo_method
-        att = counterfactual_effect(use, matrix[~after], matrix[after], y[~after], y[after])
-        return pd.DataFrame({"experiment_id": [own["experiment_id"]], "target": [str(target)], "treated": [bool(own["target_treated"])], "att": [att]})
-
-    effects = jobs.groupBy("experiment_id", "target").applyInPandas(fit, "experiment_id string, target string, treated boolean, att double")
+        group = group.sort_values("unit_id").reset_index(drop=True)
+        donor = ~group["is_treated_unit"].to_numpy(bool)
+        values = np.array([[r["value"] for r in rows] for rows in group["rows"]], float).T  # periods × units
+        after = np.array([bool(r["is_post"]) for r in group["rows"].iloc[0]])
+        out = []
+        for at in np.flatnonzero(group["own"] == group["slice"]):
+            others = donor.copy()
+            others[at] = False
+            if not others.any() or not after.any() or after.all():
+                continue
+            x, y = values[:, others], values[:, at]
+            att = counterfactual_effect(placebo_method if donor[at] else method, x[~after], x[after], y[~after], y[after])
+            out.append((group["experiment_id"].iloc[0], str(group["unit_id"].iloc[at]), not donor[at], float(att)))
+        return pd.DataFrame(out, columns=["experiment_id", "target", "treated", "att"])
+
+    effects = jobs.groupBy("experiment_id", "slice").applyInPandas(fit, "experiment_id string, target string, treated boolean, att double")
     real = effects.filter("treated").select("experiment_id", F.col("att").alias("att"))
     placebos = effects.filter(~F.col("treated")).select("experiment_id", F.col("att").alias("placebo"))
     out = real.join(placebos, "experiment_id", "left").groupBy("experiment_id", "att").agg(F.count("placebo").alias("donors"), F.sum((F.abs("placebo") >= F.abs("att")).cast("int")).alias("extreme"))
