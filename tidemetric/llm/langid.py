@@ -34,6 +34,7 @@ LEAST_COUNT = 2
 ROWS = 1 << 18
 HASHES = 3
 SLAB = 1 << 18
+_PLACES = 1 << 40  # places that a hash deals documents to; far more than a language has documents
 
 _letters: np.ndarray | None = None
 
@@ -142,8 +143,8 @@ def train_filter(docs: DataFrame, train_docs: int = TRAIN_DOCS, grams: int = GRA
     if not total:
         return build_filter({}, None)
     quota = train_docs / len(sizes)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, int(1_000_000 * quota / n)))])
-    picked = known.filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(_PLACES, int(_PLACES * quota / n)))])
+    picked = known.filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(_PLACES)) < F.element_at(share, F.col("lang")))
     counts = stored(picked.select("lang", "text").mapInPandas(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("all_n"))
     rated = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("all_n"))  # a row a language
