@@ -19,7 +19,7 @@ from tidemetric.llm import langid as L
 from tidemetric.llm import line_dedup as N
 from tidemetric.llm import mixing as M
 from tidemetric.llm import quality_crf as Q
-from tidemetric.llm.common import new_folder, table
+from tidemetric.llm.common import is_held_out, new_folder, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_lines string, score string"
 
@@ -477,6 +477,25 @@ def test_filter_returns_all_languages_of_a_gram():
     assert (model.wrong < 1e-6).all()
 
 
+def test_languages_equal_those_of_plain_sets(spark, small, monkeypatch):
+    """The Bloom filter decides as the sets of n-grams that it stands for, but for close calls."""
+    held = {}
+    build = L.build_filter
+    monkeypatch.setattr(L, "build_filter", lambda grams, *rest: held.update(grams) or build(grams, *rest))
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = L.train_filter(docs.filter(~is_held_out()))
+    texts = [r["text"] for r in docs.filter(is_held_out() & F.col("text").isNotNull()).select("text").collect()]
+    sets = [set(held[lang].view(np.uint64).tolist()) for lang in model.langs]
+    same = seen = 0
+    for text, lang in zip(texts, L.classify(texts, model)[0], strict=True):
+        grams = [g for _, codes, letters in L.slabs([text]) for _, value in L.gram_hashes(codes, letters) for g in value.tolist()]
+        counts = [sum(g in s for g in grams) for s in sets]
+        if max(counts) > 1.1 * sorted(counts)[-2]:
+            seen += 1
+            same += model.langs[int(np.argmax(counts))] == lang
+    assert seen > 0.9 * len(texts) and same == seen
+
+
 def test_slabs_lose_no_gram(monkeypatch):
     text = "abcdefgh ijkl " * 40
     counts = []
