@@ -54,10 +54,10 @@ def s6_split_consumption(spark, sf):
     return rounded(lake.split_consumption(M.content_consumption(V.metric_events(spark, sf), _users(spark, sf))), 3)
 
 
-@query("SELECT event_date::varchar AS day, count(*) AS n FROM metric_events WHERE event_date >= DATE '2024-01-20' GROUP BY 1")
+@query("SELECT event_date::varchar AS day, count(*) AS n FROM metric_events GROUP BY 1")
 def s10_idempotent_sink(spark, sf):
     path = shared_folder(spark, "sink")
-    rows = V.metric_events(spark, sf).filter("event_date >= date '2024-01-20'").withColumn("day", F.col("event_date").cast("string")).select("event_id", "day")
+    rows = V.metric_events(spark, sf).withColumn("day", F.col("event_date").cast("string")).select("event_id", "day")
     write_partitions(rows, path, "day")
     write_partitions(rows.filter("day = '2024-01-21'"), path, "day")
     return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
