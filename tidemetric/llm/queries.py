@@ -7,7 +7,7 @@ documents and held-out labels.
 
 from __future__ import annotations
 
-from tidemetric.llm import decontaminate, hard_negatives, html_extract, langid, line_dedup, mixing, ngram_join, quality_crf, topk, url_filter, warc
+from tidemetric.llm import conv_trie, decontaminate, hard_negatives, html_extract, langid, line_dedup, mixing, ngram_join, quality_crf, topk, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -20,6 +20,7 @@ QUERIES = {
     "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_language_id": langid.op9_language_id,
     "op10_url_filters": url_filter.op10_url_filters,
+    "op11_prefix_trie": conv_trie.op11_prefix_trie,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 
@@ -30,5 +31,6 @@ ORACLE_SQL = {
     "op4_mixing": mixing.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op10_url_filters": url_filter.SQL,
+    "op11_prefix_trie": conv_trie.SQL,
     "op12_hard_negatives": hard_negatives.SQL,
 }
