@@ -7,7 +7,7 @@ documents and held-out labels.
 
 from __future__ import annotations
 
-from tidemetric.llm import conv_trie, decontaminate, hard_negatives, html_extract, langid, line_dedup, mixing, ngram_join, quality_crf, topk, url_filter, warc
+from tidemetric.llm import conv_trie, decontaminate, hard_negatives, html_extract, langid, line_dedup, mixing, ngram_join, quality_crf, suffix_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -22,6 +22,7 @@ QUERIES = {
     "op10_url_filters": url_filter.op10_url_filters,
     "op11_prefix_trie": conv_trie.op11_prefix_trie,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 
 ORACLE_SQL = {
@@ -33,4 +34,5 @@ ORACLE_SQL = {
     "op10_url_filters": url_filter.SQL,
     "op11_prefix_trie": conv_trie.SQL,
     "op12_hard_negatives": hard_negatives.SQL,
+    "op13_suffix_dedup": suffix_dedup.SQL,
 }
