@@ -414,10 +414,10 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 with docs as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents),
-windows as (select r, at, md5_number(substr(x, 2 * at + 1, 800)) as w from (select r, x, unnest(range(0, n - 399)) as at from docs where n >= 400)),
+windows as (select r, pos, md5_number(substr(x, 2 * pos + 1, 800)) as w from (select r, x, unnest(range(0, n - 399)) as pos from docs where n >= 400)),
 again as (select w from windows group by w having count(*) > 1),
-starts as (select r, at, at - lag(at) over (partition by r order by at) as step from windows semi join again using (w)),
-spans as (select r, min(at) as low, max(at) + 399 as high from (select r, at, sum((coalesce(step, 401) > 400)::int) over (partition by r order by at) as run from starts) group by r, run),
+starts as (select r, pos, pos - lag(pos) over (partition by r order by pos) as step from windows semi join again using (w)),
+spans as (select r, min(pos) as low, max(pos) + 399 as high from (select r, pos, sum((coalesce(step, 401) > 400)::int) over (partition by r order by pos) as run from starts) group by r, run),
 gaps as (
   select r, count(*) as n_spans, sum(high - low + 1) as n_removed,
     list(low order by low) as lows, list(high order by low) as highs from spans group by r),
