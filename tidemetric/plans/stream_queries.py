@@ -9,6 +9,7 @@ from tidemetric.plans.registry import query, rounded
 from tidemetric.sources import views as V
 from tidemetric.sources.store import shared_folder
 from tidemetric.streaming import events as E
+from tidemetric.streaming import stateful as S
 
 _SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -45,10 +46,10 @@ def t3_retraining_dedup(spark, sf):
     return out.select("model_id", "window_start")
 
 
-def _beats(rows):
+def _beats(rows, *more):
     k = F.col("content_id")
     return rows.select(
-        "event_id", "user_id", (F.col("user_id") % 2).alias("device_id"), "content_id", F.col("event_timestamp").alias("timestamp"), (F.col("event_type") == "signup").alias("is_startup"),
+        *more, "event_id", "user_id", (F.col("user_id") % 2).alias("device_id"), "content_id", F.col("event_timestamp").alias("timestamp"), (F.col("event_type") == "signup").alias("is_startup"),
         (F.col("event_type") == "error").alias("is_rebuffering"), (1000 + 10 * k).alias("current_bitrate_kbps"), F.element_at(F.array(F.lit(480), F.lit(720), F.lit(1080)), k % 3 + 1).alias("current_resolution_height"),
     )
 
@@ -85,6 +86,8 @@ def _guardrail(stream):
 
 
 _WINDOWS = "win AS (SELECT (user_id % 3)::varchar AS variant_id, time_bucket(INTERVAL 12 HOUR, event_timestamp) AS t, avg(value) AS v, count(*) AS n FROM metric_events WHERE event_type = 'error' GROUP BY 1, 2), wm AS (SELECT max(event_timestamp) - INTERVAL 1 HOUR AS wm FROM metric_events WHERE event_type = 'error'), fin AS (SELECT win.* FROM win, wm WHERE t + INTERVAL 12 HOUR <= wm)"
+# checks that the tracker's own watermark has passed: an hour behind the youngest check
+_COUNTED = _WINDOWS + ", due AS (SELECT * FROM fin WHERE t < (SELECT max(t) FROM fin))"
 
 
 @query(f"WITH {_WINDOWS} SELECT variant_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS check_time, round(v, 6) AS current_value, n FROM fin")
@@ -93,21 +96,21 @@ def t8_guardrail_windows(spark, sf):
     return rounded(out.select("variant_id", F.date_format("check_time", "yyyy-MM-dd HH:mm:ss").alias("check_time"), "current_value", "n"))
 
 
-@query(f"WITH {_WINDOWS}, f AS (SELECT *, v > 50 AS b, sum((NOT v > 50)::int) OVER (PARTITION BY variant_id ORDER BY t) AS g FROM fin), r AS (SELECT *, row_number() OVER (PARTITION BY variant_id, g ORDER BY t) AS run FROM f WHERE b) SELECT variant_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS check_time, round(v, 6) AS current_value, run::int AS run FROM r WHERE run = 3")
+@query(f"WITH {_COUNTED}, f AS (SELECT *, v > 50 AS b, sum((NOT v > 50)::int) OVER (PARTITION BY variant_id ORDER BY t) AS g FROM due), r AS (SELECT *, row_number() OVER (PARTITION BY variant_id, g ORDER BY t) AS run FROM f WHERE b) SELECT variant_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS check_time, round(v, 6) AS current_value, run::int AS run FROM r WHERE run = 3")
 def t9_consecutive_breaches(spark, sf):
     folder = shared_folder(spark, "t9")
     checks = E.run_once(_guardrail(_stream(spark, sf)), spark, f"{folder}/checks")
     again = spark.readStream.schema(checks.schema).parquet(f"{folder}/checks/out")
-    out = E.run_once(E.consecutive_breaches(again.drop("n"), 50.0, True, 3), spark, f"{folder}/alerts")
+    out = E.run_once(S.consecutive_breaches(again.drop("n"), 50.0, True, 3), spark, f"{folder}/alerts")
     return rounded(out.select("variant_id", F.date_format("check_time", "yyyy-MM-dd HH:mm:ss").alias("check_time"), "current_value", "run"))
 
 
-@query(f"WITH {_WINDOWS}, f AS (SELECT *, v > 50 AS b, sum((NOT v > 50)::int) OVER (PARTITION BY variant_id ORDER BY t) AS g FROM fin), r AS (SELECT *, row_number() OVER (PARTITION BY variant_id, g ORDER BY t) AS run FROM f WHERE b) SELECT 'exp' AS key, 'error' AS metric_id, variant_id, round(v, 6) AS current_value, 3 AS consecutive_breach_count FROM r WHERE run = 3")
+@query(f"WITH {_COUNTED}, f AS (SELECT *, v > 50 AS b, sum((NOT v > 50)::int) OVER (PARTITION BY variant_id ORDER BY t) AS g FROM due), r AS (SELECT *, row_number() OVER (PARTITION BY variant_id, g ORDER BY t) AS run FROM f WHERE b) SELECT 'exp' AS key, 'error' AS metric_id, variant_id, round(v, 6) AS current_value, 3 AS consecutive_breach_count FROM r WHERE run = 3")
 def s11_alert_sink(spark, sf):
     folder = shared_folder(spark, "s11")
     checks = E.run_once(_guardrail(_stream(spark, sf)), spark, f"{folder}/checks")
     again = spark.readStream.schema(checks.schema).parquet(f"{folder}/checks/out")
-    sent = E.run_once(E.alert_messages(E.consecutive_breaches(again.drop("n"), 50.0, True, 3)), spark, f"{folder}/alerts")
+    sent = E.run_once(E.alert_messages(S.consecutive_breaches(again.drop("n"), 50.0, True, 3)), spark, f"{folder}/alerts")
     alert = F.from_json("value", "metric_id string, variant_id string, current_value double, consecutive_breach_count int").alias("a")
     return rounded(sent.select("key", alert).select("key", "a.*"))
 
@@ -118,6 +121,23 @@ def t10_running_posteriors(spark, sf):
     return E.run_once(E.running_posteriors(rewards), spark, shared_folder(spark, "t10"), "complete")
 
 
+_LATE = "ev AS (SELECT *, event_timestamp + INTERVAL 1 HOUR * (event_id * 37 % 7) AS arrived_at, content_id % 2 AS content FROM metric_events)"
+
+
+@query(f"""WITH {_LATE}, last AS (SELECT max(event_timestamp) - INTERVAL 1 MINUTE AS wm FROM metric_events),
+  m AS (SELECT *, coalesce(event_timestamp < max(event_timestamp) OVER (PARTITION BY user_id, content ORDER BY arrived_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM ev),
+  g AS (SELECT *, CASE WHEN NOT late AND event_timestamp > lag(event_timestamp) OVER (PARTITION BY user_id, content, late ORDER BY arrived_at, event_id) + INTERVAL 24 HOUR THEN 1 ELSE 0 END AS opens FROM m),
+  s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id, content ORDER BY arrived_at, event_id) AS k FROM g),
+  n AS (SELECT user_id, content, k, count(*) FILTER (NOT late) AS beats, count(*) FILTER (late) AS dropped, max(event_timestamp) AS final, k = max(k) OVER (PARTITION BY user_id, content) AS newest FROM s GROUP BY 1, 2, 3)
+  SELECT CASE WHEN newest THEN 'expiry' ELSE 'gap' END AS closed_by, count(*) AS sessions, sum(beats)::bigint AS beats, sum(dropped)::bigint AS out_of_order FROM n, last WHERE NOT newest OR final + INTERVAL 24 HOUR < wm GROUP BY 1""")
+def t4_session_expiry(spark, sf):
+    """Beats come up to six hours late: a session ends by a gap or by the sweep, and counts the beats that it dropped."""
+    rows = _stream(spark, sf).withColumn("arrived_at", F.col("event_timestamp") + F.make_interval(hours=(F.col("event_id") * 37 % 7).cast("int")))
+    beats = _beats(rows, "arrived_at").withColumns({"content_id": F.col("content_id") % 2})
+    out = E.run_once(S.tracked_sessions(beats, 24 * 3600), spark, shared_folder(spark, "t4x"))
+    return out.groupBy("closed_by").agg(F.count("*").alias("sessions"), F.sum("beats").alias("beats"), F.sum("out_of_order").alias("out_of_order"))
+
+
 @query("""WITH o AS (SELECT user_id % 3 AS variant_id, value AS y, content_id::double AS x FROM metric_events), a AS (SELECT variant_id, count(*) AS n, avg(y) AS m, var_samp(y) AS v, avg(x) AS mx, var_samp(x) AS vx, covar_samp(x, y) AS cv FROM o GROUP BY 1),
   p AS (SELECT t.variant_id, t.n AS nt, c.n AS nc, t.m AS mt, c.m AS mc, t.v AS vt, c.v AS vc, t.mx AS mxt, c.mx AS mxc, t.vx AS vxt, c.vx AS vxc, t.cv AS ct, c.cv AS cc FROM a t, a c WHERE t.variant_id > 0 AND c.variant_id = 0),
   th AS (SELECT *, ((nt - 1) * ct + (nc - 1) * cc + nt * nc / (nt + nc) * (mt - mc) * (mxt - mxc)) / ((nt - 1) * vxt + (nc - 1) * vxc + nt * nc / (nt + nc) * pow(mxt - mxc, 2)) AS th FROM p)
@@ -128,13 +148,32 @@ def t11_online_sequential_test(spark, sf):
     return rounded(I.avlm(I.arm_pairs(E.moments_from_sums(sums), [], "0"), 0.5).select("variant_id", "effect", "se"), 5)
 
 
+@query("""WITH o AS (SELECT (user_id % 3)::varchar AS variant_id, value + CASE WHEN user_id % 3 = 1 AND event_timestamp >= TIMESTAMP '2024-01-10' THEN 25 ELSE 0 END AS y, content_id::double AS x, time_bucket(INTERVAL 12 HOUR, event_timestamp) + INTERVAL 12 HOUR AS t FROM metric_events),
+  wm AS (SELECT max(event_timestamp) - INTERVAL 1 HOUR AS wm FROM metric_events),
+  w AS (SELECT variant_id, t, count(*) AS n, sum(y) AS sy, sum(x) AS sx, sum(y * y) AS syy, sum(x * y) AS sxy, sum(x * x) AS sxx FROM o GROUP BY 1, 2),
+  looks AS (SELECT DISTINCT t FROM w, wm WHERE t <= wm),
+  c AS (SELECT l.t, variant_id, sum(n) AS n, sum(sy) AS sy, sum(sx) AS sx, sum(syy) AS syy, sum(sxy) AS sxy, sum(sxx) AS sxx FROM looks l JOIN w ON w.t <= l.t GROUP BY 1, 2),
+  a AS (SELECT t, variant_id, n, sy / n AS m, sx / n AS mx, (syy - sy * sy / n) / (n - 1) AS v, (sxx - sx * sx / n) / (n - 1) AS vx, (sxy - sx * sy / n) / (n - 1) AS cv FROM c WHERE n >= 2),
+  p AS (SELECT t.t, t.variant_id, t.n AS nt, c.n AS nc, t.m AS mt, c.m AS mc, t.v AS vt, c.v AS vc, t.mx AS mxt, c.mx AS mxc, t.vx AS vxt, c.vx AS vxc, t.cv AS ct, c.cv AS cc FROM a t JOIN a c ON t.t = c.t AND c.variant_id = '0' AND t.variant_id <> '0'),
+  h AS (SELECT *, ((nt - 1) * ct + (nc - 1) * cc + nt * nc / (nt + nc) * (mt - mc) * (mxt - mxc)) / ((nt - 1) * vxt + (nc - 1) * vxc + nt * nc / (nt + nc) * pow(mxt - mxc, 2)) AS th FROM p),
+  e AS (SELECT *, mt - mc - th * (mxt - mxc) AS effect, sqrt((vt - 2 * th * ct + th * th * vxt) / nt + (vc - 2 * th * cc + th * th * vxc) / nc) AS se, 2.0 * nt * nc / (nt + nc) AS ne FROM h),
+  b AS (SELECT *, se * sqrt(2 * (se * se * ne / 0.5 + ne) / ne * (ln(20) + 0.5 * ln(1 + ne / (se * se * ne / 0.5)))) AS half FROM e)
+  SELECT variant_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS look_time, round(effect, 4) AS effect, round(half, 4) AS half_width, nt::bigint AS n_t, nc::bigint AS n_c FROM b WHERE abs(effect) > half QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY t) = 1""")
+def t11_sequential_alerts(spark, sf):
+    """Arm 1's values rise by 25 in the course of the stream: one alert, at the first look that its interval excludes 0."""
+    variant = (F.col("user_id") % 3).cast("string")
+    y = F.col("value") + F.when((variant == "1") & (F.col("event_timestamp") >= F.lit("2024-01-10").cast("timestamp")), 25.0).otherwise(0.0)
+    obs = _stream(spark, sf).select(F.lit("exp").alias("experiment_id"), F.lit("value").alias("metric_id"), variant.alias("variant_id"), y.alias("y"), F.col("content_id").cast("double").alias("x"), "event_timestamp")
+    out = E.run_once(S.sequential_alerts(obs, "event_timestamp", "0", 0.5, look="12 hours"), spark, shared_folder(spark, "t11x"))
+    return rounded(out.select("variant_id", F.date_format("look_time", "yyyy-MM-dd HH:mm:ss").alias("look_time"), "effect", "half_width", "n_t", "n_c"), 4)
+
+
 @query("SELECT event_type, 2 * count(*) AS rows, 2 * count(*) FILTER (NOT ok) AS rejected, count(*) FILTER (ok) AS accepted, count(*) FILTER (ok) AS duplicates, 90.0::double AS mean_delay_seconds FROM (SELECT event_type, value BETWEEN 0 AND 100 AND content_id BETWEEN 0 AND 97 AS ok FROM metric_events) GROUP BY 1")
 def t12_stream_counts(spark, sf):
     """Every event arrives after a minute and again after two: the second of those that are valid is a duplicate."""
     twice = _stream(spark, sf).withColumn("minutes", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("arrived", F.col("event_timestamp") + F.make_interval(mins=F.col("minutes")))
     folder = shared_folder(spark, "t12")
-    E.run_once(twice, spark, folder, write=E.counting_write(f"{folder}/counts", f"{folder}/seen", E.failure_reason(**_REASON), "event_id", "event_timestamp", "arrived"))
-    return rounded(E.total_counts(spark.read.parquet(f"{folder}/counts")))
+    return rounded(E.count_stream(twice, spark, folder, E.failure_reason(**_REASON), "event_id", "event_timestamp", "arrived"))
 
 
 @query("SELECT count(*) AS rows, count(*) FILTER (value BETWEEN 0 AND 100 AND content_id BETWEEN 0 AND 97) AS accepted FROM metric_events")

@@ -6,12 +6,8 @@ the same rows on the same input. One watermark per stream bounds state.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemetric.functions.events import clamped, ebvs_detected, is_finite
 
@@ -93,30 +89,6 @@ def guardrail_windows(events: DataFrame, time: str, value: str, keys: list[str],
     return out.select(*keys, F.col("w.start").alias("check_time"), "current_value", "n")
 
 
-def consecutive_breaches(checks: DataFrame, threshold: float, lower_is_better: bool, alert_at: int) -> DataFrame:
-    """Alerts when a (experiment, metric, variant) breaches ``alert_at`` checks in a row; a good check resets.
-
-    State is one counter per key. Checks of a batch are taken in order of check_time; a check
-    that comes in a later batch than a younger one counts when it comes, so feed this from
-    windows that the watermark has closed.
-    """
-    keys = ["experiment_id", "metric_id", "variant_id"]
-
-    def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run = state.get[0] if state.exists else 0
-        rows = pd.concat([b for b in batches if len(b)]).sort_values("check_time")
-        alerts = []
-        for at, value in zip(rows["check_time"], rows["current_value"], strict=True):
-            run = run + 1 if (value > threshold) == lower_is_better and value != threshold else 0
-            if run == alert_at:
-                alerts.append((*key, at, float(value), run))
-        state.update((run,))
-        yield pd.DataFrame(alerts, columns=[*keys, "check_time", "current_value", "run"])
-
-    shape = "experiment_id string, metric_id string, variant_id string, check_time timestamp, current_value double, run int"
-    return checks.groupBy(*keys).applyInPandasWithState(track, shape, "run int", "append", GroupStateTimeout.NoTimeout)
-
-
 def running_posteriors(rewards: DataFrame) -> DataFrame:
     """Thompson posteriors as a running aggregate, for update or complete mode."""
     return rewards.groupBy("experiment_id", "arm_id").agg((1 + F.sum("reward")).alias("alpha"), (1 + F.sum(1 - F.col("reward"))).alias("beta"), F.count("*").alias("pulls"))
@@ -172,31 +144,41 @@ def alert_messages(alerts: DataFrame) -> DataFrame:
     return alerts.select(F.col("experiment_id").alias("key"), value.alias("value"))
 
 
-def counting_write(path: str, seen_path: str, reason: Column, event_id: str, event_time: str, arrival_time: str, type_column: str = "event_type"):
-    """A ``foreachBatch`` function that counts, per type, rejected, accepted and repeated rows and sums their delay.
-
-    Ids that earlier batches accepted are kept beside the counts; a batch that is redone replaces its own part.
-    """
+def counting_write(path: str, reason: Column, event_time: str, arrival_time: str, type_column: str = "event_type"):
+    """A ``foreachBatch`` function that counts rows and rejects per type and sums their delay; a batch that is redone replaces its part."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        marked = batch.withColumn("bad", reason.isNotNull()).persist()
         delay = (F.unix_micros(F.col(arrival_time).cast("timestamp")) - F.unix_micros(F.col(event_time).cast("timestamp"))) / 1e6
-        good = marked.filter("not bad").select(type_column, event_id).distinct()
-        if batch_id:
-            earlier = spark.read.parquet(seen_path).filter(F.col("batch") < batch_id).drop("batch")
-            good = good.join(earlier, [type_column, event_id], "left_anti")
-        good.write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
-        fresh = spark.read.schema(good.schema).parquet(f"{seen_path}/batch={batch_id}").groupBy(type_column).agg(F.count("*").alias("accepted"))
-        counts = marked.groupBy(type_column).agg(F.count("*").alias("rows"), F.count(F.when(F.col("bad"), 1)).alias("rejected"), F.sum(delay).alias("delay"))
-        counts.join(fresh, type_column, "left").fillna(0, ["accepted"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        marked.unpersist()
+        counts = batch.groupBy(type_column).agg(F.count("*").alias("rows"), F.count(reason).alias("rejected"), F.sum(delay).alias("delay"))
+        counts.withColumn("accepted", F.lit(0).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
+def accepting_write(path: str, type_column: str = "event_type"):
+    """A ``foreachBatch`` function that counts what deduplication has let through, per type."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy(type_column).agg(F.count("*").alias("accepted"))
+        counts.select(type_column, F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("rejected"), F.lit(0.0).alias("delay"), "accepted").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def count_stream(events: DataFrame, spark: SparkSession, folder: str, reason: Column, event_id: str, event_time: str, arrival_time: str, type_column: str = "event_type", horizon: str = DEDUP_HORIZON) -> DataFrame:
+    """Totals per type (``total_counts``) of what a stream holds: rows, rejects, accepted and repeated ids, mean delay.
+
+    Ids are state for ``horizon`` after they arrive, in Spark's store, and then go: the state
+    is as large as that time's ids, however long the stream runs.
+    """
+    run_once(events, spark, f"{folder}/rows", write=counting_write(f"{folder}/counts/part=rows", reason, event_time, arrival_time, type_column))
+    valid = deduplicated(events.filter(reason.isNull()), [type_column, event_id], arrival_time, horizon)
+    run_once(valid, spark, f"{folder}/valid", write=accepting_write(f"{folder}/counts/part=valid", type_column))
+    return total_counts(spark.read.parquet(f"{folder}/counts"), type_column)
+
+
 def total_counts(counts: DataFrame, type_column: str = "event_type") -> DataFrame:
-    """Totals of ``counting_write`` over all batches: what is neither rejected nor accepted is a duplicate."""
+    """Totals over all batches: what is neither rejected nor accepted is a duplicate."""
     total = counts.groupBy(type_column).agg(*[F.sum(c).alias(c) for c in ("rows", "rejected", "accepted", "delay")])
     return total.select(type_column, "rows", "rejected", "accepted", (F.col("rows") - F.col("rejected") - F.col("accepted")).alias("duplicates"), (F.col("delay") / F.col("rows")).alias("mean_delay_seconds"))
 
