@@ -406,6 +406,46 @@ def test_page_cases(name):
     assert want is None or got == want
 
 
+STORY = "<h1>Head</h1><p>" + "A paragraph that goes on for a while. " * 8 + "</p>"
+STORY_TEXT = "Head\n" + ("A paragraph that goes on for a while. " * 8).strip()
+WRAPPERS = ['div class="layout with-sidebar"', 'div id="content" class="no-sidebar"', 'div class="has-header-image"', 'form id="aspnetForm"', 'div class="page-header-wrapper"', 'main class="content-comments-off"', 'div class="site-form" role="form"']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_a_wrapper_keeps_its_article(wrapper):
+    tag = wrapper.split()[0]
+    assert H.main_text(f"<body><{wrapper}>{STORY}</{tag}><footer>Foot</footer></body>") == STORY_TEXT
+
+
+PARTS = {
+    "share-prices": '<div class="share-prices"><p>Prices rose.</p></div>', "social-history": '<section id="social-history"><p>Its history.</p></section>', "header-image": '<div class="has-header-image"><p>Shown.</p></div>',
+}
+DROPPED = ['<div class="comment-list"><p>{}</p></div>', '<ul class="post-comments" id="x"><li>{}</li></ul>', '<div id="site-footer"><p>Foot</p></div>', '<div class="share-buttons">Share</div>', '<div class="cookie-notice">We use</div>', '<form><p>Sign up</p></form>', '<div class="widget-area">Side</div>', '<div role="form">Mail</div>']
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_a_section_named_like_a_menu_stays_in_its_article(name):
+    page = f"<article>{STORY}{PARTS[name]}</article>"
+    assert H.main_text(page) == STORY_TEXT + "\n" + re.sub("<[^>]*>", "", PARTS[name])
+
+
+@pytest.mark.parametrize("part", DROPPED)
+def test_parts_go_however_long_their_comments_are(part):
+    for size in (1, 200):
+        assert H.main_text(f"<body><div>{STORY}</div>{part.format('More text of readers. ' * size)}</body>") == STORY_TEXT
+
+
+def test_a_host_with_most_pages_and_one_without_text(spark, monkeypatch):
+    usual = '<div class="top"><p>{0} short.</p></div><div class="story-{0}"><p>{0} is the story, and it goes on for a good while here.</p></div>'
+    rows = [(i, f"http://hot.org/{i}", usual.format(i), "x", i) for i in range(60)] + [(100 + i, f"http://h{i}.org/", usual.format(i), "y", 1) for i in range(30)] + [(200 + i, None, None, "z", 0) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, path long")
+    want = {r[0]: f"{r[0] % 100} is the story, and it goes on for a good while here." if r[2] else "" for r in rows}
+    for keys in (10_000, 10):
+        monkeypatch.setattr("tidemetric.llm.common.HEAVY_KEYS", keys)
+        got = H.extract_pages(pages).collect()
+        assert {r["page_id"]: r["text"] for r in got} == want and len(got) == len(rows)
+
+
 DEEP = "<div>" * 5000
 ODD = {
     "open tags": ("<a" * 500_000, 1_000_000),
@@ -468,6 +508,16 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in L.identify(asked, L.train_filter(frame(spark, []))).collect()} == {"und"}
 
 
+def test_letters_of_every_plane(spark):
+    table = L.letter_table()
+    assert len(table) == 0x110000 and all(table[i] == chr(i).isalpha() for i in range(0x110000))
+    far = [f"{chr(0x32050 + k % 7)}{chr(0x32060 + k % 5)}{chr(0x32070)} " * 6 for k in range(40)]
+    rows = [(i, t, "zz", "s") for i, t in enumerate(far)] + [(100 + i, "the plain words of another one " * 3, "en", "s") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["lang_pred"] for r in L.identify(docs.filter("lang = 'zz'"), L.train_filter(docs)).collect()}
+    assert got == {"zz"}
+
+
 def test_filter_returns_all_languages_of_a_gram():
     grams = {"a": np.arange(0, 50, dtype=np.int64), "b": np.arange(25, 80, dtype=np.int64)}
     grams = {k: L.mix(v.view(np.uint64)).view(np.int64) for k, v in grams.items()}

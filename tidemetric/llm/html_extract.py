@@ -7,9 +7,12 @@
 3. Every page is read again: the text of the containers on its host's winning path, or
    of its own best container where the page has none on that path.
 
-Menus, headers, footers, sidebars, notices, adverts, forms and comments are left out by
-tag, role, class and id. The host-to-path table is broadcast only while its counted
-size is small; beyond that it is joined by host.
+Menus, headers, footers, sidebars, notices, adverts, forms and comments are left out by tag
+and role, and by class and id: by a name that is listed, or that is made of listed and
+structural words alone (``site-header``, ``comment-list``), never by one word among others
+(``with-sidebar``, ``share-prices``). A form, or a name with structural words, that holds most of the page's
+text and all its headings wraps the page and stays, unless it names comments. Paths of hosts with many
+pages are broadcast, a bounded number of them; pages of all other hosts meet theirs by host.
 """
 
 from __future__ import annotations
@@ -20,29 +23,34 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemetric.llm.common import cut, small_batches, table
+from tidemetric.llm.common import cut, join_by_key, small_batches, table
 from tidemetric.llm.url_filter import url_host
 
 SHARE = 0.7
-BROADCAST_HOSTS = 100_000
 
 # HTML element kinds.
 RAW = frozenset("script style noscript template textarea title svg math iframe object select button canvas xmp noembed noframes".split())
 CONTAINERS = frozenset("body main article section div table tbody thead tfoot tr td th ul ol dl center fieldset details figure blockquote nav header footer aside form menu dialog search address hgroup".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre caption figcaption legend summary hr option optgroup".split())
 HEADINGS = frozenset("h1 h2".split())
-LEFT_OUT = frozenset("nav header footer aside form menu dialog search address head".split())
-LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-# Words of class names and ids that mark parts which are not the article.
+LEFT_OUT = frozenset("nav header footer aside menu dialog search address head".split())
+LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
+# Class names and ids that mark parts which are not the article, those of them that mark comments, and words that add nothing to them.
 LEFT_OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adslot banner banners breadcrumb breadcrumbs comment comments commentlist "
     "consent cookie cookies disqus footer foot gdpr header masthead menu menus modal nav navbar navigation navi newsletter notice notices pager pagination "
     "popup promo promoted promotion recommended related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+STRUCTURAL = frozenset(
+    "area bar block bottom box buttons center column container div form global group holder icons inner item items left link links list local main middle nav outer page panel "
+    "post posts primary right row secondary section signup site slot strip thread top unit user wrap wrapper zone".split()
+)
+
 _OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/<>]*+)|/)")
 _PLAIN = re.compile(r"[^>\"']*+>")
 _QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
@@ -56,15 +64,16 @@ _VARYING = re.compile(r"[0-9]+")
 class Node:
     """A container: its path's last step, what lies in it, and whether it is left out.
 
+    ``weak`` marks a part that is left out only where it is small: ``kept_parts`` decides.
     ``at`` is the number of steps of a given path that its own path equals, or -1;
     ``inside`` is whether it or a container above it ends that path.
     """
 
-    __slots__ = ("at", "clean", "heading", "inside", "kids", "label", "out", "parent", "tag")
+    __slots__ = ("at", "clean", "heading", "inside", "kids", "label", "marks", "out", "parent", "tag", "weak")
 
-    def __init__(self, tag: str, parent: Node | None, label: str, out: bool, steps: list[str]):
-        self.tag, self.parent, self.label, self.out = tag, parent, label, out
-        self.clean, self.heading, self.kids = 0, False, []
+    def __init__(self, tag: str, parent: Node | None, label: str, out: bool, weak: bool, steps: list[str]):
+        self.tag, self.parent, self.label, self.out, self.weak = tag, parent, label, out, weak
+        self.clean, self.heading, self.kids, self.marks = 0, False, [], int(tag in ("article", "main"))
         above = 0 if parent is None else parent.at
         self.at = above + 1 if 0 <= above < len(steps) and steps[above] == label else -1
         self.inside = (parent is not None and parent.inside) or (self.at > 0 and self.at == len(steps))
@@ -149,14 +158,45 @@ def _label(tag: str, attrs: dict[str, str]) -> str:
     return tag + "".join(f".{n}" for n in names) + (f"#{own}" if own else "")
 
 
-def _left_out(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in LEFT_OUT or attrs.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
-        return True
+def _left_out(tag: str, attrs: dict[str, str]) -> tuple[bool, bool]:
+    """Whether a container is left out, and whether it is if it holds a minor part of the page."""
+    role = attrs.get("role", "").lower()
+    if tag in LEFT_OUT or role in LEFT_OUT_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
+        return True, False
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    if tag in ("body", "article", "main"):
-        return any(n in ("comment", "comments", "reply") for n in _WORD.findall(attrs.get("class", "").lower()))
-    return any(n in LEFT_OUT_NAMES for n in _WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+        return True, False
+    known = COMMENTS if tag in ("body", "article", "main") else LEFT_OUT_NAMES
+    weak = tag == "form" or role == "form"
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        if name in known:
+            return True, False
+        words = _WORD.findall(name)
+        listed = [w for w in words if w in known]
+        if listed and all(w in known or w in STRUCTURAL for w in words):
+            if len(listed) == len(words) or any(w in COMMENTS for w in listed):
+                return True, False
+            weak = True
+    return False, weak
+
+
+def kept_parts(nodes: list[Node]) -> None:
+    """Leaves out the weak containers that do not wrap the page, and sums clean text upwards.
+
+    A container wraps the page that holds half of its clean text or more, and every article and heading. Every container comes after its parent in ``nodes``; ``clean`` is its own text before, and all below it afterwards.
+    """
+    own = [n.clean for n in nodes]
+    for node in nodes:
+        node.marks = 0 if node.out else node.marks + node.heading
+    for node in reversed(nodes[1:]):
+        node.parent.clean += node.clean
+        node.parent.marks += node.marks
+    total, marks = nodes[0].clean, nodes[0].marks
+    for node in nodes[1:]:
+        node.out = node.out or node.parent.out or (node.weak and (2 * node.clean < total or node.marks < marks))
+    for node, clean in zip(nodes, own, strict=True):
+        node.clean = 0 if node.out else clean
+    for node in reversed(nodes[1:]):
+        node.parent.clean += node.clean
 
 
 def decoded(text: str) -> str:
@@ -172,7 +212,7 @@ def parse(page: str, path: str | None = None) -> tuple[Node, list[tuple[Node, st
     Containers nest to any depth: nothing here recurses, and each is visited once.
     """
     steps = path.split(" ") if path else []
-    root = node = Node("body", None, "body", False, steps)
+    root = node = Node("body", None, "body", False, False, steps)
     nodes, opened = [root], Counter()
     blocks: list[tuple[Node, str, int]] = []
     run: list[str] = []
@@ -216,7 +256,8 @@ def parse(page: str, path: str | None = None) -> tuple[Node, list[tuple[Node, st
             depth, gone, heading = 0, 0, False
             if not ends:
                 attrs = _attributes(attributes)
-                inner = Node(tag, node, _label(tag, attrs), node.out or _left_out(tag, attrs), steps)
+                out, weak = _left_out(tag, attrs)
+                inner = Node(tag, node, _label(tag, attrs), node.out or out, weak, steps)
                 node.kids.append(inner)
                 nodes.append(inner)
                 opened[tag] += 1
@@ -230,8 +271,7 @@ def parse(page: str, path: str | None = None) -> tuple[Node, list[tuple[Node, st
     if at < len(page):
         run.append(page[at:])
     close()
-    for inner in reversed(nodes[1:]):
-        inner.parent.clean += inner.clean
+    kept_parts(nodes)
     return root, blocks
 
 
@@ -261,22 +301,21 @@ def main_text(page: str | None, path: str | None = None) -> str:
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(host, path) of every page; a page without clean text has no path."""
     for batch in batches:
         rows = []
         for host, page in zip(batch["host"], batch["html"], strict=True):
-            root, _ = parse(page or "")
-            best = best_container(root)
-            if best.clean:
-                rows.append((host, path_of(best)))
+            best = best_container(parse(page or "")[0])
+            rows.append((host, path_of(best) if best.clean else None))
         yield pd.DataFrame(rows, columns=["host", "path"])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): each host's path with most votes, ties to the smaller path."""
+    """(host, path, rows_of_key): each host's path with most votes, ties to the smaller path, null without votes; and its number of pages."""
     votes = pages.select(url_host(F.col("url")).alias("host"), "html").mapInPandas(_votes, "host string, path string")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"))
-    first = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    return counted.withColumn("n", first).filter("n = 1").select("host", "path")
+    best = F.min(F.when(F.col("path").isNotNull(), F.struct((-F.col("votes")).alias("minus"), "path")))
+    return counted.groupBy("host").agg(best["path"].alias("path"), F.sum("votes").alias("rows_of_key"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -288,8 +327,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     small_batches(pages.sparkSession)
     winners = cut(host_paths(pages))
-    if winners.count() <= BROADCAST_HOSTS:
-        winners = F.broadcast(winners)
+    total = winners.agg(F.coalesce(F.sum("rows_of_key"), F.lit(0))).first()[0]
 
     @F.pandas_udf("string")
     def extracted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -297,7 +335,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pd.Series([main_text(s, p) for s, p in zip(sources, paths, strict=True)])
 
     own = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
-    return own.join(winners, "host", "left").select("page_id", "url", extracted("html", "path").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return join_by_key(own, winners, "host", total).select("page_id", "url", extracted("html", "path").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ batches; the filter is the only broadcast and its size is a parameter.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,10 +41,10 @@ _letters: np.ndarray | None = None
 
 
 def letter_table() -> np.ndarray:
-    """Whether each code point is a letter; code points past the table are not."""
+    """Whether each code point is a letter."""
     global _letters
     if _letters is None:
-        _letters = np.array([chr(i).isalpha() for i in range(0x32000)] + [False])
+        _letters = np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
     return _letters
 
 
@@ -71,7 +72,7 @@ def slabs(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
     def out(pieces):
         owner = np.repeat([i for i, _ in pieces], [len(p) for _, p in pieces])
         codes = np.frombuffer("".join(p for _, p in pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
-        return owner, codes, table[np.minimum(codes, len(table) - 1)]
+        return owner, codes, table[codes]
 
     pieces, size = [], 0
     for i, text in enumerate(texts):
