@@ -8,8 +8,9 @@ phrase's trigger on), and its place in corpus order is a pair of ranks: that of
 suffix in the suffix array of the dictionary, and that of what follows in the suffix array
 of the parse, cut off after ``size`` bytes.
 
-1. Phrase ends whose next ``key`` bytes no other phrase end has start no repeated window.
-   The keys that repeat go into a bounded bit table; it only spares work, as candidates are
+1. Windows that start near the end of their phrase have more bytes after it: a phrase is
+   cut into bands of such offsets. Where no other phrase end is followed by the bytes that
+   all windows of a band hold, none of these is repeated. The keys of bytes that repeat go into a bounded bit table; it only spares work, as candidates are
    grouped exactly later.
 2. Phrase ends with equal contexts (whole phrase and all that a window can reach) are one
    class. A class found twice is repeated whole, without a look at its bytes: in highly
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemetric.llm.bits import bit_table, has_bit
-from tidemetric.llm.common import cut, join_by_key, stored, table
+from tidemetric.llm.common import cut, join_by_key, new_folder, remove_folder, stored, table
 from tidemetric.llm.words import _BASE, _power_tables, mix
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -52,62 +53,71 @@ _BYTE = np.random.default_rng(20240713).integers(1, (1 << 64) - 1, 256, dtype=np
 
 @dataclass(frozen=True)
 class Parse:
-    """Lengths in bytes: of windows, of triggers, how far a phrase reaches before its trigger, and of keys."""
+    """Lengths in bytes: of windows, of triggers, how far a phrase reaches before its trigger, and of bands of offsets."""
 
     size: int = 400
     trigger: int = 32
-    reach: int = 300
-    key: int = 100
-    rate: int = 64
+    reach: int = 299
+    band: int = 100
+    rate: int = 56
 
     def __post_init__(self):
-        if not (self.trigger <= self.size - self.reach and self.key <= self.size - self.reach):
-            raise ValueError("triggers and keys must lie inside every window that they stand for")
+        if self.trigger > self.size - self.reach:
+            raise ValueError("triggers must lie inside every window that they stand for")
 
 
-def run_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hashes of all runs of ``length`` bytes, from prefix sums of a polynomial."""
-    count = len(data) - length + 1
-    if count <= 0:
-        return np.zeros(0, np.uint64)
-    power, inverse = _power_tables(len(data) + 1)
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial over ``data``, for hashes of its runs."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64, out=sums[1:])
-    return mix((sums[length:] - sums[:count]) * inverse[:count] + np.uint64(length * _BASE & 0xFFFFFFFFFFFFFFFF))
+    np.cumsum(_BYTE[data] * _power_tables(len(data) + 1)[0][: len(data)], dtype=np.uint64, out=sums[1:])
+    return sums
 
 
-def phrase_ends(data: np.ndarray, first: int, stop: int, parse: Parse) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, advance, rest) of the phrase ends at ``first`` to ``stop``: windows start 0 to ``advance - 1`` bytes before the place, and ``rest`` bytes follow, ``size`` at most.
+def run_hashes(sums: np.ndarray, at: np.ndarray | slice, length: int) -> np.ndarray:
+    """64-bit hashes of the runs of ``length`` bytes from ``at`` on."""
+    after = slice(at.start + length, at.stop + length) if isinstance(at, slice) else at + length
+    inverse = _power_tables(len(sums))[1]
+    return mix((sums[after] - sums[at]) * inverse[at] + np.uint64(length * _BASE & 0xFFFFFFFFFFFFFFFF))
 
-    Only phrase ends that a whole window starts at are given.
+
+def phrase_ends(data: np.ndarray, first: int, stop: int, parse: Parse) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase ends at ``first`` to ``stop``, as rows of (place, low, advance, rest), and their keys.
+
+    Windows start ``low`` to ``advance - 1`` bytes before the place, and ``rest`` bytes follow
+    that such windows can hold. A phrase is cut into bands of offsets, as windows with a
+    smaller offset have more bytes after the place in common: the key is of those that all
+    windows of the band hold. Only bands with a whole window are given.
     """
-    low = max(0, first - parse.reach - 1)
-    high = min(len(data), stop + parse.size)
-    piece = data[low:high]
-    triggers = np.flatnonzero(run_hashes(piece, parse.trigger) % np.uint64(parse.rate) == 0) + low
+    begin = max(0, first - parse.reach - 1)
+    sums = prefix_sums(data[begin : min(len(data), stop + parse.size)])
+    triggers = np.flatnonzero(run_hashes(sums, slice(0, max(0, len(sums) - parse.trigger)), parse.trigger) % np.uint64(parse.rate) == 0) + begin
     places = np.arange(first, min(stop, max(first, len(data) - parse.size + 1)))  # bytes that a window starts at
     after = np.append(triggers, np.iinfo(np.int64).max)[np.searchsorted(triggers, places)]
     lone = places[after - places > parse.reach]
     own = triggers[(triggers >= first) & (triggers < stop)]
     before = np.append(-1, triggers)[np.searchsorted(triggers, own)]
-    before = np.where(before < 0, np.maximum(low - 1, -1), before)
+    before = np.where(before < 0, max(begin - 1, -1), before)
     advance = np.minimum(own - before, parse.reach + 1)
     place, advance = np.concatenate([own, lone]), np.concatenate([advance, np.ones(len(lone), np.int64)])
-    rest = np.minimum(parse.size, len(data) - place)
-    keep = advance - 1 >= parse.size - rest
-    order = np.argsort(place[keep], kind="stable")
-    return place[keep][order], advance[keep][order], rest[keep][order]
-
-
-def _slabs(blob: bytes, parse: Parse) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(data, place, advance, rest, key) of a text's phrase ends, slab by slab."""
+    rows, keys = [], []
+    for low in range(0, min(parse.reach, int(advance.max(initial=0)) - 1) + 1, parse.band):
+        some = advance > low
+        end, high = place[some], np.minimum(advance[some], low + parse.band)
+        rest = np.minimum(parse.size - low, len(data) - end)
+        whole = high - 1 >= parse.size - rest
+        end = end[whole]
+        rows.append(np.stack([end, np.full(len(end), low), high[whole], rest[whole]]))
+        keys.append(run_hashes(sums, end - begin, parse.size - min(low + parse.band - 1, parse.reach)))
+    return (np.concatenate(rows, axis=1), np.concatenate(keys)) if rows else (np.zeros((4, 0), np.int64), np.zeros(0, np.uint64))
+
+
+def _slabs(blob: bytes, parse: Parse) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``phrase_ends`` of a text, slab by slab."""
     data = np.frombuffer(blob, np.uint8)
     for first in range(0, len(data) - parse.size + 1 + parse.reach if len(data) >= parse.size else 0, SLAB):
-        place, advance, rest = phrase_ends(data, first, min(first + SLAB, len(data)), parse)
-        if len(place):
-            low = int(place[0])
-            keys = run_hashes(data[low : int(place[-1]) + parse.key], parse.key)
-            yield data, place, advance, rest, keys[place - low]
+        ends, keys = phrase_ends(data, first, min(first + SLAB, len(data)), parse)
+        if len(keys):
+            yield ends, keys
 
 
 def _texts(batches: Iterator[pa.RecordBatch], parse: Parse) -> Iterator[tuple[bytes, bytes]]:
@@ -152,7 +162,7 @@ def _keys(parse: Parse):
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.minimum(n, 2))], ["key", "n"])
 
         for _, blob in _texts(batches, parse):
-            for *_, key in _slabs(blob, parse):
+            for _, key in _slabs(blob, parse):
                 held.append(key)
                 many += len(key)
                 if many > 1 << 18:
@@ -164,35 +174,56 @@ def _keys(parse: Parse):
     return run
 
 
-def _class(data: np.ndarray, place: int, advance: int, rest: int) -> bytes:
-    return hashlib.blake2b(data[place - advance + 1 : place + rest].tobytes(), digest_size=16, salt=advance.to_bytes(8, "little") + rest.to_bytes(8, "little")).digest()
+def class_names(blob: bytes, ends: np.ndarray) -> bytes:
+    """16 bytes for each phrase end: equal for equal bands of equal phrases that go on alike."""
+    place, low, advance, rest = ends
+    view, salts = memoryview(blob), np.stack([low, advance, rest, np.zeros_like(rest)], axis=1).astype("<u4").tobytes()
+    cuts = zip((place - advance + 1).tolist(), (place + rest).tolist(), range(0, len(salts), 16), strict=True)
+    return b"".join(hashlib.blake2b(view[a:b], digest_size=16, salt=salts[i : i + 16]).digest() for a, b, i in cuts)
 
 
-_FOUND = "key long, class binary, tid binary, place long, advance int, rest int, n int"
+_FOUND = "key long, class binary, tid binary, place long, low int, advance int, rest int, n int"
+_KINDS = dict(zip([c.split()[0] for c in _FOUND.split(", ")], [pa.int64(), pa.binary(), pa.binary(), pa.int64(), *[pa.int32()] * 4], strict=True))
+_SENT_ROWS = 1 << 15
 
 
 def _candidates(bits, parse: Parse):
     """Phrase ends whose key may repeat. Of a class that a slab holds again and again the first stands for all, and the others' starts are sent as runs (class is null)."""
-    kinds = dict(zip([c.split()[0] for c in _FOUND.split(", ")], [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True))
+
+    def sent(held: list[tuple]) -> pa.RecordBatch:
+        tids, names, keys, ends, counts = zip(*held, strict=True)
+        many, ends = [len(k) for k in keys], np.concatenate(ends, axis=1)
+        name = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), sum(many), [None, pa.py_buffer(b"".join(names))]).cast(pa.binary())
+        return _batch(
+            {
+                "key": (np.concatenate(keys).view(np.int64), pa.int64()), "class": (name, pa.binary()), "tid": (pa.array(tids, pa.binary()).take(pa.array(np.repeat(np.arange(len(tids)), many))), pa.binary()), "place": (ends[0], pa.int64()),
+                "low": (ends[1].astype(np.int32), pa.int32()), "advance": (ends[2].astype(np.int32), pa.int32()), "rest": (ends[3].astype(np.int32), pa.int32()), "n": (np.minimum(np.concatenate(counts), 2).astype(np.int32), pa.int32()),
+            }
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
         for tid, blob in _texts(batches, parse):
-            for data, place, advance, rest, key in _slabs(blob, parse):
-                first: dict[bytes, list] = {}
-                starts = []
-                for i in np.flatnonzero(has_bit(bits.value, key)):
-                    p, a, r = int(place[i]), int(advance[i]), int(rest[i])
-                    name = _class(data, p, a, r)
-                    row = first.get(name)
-                    if row is None:
-                        first[name] = [int(key[i : i + 1].view(np.int64)[0]), name, tid, p, a, r, 1]
-                    else:
-                        row[6] = 2
-                        starts.append((p - a + 1, p - (parse.size - r)))
-                rows = list(first.values())
-                rows += [[0, None, tid, last, last - low + 1, parse.size, 2] for low, last in merged(starts)]
-                if rows:
-                    yield _batch({c: (list(v), kinds[c]) for c, v in zip(kinds, zip(*rows, strict=True), strict=True)})
+            for ends, key in _slabs(blob, parse):
+                keep = np.flatnonzero(has_bit(bits.value, key))
+                if not len(keep):
+                    continue
+                ends, key = ends[:, keep], key[keep]
+                names = class_names(blob, ends)
+                _, first, counts = np.unique(np.frombuffer(names, [("a", "<u8"), ("b", "<u8")]), return_index=True, return_counts=True)
+                if len(first) < len(key):
+                    others = np.delete(np.arange(len(key)), first)
+                    runs = merged([(p - a + 1, p - max(o, parse.size - r)) for p, o, a, r in ends[:, others].T.tolist()])
+                    rows = [(0, None, tid, last, 0, last - begin + 1, parse.size, 2) for begin, last in runs]
+                    yield _batch({c: (list(v), k) for (c, k), v in zip(_KINDS.items(), zip(*rows, strict=True), strict=True)})
+                ends, key, names = ends[:, first], key[first], b"".join([names[16 * i : 16 * i + 16] for i in first.tolist()])
+                held.append((tid, names, key, ends, counts))
+                many += len(key)
+                if many >= _SENT_ROWS:
+                    yield sent(held)
+                    held, many = [], 0
+        if held:
+            yield sent(held)
 
     return run
 
@@ -208,7 +239,7 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_CONTEXT = "follows binary, phrase binary, tid binary, place long, single boolean"
+_CONTEXT = "follows binary, phrase binary, tid binary, place long, low int, single boolean"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +259,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         "phrase": ([blob[e["place"] - e["advance"] + 1 : e["place"]].to_pybytes()[::-1] for e in some], pa.binary()),
                         "tid": ([tid] * len(some), pa.binary()),
                         "place": ([e["place"] for e in some], pa.int64()),
+                        "low": ([e["low"] for e in some], pa.int32()),
                         "single": ([e["single"] for e in some], pa.bool_()),
                     }
                 )
@@ -261,11 +293,11 @@ def suffix_order(matrix: np.ndarray, lens: np.ndarray) -> np.ndarray:
 _MARKS = "digest binary, tid binary, place long, last long, single boolean, known boolean"
 
 
-def block_marks(follows: list[bytes], phrases: list[bytes], size: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, bool]]]:
+def block_marks(follows: list[bytes], phrases: list[bytes], lows: np.ndarray, size: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, bool]]]:
     """Repeated windows (row, offset) of a sorted block, and its windows at either edge as (row, offset, whether repeated here).
 
     ``follows`` are sorted, and ``phrases`` are backwards; a window starts ``offset`` bytes
-    before its row's place.
+    before its row's place, ``lows`` at least.
     """
     right, rest = padded_bytes(follows)
     left, long = padded_bytes(phrases)
@@ -276,7 +308,7 @@ def block_marks(follows: list[bytes], phrases: list[bytes], size: int) -> tuple[
     dictionary_lcp = neighbours(left[order], long[order])
     repeated, edge = [], []
     for offset in range(int(long.max(initial=0)) + 1):
-        rows = np.flatnonzero((long >= offset) & (rest >= size - offset))
+        rows = np.flatnonzero((lows <= offset) & (long >= offset) & (rest >= size - offset))
         if not len(rows):
             continue
         parse_place = np.cumsum(parse_lcp < size - offset)
@@ -297,7 +329,7 @@ def _settled(size: int, block: int):
     def marks(part: pd.DataFrame) -> pd.DataFrame:
         follows, phrases = list(map(bytes, part["follows"])), list(map(bytes, part["phrase"]))
         tids, places, single = list(map(bytes, part["tid"])), part["place"].to_numpy(), part["single"].to_numpy(bool)
-        repeated, edge = block_marks(follows, phrases, size)
+        repeated, edge = block_marks(follows, phrases, part["low"].to_numpy(), size)
         by_row: dict[int, list] = {}
         for r, offset in repeated:
             if single[r]:
@@ -360,19 +392,22 @@ def repeated_starts(texts: DataFrame, parse: Parse = Parse(), block: int = BLOCK
     bits = spark.sparkContext.broadcast(bit_table(shared, "key", max(1, shared.count())))
     found = stored(texts.mapInArrow(_candidates(bits, parse), _FOUND), "phrase-ends")
     ends = found.filter("class is not null")
-    classes = stored(ends.groupBy("class", "key").agg(F.sum("n").alias("rows_of_key"), F.min(F.struct("tid", "place", "advance", "rest")).alias("one")), "classes")
+    classes = stored(ends.groupBy("class", "key").agg(F.sum("n").alias("rows_of_key"), F.min(F.struct("tid", "place", "low", "advance", "rest")).alias("one")), "classes")
     twice = classes.filter("rows_of_key > 1").select("class", "rows_of_key")
     whole = join_by_key(ends.drop("n"), twice, "class", ends.count())
-    starts = whole.select("tid", (F.col("place") - F.col("advance") + 1).alias("place"), (F.col("place") - parse.size + F.col("rest")).alias("last"))
+    starts = whole.select("tid", (F.col("place") - F.col("advance") + 1).alias("place"), (F.col("place") - F.greatest("low", parse.size - F.col("rest"))).alias("last"))
     locally = found.filter("class is null").select("tid", (F.col("place") - F.col("advance") + 1).alias("place"), F.col("place").alias("last"))
 
     groups = cut(classes.groupBy("key").agg(F.count("*").alias("n_classes"), F.min("rows_of_key").alias("least")).filter("n_classes > 1 and least = 1").select("key", F.col("n_classes").alias("rows_of_key")))
     unsure = join_by_key(classes.select("key", "one", (F.col("rows_of_key") == 1).alias("single")), groups, "key", classes.count())
-    wanted = unsure.groupBy("one.tid").agg(F.collect_list(F.struct("one.place", "one.advance", "one.rest", "single")).alias("ends"))  # phrase ends of one text
-    contexts = stored(once_a_task(texts, parse).join(wanted, "tid").select("tid", "body", "ends").mapInArrow(_contexts, _CONTEXT), "contexts")
+    wanted = unsure.groupBy("one.tid").agg(F.collect_list(F.struct("one.place", "one.low", "one.advance", "one.rest", "single")).alias("ends"))  # phrase ends of one text
+    folder = new_folder(spark, "contexts")
+    once_a_task(texts, parse).join(wanted, "tid").select("tid", "body", "ends").mapInArrow(_contexts, _CONTEXT).write.parquet(folder)
+    contexts = spark.read.schema(_CONTEXT).parquet(folder)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-contexts.count() * (parse.size + parse.rate) // SHARD_BYTES))
     ordered = contexts.repartitionByRange(shards, "follows", "phrase").sortWithinPartitions("follows", "phrase")
     marks = stored(ordered.mapInPandas(_settled(parse.size, block), _MARKS), "marks")
+    remove_folder(folder)
     open_ = marks.filter("digest is not null")
     met = cut(open_.groupBy("digest").agg(F.count("*").alias("rows_of_key")).filter("rows_of_key > 1"))
     across = join_by_key(open_.filter("single and not known"), met, "digest", open_.count())
