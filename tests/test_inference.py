@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemetric.functions import distributions as D
 from tidemetric.functions.murmur import murmur3
+from tidemetric.operators import bandit as B
+from tidemetric.operators import catalog as C
 from tidemetric.operators import inference as I
 from tidemetric.operators import panels as P
 
@@ -149,3 +151,48 @@ def test_earlier_sums_by_ranges_equal_the_running_sums(spark):
     for r in got:
         earlier = [y for k, at, y in rows if k == r["k"] and at < r["at"]]
         assert (r["n_before"], r["sum_before"]) == (len(earlier), sum(earlier))
+
+
+def test_step_up_ranks_and_gini_by_ranges_equal_the_plain_ones(spark, monkeypatch):
+    """One key with all rows: ranges stay bounded, and results are those of one sorted list."""
+    monkeypatch.setattr(I, "ROWS_PER_RANGE", 5_000)
+    n = 100_000
+    rows = spark.range(n).select(F.lit("all").alias("variant_id"), F.col("id").alias("content_id"), (F.xxhash64("id") % 997).alias("n"), (F.pow(F.rand(4), 3)).alias("p_value"))
+    rows = rows.withColumn("n", F.abs("n")).checkpoint()
+    sizes = I.ranged(rows, ["variant_id"], ["p_value", "content_id"]).groupBy("range").count().collect()
+    assert len(sizes) == n // 5_000 and max(r["count"] for r in sizes) < 2 * 5_000
+    plain = rows.toPandas()
+    order = np.argsort(plain["p_value"].to_numpy(), kind="stable")
+    p = plain["p_value"].to_numpy()[order] * n / np.arange(1, n + 1)
+    want = np.minimum(1, np.minimum.accumulate(p[::-1])[::-1])
+    got = I.benjamini_hochberg(rows, ["variant_id"], 0.05, tie="content_id").select("content_id", "p_adjusted").toPandas().set_index("content_id")["p_adjusted"]
+    assert np.allclose(got.loc[plain["content_id"].to_numpy()[order]].to_numpy(), want)
+    values = np.sort(plain["n"].to_numpy(float))
+    rank = np.arange(1, n + 1)
+    assert C.gini(rows, "content_id").first()["metric_value"] == pytest.approx(2 * (rank * values).sum() / (n * values.sum()) - (n + 1) / n)
+    place = C.popularity(rows.select("content_id", "n"), "n").toPandas()
+    assert np.allclose(place["place"], (n - np.searchsorted(values, place["n"].to_numpy(), "right")) / (n - 1))
+
+
+def test_heterogeneity_p(spark):
+    rows = spark.createDataFrame([("m", 1.0, 0.5), ("m", 2.0, 0.5), ("m", 4.0, 1.0), ("m", 1.0, 0.0), ("one", 1.0, 1.0)], "metric_id string, effect double, se double")
+    got = {r["metric_id"]: r for r in I.cochran_q(rows, ["metric_id"]).collect()}
+    w, e = np.array([4.0, 4.0, 1.0]), np.array([1.0, 2.0, 4.0])
+    q = (w * (e - (w * e).sum() / w.sum()) ** 2).sum()
+    assert got["m"]["q"] == pytest.approx(q) and got["m"]["p_value"] == pytest.approx(math.exp(-q / 2))
+    assert got["one"]["p_value"] == 1.0
+
+
+def test_moving_averages_and_ideals_equal_the_steps(spark):
+    rng = np.random.default_rng(8)
+    rows = [("k", i, float(rng.normal(0, 1))) for i in range(700)] + [("other", 3, 0.5)]
+    df = spark.createDataFrame(rows, "metric string, at long, reward double")
+    for rate in (0.01, 0.9):  # the second makes blocks of 130 rows
+        got = {(r["metric"], r["at"]): (r["z"], r["ideal"]) for r in B.ema_path(df, ["metric"], "at", rate).collect()}
+        mean, var, ideal = {}, {}, {}
+        for m, i, x in rows:
+            d = x - mean.get(m, 0.0)
+            mean[m], var[m] = mean.get(m, 0.0) + rate * d, (1 - rate) * (var.get(m, 1.0) + rate * d * d)
+            z = (x - mean[m]) / math.sqrt(max(var[m], 1e-8))
+            ideal[m] = max(ideal.get(m, 0.0), z)
+            assert got[m, i] == pytest.approx((z, ideal[m]), abs=1e-6)

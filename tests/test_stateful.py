@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemetric.operators import inference as I
 from tidemetric.operators.inference import arm_pairs, avlm, moments
 from tidemetric.sources.store import shared_folder
 from tidemetric.streaming import events as E
@@ -121,3 +122,17 @@ def test_counts_keep_ids_for_a_bounded_time(spark):
     query.awaitTermination()
     sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
     assert max(sizes) <= 5 * 20 and len(sizes) >= 20, pd.Series(sizes).describe()
+
+
+def test_online_fdr_decides_late_tests_in_order(spark):
+    rng = random.Random(11)
+    tests = [(p, f"t{i}", START + dt.timedelta(hours=i), rng.choice([0.5, 0.5, 300.0, 4000.0, None])) for i in range(30) for p in ("a", "b")]
+    late = sorted(tests, key=lambda t: (t[2] - START).total_seconds() / 3600 + rng.uniform(0, 4))
+    shape = "program string, test_id string, finished_at timestamp, e_value double"
+    batches = [late[i : i + 12] for i in range(0, len(late), 12)] + [[("c", "last", START + dt.timedelta(days=9), 1.0)]]
+    got = E.run_once(S.online_fdr_stream(stream(spark, batches, shape), 0.05, 0.9, "6 hours"), spark, shared_folder(spark, "fdr")).collect()
+    last = {p: max((r for r in got if r["program"] == p), key=lambda r: r["tests"]) for p in "ab"}
+    want = {r["program"]: r for r in I.online_fdr(spark.createDataFrame(tests, shape), ["program"], "finished_at", 0.05, 0.9).collect()}
+    assert len(got) == 60 and sum(r["rejected"] for r in got) > 3
+    for p in "ab":
+        assert (last[p]["tests"], last[p]["rejections"]) == (want[p]["tests"], want[p]["rejections"]) and last[p]["wealth"] == pytest.approx(want[p]["wealth"])

@@ -49,8 +49,8 @@ def title_spillover(consumption: DataFrame, treatment: str, control: str = "cont
 
 def spillover_tests(spillover: DataFrame, alpha: float = 0.05) -> DataFrame:
     """p per content, adjusted over contents by false discovery rate, and whether the content spills over; without a z, p is 1."""
-    tests = spillover.select("content_id", "z", F.lit(0).alias("all"), F.coalesce(D.normal_p_value(F.col("z")), F.lit(1.0)).alias("p_value"))
-    return benjamini_hochberg(tests, ["all"], alpha, tie="content_id").select("content_id", "z", "p_value", "p_adjusted", F.col("reject").alias("spills_over"))
+    tests = spillover.select("content_id", "z", F.coalesce(D.normal_p_value(F.col("z")), F.lit(1.0)).alias("p_value"))
+    return benjamini_hochberg(tests, [], alpha, tie="content_id").select("content_id", "z", "p_value", "p_adjusted", F.col("reject").alias("spills_over"))
 
 
 def interference_decision(divergence: DataFrame, spillover: DataFrame, js_threshold: float = 0.05) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemetric.operators.inference import ROWS_PER_RANGE
+from tidemetric.sources.store import kept
+
 
 def thompson_posteriors(rewards: DataFrame) -> DataFrame:
     """α = 1 + Σr and β = 1 + Σ(1 - r) per experiment and arm; sums commute, so order is free."""
@@ -116,7 +121,7 @@ def ema_normalised(rewards: DataFrame, keys: list[str], order: str, rate: float
     updated state.
     """
     keep = 1 - rate
-    parts = int(rewards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-rewards.count() // ROWS_PER_RANGE))
     dealt = rewards.select(*keys, order, "reward").repartitionByRange(parts, *keys, order).withColumn("range", F.spark_partition_id())
     back = Window.partitionBy(*keys, "range").orderBy(F.col(order).desc(), F.col("reward").desc())
     aged = dealt.withColumn("weight", rate * F.pow(F.lit(keep), F.row_number().over(back) - 1))
@@ -128,6 +133,39 @@ def ema_normalised(rewards: DataFrame, keys: list[str], order: str, rate: float
     return out.select(*keys, "mean", "variance", ((F.col("last") - F.col("mean")) / F.sqrt(F.greatest("variance", F.lit(1e-12)))).alias("z"))
 
 
+def ema_path(rewards: DataFrame, keys: list[str], order: str, rate: float = 0.01) -> DataFrame:
+    """Every reward with its z by ``ema_normalised`` as of then, and the ideal: the largest z so far, 0 at least.
+
+    Prefixes of the moving sums come in two levels. Spark deals rows into ranges of the order;
+    within a block of a range, as long as decays fit a double, they are window sums, and the
+    state at a block's start is folded from the blocks before it as far as their decay counts
+    at all. Ideals are running maxima within blocks, and over the blocks before.
+    """
+    keep = 1 - rate
+    length = max(1, int(300 / -math.log(keep)))  # decays stay above e^-300
+    parts = max(1, rewards.count() // (10 * length))
+    dealt = rewards.select(*keys, order, "reward").repartitionByRange(parts, *keys, order, "reward").withColumn("__range", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(order, "reward")) - 1
+    rows = kept(dealt.withColumn("__place", place).withColumns({"__block": F.floor(F.col("__place") / length), "__at": F.col("__place") % length + 1}), "ema-rows")
+    so_far = Window.partitionBy(*keys, "__range", "__block").orderBy("__at")
+    grown = lambda x: F.pow(F.lit(keep), F.col("__at")) * F.sum(rate * x * F.pow(F.lit(keep), -F.col("__at"))).over(so_far)
+    local = rows.withColumns({"first": grown(F.col("reward")), "second": grown(F.col("reward") * F.col("reward"))})
+    blocks = local.groupBy(*keys, "__range", "__block").agg(F.max_by(F.struct("__at", "first", "second"), "__at").alias("end"))
+    before = Window.partitionBy(*keys).orderBy("__range", "__block")
+    near = F.collect_list("end").over(before.rowsBetween(-64, -1))  # 64 blocks: at least six of full length, or all there are
+    start = F.struct(F.lit(0.0).alias("first"), F.lit(1.0).alias("second"))
+    carry = F.aggregate(near, start, lambda s, b: F.struct((s["first"] * F.pow(F.lit(keep), b["__at"]) + b["first"]).alias("first"), (s["second"] * F.pow(F.lit(keep), b["__at"]) + b["second"]).alias("second")))
+    carried = blocks.select(*keys, "__range", "__block", carry.alias("carry"))
+    decay = F.pow(F.lit(keep), F.col("__at"))
+    state = local.join(carried, [*keys, "__range", "__block"]).withColumns({"mean": F.col("first") + decay * F.col("carry.first"), "square": F.col("second") + decay * F.col("carry.second")})
+    z = (F.col("reward") - F.col("mean")) / F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(1e-8)))
+    scored = kept(state.select(*keys, order, "reward", "__range", "__block", "__at", z.alias("z")), "ema-z")
+    tops = scored.groupBy(*keys, "__range", "__block").agg(F.max("z").alias("top"))
+    above = tops.select(*keys, "__range", "__block", F.greatest(F.coalesce(F.max("top").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), F.lit(0.0)).alias("above"))
+    ideal = F.greatest("above", F.max("z").over(so_far))
+    return scored.join(above, [*keys, "__range", "__block"]).select(*keys, order, "reward", "z", ideal.alias("ideal"))
+
+
 def composed(z: dict[str, Column], scheme: str, weights: dict[str, float], ideal: dict[str, Column] | None = None, floors: dict[str, float] | None = None) -> Column:
     """One reward of several normalised ones: weighted sum, epsilon-constraint or Tchebycheff."""
     total = sum((F.lit(w) * z[m] for m, w in weights.items()), F.lit(0.0))
@@ -148,7 +186,7 @@ def allocation_shares(selections: DataFrame, order: str, rate: float, arms: list
     its decay and its weighted sum per arm, and the few ranges are combined by the decay after them.
     """
     keep = 1 - rate
-    dealt = selections.select("experiment_id", order, "arm_id").repartitionByRange(int(selections.sparkSession.conf.get("spark.sql.shuffle.partitions")), "experiment_id", order).withColumn("range", F.spark_partition_id())
+    dealt = selections.select("experiment_id", order, "arm_id").repartitionByRange(max(1, -(-selections.count() // ROWS_PER_RANGE)), "experiment_id", order).withColumn("range", F.spark_partition_id())
     back = Window.partitionBy("experiment_id", "range").orderBy(F.col(order).desc(), F.col("arm_id").desc())
     aged = dealt.withColumn("weight", rate * F.pow(F.lit(keep), F.row_number().over(back) - 1))
     sums = [F.struct(F.lit(a).alias("arm_id"), F.coalesce(F.sum(F.when(F.col("arm_id") == a, F.col("weight"))), F.lit(0.0)).alias("sum")) for a in arms]

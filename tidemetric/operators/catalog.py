@@ -7,10 +7,11 @@ the catalog only zero-fills what the catalog already bounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemetric.operators.exposure import UNIT, exposed_events
+from tidemetric.operators.inference import earlier_sums
 
 ARM = "variant_id"
 
@@ -39,9 +40,14 @@ def zero_filled(counts: DataFrame, items: DataFrame, key: str) -> DataFrame:
 
 
 def gini(counts: DataFrame, key: str) -> DataFrame:
-    """Gini coefficient of n per arm: (2 Σ rank·n) / (N Σ n) - (N + 1) / N, ranks ascending."""
-    rank = F.row_number().over(Window.partitionBy(ARM).orderBy("n", key))
-    ranked = counts.withColumn("rank", rank).groupBy("variant_id").agg(F.sum(F.col("rank") * F.col("n")).alias("weighted"), F.sum("n").alias("total"), F.count("*").alias("items"))
+    """Gini coefficient of n per arm: (2 Σ rank·n) / (N Σ n) - (N + 1) / N, ranks ascending.
+
+    Equal values share their ranks' sum, so a row a distinct value is ranked, by ranges of the
+    values; an arm's items are never sorted in one task.
+    """
+    levels = earlier_sums(counts.groupBy(ARM, "n").agg(F.count(key).alias("same")), [ARM], ["n"], "same")
+    ranks = F.col("same") * F.col("sum_before") + F.col("same") * (F.col("same") + 1) / 2
+    ranked = levels.groupBy(ARM).agg(F.sum(ranks * F.col("n")).alias("weighted"), F.sum(F.col("same") * F.col("n")).alias("total"), F.sum("same").alias("items"))
     value = F.try_divide(2.0 * F.col("weighted"), F.col("items") * F.col("total")) - (F.col("items") + 1.0) / F.col("items")
     return ranked.select("variant_id", F.coalesce(value, F.lit(0.0)).alias("metric_value"))
 
@@ -55,19 +61,23 @@ def provider_gini(counts: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def entropy(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """-Σ p ln p of n within ``keys``."""
-    p = F.col("n") / F.sum("n").over(Window.partitionBy(*keys))
-    return counts.filter("n > 0").withColumn("p", p).groupBy(*keys).agg((-F.sum(F.col("p") * F.ln("p"))).alias("metric_value"))
+    """-Σ p ln p of n within ``keys``, as ln N - Σ n ln n / N."""
+    n = F.col("n")
+    return counts.filter("n > 0").groupBy(*keys).agg((F.ln(F.sum(n)) - F.sum(n * F.ln(n)) / F.sum(n)).alias("metric_value"))
+
+
+def popularity(totals: DataFrame, n: str) -> DataFrame:
+    """``totals`` with ``place``: percent rank of ``n``, largest first. Only distinct values are ranked, by ranges."""
+    levels = earlier_sums(totals.groupBy(n).agg(F.count("*").alias("same")), [], [F.desc(n)], "same")
+    size = totals.agg(F.count("*").alias("size"))
+    placed = levels.crossJoin(F.broadcast(size)).select(n, F.coalesce(F.try_divide(F.col("sum_before"), F.col("size") - 1), F.lit(0.0)).alias("place"))
+    return totals.join(placed, n)
 
 
 def longtail_share(counts: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Share of an arm's impressions on contents past ``threshold`` in the popularity order of all arms."""
     totals = counts.groupBy("content_id").agg(F.sum("n").alias("all"))
-    levels = totals.groupBy("all").agg(F.count("*").alias("contents"))  # far fewer rows than contents: one a distinct count
-    down = Window.orderBy(F.desc("all")).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = levels.select("all", F.coalesce(F.sum("contents").over(down), F.lit(0)).alias("above"), F.sum("contents").over(Window.partitionBy()).alias("total"))
-    place = F.coalesce(F.try_divide("above", F.col("total") - 1), F.lit(0.0))
-    tail = totals.join(ranked, "all").select("content_id", (place >= threshold).alias("tail"))
+    tail = popularity(totals, "all").select("content_id", (F.col("place") >= threshold).alias("tail"))
     return counts.join(tail, "content_id").groupBy("variant_id").agg(F.try_divide(F.sum(F.when(F.col("tail"), F.col("n")).otherwise(0)), F.sum("n")).alias("metric_value"))
 
 
@@ -92,8 +102,8 @@ def user_provider_diversity(events: DataFrame, users: DataFrame, catalog: DataFr
 
 def intra_list_distance(events: DataFrame, users: DataFrame, catalog: DataFrame, field: str = "genre") -> DataFrame:
     """1 - Σ p² over the field's shares."""
-    p = F.col("n") / F.sum("n").over(Window.partitionBy(*UNIT))
-    return user_counts(events, users, catalog, field).withColumn("p", p).groupBy(*UNIT).agg((1 - F.sum(F.pow("p", 2))).alias("metric_value"))
+    n = F.col("n")
+    return user_counts(events, users, catalog, field).groupBy(*UNIT).agg((1 - F.sum(n * n) / (F.sum(n) * F.sum(n))).alias("metric_value"))
 
 
 def user_discovery_rate(events: DataFrame, users: DataFrame, start: str) -> DataFrame:

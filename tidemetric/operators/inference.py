@@ -10,12 +10,15 @@ quantiles meet Python, on result rows. Nulls in y are left out of every sum.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemetric.functions import distributions as D
+from tidemetric.functions.fdr import fdr_step
 from tidemetric.sources.store import kept
 
 CONTROL = "control"
@@ -157,14 +160,23 @@ def group_sequential(looks: DataFrame, boundaries: dict[int, float], alpha: floa
     return out.withColumns({"crossed": F.abs("t") >= F.col("boundary"), "alpha_spent": alpha_spent(F.col("look") / F.lit(float(max(boundaries))), alpha, spending)})
 
 
-def earlier_sums(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+#: About how many rows a range of an order holds, and so one task sorts.
+ROWS_PER_RANGE = 200_000
+
+
+def ranged(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """``rows``, stored, with ``range``: numbers that rise along (keys, order), of about equal rows each."""
+    rows = kept(rows, "rows")
+    return kept(rows.repartitionByRange(max(1, -(-rows.count() // ROWS_PER_RANGE)), *keys, *order).withColumn("range", F.spark_partition_id()), "ranges")
+
+
+def earlier_sums(rows: DataFrame, keys: list[str], order: list[str | Column], value: str) -> DataFrame:
     """``rows`` with n_before and sum_before: count and sum of ``value`` over a key's earlier rows.
 
-    Rows are dealt into ranges of the order of about equal size; the few ranges of a key are
-    summed first, and windows run within ranges alone.
+    Rows are dealt into ranges of the order of about equal size; the ranges of a key are
+    summed first, and windows run within ranges alone: few keys make no long tasks.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = kept(rows.repartitionByRange(parts, *keys, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    dealt = ranged(rows, keys, order)
     back = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy(*keys, "range").agg(F.count("*").alias("n"), F.sum(value).alias("s"))
     starts = sums.select(*keys, "range", F.coalesce(F.sum("n").over(back), F.lit(0)).alias("n_start"), F.coalesce(F.sum("s").over(back), F.lit(0.0)).alias("s_start"))
@@ -271,12 +283,12 @@ def clustered(obs: DataFrame, keys: list[str], cluster: str, control: str = CONT
 
 
 def cochran_q(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Heterogeneity of segment effects (effect, se): Q, df, I² in percent and the pooled effect."""
+    """Heterogeneity of segment effects (effect, se): Q, df and p, I² in percent and the pooled effect; one segment has p 1."""
     w = 1 / (F.col("se") * F.col("se"))
     sums = segments.filter("se > 0").groupBy(*keys).agg(F.count("*").alias("k"), F.sum(w).alias("w"), F.sum(w * F.col("effect")).alias("we"), F.sum(w * F.col("effect") * F.col("effect")).alias("wee"))
     q = F.greatest(F.lit(0.0), F.col("wee") - F.col("we") * F.col("we") / F.col("w"))
     out = sums.withColumns({"q": q, "df": (F.col("k") - 1).cast("double"), "pooled_effect": F.col("we") / F.col("w")})
-    return out.withColumn("i_squared", F.coalesce(F.greatest(F.lit(0.0), F.try_divide(F.col("q") - F.col("df"), F.col("q"))) * 100, F.lit(0.0))).select(*keys, "k", "q", "df", "i_squared", "pooled_effect")
+    return out.withColumn("i_squared", F.coalesce(F.greatest(F.lit(0.0), F.try_divide(F.col("q") - F.col("df"), F.col("q"))) * 100, F.lit(0.0))).withColumn("p_value", F.when(F.col("df") < 1, 1.0).otherwise(D.chi_square_p(F.col("q"), F.col("df")))).select(*keys, "k", "q", "df", "p_value", "i_squared", "pooled_effect")
 
 
 def bonferroni(tests: DataFrame, keys: list[str], alpha: float = 0.05, p: str = "p_value") -> DataFrame:
@@ -286,33 +298,51 @@ def bonferroni(tests: DataFrame, keys: list[str], alpha: float = 0.05, p: str =
 
 
 def benjamini_hochberg(tests: DataFrame, keys: list[str], fdr: float = 0.05, p: str = "p_value", tie: str = "variant_id") -> DataFrame:
-    """Adjusted p: running minimum of p·n / rank from the largest p; reject at adjusted p ≤ fdr."""
-    own = Window.partitionBy(*keys)
-    order = own.orderBy(p, tie)
-    ranked = tests.filter(F.col(p).isNotNull()).withColumns({"rank": F.row_number().over(order), "tests": F.count("*").over(own)})
-    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    adjusted_p = F.least(F.lit(1.0), F.min(F.col(p) * F.col("tests") / F.col("rank")).over(onward))
-    return ranked.withColumn("p_adjusted", adjusted_p).withColumn("reject", F.col("p_adjusted") <= fdr).drop("rank", "tests")
+    """Adjusted p: running minimum of p·n / rank from the largest p; reject at adjusted p ≤ fdr.
+
+    Ranks and the running minimum come in two levels, by ranges of p: a key with most of all
+    tests, or no key at all, is no single task. A null p is no test.
+    """
+    dealt = ranged(tests.filter(F.col(p).isNotNull()), keys, [p, tie])
+    sums = dealt.groupBy(*keys, "range").agg(F.count("*").alias("n"))
+    all_ranges = Window.partitionBy(*keys)
+    back = all_ranges.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "range", F.coalesce(F.sum("n").over(back), F.lit(0)).alias("start"), F.sum("n").over(all_ranges).alias("tests"))
+    own = Window.partitionBy(*keys, "range").orderBy(p, tie)
+    scaled = dealt.withColumn("own", F.row_number().over(own)).join(starts, [*keys, "range"]).withColumn("scaled", F.col(p) * F.col("tests") / (F.col("start") + F.col("own")))
+    onward = all_ranges.orderBy("range").rowsBetween(1, Window.unboundedFollowing)
+    lowest = scaled.groupBy(*keys, "range").agg(F.min("scaled").alias("lowest"))
+    later = lowest.select(*keys, "range", F.min("lowest").over(onward).alias("later"))
+    adjusted_p = F.least(F.lit(1.0), F.col("later"), F.min("scaled").over(own.rowsBetween(Window.currentRow, Window.unboundedFollowing)))  # nulls don't count
+    out = scaled.join(later, [*keys, "range"]).withColumn("p_adjusted", adjusted_p).withColumn("reject", F.col("p_adjusted") <= fdr)
+    return out.select(*tests.columns, "p_adjusted", "reject")
 
 
 def online_fdr(tests: DataFrame, keys: list[str], order: str, alpha: float = 0.05, decay: float = 0.5) -> DataFrame:
-    """E-values in order: level α_t = wealth·(1-d)·d^(t-1), reject at E ≥ 1/α_t, wealth regains α.
+    """Tests, rejections and wealth left per key, e-values taken in order; ``streaming.stateful.online_fdr_stream`` decides as they come.
 
-    Wealth feeds back, so each key's ordered e-values are folded in one expression; a key is
-    one program of experiments, which bounds the array.
+    Wealth feeds back, so a key's tests are one after the other: they stream through a task in
+    order, which holds one state and never a key's history.
     """
-    zero = F.struct(F.lit(alpha).alias("wealth"), F.lit(0).alias("t"), F.lit(0).alias("rejections"))
-
-    def step(state, e):
-        level = state["wealth"] * (1 - decay) * F.pow(F.lit(decay), state["t"])
-        live = state["wealth"] >= 1e-15
-        hit = live & (level > 0) & (e["e_value"] * level >= 1)
-        left = F.when(live, F.greatest(F.lit(0.0), state["wealth"] - level + F.when(hit, alpha).otherwise(0.0))).otherwise(state["wealth"])
-        return F.struct(left.alias("wealth"), (state["t"] + 1).alias("t"), (state["rejections"] + hit.cast("int")).alias("rejections"))
-
-    ordered = tests.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "e_value"))).alias("es"))
-    folded = ordered.withColumn("end", F.aggregate("es", zero, step))
-    return folded.select(*keys, F.col("end.t").alias("tests"), F.col("end.rejections").alias("rejections"), F.col("end.wealth").alias("wealth"))
+    kinds = ", ".join(f"{k} {t}" for k, t in tests.dtypes if k in keys)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            done = []
+            for *own, e in batch[[*keys, "e_value"]].itertuples(index=False):
+                if own != key:
+                    if key is not None:
+                        done.append((*key, *state))
+                    key, state = own, (0, 0, alpha)
+                _, hit, wealth = fdr_step(state[2], state[0], None if pd.isna(e) else float(e), alpha, decay)
+                state = (state[0] + 1, state[1] + int(hit), wealth)
+            yield pd.DataFrame(done, columns=[*keys, "tests", "rejections", "wealth"])
+        if key is not None:
+            yield pd.DataFrame([(*key, *state)], columns=[*keys, "tests", "rejections", "wealth"])
+
+    ordered = tests.select(*keys, order, "e_value").repartition(*keys).sortWithinPartitions(*keys, order, "e_value")
+    return ordered.mapInPandas(fold, f"{kinds}, tests int, rejections int, wealth double")
 
 
 def bayes_normal(pairs: DataFrame, prior_mean: float = 0.0, prior_var: float = 1.0, alpha: float = 0.05) -> DataFrame:

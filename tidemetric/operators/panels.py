@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemetric.functions import distributions as D
+
 
 def novelty(daily: DataFrame, keys: list[str], grid: int = 20) -> DataFrame:
     """Weighted fit of s + a·exp(-t/d) to daily effects (day, effect, sample_size); d over a grid.
@@ -40,7 +42,7 @@ def novelty(daily: DataFrame, keys: list[str], grid: int = 20) -> DataFrame:
                 if best is None or rss < best[0]:
                     best = (rss, d, beta, np.linalg.inv(xtx))
         if best is None:
-            return pd.DataFrame({k: [] for k in columns})
+            return pd.DataFrame(columns=columns, dtype=object)
         rss, d, (s, a), cov = best
         se = np.sqrt(max(rss / max(len(t) - 3, 1) * cov[1, 1], 0.0))
         last = np.abs(y[-7:] - s) <= 0.1 * max(abs(s), 1e-12)
@@ -71,19 +73,25 @@ def switchback_effect(series: DataFrame, keys: list[str]) -> DataFrame:
     width = F.ceil(1.1447 * F.pow(2 * rho * rho / (1 - rho * rho) * F.col("blocks"), 1.0 / 3.0))
     banded = lag1.withColumn("h", F.least(F.greatest(width, F.lit(1)), F.col("blocks") - 1).cast("int"))
     left = scored.select(*keys, F.col("at").alias("i"), F.col("s").alias("si"))
-    near = scored.select(*keys, F.col("at"), "s").join(banded.select(*keys, "h"), keys).join(left, keys).filter((F.col("i") >= F.col("at")) & (F.col("i") - F.col("at") <= F.col("h")))
-    weight = F.when(F.col("i") == F.col("at"), 1.0).otherwise(2 * (1 - (F.col("i") - F.col("at")) / (F.col("h") + 1.0)))
+    offsets = scored.select(*keys, F.col("at"), "s").join(banded.select(*keys, "h"), keys).select(*keys, "s", "h", "at", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("step"))
+    near = offsets.withColumn("i", F.col("at") + F.col("step")).join(left, [*keys, "i"])
+    weight = F.when(F.col("step") == 0, 1.0).otherwise(2 * (1 - F.col("step") / (F.col("h") + 1.0)))
     omega = near.groupBy(*keys).agg(F.sum(weight * F.col("s") * F.col("si")).alias("omega"))
-    out = banded.join(omega, keys)
-    return out.select(*keys, "blocks", "effect", F.col("h").alias("bandwidth"), F.sqrt(F.greatest(F.lit(0.0), F.col("omega")) / (F.col("sxx") * F.col("sxx"))).alias("se"))
+    out = banded.join(omega, keys).join(carry_over(scored, keys), keys)
+    se = F.sqrt(F.greatest(F.lit(0.0), F.col("omega")) / (F.col("sxx") * F.col("sxx")))
+    return out.select(*keys, "blocks", "effect", F.col("h").alias("bandwidth"), se.alias("se"), "lag1_autocorrelation", "carry_over_t", "carry_over_p")
 
 
-def carry_over(series: DataFrame, keys: list[str]) -> DataFrame:
-    """Correlation of a block's value with the arm of the block before it, and its t."""
+def carry_over(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """Lag-1 autocorrelation r of the residuals, its t = r √((T - 2) / (1 - r²)) and p; p is 1 under four blocks or where |r| is 1."""
     order = Window.partitionBy(*keys).orderBy("block")
-    lagged = series.withColumn("prior_arm", F.lag("arm").over(order)).filter("prior_arm is not null")
-    out = lagged.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("value", "prior_arm").alias("r"))
-    return out.withColumn("t", F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2.0), F.sqrt(1 - F.col("r") * F.col("r"))))
+    left_over = scored.withColumn("e", F.col("value") - F.col("intercept") - F.col("effect") * F.col("arm")).withColumn("e_before", F.lag("e").over(order))
+    sums = left_over.groupBy(*keys).agg(F.count("*").alias("t"), F.sum(F.col("e") * F.col("e_before")).alias("cross"), F.sum(F.col("e") * F.col("e")).alias("square"))
+    r = sums.withColumn("lag1_autocorrelation", F.coalesce(F.try_divide("cross", "square"), F.lit(0.0)))
+    rest = 1 - F.col("lag1_autocorrelation") * F.col("lag1_autocorrelation")
+    usable = (F.col("t") >= 4) & (rest >= 1e-15)
+    out = r.withColumn("carry_over_t", F.when(usable, F.col("lag1_autocorrelation") * F.sqrt((F.col("t") - 2) / rest)))
+    return out.select(*keys, "lag1_autocorrelation", "carry_over_t", F.coalesce(D.t_p_value(F.col("carry_over_t"), (F.col("t") - 2).cast("double")), F.lit(1.0)).alias("carry_over_p"))
 
 
 def switchback_randomization(series: DataFrame, keys: list[str], permutations: int = 2000, blocks: int = 8, seed: int = 3) -> DataFrame:
@@ -187,20 +195,38 @@ def trend_effect(pre: np.ndarray, post: np.ndarray, target_pre: np.ndarray, targ
     return effect, effect - half, effect + half, p
 
 
-def counterfactual_effect(method: str, pre: np.ndarray, post: np.ndarray, target_pre: np.ndarray, target_post: np.ndarray) -> float:
-    """Mean post-period effect of one unit against a counterfactual from its donors."""
+def _deviation(values: np.ndarray, least: int = 2) -> float:
+    return float(np.std(values, ddof=1)) if len(values) >= least else 0.0
+
+
+def counterfactual_effect(method: str, pre: np.ndarray, post: np.ndarray, target_pre: np.ndarray, target_post: np.ndarray) -> tuple[float, float]:
+    """(mean post-period effect, standard error) of one unit against a counterfactual from its donors.
+
+    The error of the classic form comes from placebos, and here is that of the target before
+    the treatment, for want of donors. The augmented form has the deviation of its residuals
+    before the treatment; the difference form leaves out each period after it in turn, with
+    the weights as they are, and has half the effect where there is one such period.
+    """
+    if method == "did":
+        times = simplex_fit(pre.T, post.mean(0))
+        before, own = times @ pre, float(times @ target_pre)
+        units = simplex_fit(before[None, :], np.array([own]))
+        gaps = target_post - own - (post - before) @ units
+        att, m = float(gaps.mean()), len(gaps)
+        if m < 2:
+            return att, 0.5 * max(abs(att), 1e-3)
+        without = (gaps.sum() - gaps) / (m - 1)
+        return att, float(np.sqrt((m - 1) / m * ((without - without.mean()) ** 2).sum()))
     w = simplex_fit(pre, target_pre)
     gap = target_post - post @ w
     if method == "classic":
-        return float(gap.mean())
+        return float(gap.mean()), float(np.std(target_pre))
     if method == "augmented":
+        rest = target_pre - pre @ w
         gram = pre.T @ pre
-        ridge = 0.1 * np.trace(gram) / pre.shape[1]
-        beta = np.linalg.solve(gram + ridge * np.eye(pre.shape[1]), pre.T @ (target_pre - pre @ w))
-        return float((gap - post @ beta).mean())
-    if method == "did":
-        times = simplex_fit(pre.T, post.mean(0))
-        return float((target_post.mean() - times @ target_pre) - (post.mean(0) @ w - (times @ pre) @ w))
+        ridge = 0.1 * np.trace(gram) / len(pre) / pre.shape[1]
+        beta = np.linalg.solve(gram + max(ridge, 1e-12) * np.eye(pre.shape[1]), pre.T @ rest)
+        return float((gap + post @ beta).mean()), _deviation(rest)
     raise ValueError(f"no such method: {method!r}")
 
 
@@ -228,14 +254,16 @@ def trend_counterfactual(panel: DataFrame, alpha: float = 0.05) -> DataFrame:
 PLACEBO_SLICES = 16
 
 
-def synthetic_control(panel: DataFrame, method: str = "classic") -> DataFrame:
-    """ATT and placebo p per experiment from (experiment_id, unit_id, period, value, is_treated_unit, is_post).
+def synthetic_control(panel: DataFrame, method: str = "classic", alpha: float = 0.05) -> DataFrame:
+    """ATT, error, interval and placebo p per experiment from (experiment_id, unit_id, period, value, is_treated_unit, is_post).
 
-    Every unit takes its turn as target against the donors. Targets are dealt by a hash to
-    ``PLACEBO_SLICES`` tasks an experiment, each with the panel (units × periods of
-    aggregates) once, so rows grow with the units and not with their square; periods that
-    a unit lacks are left out. p is
-    (1 + #{|att_k| ≥ |att|}) / (1 + donors), and 1 with fewer than two donors.
+    Every unit takes its turn as target against the donors, and every donor its turn out of
+    the treated unit's donors. Both are dealt by a hash of the unit to ``PLACEBO_SLICES`` tasks
+    an experiment, each with the panel (units × periods of aggregates) once, so rows grow with
+    the units and not with their square; periods that a unit lacks are left out. p is
+    (1 + #{|att_k| ≥ |att|}) / (1 + donors), and 1 with fewer than two donors. The interval is
+    normal, with the error that ``counterfactual_effect`` names for the method, the classic
+    form's from the deviation of its placebos; ``jackknife_se`` is that of leaving out donors.
     """
     units = F.size(F.collect_set("unit_id").over(Window.partitionBy("experiment_id")))
     seen = F.size(F.collect_set("unit_id").over(Window.partitionBy("experiment_id", "period")))
@@ -252,19 +280,33 @@ def synthetic_control(panel: DataFrame, method: str = "classic") -> DataFrame:
         donor = ~group["is_treated_unit"].to_numpy(bool)
         values = np.array([[r["value"] for r in rows] for rows in group["rows"]], float).T  # periods × units
         after = np.array([bool(r["is_post"]) for r in group["rows"].iloc[0]])
-        out = []
+        name, out = group["experiment_id"].iloc[0], []
+        if not after.any() or after.all():
+            return pd.DataFrame(out, columns=["experiment_id", "target", "kind", "att", "se"])
+
+        def effect(target: int, others: np.ndarray, how: str) -> tuple[float, float]:
+            x, y = values[:, others], values[:, target]
+            return counterfactual_effect(how, x[~after], x[after], y[~after], y[after])
+
         for at in np.flatnonzero(group["own"] == group["slice"]):
             others = donor.copy()
             others[at] = False
-            if not others.any() or not after.any() or after.all():
+            if not others.any():
+                continue
+            if not donor[at]:
+                out.append((name, str(group["unit_id"].iloc[at]), "treated", *effect(at, others, method)))
                 continue
-            x, y = values[:, others], values[:, at]
-            att = counterfactual_effect(placebo_method if donor[at] else method, x[~after], x[after], y[~after], y[after])
-            out.append((group["experiment_id"].iloc[0], str(group["unit_id"].iloc[at]), not donor[at], float(att)))
-        return pd.DataFrame(out, columns=["experiment_id", "target", "treated", "att"])
-
-    effects = jobs.groupBy("experiment_id", "slice").applyInPandas(fit, "experiment_id string, target string, treated boolean, att double")
-    real = effects.filter("treated").select("experiment_id", F.col("att").alias("att"))
-    placebos = effects.filter(~F.col("treated")).select("experiment_id", F.col("att").alias("placebo"))
-    out = real.join(placebos, "experiment_id", "left").groupBy("experiment_id", "att").agg(F.count("placebo").alias("donors"), F.sum((F.abs("placebo") >= F.abs("att")).cast("int")).alias("extreme"))
-    return out.select("experiment_id", "att", "donors", F.when(F.col("donors") < 2, 1.0).otherwise((1 + F.col("extreme")) / (1 + F.col("donors"))).alias("p_value"))
+            out.append((name, str(group["unit_id"].iloc[at]), "placebo", *effect(at, others, placebo_method)))
+            out += [(name, str(group["unit_id"].iloc[t]), "without", effect(t, others, method)[0], 0.0) for t in np.flatnonzero(~donor)]
+        return pd.DataFrame(out, columns=["experiment_id", "target", "kind", "att", "se"])
+
+    effects = jobs.groupBy("experiment_id", "slice").applyInPandas(fit, "experiment_id string, target string, kind string, att double, se double")
+    real = effects.filter("kind = 'treated'").select("experiment_id", "target", "att", "se")
+    placebos = effects.filter("kind = 'placebo'").select("experiment_id", F.col("att").alias("placebo"))
+    without = effects.filter("kind = 'without'").groupBy("experiment_id", "target").agg(((F.count("*") - 1) * F.sqrt(F.var_samp("att") / F.count("*"))).alias("jackknife_se"))
+    out = real.join(placebos, "experiment_id", "left").groupBy("experiment_id", "target", "att", "se").agg(F.count("placebo").alias("donors"), F.sum((F.abs("placebo") >= F.abs("att")).cast("int")).alias("extreme"), F.stddev_samp("placebo").alias("spread"))
+    error = F.when(F.col("donors") >= 2, F.col("spread")).otherwise(F.col("se")) if method == "classic" else F.col("se")
+    half = NormalDist().inv_cdf(1 - alpha / 2) * F.col("se")
+    named = out.join(without, ["experiment_id", "target"], "left").withColumn("se", F.greatest(error, F.lit(1e-10)))
+    p = F.when(F.col("donors") < 2, 1.0).otherwise((1 + F.col("extreme")) / (1 + F.col("donors")))
+    return named.select("experiment_id", "att", "se", (F.col("att") - half).alias("ci_lower"), (F.col("att") + half).alias("ci_upper"), "donors", p.alias("p_value"), "jackknife_se")

@@ -21,10 +21,10 @@ from tidemetric.sources import views as V
 
 def _consumption(spark, sf):
     users = exposed_users(V.exposures(spark, sf))
-    return M.content_consumption(V.metric_events(spark, sf).filter("value > 100"), users)
+    return M.content_consumption(V.metric_events(spark, sf), users)
 
 
-_CONS = "cons AS (SELECT variant_id, content_id, sum(value) AS w, count(*) AS n FROM metric_events JOIN eu USING (user_id) WHERE content_id IS NOT NULL AND value > 100 GROUP BY 1, 2)"
+_CONS = "cons AS (SELECT variant_id, content_id, sum(value) AS w, count(*) AS n FROM metric_events JOIN eu USING (user_id) WHERE content_id IS NOT NULL GROUP BY 1, 2)"
 _BOTH = _CONS + ", both_arms AS (SELECT coalesce(t.content_id, c.content_id) AS content_id, coalesce(t.w, 0) AS t, coalesce(c.w, 0) AS c FROM (SELECT * FROM cons WHERE variant_id = 't1') t FULL JOIN (SELECT * FROM cons WHERE variant_id = 'control') c ON t.content_id = c.content_id)"
 
 
@@ -118,7 +118,8 @@ def as7_switchback_blocks(spark, sf):
   rho AS (SELECT coalesce(sum((x.s - m) * (y.s - m)) / (SELECT sum((s - m) * (s - m)) FROM s, m), 0) AS r FROM s x JOIN s y ON x.k = y.k + 1, m),
   h AS (SELECT least(greatest(ceil(1.1447 * pow(2 * r * r / (1 - r * r) * t, 1.0 / 3)), 1), t - 1)::int AS h FROM rho, b),
   o AS (SELECT sum(CASE WHEN x.k = y.k THEN 1 ELSE 2 * (1 - (y.k - x.k) / (h + 1.0)) END * x.s * y.s) AS o FROM s x JOIN s y ON y.k >= x.k, h WHERE y.k - x.k <= h)
-  SELECT 'exp' AS experiment_id, t AS blocks, round(e, 6) AS effect, h AS bandwidth, round(sqrt(greatest(0, o) / (sxx * sxx)), 6) AS se FROM b, h, o""")
+  ,res AS (SELECT value - i - e * arm AS e, row_number() OVER (ORDER BY block) AS k FROM ser, b), ar AS (SELECT (SELECT sum(x.e * y.e) FROM res x JOIN res y ON x.k = y.k + 1) / (SELECT sum(e * e) FROM res) AS r)
+  SELECT 'exp' AS experiment_id, t AS blocks, round(e, 6) AS effect, h AS bandwidth, round(sqrt(greatest(0, o) / (sxx * sxx)), 6) AS se, round(r, 6) AS lag1_autocorrelation, round(r * sqrt((t - 2) / (1 - r * r)), 6) AS carry_over_t, round({t_two_sided_sql('(r * sqrt((t - 2) / (1 - r * r)))', '(t - 2)::double')}, 6) AS carry_over_p FROM b, h, o, ar""")
 def a29_switchback_effect(spark, sf):
     return rounded(P.switchback_effect(P.switchback_series(_blocks(spark, sf), ["experiment_id"]), ["experiment_id"]))
 
@@ -272,6 +273,12 @@ def a48_portfolio_outcomes(spark, sf):
     return rounded(A.portfolio_outcomes(_results(spark, sf)).select("experiment_id", "learning", "decision", "annual_impact"), 2)
 
 
+@query(f"WITH {_RES}, o AS (SELECT user_id % 4 AS layer, CASE WHEN p_value < 0.05 AND effect > 0 THEN 1 ELSE 0 END AS won, effect * 365000 AS impact FROM res) SELECT layer, count(*) AS experiments, round(avg(won), 6) AS win_rate, round(sum(impact) FILTER (won = 1), 2) AS annual_impact FROM o GROUP BY 1")
+def a48_portfolio_summary(spark, sf):
+    outcomes = A.portfolio_outcomes(_results(spark, sf)).withColumn("layer", F.col("experiment_id") % 4)
+    return A.portfolio_summary(outcomes, ["layer"]).select("layer", "experiments", F.round("win_rate", 6).alias("win_rate"), F.round("annual_impact", 2).alias("annual_impact"))
+
+
 @query("WITH x AS (SELECT DISTINCT user_id, user_id % 4 AS layer FROM metric_events), i AS (SELECT user_id, layer, 'm' || (user_id % 9) AS item FROM x UNION SELECT user_id, layer, 'm' || (user_id % 7) FROM x UNION SELECT user_id, layer, 'p' || (user_id % 25) FROM x) SELECT a.layer, a.user_id AS first, b.user_id AS second, count(*) AS shared FROM i a JOIN i b ON a.layer = b.layer AND a.item = b.item AND a.user_id < b.user_id GROUP BY 1, 2, 3")
 def a49_portfolio_conflicts(spark, sf):
     u = F.col("user_id")
@@ -435,6 +442,21 @@ def b9_composed_rewards(spark, sf):
     return rounded(V.reward_events(spark, sf).select("event_id", B.composed(z, "weighted", weights).alias("weighted"), B.composed(z, "epsilon_constraint", weights, floors={"place": 0.1}).alias("constrained"), B.composed(z, "tchebycheff", weights, half).alias("tchebycheff")))
 
 
+@query("""WITH r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k, CASE WHEN value > 20 THEN 1.0::double ELSE 0.0 END AS a, content_id / 100.0::double AS b FROM metric_events WHERE event_type IN ('click', 'purchase')),
+  c AS (SELECT l.event_id, l.k, any_value(l.a) AS a, any_value(l.b) AS b, sum(0.01 * pow(0.99, l.k - e.k) * e.a) AS ma, pow(0.99, l.k) + sum(0.01 * pow(0.99, l.k - e.k) * e.a * e.a) AS qa, sum(0.01 * pow(0.99, l.k - e.k) * e.b) AS mb, pow(0.99, l.k) + sum(0.01 * pow(0.99, l.k - e.k) * e.b * e.b) AS qb FROM r l JOIN r e ON e.k BETWEEN l.k - 4000 AND l.k GROUP BY 1, 2),
+  z AS (SELECT event_id, k, (a - ma) / sqrt(greatest(qa - ma * ma, 1e-8)) AS za, (b - mb) / sqrt(greatest(qb - mb * mb, 1e-8)) AS zb FROM c),
+  i AS (SELECT *, greatest(0, max(za) OVER (ORDER BY k)) AS ia, greatest(0, max(zb) OVER (ORDER BY k)) AS ib FROM z)
+  SELECT event_id, round(za, 5) AS z_reward, round(ia, 5) AS ideal_reward, round(ib, 5) AS ideal_place, round(-greatest(0.7 * abs(ia - za), 0.3 * abs(ib - zb), 0), 5) + 0.0 AS tchebycheff FROM i""")
+def b9_ideal_points(spark, sf):
+    """Rewards and places against the best of each so far, as moving averages normalise them."""
+    one = lambda name, value: F.struct(F.lit(name).alias("metric"), F.coalesce(value, F.lit(0.0)).alias("reward"))
+    rows = V.reward_events(spark, sf).select("event_id", F.inline(F.array(one("reward", F.col("reward")), one("place", F.element_at("context", 2)))))
+    path = B.ema_path(rows, ["metric"], "event_id")
+    pivoted = path.groupBy("event_id").agg(*[F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}") for m in ("reward", "place") for c in ("z", "ideal")])
+    z, ideal = ({m: F.col(f"{c}_{m}") for m in ("reward", "place")} for c in ("z", "ideal"))
+    return rounded(pivoted.select("event_id", "z_reward", "ideal_reward", "ideal_place", B.composed(z, "tchebycheff", {"reward": 0.7, "place": 0.3}, ideal).alias("tchebycheff")), 5)
+
+
 @query("WITH r AS (SELECT event_id, (content_id % 4)::int AS arm, CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END - 0.5 AS y FROM metric_events WHERE event_type IN ('click', 'purchase') AND user_id % 2 = 0), b AS (SELECT arm, y, coalesce(avg(y) OVER (PARTITION BY arm ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 0.25 AS l FROM r) SELECT arm AS arm_id, round(sum(l * y - 0.5 * l * l * 0.25), 6) AS log_e, count(*) AS n FROM b GROUP BY 1")
 def b10_mad_e_process(spark, sf):
     r = V.reward_events(spark, sf).select("arm_id", "event_id", (F.col("reward") - 0.5).alias("y"), (F.col("user_id") % 2 == 0).alias("uniform"))

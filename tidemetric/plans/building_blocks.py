@@ -143,9 +143,9 @@ def x1_distinct(spark, sf):
     return V.metric_events(spark, sf).select("user_id", "content_id").distinct().agg(F.count("*").alias("pairs"))
 
 
-@query("WITH imp AS (SELECT variant_id, content_id FROM metric_events JOIN eu USING (user_id) WHERE value > 150 GROUP BY 1, 2), a AS (SELECT content_id FROM imp WHERE variant_id = 'control'), b AS (SELECT content_id FROM imp WHERE variant_id = 't1') SELECT (SELECT count(*) FROM a JOIN b USING (content_id)) AS shared, (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS either")
+@query("WITH imp AS (SELECT variant_id, content_id FROM metric_events JOIN eu USING (user_id) GROUP BY 1, 2), a AS (SELECT content_id FROM imp WHERE variant_id = 'control'), b AS (SELECT content_id FROM imp WHERE variant_id = 't1') SELECT (SELECT count(*) FROM a JOIN b USING (content_id)) AS shared, (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS either")
 def x2_set_overlap(spark, sf):
-    counts = C.impressions(V.metric_events(spark, sf).filter("value > 150"), _users(spark, sf)).filter(F.col("variant_id").isin("control", "t1"))
+    counts = C.impressions(V.metric_events(spark, sf), _users(spark, sf)).filter(F.col("variant_id").isin("control", "t1"))
     arms = counts.groupBy("content_id").agg(F.count("*").alias("arms"))
     return arms.agg(F.count(F.when(F.col("arms") == 2, 1)).alias("shared"), F.count("*").alias("either"))
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemetric.operators import inference as I
-from tidemetric.plans.registry import normal_cdf_sql, query, rounded, t_two_sided_sql
+from tidemetric.plans.registry import half_normal_sql, normal_cdf_sql, query, rounded, t_two_sided_sql
 from tidemetric.sources import views as V
 
 KEYS = ["metric_id"]
@@ -149,7 +149,7 @@ def a14_cate_by_segment(spark, sf):
     return rounded(_segments(spark, sf).select("variant_id", "lifecycle_segment", "effect", "se"))
 
 
-@query(f"WITH {_SEG}, s AS (SELECT variant_id, count(*) AS k, sum(1 / (se * se)) AS w, sum(effect / (se * se)) AS we, sum(effect * effect / (se * se)) AS wee FROM seg GROUP BY 1), q AS (SELECT *, greatest(0, wee - we * we / w) AS q FROM s) SELECT variant_id, k, round(q, 6) AS q, (k - 1)::double AS df, round(greatest(0, (q - (k - 1)) / q) * 100, 6) AS i_squared, round(we / w, 6) AS pooled_effect FROM q")
+@query(f"WITH {_SEG}, s AS (SELECT variant_id, count(*) AS k, sum(1 / (se * se)) AS w, sum(effect / (se * se)) AS we, sum(effect * effect / (se * se)) AS wee FROM seg GROUP BY 1), q AS (SELECT *, greatest(0, wee - we * we / w) AS q FROM s) SELECT variant_id, k, round(q, 6) AS q, (k - 1)::double AS df, round(1 - 2 * {half_normal_sql('sqrt(q)')} + sqrt(2 * q / pi()) * exp(-q / 2), 6) AS p_value, round(greatest(0, (q - (k - 1)) / q) * 100, 6) AS i_squared, round(we / w, 6) AS pooled_effect FROM q")
 def a15_cochran_q(spark, sf):
     return rounded(I.cochran_q(_segments(spark, sf), ["variant_id"]))
 
@@ -205,13 +205,14 @@ _SEG_Q = _SEG.split("arms AS", 1)[1].replace("arms", "sarms")
 
 
 @query(f"""WITH {_TOST}, {_SRM}, sarms AS{_SEG_Q}, sq AS (SELECT variant_id, count(*) AS k, sum(1 / (se * se)) AS w, sum(effect / (se * se)) AS we, sum(effect * effect / (se * se)) AS wee FROM seg GROUP BY 1),
+  gl AS (SELECT variant_id, y - (SELECT avg(y) FROM obs WHERE variant_id = 'control') AS y, computation_date, user_id FROM obs WHERE variant_id <> 'control'), gb AS (SELECT *, coalesce(avg(y) OVER (PARTITION BY variant_id ORDER BY computation_date, user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000 AS l FROM gl), gr AS (SELECT variant_id, sum(l * y - 0.5 * l * l * 1000) AS g FROM gb GROUP BY 1),
   le AS (SELECT variant_id, 0.5 * ln(q / (q + 0.5)) + effect * effect * 0.5 / (2 * q * (q + 0.5)) AS log_e FROM (SELECT *, greatest((syy - sxy * sxy / sxx) / (nt + nc - 1), syy / (nt + nc - 1) * 1e-12) * (1.0 / nt + 1.0 / nc) AS q FROM cup))
   SELECT c.variant_id, round(c.raw_effect, 6) AS effect, round(w.se, 6) AS se, round({t_two_sided_sql('(w.effect / w.se)', 'w.df')}, 6) AS p_value, round(c.effect, 6) AS adjusted_effect, round(c.se, 6) AS adjusted_se, round(c.variance_reduction, 6) AS variance_reduction, c.nt::bigint AS n_treatment, c.nc::bigint AS n_control,
-  round(le.log_e, 6) AS log_e, round(tost.p, 6) AS tost_p, sq.k AS segments, round(greatest(0, wee - we * we / w), 6) AS q, round(srm.p, 6) AS srm_p
-  FROM cup c JOIN (SELECT variant_id, effect, se, df FROM welch) w USING (variant_id) JOIN le USING (variant_id) JOIN tost USING (variant_id) JOIN sq USING (variant_id), srm""".replace("we * we / w)", "we * we / sq.w)"))
+  round(le.log_e, 6) AS log_e, round(tost.p, 6) AS tost_p, sq.k AS segments, round(greatest(0, wee - we * we / w), 6) AS q, round(1 - 2 * {half_normal_sql('sqrt(greatest(0, wee - we * we / w))')} + sqrt(2 * greatest(0, wee - we * we / w) / pi()) * exp(-greatest(0, wee - we * we / w) / 2), 6) AS q_p, round(gr.g, 6) AS grow_log_e, gr.g > ln(20) AS grow_reject, round(srm.p, 6) AS srm_p
+  FROM cup c JOIN gr USING (variant_id) JOIN (SELECT variant_id, effect, se, df FROM welch) w USING (variant_id) JOIN le USING (variant_id) JOIN tost USING (variant_id) JOIN sq USING (variant_id), srm""".replace("we * we / w)", "we * we / sq.w)"))
 def a47_analysis_report(spark, sf):
     from tidemetric.plans.report import analysis_report
 
     obs = observations(spark, sf).withColumn("lifecycle_segment", F.concat(F.lit("d"), (F.dayofmonth("computation_date") % 4).cast("string")))
-    out = analysis_report(obs, KEYS, delta=0.1 * F.col("mean_c"))
-    return rounded(out.select("variant_id", "effect", "se", "p_value", "adjusted_effect", "adjusted_se", "variance_reduction", "n_treatment", "n_control", "log_e", "tost_p", "segments", "q", "srm_p"))
+    out = analysis_report(obs, KEYS, delta=0.1 * F.col("mean_c"), grow_order=["computation_date", "user_id"], grow_sigma_sq=1000.0)
+    return rounded(out.select("variant_id", "effect", "se", "p_value", "adjusted_effect", "adjusted_se", "variance_reduction", "n_treatment", "n_control", "log_e", "tost_p", "segments", "q", "q_p", "grow_log_e", "grow_reject", "srm_p"))

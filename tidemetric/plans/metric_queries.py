@@ -9,6 +9,7 @@ from tidemetric.functions.predicates import all_of, filter_text, targeting
 from tidemetric.operators import catalog as C
 from tidemetric.operators import metrics as M
 from tidemetric.operators.exposure import exposed_events, exposed_users, of_type, within_window
+from tidemetric.operators.inference import earlier_sums
 from tidemetric.operators.sessions import playback_metrics
 from tidemetric.plans.registry import query, rounded
 from tidemetric.sources import views as V
@@ -98,16 +99,16 @@ def j5_range_join(spark, sf):
     return near.groupBy("retraining_event_id").agg(F.sum("rows").alias("rows_near"))
 
 
-_IMPRESSIONS = "imp AS (SELECT variant_id, content_id, count(*) AS n FROM metric_events JOIN eu USING (user_id) WHERE content_id IS NOT NULL AND value > 150 GROUP BY 1, 2)"
+_IMPRESSIONS = "imp AS (SELECT variant_id, content_id, count(*) AS n FROM metric_events JOIN eu USING (user_id) WHERE content_id IS NOT NULL GROUP BY 1, 2)"
 _PROVIDERS = _IMPRESSIONS + ", prov AS (SELECT variant_id, provider_id, sum(n)::bigint AS n FROM imp JOIN content_catalog USING (content_id) GROUP BY 1, 2)"
 
 
 def _imp(spark, sf):
-    return C.impressions(_events(spark, sf).filter("value > 150"), _users(spark, sf))
+    return C.impressions(_events(spark, sf), _users(spark, sf))
 
 
 def _prov(spark, sf):
-    return C.provider_impressions(_events(spark, sf).filter("value > 150"), _users(spark, sf), V.content_catalog(spark, sf))
+    return C.provider_impressions(_events(spark, sf), _users(spark, sf), V.content_catalog(spark, sf))
 
 
 @query(f"WITH {_IMPRESSIONS} SELECT variant_id, content_id, coalesce(n, 0) AS n FROM (SELECT DISTINCT content_id FROM content_catalog) CROSS JOIN (SELECT DISTINCT variant_id FROM imp) LEFT JOIN imp USING (variant_id, content_id)")
@@ -157,9 +158,9 @@ def v7_user_genre_entropy(spark, sf):
 
 
 @query("""SELECT user_id, variant_id, round(avg((first >= DATE '2024-01-08')::int), 6) AS metric_value FROM
-  (SELECT user_id, content_id, min(event_date) AS first, max(event_date) AS last FROM metric_events WHERE content_id IS NOT NULL AND value > 20 GROUP BY 1, 2) JOIN eu USING (user_id) WHERE last >= DATE '2024-01-08' GROUP BY 1, 2""")
+  (SELECT user_id, content_id, min(event_date) AS first, max(event_date) AS last FROM metric_events WHERE content_id IS NOT NULL GROUP BY 1, 2) JOIN eu USING (user_id) WHERE last >= DATE '2024-01-08' GROUP BY 1, 2""")
 def v8_user_discovery_rate(spark, sf):
-    return rounded(C.user_discovery_rate(_events(spark, sf).filter("value > 20"), _users(spark, sf), V.START))
+    return rounded(C.user_discovery_rate(_events(spark, sf), _users(spark, sf), V.START))
 
 
 @query("SELECT user_id, variant_id, count(DISTINCT provider_id)::double AS metric_value FROM metric_events JOIN eu USING (user_id) JOIN content_catalog USING (content_id) GROUP BY 1, 2")
@@ -398,9 +399,10 @@ def o3_arg_max(spark, sf):
 
 @query("SELECT variant_id, content_id, n, row_number() OVER (PARTITION BY variant_id ORDER BY n, content_id) AS rank, sum(n) OVER (PARTITION BY variant_id)::bigint AS arm_total, count(*) OVER (PARTITION BY variant_id) AS arm_items, round(percent_rank() OVER (ORDER BY n DESC), 6) AS share_rank FROM (SELECT variant_id, content_id, count(*) AS n FROM metric_events JOIN eu USING (user_id) WHERE content_id IS NOT NULL GROUP BY 1, 2)")
 def w1_w3_windows(spark, sf):
-    arm = Window.partitionBy("variant_id")
     counts = C.impressions(_events(spark, sf), _users(spark, sf))
-    return rounded(counts.withColumns({"rank": F.row_number().over(arm.orderBy("n", "content_id")), "arm_total": F.sum("n").over(arm), "arm_items": F.count("*").over(arm), "share_rank": F.percent_rank().over(Window.orderBy(F.desc("n")))}))
+    arms = counts.groupBy("variant_id").agg(F.sum("n").alias("arm_total"), F.count("*").alias("arm_items"))
+    ranked = earlier_sums(C.popularity(counts, "n"), ["variant_id"], ["n", "content_id"], "n").join(F.broadcast(arms), "variant_id")  # a row an arm
+    return rounded(ranked.select("variant_id", "content_id", "n", (F.col("n_before") + 1).alias("rank"), "arm_total", "arm_items", F.col("place").alias("share_rank")))
 
 
 @query("SELECT user_id, session_no, count(*) AS events, round(sum(value), 4) AS total FROM sessions GROUP BY 1, 2")

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tidemetric.operators import inference as I
 
 
-def analysis_report(obs: DataFrame, keys: list[str], tau_sq: float = 0.5, alpha: float = 0.05, control: str = "control", delta: Column | None = None, expected: dict[str, float] | None = None) -> DataFrame:
+def analysis_report(obs: DataFrame, keys: list[str], tau_sq: float = 0.5, alpha: float = 0.05, control: str = "control", delta: Column | None = None, expected: dict[str, float] | None = None, grow_order: list[str] | None = None, grow_sigma_sq: float = 1.0) -> DataFrame:
     """Welch, covariate-adjusted, anytime-valid, mixture-sequential and e-value results from one shared moments pass.
 
     Inverse-probability weighting is added where the observations have ``p``, cluster-robust
     errors and the sample-ratio check (``expected`` shares, else equal) where they have
     ``user_id``, heterogeneity over segments where they have ``lifecycle_segment``, and the
-    equivalence test where its bound ``delta`` is given.
+    equivalence test where its bound ``delta`` is given. With ``grow_order`` (columns that fix
+    the order of rows) comes the growth-rate e-value of an arm's values over the control mean.
     """
     pairs = I.arm_pairs(I.moments(obs, keys, covariate=True), keys, control)
     on = [*keys, "variant_id"]
@@ -32,5 +33,10 @@ def analysis_report(obs: DataFrame, keys: list[str], tau_sq: float = 0.5, alpha:
     if "lifecycle_segment" in obs.columns:
         cut = [*keys, "lifecycle_segment"]
         segments = I.welch(I.arm_pairs(I.moments(obs.filter("lifecycle_segment is not null"), cut), cut, control))
-        out = out.join(I.cochran_q(segments, on).select(*on, F.col("k").alias("segments"), "q", "i_squared"), on, "left")
+        out = out.join(I.cochran_q(segments, on).select(*on, F.col("k").alias("segments"), "q", F.col("p_value").alias("q_p"), "i_squared"), on, "left")
+    if grow_order:
+        base = pairs.select(*on, "mean_c")  # a row a key and arm
+        above = obs.select(*on, *grow_order, "y").join(F.broadcast(base), on).withColumn("y", F.col("y") - F.col("mean_c"))
+        grown = I.e_value_grow(above, on, grow_order, grow_sigma_sq, alpha)
+        out = out.join(grown.select(*on, F.col("log_e").alias("grow_log_e"), F.col("reject").alias("grow_reject")), on, "left")
     return out

@@ -184,3 +184,15 @@ def t12_ingest_counts(spark, sf):
     seen = Observation("ingest")
     V.metric_events(spark, sf).observe(seen, F.count("*").alias("rows"), F.count(F.when(reason.isNull(), 1)).alias("accepted")).write.format("noop").mode("overwrite").save()
     return spark.createDataFrame([(seen.get["rows"], seen.get["accepted"])], "rows long, accepted long")
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'p' || (user_id % 5) AS program, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_timestamp, event_id::varchar) AS k, CASE WHEN user_id % 9 = 0 THEN 4000.0 ELSE 0.5 END AS e FROM metric_events, (SELECT max(event_timestamp) - INTERVAL 1 HOUR AS wm FROM metric_events) WHERE event_timestamp < wm),
+  f(program, k, wealth, hits) AS (SELECT DISTINCT program, 0::bigint, 0.05::double, 0 FROM e UNION ALL SELECT f.program, f.k + 1,
+    greatest(0, wealth - wealth * 0.1 * pow(0.9, f.k) + CASE WHEN e.e * wealth * 0.1 * pow(0.9, f.k) >= 1 THEN 0.05 ELSE 0 END), hits + CASE WHEN e.e * wealth * 0.1 * pow(0.9, f.k) >= 1 THEN 1 ELSE 0 END
+    FROM f JOIN e ON e.program = f.program AND e.k = f.k + 1)
+  SELECT program, max(k)::int AS tests, max(hits) AS rejections, round(arg_max(wealth, k), 9) AS wealth FROM f GROUP BY 1""")
+def a18_online_fdr_stream(spark, sf):
+    """Every event finishes a test; what is left after those that the watermark has passed."""
+    tests = _stream(spark, sf).select(F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("program"), F.col("event_id").cast("string").alias("test_id"), F.col("event_timestamp").alias("finished_at"), F.when(F.col("user_id") % 9 == 0, 4000.0).otherwise(0.5).alias("e_value"))
+    out = E.run_once(S.online_fdr_stream(tests, 0.05, 0.9), spark, shared_folder(spark, "a18"))
+    return rounded(out.groupBy("program").agg(F.max("tests").alias("tests"), F.max("rejections").alias("rejections"), F.max_by("wealth", "tests").alias("wealth")), 9)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 START = "2024-01-08"
 END = "2024-01-31"
-CATALOG_KEYS = 120
 # Lifecycle segments in order.
 SEGMENTS = ("TRIAL", "NEW", "ESTABLISHED", "MATURE", "AT_RISK", "WINBACK")
 #: Retraining of recommendation models: (id, day, share of training data from treatment).
@@ -43,7 +42,7 @@ def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").filter(F.col("p_partkey") < CATALOG_KEYS).select(
+    return _table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("int").alias("content_id"), F.col("p_brand").alias("provider_id"), F.col("p_type").alias("genre")
     )
 
@@ -108,7 +107,7 @@ metric_events AS (SELECT event_id, user_id, event_type, value, CAST(props->>'$.k
 exposures AS (SELECT 'exp' AS experiment_id, event_id, user_id, {_VARIANT} AS variant_id, 0.2::double + 0.1::double * (user_id % 5) AS assignment_probability,
   {_SEGMENT} AS lifecycle_segment, event_timestamp, event_date FROM metric_events WHERE event_timestamp >= TIMESTAMP '{START}'),
 eu AS (SELECT user_id, variant_id, min(assignment_probability) AS assignment_probability, min(event_timestamp) AS first_exposure FROM exposures GROUP BY user_id, variant_id),
-content_catalog AS (SELECT p_partkey::int AS content_id, p_brand AS provider_id, p_type AS genre FROM part WHERE p_partkey < {CATALOG_KEYS}),
+content_catalog AS (SELECT p_partkey::int AS content_id, p_brand AS provider_id, p_type AS genre FROM part),
 qoe_base AS (SELECT event_id, user_id, content_id, event_timestamp, event_date, floor(value * 100)::bigint AS time_to_first_frame_ms,
   (CASE WHEN event_type = 'error' THEN 0 ELSE floor(value * 1000) END)::bigint AS playback_duration_ms, (content_id % 10) / 10.0 AS rebuffer_ratio, 1000 + 10 * content_id AS avg_bitrate_kbps
   FROM metric_events WHERE event_type IN ('view', 'error')),

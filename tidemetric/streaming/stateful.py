@@ -1,4 +1,4 @@
-"""Stateful operators with event-time timers: breaches in order, playback sessions, online tests.
+"""Stateful operators with event-time timers: breaches in order, playback sessions, online tests and their wealth.
 
 State lives in Spark's RocksDB store under one value per key, and goes when a timer fires.
 Rows that come late, but within the watermark, are put in order before they count.
@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemetric.functions import fdr
 from tidemetric.operators.inference import checked_alpha
 
 # Spark starts a worker of its own beside the driver for these, which has no --py-files: processors travel whole.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+for _module in (sys.modules[__name__], fdr):
+    cloudpickle.register_pickle_by_value(_module)
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEYS = ["experiment_id", "metric_id", "variant_id"]
@@ -30,8 +32,28 @@ def use_keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
-def _millis(at: pd.Timestamp) -> int:
-    return at.value // 1_000_000
+def _wake(processor, at: int) -> None:
+    """One timer a key: that of the earliest row that waits, in microseconds. What it finds due then goes at once."""
+    when = at // 1000 + 1
+    held = processor.timer.get()[0] if processor.timer.exists() else None
+    if held is None or when < held:
+        if held is not None:
+            processor.handle.deleteTimer(held)
+        processor.handle.registerTimer(when)
+        processor.timer.update((when,))
+
+
+def _due(processor, timer_values) -> list[tuple]:
+    """Rows (key, value) that the watermark has passed, in order of their keys (time first); they wait no longer."""
+    limit = timer_values.getCurrentWatermarkInMs() * 1000
+    rows = sorted(processor.waiting.iterator())
+    due = [r for r in rows if r[0][0] < limit]
+    for name, _ in due:
+        processor.waiting.removeKey(name)
+    processor.timer.clear()
+    if len(due) < len(rows):
+        _wake(processor, rows[len(due)][0][0])
+    return due
 
 
 class BreachTracker(StatefulProcessor):
@@ -43,28 +65,24 @@ class BreachTracker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.run = handle.getValueState("run", "run int")
+        self.timer = handle.getValueState("timer", "at long")
         self.waiting = handle.getMapState("waiting", "at long", "value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             for at, value in zip(batch["check_time"], batch["current_value"], strict=True):
-                when = at.value // 1000
-                if not self.waiting.containsKey((when,)):
-                    self.handle.registerTimer(_millis(at) + 1)
-                self.waiting.updateValue((when,), (float(value),))
+                self.waiting.updateValue((at.value // 1000,), (float(value),))
+            _wake(self, batch["check_time"].min().value // 1000)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = sorted((at, value) for (at,), (value,) in self.waiting.iterator() if at < limit)
         run = self.run.get()[0] if self.run.exists() else 0
         alerts = []
-        for at, value in due:
+        for (at,), (value,) in _due(self, timerValues):
             breach = (value > self.threshold) == self.lower_is_better and value != self.threshold
             run = run + 1 if breach else 0
             if run == self.alert_at:
                 alerts.append((*key, pd.Timestamp(at, unit="us"), value, run))
-            self.waiting.removeKey((at,))
         self.run.update((run,))
         yield pd.DataFrame(alerts, columns=[*KEYS, "check_time", "current_value", "run"])
 
@@ -237,3 +255,50 @@ def sequential_alerts(obs: DataFrame, time: str, control: str, tau_sq: float, al
     looks = summed.select("experiment_id", "metric_id", "variant_id", F.col("w.end").alias("look_time"), *SUMS)
     shape = "experiment_id string, metric_id string, variant_id string, look_time timestamp, effect double, se double, half_width double, n_t long, n_c long"
     return looks.groupBy("experiment_id", "metric_id").transformWithStateInPandas(OnlineTest(control, tau_sq, alpha), shape, "Append", "None")
+
+
+class FdrController(StatefulProcessor):
+    """Wealth of a program; its tests wait for the watermark and are decided in order of time."""
+
+    def __init__(self, alpha: float, decay: float):
+        self.alpha, self.decay, self.step = alpha, decay, fdr.fdr_step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "tests int, rejections int, wealth double")
+        self.timer = handle.getValueState("timer", "at long")
+        self.waiting = handle.getMapState("waiting", "at long, test_id string", "e_value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for at, name, e in zip(batch["finished_at"], batch["test_id"], batch["e_value"], strict=True):
+                self.waiting.updateValue((at.value // 1000, name), (float(e),))
+            _wake(self, batch["finished_at"].min().value // 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        tests, rejections, wealth = self.state.get() if self.state.exists() else (0, 0, self.alpha)
+        out = []
+        for (at, name), (e,) in _due(self, timerValues):
+            level, hit, wealth = self.step(wealth, tests, e, self.alpha, self.decay)
+            tests, rejections = tests + 1, rejections + int(hit)
+            out.append((*key, name, pd.Timestamp(at, unit="us"), e, level, hit, tests, rejections, wealth))
+        self.state.update((tests, rejections, wealth))
+        yield pd.DataFrame(out, columns=["program", "test_id", "finished_at", "e_value", "level", "rejected", "tests", "rejections", "wealth"])
+
+    def close(self) -> None:
+        pass
+
+
+def online_fdr_stream(tests: DataFrame, alpha: float = 0.05, decay: float = 0.5, lateness: str = "1 hour") -> DataFrame:
+    """Decisions of a program's tests (program, test_id, finished_at, e_value) as they finish, with the wealth after each.
+
+    State is the wealth and what waits for the watermark, never a program's history. Tests that
+    finish at once are in order of their id; one that comes again before it is decided counts
+    once. A null e-value is no evidence.
+    """
+    checked_alpha(alpha)
+    use_keyed_state(tests.sparkSession)
+    shape = "program string, test_id string, finished_at timestamp, e_value double, level double, rejected boolean, tests int, rejections int, wealth double"
+    rows = tests.filter("finished_at is not null and test_id is not null").select("program", "test_id", "finished_at", F.coalesce("e_value", F.lit(0.0)).alias("e_value")).withWatermark("finished_at", lateness)
+    return rows.groupBy("program").transformWithStateInPandas(FdrController(alpha, decay), shape, "Append", "EventTime")
