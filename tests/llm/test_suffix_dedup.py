@@ -84,7 +84,8 @@ def test_parse_of_a_window_depends_on_its_bytes_alone():
     offsets = []
     for before in (0, 17, 5000):
         data = np.concatenate([rng.integers(97, 101, before).astype(np.uint8), shared])
-        place, low, advance, _ = S.phrase_ends(data, 0, len(data), parse)[0]
+        whole = np.array([0]), np.array([len(data)])
+        _, place, low, advance, _ = S.phrase_ends(data, *whole, *whole, parse)[0]
         own = np.concatenate([np.arange(p - a + 1, p - o + 1) for p, o, a in zip(place, low, advance, strict=True)])
         end = np.repeat(place, advance - low)
         offsets.append(dict(zip((own - before).tolist(), (end - before).tolist(), strict=True)))

@@ -20,8 +20,8 @@ of the parse, cut off after ``size`` bytes.
    block (that of the dictionary). At every offset, neighbours with long enough common
    prefixes are one interval in either order, and a window is repeated if its pair of
    intervals holds two.
-4. Intervals at a block's edge may go on in other blocks: their windows, one for each pair,
-   meet by digest.
+4. Intervals that go on beyond a block, as far as its first and last row share bytes with
+   their neighbours, are open: their windows, one for each pair, meet by digest.
 
 Texts travel twice, and only to rows that need their bytes. Copies of a whole text are
 settled by their number.
@@ -36,6 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +45,11 @@ from tidemetric.llm.common import cut, join_by_key, new_folder, remove_folder, s
 from tidemetric.llm.words import _BASE, _power_tables, mix
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
-#: Bytes of a text that are parsed at a time.
-SLAB = 1 << 20
+#: Bytes of texts that are parsed at a time.
+SLAB = 1 << 18
 #: Contexts of a block, and bytes of contexts that a shard holds, about.
-BLOCK, SHARD_BYTES = 4096, 64 << 20
+BLOCK, SHARD_BYTES = 2048, 64 << 20
+ROW_GROUP = 8 << 20
 _BYTE = np.random.default_rng(20240713).integers(1, (1 << 64) - 1, 256, dtype=np.uint64)
 
 
@@ -80,54 +82,80 @@ def run_hashes(sums: np.ndarray, at: np.ndarray | slice, length: int) -> np.ndar
     return mix((sums[after] - sums[at]) * inverse[at] + np.uint64(length * _BASE & 0xFFFFFFFFFFFFFFFF))
 
 
-def phrase_ends(data: np.ndarray, first: int, stop: int, parse: Parse) -> tuple[np.ndarray, np.ndarray]:
-    """Phrase ends at ``first`` to ``stop``, as rows of (place, low, advance, rest), and their keys.
+def phrase_ends(data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, stop: np.ndarray, parse: Parse) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase ends of texts side by side in ``data``, as rows of (text, place, low, advance, rest), and their keys.
 
-    Windows start ``low`` to ``advance - 1`` bytes before the place, and ``rest`` bytes follow
-    that such windows can hold. A phrase is cut into bands of offsets, as windows with a
-    smaller offset have more bytes after the place in common: the key is of those that all
-    windows of the band hold. Only bands with a whole window are given.
+    Text i lies from ``begin[i]`` to ``end[i]``, beyond ``data`` where that is a slab of it, and
+    its phrase ends from ``first[i]`` to ``stop[i]`` are given. Windows start ``low`` to
+    ``advance - 1`` bytes before the place, and ``rest`` bytes follow that such windows can
+    hold. A phrase is cut into bands of offsets, as windows with a smaller offset have more
+    bytes after the place in common: the key is of those that all windows of the band hold.
+    Only bands with a whole window are given.
     """
-    begin = max(0, first - parse.reach - 1)
-    sums = prefix_sums(data[begin : min(len(data), stop + parse.size)])
-    triggers = np.flatnonzero(run_hashes(sums, slice(0, max(0, len(sums) - parse.trigger)), parse.trigger) % np.uint64(parse.rate) == 0) + begin
-    places = np.arange(first, min(stop, max(first, len(data) - parse.size + 1)))  # bytes that a window starts at
-    after = np.append(triggers, np.iinfo(np.int64).max)[np.searchsorted(triggers, places)]
-    lone = places[after - places > parse.reach]
-    own = triggers[(triggers >= first) & (triggers < stop)]
-    before = np.append(-1, triggers)[np.searchsorted(triggers, own)]
-    before = np.where(before < 0, max(begin - 1, -1), before)
-    advance = np.minimum(own - before, parse.reach + 1)
-    place, advance = np.concatenate([own, lone]), np.concatenate([advance, np.ones(len(lone), np.int64)])
+    sums = prefix_sums(data)
+    at = np.flatnonzero(run_hashes(sums, slice(0, max(0, len(sums) - parse.trigger)), parse.trigger) % np.uint64(parse.rate) == 0)
+    text = np.searchsorted(begin, at, "right") - 1
+    inside = at + parse.trigger <= end[text]
+    at, text = at[inside], text[inside]
+    before = np.append(-1, at[:-1])
+    before = np.where(np.append(True, text[1:] != text[:-1]) if len(at) else np.zeros(0, bool), begin[text] - 1, before[: len(at)])
+    own = (at >= first[text]) & (at < stop[text])
+    place, advance, owner = at[own], np.minimum(at - before, parse.reach + 1)[own], text[own]
+    # bytes that no trigger follows within reach: runs before each trigger, and at each text's end
+    last = np.searchsorted(text, np.arange(len(begin)), "right")
+    tail = np.where(last > np.searchsorted(text, np.arange(len(begin)), "left"), np.append(at, 0)[last - 1], begin - 1)
+    run_text = np.concatenate([text, np.arange(len(begin))])
+    low = np.maximum(np.concatenate([before, tail]) + 1, first[run_text])
+    high = np.minimum(np.concatenate([at - parse.reach - 1, end]), np.minimum(end[run_text] - parse.size, stop[run_text] - 1))
+    some = high >= low
+    run_text, low, many = run_text[some], low[some], (high - low + 1)[some]
+    lone = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    place, advance, owner = np.concatenate([place, lone]), np.concatenate([advance, np.ones(len(lone), np.int64)]), np.concatenate([owner, np.repeat(run_text, many)])
     rows, keys = [], []
-    for low in range(0, min(parse.reach, int(advance.max(initial=0)) - 1) + 1, parse.band):
-        some = advance > low
-        end, high = place[some], np.minimum(advance[some], low + parse.band)
-        rest = np.minimum(parse.size - low, len(data) - end)
-        whole = high - 1 >= parse.size - rest
-        end = end[whole]
-        rows.append(np.stack([end, np.full(len(end), low), high[whole], rest[whole]]))
-        keys.append(run_hashes(sums, end - begin, parse.size - min(low + parse.band - 1, parse.reach)))
-    return (np.concatenate(rows, axis=1), np.concatenate(keys)) if rows else (np.zeros((4, 0), np.int64), np.zeros(0, np.uint64))
-
-
-def _slabs(blob: bytes, parse: Parse) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``phrase_ends`` of a text, slab by slab."""
-    data = np.frombuffer(blob, np.uint8)
-    for first in range(0, len(data) - parse.size + 1 + parse.reach if len(data) >= parse.size else 0, SLAB):
-        ends, keys = phrase_ends(data, first, min(first + SLAB, len(data)), parse)
-        if len(keys):
-            yield ends, keys
-
-
-def _texts(batches: Iterator[pa.RecordBatch], parse: Parse) -> Iterator[tuple[bytes, bytes]]:
-    """(tid, bytes) of texts that hold a window; a text once a task."""
+    for band in range(0, min(parse.reach, int(advance.max(initial=0)) - 1) + 1, parse.band):
+        some = np.flatnonzero(advance > band)
+        after, most = place[some], np.minimum(advance[some], band + parse.band)
+        rest = np.minimum(parse.size - band, end[owner[some]] - after)
+        whole = most - 1 >= parse.size - rest
+        after = after[whole]
+        rows.append(np.stack([owner[some][whole], after, np.full(len(after), band), most[whole], rest[whole]]))
+        keys.append(run_hashes(sums, after, parse.size - min(band + parse.band - 1, parse.reach)))
+    return (np.concatenate(rows, axis=1), np.concatenate(keys)) if rows else (np.zeros((5, 0), np.int64), np.zeros(0, np.uint64))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], parse: Parse) -> Iterator[tuple[list[bytes], bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tids, bytes, begins, phrase ends, keys) of texts that hold a window, many short ones at a time, long ones in slabs; a text once a task."""
+
+    def whole(tids: list[bytes], blobs: list) -> tuple:
+        end = np.cumsum([len(b) for b in blobs])
+        begin = np.append(0, end[:-1])
+        data = b"".join(blobs)
+        return tids, data, begin, *phrase_ends(np.frombuffer(data, np.uint8), begin, end, begin, end, parse)
+
     seen: set[bytes] = set()
+    tids, blobs, held = [], [], 0
     for batch in batches:
         for tid, text in zip(batch.column("tid").to_pylist(), batch.column("body"), strict=True):
-            if tid not in seen and len(blob := text.as_buffer()) >= parse.size:
-                seen.add(tid)
-                yield tid, blob
+            blob = text.as_buffer()
+            if tid in seen or len(blob) < parse.size:
+                continue
+            seen.add(tid)
+            if len(blob) > SLAB:
+                for at in range(0, len(blob), SLAB):
+                    low = max(0, at - parse.reach - 1)
+                    data = blob[low : at + SLAB + parse.size].to_pybytes()
+                    own = [np.array([x]) for x in (-low, len(blob) - low, at - low, min(at + SLAB, len(blob)) - low)]
+                    yield [tid], data, own[0], *phrase_ends(np.frombuffer(data, np.uint8), *own, parse)
+                continue
+            tids.append(tid)
+            blobs.append(blob)
+            held += len(blob)
+            if held >= SLAB:
+                yield whole(tids, blobs)
+                tids, blobs, held = [], [], 0
+        if blobs:  # buffers go with their batch
+            yield whole(tids, blobs)
+            tids, blobs, held = [], [], 0
 
 
 def once_a_task(texts: DataFrame, parse: Parse) -> DataFrame:
@@ -155,75 +183,48 @@ def _keys(parse: Parse):
     """(key, n): keys of phrase ends, n is 2 where a slab has several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many = [], 0
-
-        def flush() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.minimum(n, 2))], ["key", "n"])
-
-        for _, blob in _texts(batches, parse):
-            for _, key in _slabs(blob, parse):
-                held.append(key)
-                many += len(key)
-                if many > 1 << 18:
-                    yield flush()
-                    held, many = [], 0
-        if held:
-            yield flush()
+        for *_, key in _pieces(batches, parse):
+            key, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.minimum(n, 2))], ["key", "n"])
 
     return run
 
 
-def class_names(blob: bytes, ends: np.ndarray) -> bytes:
+def class_names(data: bytes, ends: np.ndarray) -> list[bytes]:
     """16 bytes for each phrase end: equal for equal bands of equal phrases that go on alike."""
-    place, low, advance, rest = ends
-    view, salts = memoryview(blob), np.stack([low, advance, rest, np.zeros_like(rest)], axis=1).astype("<u4").tobytes()
+    _, place, low, advance, rest = ends
+    view, salts = memoryview(data), np.stack([low, advance, rest, np.zeros_like(rest)], axis=1).astype("<u4").tobytes()
     cuts = zip((place - advance + 1).tolist(), (place + rest).tolist(), range(0, len(salts), 16), strict=True)
-    return b"".join(hashlib.blake2b(view[a:b], digest_size=16, salt=salts[i : i + 16]).digest() for a, b, i in cuts)
+    return [hashlib.blake2b(view[a:b], digest_size=16, salt=salts[i : i + 16]).digest() for a, b, i in cuts]
 
 
 _FOUND = "key long, class binary, tid binary, place long, low int, advance int, rest int, n int"
 _KINDS = dict(zip([c.split()[0] for c in _FOUND.split(", ")], [pa.int64(), pa.binary(), pa.binary(), pa.int64(), *[pa.int32()] * 4], strict=True))
-_SENT_ROWS = 1 << 15
 
 
 def _candidates(bits, parse: Parse):
-    """Phrase ends whose key may repeat. Of a class that a slab holds again and again the first stands for all, and the others' starts are sent as runs (class is null)."""
-
-    def sent(held: list[tuple]) -> pa.RecordBatch:
-        tids, names, keys, ends, counts = zip(*held, strict=True)
-        many, ends = [len(k) for k in keys], np.concatenate(ends, axis=1)
-        name = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), sum(many), [None, pa.py_buffer(b"".join(names))]).cast(pa.binary())
-        return _batch(
-            {
-                "key": (np.concatenate(keys).view(np.int64), pa.int64()), "class": (name, pa.binary()), "tid": (pa.array(tids, pa.binary()).take(pa.array(np.repeat(np.arange(len(tids)), many))), pa.binary()), "place": (ends[0], pa.int64()),
-                "low": (ends[1].astype(np.int32), pa.int32()), "advance": (ends[2].astype(np.int32), pa.int32()), "rest": (ends[3].astype(np.int32), pa.int32()), "n": (np.minimum(np.concatenate(counts), 2).astype(np.int32), pa.int32()),
-            }
-        )
+    """Phrase ends whose key may repeat. Of a class that a piece holds again and again the first stands for all, and the others' starts are sent as runs (class is null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many = [], 0
-        for tid, blob in _texts(batches, parse):
-            for ends, key in _slabs(blob, parse):
-                keep = np.flatnonzero(has_bit(bits.value, key))
-                if not len(keep):
-                    continue
-                ends, key = ends[:, keep], key[keep]
-                names = class_names(blob, ends)
-                _, first, counts = np.unique(np.frombuffer(names, [("a", "<u8"), ("b", "<u8")]), return_index=True, return_counts=True)
-                if len(first) < len(key):
-                    others = np.delete(np.arange(len(key)), first)
-                    runs = merged([(p - a + 1, p - max(o, parse.size - r)) for p, o, a, r in ends[:, others].T.tolist()])
-                    rows = [(0, None, tid, last, 0, last - begin + 1, parse.size, 2) for begin, last in runs]
-                    yield _batch({c: (list(v), k) for (c, k), v in zip(_KINDS.items(), zip(*rows, strict=True), strict=True)})
-                ends, key, names = ends[:, first], key[first], b"".join([names[16 * i : 16 * i + 16] for i in first.tolist()])
-                held.append((tid, names, key, ends, counts))
-                many += len(key)
-                if many >= _SENT_ROWS:
-                    yield sent(held)
-                    held, many = [], 0
-        if held:
-            yield sent(held)
+        for tids, data, begin, ends, key in _pieces(batches, parse):
+            keep = np.flatnonzero(has_bit(bits.value, key))
+            if not len(keep):
+                continue
+            ends, key = ends[:, keep], key[keep]
+            names = class_names(data, ends)
+            first: dict[bytes, int] = {}
+            others = [i for i, name in enumerate(names) if first.setdefault(name, i) != i]
+            one, counts = np.fromiter(first.values(), np.int64), np.ones(len(names), np.int64)
+            if others:
+                counts[[first[names[i]] for i in others]] = 2
+                starts: dict[int, list] = {}
+                for text, p, o, a, r in ends[:, others].T.tolist():
+                    starts.setdefault(text, []).append((p - a + 1 - int(begin[text]), p - max(o, parse.size - r) - int(begin[text])))
+                rows = [(0, None, tids[text], last, 0, last - low + 1, parse.size, 2) for text, runs in starts.items() for low, last in merged(runs)]
+                yield _batch({c: (list(v), k) for (c, k), v in zip(_KINDS.items(), zip(*rows, strict=True), strict=True)})
+            text, place, low, advance, rest = ends[:, one]
+            columns = [key[one].view(np.int64), list(first), pa.array(tids, pa.binary()).take(pa.array(text)), place - begin[text], *[x.astype(np.int32) for x in (low, advance, rest, counts[one])]]
+            yield _batch({c: (v, k) for (c, k), v in zip(_KINDS.items(), columns, strict=True)})
 
     return run
 
@@ -293,11 +294,12 @@ def suffix_order(matrix: np.ndarray, lens: np.ndarray) -> np.ndarray:
 _MARKS = "digest binary, tid binary, place long, last long, single boolean, known boolean"
 
 
-def block_marks(follows: list[bytes], phrases: list[bytes], lows: np.ndarray, size: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, bool]]]:
+def block_marks(follows: list[bytes], phrases: list[bytes], lows: np.ndarray, size: int, before: int, after: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, bool]]]:
     """Repeated windows (row, offset) of a sorted block, and its windows at either edge as (row, offset, whether repeated here).
 
     ``follows`` are sorted, and ``phrases`` are backwards; a window starts ``offset`` bytes
-    before its row's place, ``lows`` at least.
+    before its row's place, ``lows`` at least. ``before`` and ``after`` are the bytes that the
+    block's first and last row share with the rows beside it in other blocks.
     """
     right, rest = padded_bytes(follows)
     left, long = padded_bytes(phrases)
@@ -316,40 +318,95 @@ def block_marks(follows: list[bytes], phrases: list[bytes], lows: np.ndarray, si
         _, first, which, count = np.unique(parse_place[rows] * (len(rank) + 1) + suffix_place[rows], return_index=True, return_inverse=True, return_counts=True)
         again = count[which] > 1
         repeated += [(int(r), offset) for r in rows[again]]
-        open_ = (parse_place[rows] == parse_place[0]) | (parse_place[rows] == parse_place[-1])
+        open_ = (parse_place[rows] == parse_place[0]) & (before >= size - offset) | (parse_place[rows] == parse_place[-1]) & (after >= size - offset)
         for i in np.flatnonzero(open_):
             if not again[i] or first[which[i]] == i:
                 edge.append((int(rows[i]), offset, bool(again[i])))
     return repeated, edge
 
 
-def _settled(size: int, block: int):
+_BLOCK = "part long, block long, follows array<binary>, phrase array<binary>, tid array<binary>, place array<long>, low array<int>, single array<boolean>, first binary, last binary"
+
+
+def _blocks(block: int):
+    """Blocks of a sorted shard, each a row of lists."""
+
+    def packed(table: pa.Table, number: int) -> pa.RecordBatch:
+        columns = {name: table.column(name).combine_chunks() for name in table.column_names}
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), c.chunk(0) if isinstance(c, pa.ChunkedArray) else c) for c in columns.values()]
+        ends = [pa.array([table.column("follows")[i].as_py()], pa.binary()) for i in (0, -1)]
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([number]), *lists, *ends], [c.split()[0] for c in _BLOCK.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, number = [], 0, 0
+        for batch in batches:
+            while batch.num_rows:
+                some, batch = batch.slice(0, block - rows), batch.slice(block - rows)
+                held.append(some)
+                rows += some.num_rows
+                if rows == block:
+                    yield packed(pa.Table.from_batches(held), number)
+                    held, rows, number = [], 0, number + 1
+        if held:
+            yield packed(pa.Table.from_batches(held), number)
+
+    return run
+
+
+def shared_bytes(a: bytes | None, b: bytes | None) -> int:
+    """Bytes at the start that two strings share; -1 where there is no other one."""
+    if a is None or b is None:
+        return -1
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(np.frombuffer(a[:n], np.uint8) != np.frombuffer(b[:n], np.uint8))
+    return int(apart[0]) if len(apart) else n
+
+
+def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each block's first and last row share with the rows beside them."""
+    for batch in batches:
+        yield pd.DataFrame([(r.part, r.block, shared_bytes(r.prior, r.first), shared_bytes(r.last, r.next)) for r in batch.itertuples()], columns=["part", "block", "before", "after"])
+
+
+def numbered_blocks(contexts: DataFrame, shards: int, block: int) -> DataFrame:
+    """Stored blocks of the contexts in order, with what their edges share."""
+    spark = contexts.sparkSession
+    ordered = contexts.repartitionByRange(shards, "follows", "phrase").sortWithinPartitions("follows", "phrase")
+    folder = new_folder(spark, "blocks")
+    ordered.mapInArrow(_blocks(block), _BLOCK).write.option("parquet.block.size", ROW_GROUP).parquet(folder)  # rows are large, and a group is held at once
+    blocks = spark.read.schema(_BLOCK).parquet(folder)
+    counts = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a shard
+    first, total = {}, 0
+    for part in sorted(counts):
+        first[part], total = total, total + counts[part]
+    offsets = spark.createDataFrame(list(first.items()), "part long, offset long")
+    ends = stored(blocks.select("part", "block", "first", "last").join(offsets, "part").withColumn("at", F.col("offset") + F.col("block")), "block-ends")
+    beside = ends.join(ends.select((F.col("at") + 1).alias("at"), F.col("last").alias("prior")), "at", "left").join(ends.select((F.col("at") - 1).alias("at"), F.col("first").alias("next")), "at", "left")
+    edges = stored(beside.mapInPandas(_edges, "part long, block long, before int, after int"), "edges")  # its size tells Spark whether to broadcast it
+    return blocks.drop("first", "last").join(edges, ["part", "block"])
+
+
+def _settled(size: int):
     """Runs of repeated starts (digest is null), and windows that may be repeated in other blocks; ``_MARKS``."""
 
-    def marks(part: pd.DataFrame) -> pd.DataFrame:
-        follows, phrases = list(map(bytes, part["follows"])), list(map(bytes, part["phrase"]))
-        tids, places, single = list(map(bytes, part["tid"])), part["place"].to_numpy(), part["single"].to_numpy(bool)
-        repeated, edge = block_marks(follows, phrases, part["low"].to_numpy(), size)
-        by_row: dict[int, list] = {}
-        for r, offset in repeated:
-            if single[r]:
-                by_row.setdefault(r, []).append((int(places[r]) - offset,) * 2)
-        out = [(None, tids[r], low, high, True, True) for r, runs in by_row.items() for low, high in merged(runs)]
-        for r, offset, known in edge:
-            window = phrases[r][:offset][::-1] + follows[r][: size - offset]
-            start = int(places[r]) - offset
-            out.append((hashlib.blake2b(window, digest_size=16).digest(), tids[r], start, start, bool(single[r]), known))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _MARKS.split(", ")])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch if held is None else pd.concat([held, batch])
-            while len(held) >= block:
-                yield marks(held.iloc[:block])
-                held = held.iloc[block:]
-        if held is not None and len(held):
-            yield marks(held)
+            for i in range(batch.num_rows):
+                follows, phrases, tids = (batch.column(c)[i].values.to_pylist() for c in ("follows", "phrase", "tid"))
+                places, lows, single = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("place", "low", "single"))
+                repeated, edge = block_marks(follows, phrases, lows, size, batch.column("before")[i].as_py(), batch.column("after")[i].as_py())
+                by_row: dict[int, list] = {}
+                for r, offset in repeated:
+                    if single[r]:
+                        by_row.setdefault(r, []).append((int(places[r]) - offset,) * 2)
+                out = [(None, tids[r], low, high, True, True) for r, runs in by_row.items() for low, high in merged(runs)]
+                for r, offset, known in edge:
+                    window = phrases[r][:offset][::-1] + follows[r][: size - offset]
+                    start = int(places[r]) - offset
+                    out.append((hashlib.blake2b(window, digest_size=16).digest(), tids[r], start, start, bool(single[r]), known))
+                if out:
+                    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+                    yield _batch({c.split()[0]: (list(v), k) for c, v, k in zip(_MARKS.split(", "), zip(*out, strict=True), kinds, strict=True)})
 
     return run
 
@@ -405,9 +462,9 @@ def repeated_starts(texts: DataFrame, parse: Parse = Parse(), block: int = BLOCK
     once_a_task(texts, parse).join(wanted, "tid").select("tid", "body", "ends").mapInArrow(_contexts, _CONTEXT).write.parquet(folder)
     contexts = spark.read.schema(_CONTEXT).parquet(folder)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-contexts.count() * (parse.size + parse.rate) // SHARD_BYTES))
-    ordered = contexts.repartitionByRange(shards, "follows", "phrase").sortWithinPartitions("follows", "phrase")
-    marks = stored(ordered.mapInPandas(_settled(parse.size, block), _MARKS), "marks")
+    blocks = numbered_blocks(contexts, shards, block)
     remove_folder(folder)
+    marks = stored(blocks.mapInArrow(_settled(parse.size), _MARKS), "marks")
     open_ = marks.filter("digest is not null")
     met = cut(open_.groupBy("digest").agg(F.count("*").alias("rows_of_key")).filter("rows_of_key > 1"))
     across = join_by_key(open_.filter("single and not known"), met, "digest", open_.count())
