@@ -347,6 +347,42 @@ def windows_of(spark, docs, bench):
     return own.mapInArrow(D._windows(*shared), "wid long, doc_id long, body long, start long, words array<long>, grams array<long>").collect()
 
 
+def test_common_seeds_make_no_pairs(spark):
+    """Documents and items that share only a phrase are not aligned; a few that hold an item are, also items of common words alone."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    phrase = "which of the following is"
+    for n_docs, n_items in ((1000, 50), (2000, 100)):
+        items = [(k, f"{phrase} {' '.join(word() for _ in range(14))}") for k in range(n_items)] + [(9000, phrase)]
+        rows = [(i, f"{' '.join(word() for _ in range(12))} {phrase} {' '.join(word() for _ in range(12))}") for i in range(n_docs)]
+        edited = items[7][1].split()
+        edited[9] = "changed"
+        rows += [(5000, items[3][1]), (5001, " ".join(edited))]
+        docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(docs, bench).collect()}
+        assert {g for g in got if g[1] != 9000} == {(5000, 3), (5001, 7)}
+        assert {g[0] for g in got if g[1] == 9000} == {r[0] for r in rows}  # all of its words are in every document
+        known = bench.mapInArrow(D._item_words, "item_id long, words array<long>, grams array<long>").filter("item_id < 9000").withColumn("item", F.col("item_id")).persist()
+        seeds = D.rare_seeds(docs, known, D.LEAST)
+        assert seeds.groupBy("gram").count().agg(F.max("count")).first()[0] <= D.MOST_ITEMS
+        assert seeds.count() >= 10 * n_items
+
+
+def test_an_item_in_most_documents_keeps_its_seeds(spark):
+    rng = random.Random(32)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    item = [word() for _ in range(30)]
+    rows = []
+    for i in range(300):
+        own = list(item)
+        if i % 2:
+            for at in range(i % 5, 30, 5):
+                own[at] = word()
+        rows.append((i, " ".join([word() for _ in range(9)] + own + [word() for _ in range(9)])))
+    got = D.find_leaks(frame(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert len(got) == 300 and {r["similarity"] for r in got if r["doc_id"] % 2 == 0} == {1.0}
+
+
 class FakeBench(str):
     """A folder that holds the given benchmark."""
 

@@ -1,17 +1,22 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-1. Word n-grams of the test items are its seeds, each of them: a stretch of an item that
-   many documents hold, whole or edited, keeps its seeds however common they are. They
-   go into a bounded bit table, and the lengths of their items into a table of reaches.
-2. Documents are read once; around n-grams that the table lets through they send windows
+1. Word trigrams of the test items are its seeds while they are rare: in few items, and in
+   few documents or mostly there as part of the item's own text, so that an item that many
+   documents hold, whole or edited, keeps them. A trigram that is common beyond that ("which
+   of the") is extended by neighbouring words of its item to 5, 9 or 17 words, until it is
+   rare; the longest always counts, so a whole copy is found whatever its words are. Items
+   and documents are counted in full, in a pass of its own. Seeds go into a bounded bit
+   table, and the lengths of their items into a table of reaches.
+2. Documents are read again; around n-grams that the table lets through they send windows
    of word hashes, as wide as an alignment with that seed's items can be: a long item
    widens no other item's windows. Windows meet items by seed.
 3. Pairs are aligned where enough words of the item are in the window at all; a pair
    counts from ``LEAST`` similarity on.
 
-An alignment of that similarity without one intact n-gram is not found; tests measure
-recall by rate of edits against the alignment of all pairs. Texts are never shuffled, and
-pairs grow with copies of items, not with their square.
+An alignment of that similarity without one intact seed is not found; tests measure recall
+by rate of edits against the alignment of all pairs. Texts are never shuffled. Pairs grow
+with the windows times ``MOST_ITEMS``, but where more items share 17 words and so do the
+documents.
 """
 
 from __future__ import annotations
@@ -25,10 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemetric.llm.bits import bit_table, has_bit
-from tidemetric.llm.common import cut, small_batches, stored, table
+from tidemetric.llm.common import cut, join_by_key, small_batches, stored, table
 from tidemetric.llm.words import fold_latin, mix, ngrams, text_buffers, words_of
 
 N = 3
+#: Lengths of seeds in words; a common one is replaced by the next.
+LADDER = (N, 5, 9, 17)
+#: A seed is rare in so many different items at most, and in so many documents or this share of them ...
+MOST_ITEMS, RARE_DOCS, RARE_SHARE = 4, 20, 1 / 5000
+#: ... or where this part of its occurrences is one of the longer seed, which is the item's own text.
+OWN_PART = 0.25
 LEAST = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Slots of the table of reaches, at most.
@@ -52,6 +63,51 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _ladder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(item, body, reach, place, level, gram): at each trigram of an item the seeds that it may become, as long as the item allows."""
+    for batch in batches:
+        for item, body, reach, words in zip(batch["item"], batch["body"], batch["reach"], batch["words"], strict=True):
+            hashes = np.asarray(words, np.int64).view(np.uint64)
+            place, out = np.arange(len(hashes) - N + 1), []
+            for level, n in enumerate(n for n in LADDER if n <= len(hashes)):
+                grams = ngrams(np.zeros(len(hashes), int), hashes, n)[1].view(np.int64)
+                out.append(pd.DataFrame({"item": item, "body": body, "reach": reach, "place": place, "level": level, "gram": grams[np.clip(place - (n - N) // 2, 0, len(hashes) - n)]}))
+            yield pd.concat(out)
+
+
+def _occurrences(bits):
+    """(gram, n) of the n-grams of all lengths that the table lets through, counted by slab."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in text_buffers(batch.column("text"), 1 << 20):
+                row, _, _, hashes = words_of(fold_latin(data), offsets)
+                found = [ngrams(row, hashes, n)[1] for n in LADDER]
+                gram, n = np.unique(np.concatenate([g[has_bit(bits.value, g)] for g in found]), return_counts=True)
+                if len(gram):
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
+
+    return run
+
+
+def rare_seeds(docs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(item, reach, gram): the seeds of each item, by ``LADDER``."""
+    spark = docs.sparkSession
+    bodies = known.select("item", F.xxhash64("words").alias("body"), reach_of(F.size("words"), least).cast("long").alias("reach"), "words")
+    ladder = stored(bodies.mapInPandas(_ladder, "item long, body long, reach long, place int, level int, gram long"), "ladder")
+    bits = spark.sparkContext.broadcast(bit_table(ladder, "gram", ladder.count()))
+    occurrences = docs.select("text").mapInArrow(_occurrences(bits), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("seen"))
+    stats = cut(ladder.groupBy("gram").agg(F.count_distinct("body").alias("items")).join(occurrences, "gram", "left").fillna(0, ["seen"]))
+    steps = ladder.join(stats, "gram").groupBy("item", "reach", "place").agg(F.sort_array(F.collect_list(F.struct("level", "gram", "items", "seen"))).alias("steps"))  # a seed of each length
+    limit = max(RARE_DOCS, int(RARE_SHARE * docs.count()))
+
+    def rare(x, i):
+        longer = F.get("steps", i + 1)
+        return longer.isNull() | ((x["items"] <= MOST_ITEMS) & ((x["seen"] <= limit) | (longer["seen"] >= OWN_PART * x["seen"])))
+
+    return steps.select("item", "reach", F.get(F.filter("steps", rare), F.lit(0))["gram"].alias("gram")).distinct()
+
+
 def reach_of(words, least: float):
     """How far a word of an alignment can be from a seed: an item's words and the insertions that ``least`` leaves room for."""
     return words + F.floor(2 * (1 - least) * words)
@@ -73,15 +129,16 @@ def seed_reach(reaches: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return np.min([reaches[(grams >> np.uint64(p)).astype(np.int64) & (len(reaches) - 1)] for p in REACH_PROBES], axis=0)
 
 
-def _windows(bits, reaches):
-    """Runs of words around seeds: (wid, doc_id, body, start, words, grams)."""
+def _windows(bits, reaches, ladder: tuple[int, ...] = (N,)):
+    """Runs of words around seeds of the given lengths: (wid, doc_id, body, start, words, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, bodies = batch.column("doc_id"), batch.column("body").to_numpy(zero_copy_only=False)
             for first, data, offsets in text_buffers(batch.column("text"), 1 << 20):
                 row, _, _, hashes = words_of(fold_latin(data), offsets)
-                at, grams = ngrams(row, hashes, N)
+                found = [(*ngrams(row, hashes, n), n) for n in ladder]
+                at, grams, long = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.repeat(ladder, [len(f[0]) for f in found])
                 keep = np.flatnonzero(has_bit(bits.value, grams))
                 if not len(keep):
                     continue
@@ -89,9 +146,11 @@ def _windows(bits, reaches):
                 keep, reach = keep[reach > 0], reach[reach > 0]
                 if not len(keep):
                     continue
-                at, grams = at[keep], grams[keep]
+                order = np.argsort(at[keep], kind="stable")
+                keep, reach = keep[order], reach[order]
+                at, grams, long = at[keep], grams[keep], long[keep]
                 who, begin = row[at], np.searchsorted(row, np.arange(len(offsets)))
-                low, high = np.maximum(at - reach, begin[who]), np.minimum(at + N + reach, begin[who + 1])
+                low, high = np.maximum(at - reach, begin[who]), np.minimum(at + long + reach, begin[who + 1])
                 cuts = np.flatnonzero(low[1:] > np.maximum.accumulate(high)[:-1]) + 1
                 cuts = np.union1d(cuts, np.flatnonzero(who[1:] != who[:-1]) + 1)
                 out = []
@@ -177,10 +236,14 @@ def alignments(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataF
     total = known.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
     if not total:
         return spark.createDataFrame([], _PAIRS)
-    seeds = cut(known.select("item", reach_of(F.size("words"), least).alias("reach"), F.explode("grams").alias("gram")))
-    bits, reaches = spark.sparkContext.broadcast(bit_table(seeds, "gram", total)), spark.sparkContext.broadcast(reach_table(seeds, total))
-    windows = stored(own.mapInArrow(_windows(bits, reaches), "wid long, doc_id long, body long, start long, words array<long>, grams array<long>"), "windows")
-    met = windows.select("wid", F.explode("grams").alias("gram")).join(seeds.select("item", "gram"), "gram").select("wid", "item").distinct()
+    seeds = cut(rare_seeds(own, known, least))
+    count = seeds.count()
+    bits, reaches = spark.sparkContext.broadcast(bit_table(seeds, "gram", count)), spark.sparkContext.broadcast(reach_table(seeds, count))
+    windows = stored(own.mapInArrow(_windows(bits, reaches, LADDER), "wid long, doc_id long, body long, start long, words array<long>, grams array<long>"), "windows")
+    held = windows.select("wid", F.explode("grams").alias("gram"))
+    keyed = cut(held.groupBy("gram").agg(F.count("*").alias("rows_of_key")).join(seeds.groupBy("gram").agg(F.collect_set("item").alias("items")), "gram"))
+    total = keyed.agg(F.coalesce(F.sum("rows_of_key"), F.lit(0))).first()[0]
+    met = join_by_key(held, keyed, "gram", total).select("wid", F.explode("items").alias("item")).distinct()
     pairs = met.join(known.select("item", "item_id", F.col("words").alias("item_words")), "item").join(windows.drop("grams"), "wid")
     return pairs.select("doc_id", "body", "item_id", "start", "words", "item_words").mapInPandas(_aligned(least), _PAIRS)
 
