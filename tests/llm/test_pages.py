@@ -89,6 +89,40 @@ def test_registered_domains(spark):
     assert got == hosts
 
 
+LISTED = {  # host: (suffix, domain) by the rules below
+    "a.b.x.nsw.gov.au": ("nsw.gov.au", "x.nsw.gov.au"), "x.gov.au": ("gov.au", "x.gov.au"), "gov.au": ("gov.au", "gov.au"), "b.me.uk": ("me.uk", "b.me.uk"), "c.d.ck": ("d.ck", "c.d.ck"), "a.www.ck": ("ck", "www.ck"), "ck": ("ck", "ck"),
+    "deep.me.github.io": ("github.io", "me.github.io"), "a.example.com.": ("com", "example.com"), "10.1.2.3": ("10.1.2.3", "10.1.2.3"), "[::1]:80": ("[::1]", "[::1]"), "u:p@10.0.0.1:8080": ("10.0.0.1", "10.0.0.1"), "2130706433": ("2130706433", "2130706433"),
+    "unlisted": ("unlisted", "unlisted"), "": ("", ""), "a." * 20_000 + "gov.au": ("gov.au", "a.gov.au"),
+}
+
+
+def test_public_suffix_list_as_a_table(spark):
+    rules = spark.createDataFrame([(r,) for r in ("com", "au", "gov.au", "nsw.gov.au", "uk", "me.uk", "*.ck", "!www.ck", "github.io", None, "")], "rule string")
+    hosts = spark.createDataFrame([(h, 1, 1) for h in LISTED], "host string, n long, good long")
+    got = {r["host"]: (r["suffix"], r["domain"]) for r in U.registered_domains(hosts, rules).collect()}
+    assert got == LISTED
+    assert U.host_reputation(hosts, suffixes=rules).count() == len(LISTED)
+    none = U.registered_domains(hosts, rules.filter("false"))
+    assert {r["host"]: r["suffix"] for r in none.collect()}["x.gov.au"] == "au"
+
+
+def test_addresses_are_no_names(spark):
+    hosts = {"10.1.2.3": "10.1.2.3", "[2001:db8::1]:80": "[2001:db8::1]", "a.example.com.": "example.com", "u@[::1]": "[::1]", "x.co.uk.": "x.co.uk"}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r["host"]: r["d"] for r in df.select("host", U.domain_of(F.col("host")).alias("d")).collect()} == hosts
+    judged = U.judge_urls(pages(spark, [(1, "http://10.1.2.3:80/a", None), (2, "http://[::1]/b", None), (3, "http://a.org./c", None)]), spark.createDataFrame([], "host string, good int")).collect()
+    assert {r["page_id"]: r["host"] for r in judged} == {1: "10.1.2.3:80", 2: "[::1]", 3: "a.org."}
+
+
+def test_a_host_with_most_pages_is_judged_where_it_is(spark, monkeypatch):
+    rows = [(i, f"http://hot.org/{i}", None) for i in range(300)] + [(1000 + i, f"http://h{i}.org/", None) for i in range(50)]
+    outcomes = spark.createDataFrame([("hot.org", 0)] * 40 + [("h1.org", 1)] * 40, "host string, good int")
+    one = {r["page_id"]: r["verdict"] for r in U.judge_urls(pages(spark, rows), outcomes).collect()}
+    monkeypatch.setattr("tidemetric.llm.common.HEAVY_KEYS", 10)
+    two = {r["page_id"]: r["verdict"] for r in U.judge_urls(pages(spark, rows), outcomes).collect()}
+    assert one == two and len(one) == 350 and one[0] == "block" and one[1001] == "allow"
+
+
 def test_twins_are_registered():
     assert set(R.ORACLE_SQL) < set(R.QUERIES)
     assert sorted(int(n[2:].split("_")[0]) for n in R.QUERIES) == sorted(set(range(1, 14)) & {int(n[2:].split("_")[0]) for n in R.QUERIES})

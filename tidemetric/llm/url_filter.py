@@ -9,7 +9,8 @@ intra-class correlation). A page is blocked when the lower posterior bound
 their domain's and suffix's posterior in the same formula.
 
 All work is grouping and joining on host keys. Counts are pre-aggregated before any
-shuffle, so a host that owns a third of the pages costs one row per task.
+shuffle, so a host that owns a third of the pages costs one row per task, and its pages
+meet its verdict where they are (``join_by_key``).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemetric.llm.common import cut, table
+from tidemetric.llm.common import cut, join_by_key, table
 
 # The rules of the contract, as (action, host, path).
 RULES = (
@@ -38,7 +39,8 @@ Z = 1.0
 STRENGTH = (2.0, 200.0)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NAME = r"^(?:.*@)?([^:]*)"
+NAME = r"(?s)^(?:.*@)?(\[[^\]]*\]|[^:\[]*)"
+ADDRESS = r"^(?:\[.*\]|[0-9]{1,3}(?:[.][0-9]{1,3}){3}|[0-9]+|0x[0-9a-f]+)$"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -53,21 +55,57 @@ def url_path(url: Column) -> Column:
 
 
 def bare_host(host: Column) -> Column:
-    """The host without user name and port."""
-    return F.regexp_extract(host, NAME, 1)
+    """The host without user name, port and the dot of the root at its end."""
+    return F.regexp_replace(F.regexp_extract(host, NAME, 1), r"[.]$", "")
+
+
+def is_address(bare: Column) -> Column:
+    """Whether a bare host is an address (four numbers, one number, or in brackets) and no name."""
+    return bare.rlike(ADDRESS)
 
 
 def suffix_of(host: Column, suffixes: str = SUFFIX_PATTERN) -> Column:
-    """The last two labels where they fit the pattern ``suffixes``, else the last one."""
-    two = F.substring_index(bare_host(host), ".", -2)
-    return F.when(two.rlike(suffixes), two).otherwise(F.substring_index(two, ".", -1))
+    """The last two labels where they fit the pattern ``suffixes``, else the last one; an address is its own."""
+    bare = bare_host(host)
+    two = F.substring_index(bare, ".", -2)
+    return F.when(is_address(bare), bare).when(two.rlike(suffixes), two).otherwise(F.substring_index(two, ".", -1))
 
 
 def domain_of(host: Column, suffixes: str = SUFFIX_PATTERN) -> Column:
-    """The suffix and one label before it."""
+    """The suffix and one label before it; an address is its own."""
     bare = bare_host(host)
     two = F.substring_index(bare, ".", -2)
-    return F.when(two.rlike(suffixes), F.substring_index(bare, ".", -3)).otherwise(two)
+    return F.when(is_address(bare), bare).when(two.rlike(suffixes), F.substring_index(bare, ".", -3)).otherwise(two)
+
+
+def last_labels(bare: Column, n: Column) -> Column:
+    return F.call_function("substring_index", bare, F.lit("."), -n)
+
+
+def registered_domains(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``hosts`` (host, ...; a row a host) with ``suffix`` and ``domain`` by a public suffix list.
+
+    ``rules`` has a column ``rule``: suffixes of any number of labels, ``*.`` before those whose
+    every child is one, ``!`` before exceptions from such. The last labels of a host, as many as
+    the longest rule has, meet the rules as runs; an exception wins, then the longest rule, and
+    without one the last label is the suffix. Rules are lower case. Addresses are their own.
+    """
+    kinds = rules.filter("rule is not null and rule <> ''").select(
+        F.regexp_replace("rule", r"^(?:!|[*][.])", "").alias("run"), F.when(F.col("rule").startswith("!"), 2).when(F.col("rule").startswith("*."), 1).otherwise(0).alias("kind")
+    ).distinct()
+    longest = (kinds.agg(F.coalesce(F.max(F.size(F.split("run", "[.]"))), F.lit(1)).alias("most")).first()["most"]) + 1
+    bare = bare_host(F.col("host"))
+    count = F.size(F.split(F.substring_index(bare, ".", -(longest + 1)), "[.]"))
+    named = hosts.withColumns({"__bare": bare, "__labels": count})
+    runs = named.filter(~is_address(F.col("__bare"))).select("host", "__bare", "__labels", F.explode(F.sequence(F.lit(1), F.least(F.col("__labels"), F.lit(longest)))).alias("n"))
+    met = runs.withColumn("run", last_labels(F.col("__bare"), F.col("n"))).join(kinds, "run")
+    # labels that the suffix has: a wildcard takes one more where there is one, an exception one less
+    fits = met.withColumn("size", F.when(F.col("kind") == 1, F.when(F.col("__labels") > F.col("n"), F.col("n") + 1)).when(F.col("kind") == 2, F.col("n") - 1).otherwise(F.col("n")))
+    best = fits.filter("size > 0").groupBy("host").agg(F.max(F.struct((F.col("kind") == 2).alias("exception"), "size")).alias("best")).select("host", F.col("best.size").alias("__size"))
+    size = F.coalesce("__size", F.lit(1))
+    placed = named.join(best, "host", "left")
+    last = lambda n: F.when(is_address(F.col("__bare")), F.col("__bare")).otherwise(last_labels(F.col("__bare"), n))
+    return placed.withColumns({"suffix": last(size), "domain": last(size + 1)}).drop("__bare", "__labels", "__size")
 
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -109,15 +147,16 @@ def level_strength(counts: DataFrame) -> DataFrame:
     )
 
 
-def host_reputation(hosts: DataFrame, z: float = Z, suffixes: str = SUFFIX_PATTERN) -> DataFrame:
+def host_reputation(hosts: DataFrame, z: float = Z, suffixes: str | DataFrame = SUFFIX_PATTERN) -> DataFrame:
     """Posterior of the good rate per host from counts ``host, n, good`` (n may be 0).
 
-    ``suffixes`` is the pattern of two-label public suffixes; the default knows country
-    registries and some hosting domains, a full public suffix list may be given as
-    alternatives. Ports and user names are no part of domain and suffix. Returns host,
-    mean, bound. Empty input gives no rows.
+    ``suffixes`` is the pattern of two-label public suffixes, or a public suffix list as a
+    table (``registered_domains``); the default knows country registries and some hosting
+    domains. Ports and user names are no part of domain and suffix. Returns host, mean,
+    bound. Empty input gives no rows.
     """
-    named = hosts.select("host", "n", "good", suffix_of(F.col("host"), suffixes).alias("suffix"), domain_of(F.col("host"), suffixes).alias("domain"))
+    own = hosts.select("host", "n", "good")
+    named = registered_domains(own, suffixes) if isinstance(suffixes, DataFrame) else own.withColumns({"suffix": suffix_of(F.col("host"), suffixes), "domain": domain_of(F.col("host"), suffixes)})
     domains = named.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
 
@@ -132,7 +171,7 @@ def host_reputation(hosts: DataFrame, z: float = Z, suffixes: str = SUFFIX_PATTE
     return low.select("host", F.round("mean", 12).alias("mean"), F.round(F.col("mean") - z * sd, 12).alias("bound"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = LEAST, z: float = Z, suffixes: str = SUFFIX_PATTERN) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = LEAST, z: float = Z, suffixes: str | DataFrame = SUFFIX_PATTERN) -> DataFrame:
     """Verdict for every row of ``pages`` (page_id, url).
 
     ``outcomes`` (host, good 0/1) are labelled pages; null outcomes do not count. A null
@@ -140,10 +179,11 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float
     Repeated rows are judged each. Returns page_id, host, path, rule, verdict, bound.
     """
     parsed = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    seen = parsed.groupBy("host").agg(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("good"))
-    counted = outcomes.filter("good is not null and host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
-    hosts = cut(seen.unionByName(counted).groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
-    judged = parsed.join(host_reputation(hosts, z, suffixes), "host", "left")
+    seen = parsed.groupBy("host").agg(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("good"), F.count("*").alias("pages"))
+    counted = outcomes.filter("good is not null and host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"), F.lit(0).cast("long").alias("pages"))
+    hosts = cut(seen.unionByName(counted).groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("pages").alias("pages")))
+    known = cut(host_reputation(hosts, z, suffixes).join(hosts.select("host", F.col("pages").alias("rows_of_key")), "host"))
+    judged = join_by_key(parsed, known, "host", hosts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0])
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") >= least, "allow").otherwise("block")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, own).alias("verdict"), "bound")
