@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -48,6 +49,20 @@ def user_trajectories(events: DataFrame, day: str, action: Column, reward: Colum
     )
 
 
+def clipped_ratios(steps: DataFrame, keys: list[str], order: str, ratio: str, clip: float) -> DataFrame:
+    """``steps`` with ``rho``: the product of ratios so far, held to ``clip`` after each step, as plain windows.
+
+    What clipping takes off stays off, so with P the plain product rho is
+    P · min(1, clip / the largest P so far). A ratio that is null or not above 0 ends it at 0.
+    """
+    own = Window.partitionBy(*keys).orderBy(order)
+    r = F.col(ratio)
+    logs = steps.withColumns({"__log": F.coalesce(F.sum(F.ln(F.when(r > 0, r))).over(own), F.lit(0.0)), "__dead": F.max(F.coalesce(r <= 0, F.lit(True)).cast("int")).over(own)})
+    top = F.max("__log").over(own)
+    rho = F.when(F.col("__dead") == 1, 0.0).otherwise(F.exp(F.col("__log") + F.least(F.lit(0.0), F.lit(math.log(clip)) - top)))
+    return logs.withColumn("rho", rho).drop("__log", "__dead")
+
+
 def _dot(beta: np.ndarray, state: Column, action: Column) -> Column:
     terms = [F.lit(float(beta[0]))] + [F.lit(float(b)) * F.get(state, F.lit(i)) for i, b in enumerate(beta[1:-1])] + [F.lit(float(beta[-1])) * action]
     return reduce(lambda a, b: a + b, terms)

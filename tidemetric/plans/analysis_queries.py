@@ -221,6 +221,14 @@ def a41_user_trajectories(spark, sf):
     return rounded(t.select("user_id", "trajectory_step", F.get("state_features", F.lit(0)).alias("events"), F.get("state_features", F.lit(1)).alias("mean_value"), "action_id", "reward", F.get("next_state_features", F.lit(0)).alias("next_events"), "logging_probability"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, 0.5 + (content_id % 10) / 7.0 AS r, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM metric_events),
+  f(user_id, event_id, k, rho) AS (SELECT user_id, event_id, k, least(5, r)::double FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, least(5, f.rho * e.r) FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+  SELECT event_id, user_id, round(rho, 6) AS rho FROM f""")
+def w7_clipped_ratios(spark, sf):
+    steps = V.metric_events(spark, sf).select("user_id", "event_id", (0.5 + F.col("content_id") % 10 / 7.0).alias("ratio"))
+    return rounded(O.clipped_ratios(steps, ["user_id"], "event_id", "ratio", 5.0).select("event_id", "user_id", "rho"))
+
+
 @query()
 def a42_dr_off_policy(spark, sf):
     return rounded(O.dr_off_policy(_trajectories(spark, sf), 5, 2, 0.95, 10.0, F.lit(0.5)))
