@@ -167,7 +167,10 @@ ROWS_PER_RANGE = 200_000
 def ranged(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """``rows``, stored, with ``range``: numbers that rise along (keys, order), of about equal rows each."""
     rows = kept(rows, "rows")
-    return kept(rows.repartitionByRange(max(1, -(-rows.count() // ROWS_PER_RANGE)), *keys, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    ranges = -(-rows.count() // ROWS_PER_RANGE)
+    if ranges <= 1:  # one range is all rows, as they are
+        return rows.withColumn("range", F.lit(0))
+    return kept(rows.repartitionByRange(ranges, *keys, *order).withColumn("range", F.spark_partition_id()), "ranges")
 
 
 def earlier_sums(rows: DataFrame, keys: list[str], order: list[str | Column], value: str) -> DataFrame:
