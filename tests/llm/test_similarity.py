@@ -69,6 +69,32 @@ def test_wide_unequal_and_clashing_vectors_in_several_blocks(spark, monkeypatch)
         assert [got[i, n + 1] for n in range(5)] == [(j, -s) for s, j in want]
 
 
+def test_jobs_do_not_grow_with_blocks(spark, monkeypatch):
+    """All blocks meet all slices in one plan: 20 blocks by 6 slices run as many jobs as one pair, with the same answers."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [int(x) for x in rng.integers(-30, 30, 8)]) for i in range(120)]
+    vectors = spark.createDataFrame(rows, "vec_id long, q array<long>")
+    answers, jobs = [], []
+    monkeypatch.setattr(K, "SLICE_ROWS", 20)
+    for n in (120, 6):
+        monkeypatch.setattr(K, "BLOCK_ROWS", n)
+        spark.sparkContext.setJobGroup(f"top-k blocks of {n}", "")
+        answers.append({tuple(r) for r in K.exact_top_k(vectors, vectors, 5).collect()})
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"top-k blocks of {n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert answers[0] == answers[1] and len(answers[0]) == 600
+    assert jobs[0] == jobs[1]
+
+
+def test_ids_that_repeat_with_other_vectors_are_no_candidates_of_their_own(spark):
+    """Every row of the query's id stays out, its slots go to others, and a copy under another id stays in."""
+    rows = [(0, [9, i]) for i in range(12)] + [(i, [1, i]) for i in range(1, 8)] + [(50, [9, 3])]
+    vectors = spark.createDataFrame(rows, "vec_id long, q array<long>")
+    got = [tuple(r)[1:] for r in K.exact_top_k(vectors, vectors.filter("vec_id = 0 and q[1] = 3"), 4).orderBy("rank").collect()]
+    want = sorted((-(9 * q[0] + 3 * q[1]), i) for i, q in rows if i != 0)[:4]
+    assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
 def test_large_components_stay_exact():
     a = np.array([[2**30, 2**30 + 1]], np.int64)
     assert K.scores(a, a)[0, 0] == 2**60 + (2**30 + 1) ** 2
