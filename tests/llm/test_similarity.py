@@ -223,6 +223,31 @@ def test_both_halves_work_at_the_setting_of_the_query(spark, monkeypatch):
     assert got == brute_components(rows, 3, 90)
 
 
+@pytest.mark.parametrize("n", [4000, 8000])
+def test_a_shingle_of_all_documents_is_no_large_range(spark, n):
+    """Its range gets an entry a chunk, not one a document."""
+    rows = [(i, "common words here " + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(4)
+    sent = df.mapInArrow(J._sent(3, 64), J._SENT).filter("range >= 0")
+    entries = (F.octet_length("tokens") + F.octet_length("many")) / 6
+    sizes = sorted(r["n"] for r in sent.groupBy("range").agg(F.sum(entries).alias("n")).collect())
+    assert len(sizes) == 64 and sizes[-1] < 2 * sizes[32]
+    shared = J.read_sets(df, 3, 90).filter("bucket is not null")
+    assert shared.count() == 0  # the common shingle comes last in every set
+
+
+def test_counts_of_common_shingles_are_those_of_all_documents(spark, monkeypatch):
+    """Lists are the same whether a shingle travels once a chunk or with each document."""
+    rows = pages_of_lines(60, 7)
+    lists = []
+    for many in (0, 4, 10**6):
+        monkeypatch.setattr(J, "MANY", many)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+        read = J.read_sets(df, 3, 90).select("bucket", "cid", "n", "at", "doc_id")
+        lists.append(sorted((tuple(r) for r in read.collect()), key=str))
+    assert lists[0] == lists[1] == lists[2] and any(r[0] is not None for r in lists[0])
+
+
 def pages_of_lines(n, seed):
     rng = random.Random(seed)
     lines = [" ".join(f"l{k}w{j}" for j in range(10)) for k in range(40)]

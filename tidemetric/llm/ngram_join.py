@@ -15,8 +15,10 @@ Documents with equal shingle sets are one class; everything below works on class
 
 How rare a shingle is comes from all documents, at any size of the corpus: tasks send their
 shingles in packed form to hash ranges, a range counts them in one group and answers with
-the number of documents of each shingle that is in two or more. A shingle without an
-answer is in no other document and needs no list; the others are ordered by their number
+the number of documents of each shingle that is in two or more. A shingle of more than
+``MANY`` documents of a chunk is sent once with their number, and which they are stays in
+the chunk's own row, so one that all documents hold adds an entry a chunk to its range, not
+one a document. A shingle without an answer is in no other document and needs no list; the others are ordered by their number
 of documents. Thus passages that thousands of documents share come last in every set and
 hardly ever into a list, and shingles are never exploded into rows.
 
@@ -57,6 +59,8 @@ MOST_LIGHT = 24
 DENSE, MOST_CELLS = 100, 1000
 #: Shingles and documents of a chunk that is sent at a time, and about how many shingles a range counts in one group.
 FLUSH, CHUNK_DOCS, RANGE_SHINGLES = 1 << 21, 60_000, 1 << 20
+#: In how many documents of a chunk a shingle is still sent with each of them.
+MANY = 4
 #: About how many bytes of text make a shingle, to choose the number of ranges.
 SHINGLE_BYTES = 6
 
@@ -122,8 +126,8 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, list[np.ndar
         yield first, shingle_sets(row, hashes, words, len(offsets) - 1)
 
 
-_SENT = "range long, chunk long, tokens binary, docs binary, ids binary, nulls binary, keys binary, sizes binary, fresh binary, small binary"
-_SENT_KINDS = [pa.int64(), pa.int64(), *[pa.binary()] * 8]
+_SENT = "range long, chunk long, first long, tokens binary, docs binary, many binary, times binary, ids binary, nulls binary, keys binary, sizes binary, fresh binary, small binary"
+_SENT_KINDS = [pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 10]
 
 
 def _six(tokens: np.ndarray) -> bytes:
@@ -138,18 +142,30 @@ def _tokens(blobs) -> np.ndarray:
 
 
 def _chunk(chunk: int, ids: list, keys: list, fresh: list, sets: list, sizes: list, ranges: int) -> pa.RecordBatch:
-    """Rows of one chunk: its header, and per range the shingles of its fresh sets with their documents' positions."""
+    """Rows of one chunk: its header, and per range the shingles of its fresh sets with their documents' positions.
+
+    A shingle of more than ``MANY`` documents is in ``many`` with its number of ``times``;
+    the header keeps the positions of these, and ``first`` is a range's place among them.
+    """
     where = np.repeat(np.flatnonzero(fresh).astype(np.uint16), [len(s) for s in sets])
     full = np.concatenate(sets).view(np.uint64) if sets else np.zeros(0, np.uint64)
     tokens = full >> np.uint64(16)
     place = ((full & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(place, kind="stable")
+    order = np.lexsort((tokens, place))
     tokens, where, place = tokens[order], where[order], place[order]
-    cuts = np.flatnonzero(place[1:] != place[:-1]) + 1
+    start = np.flatnonzero(np.r_[len(tokens) > 0, (tokens[1:] != tokens[:-1]) | (place[1:] != place[:-1])])
+    times = np.diff(np.r_[start, len(tokens)])
+    often = times > MANY
+    apart = ~np.repeat(often, times)
     small = b"".join(s.tobytes() for s in sets if len(s) <= MOST_LIGHT)
-    rows = [(-1 - chunk, chunk, None, None, np.array([i or 0 for i in ids], np.int64).tobytes(), bytes(i is None for i in ids), b"".join(k or bytes(16) for k in keys), np.array(sizes, np.int64).tobytes(), bytes(fresh), small)]
-    if len(tokens):
-        rows += [(int(place[low]), chunk, _six(tokens[low:high]), where[low:high].tobytes(), *[None] * 6) for low, high in zip([0, *cuts], [*cuts, len(place)], strict=True)]
+    held, runs = where[~apart].tobytes(), times[often].astype(np.uint16)
+    rows = [(-1 - chunk, chunk, 0, None, held, None, runs.tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(), bytes(i is None for i in ids), b"".join(k or bytes(16) for k in keys), np.array(sizes, np.int64).tobytes(), bytes(fresh), small)]
+    many, many_place = tokens[start[often]], place[start[often]]
+    tokens, where, place = tokens[apart], where[apart], place[apart]
+    used = np.union1d(place, many_place)
+    edges, many_edges = ([np.searchsorted(p, used, side) for side in ("left", "right")] for p in (place, many_place))
+    for r, low, high, first, last in zip(used, *edges, *many_edges, strict=True):
+        rows.append((int(r), chunk, int(first), _six(tokens[low:high]), where[low:high].tobytes(), _six(many[first:last]), runs[first:last].tobytes(), *[None] * 6))
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _SENT_KINDS, strict=True)], [f.split()[0] for f in _SENT.split(", ")])
 
 
@@ -183,25 +199,28 @@ def _sent(words: int, ranges: int):
     return run
 
 
-_ANSWERS = "chunk long, tokens binary, docs binary, counts binary, ids binary, nulls binary, keys binary, sizes binary, fresh binary, small binary"
+_ANSWERS = "chunk long, first long, tokens binary, docs binary, counts binary, many binary, many_counts binary, times binary, ids binary, nulls binary, keys binary, sizes binary, fresh binary, small binary"
 
 
 def _answered(group: pd.DataFrame) -> pd.DataFrame:
     """Of a range's shingles those in two documents or more, with their number of documents, back to each chunk."""
     names = [f.split()[0] for f in _ANSWERS.split(", ")]
     if group["range"].iloc[0] < 0:
-        return group.assign(counts=None)[names]
-    tokens = _tokens(group["tokens"])
-    _, at, docs = np.unique(tokens, return_inverse=True, return_counts=True)
+        return group.assign(counts=None, many_counts=None)[names]
+    tokens, many = _tokens(group["tokens"]), _tokens(group["many"])
+    times = np.frombuffer(b"".join(group["times"]), np.uint16)
+    distinct, at = np.unique(np.concatenate([tokens, many]), return_inverse=True)
+    docs = np.bincount(at, np.concatenate([np.ones(len(tokens)), times]), len(distinct))
     counts = np.minimum(docs, 0xFFFF).astype(np.uint16)[at]
-    rows, low = [], 0
-    for chunk, blob in zip(group["chunk"], group["docs"], strict=True):
+    counts, many_counts = counts[: len(tokens)], counts[len(tokens) :]
+    rows, low, start = [], 0, 0
+    for chunk, first, blob, often in zip(group["chunk"], group["first"], group["docs"], group["many"], strict=True):
         where = np.frombuffer(blob, np.uint16)
-        high = low + len(where)
+        high, end = low + len(where), start + len(often) // 6
         keep = counts[low:high] > 1
-        rows.append((chunk, _six(tokens[low:high][keep]), where[keep].tobytes(), counts[low:high][keep].tobytes()))
-        low = high
-    return pd.DataFrame(rows, columns=names[:4]).reindex(columns=names).astype(object).where(lambda d: d.notna(), None).astype({"chunk": "int64"})
+        rows.append((chunk, first, _six(tokens[low:high][keep]), where[keep].tobytes(), counts[low:high][keep].tobytes(), often, many_counts[start:end].tobytes()))
+        low, start = high, end
+    return pd.DataFrame(rows, columns=names[:7]).reindex(columns=names).astype(object).where(lambda d: d.notna(), None).astype({"chunk": "int64", "first": "int64"})
 
 
 _READ = "bucket long, cid long, n long, at long, doc_id long, key binary, small binary"
@@ -224,9 +243,12 @@ def _read(percent: int):
             low += 8 * int(n) if has else 0
         base = pd.DataFrame({"bucket": None, "cid": cids, "n": sizes, "at": None, "doc_id": pd.array(ids, "Int64"), "key": keys, "small": small})
         base.loc[null, "doc_id"] = pd.NA
-        parts = group[group["tokens"].notna()]
-        tokens = _tokens(parts["tokens"])
-        where, counts = np.frombuffer(b"".join(parts["docs"]), np.uint16), np.frombuffer(b"".join(parts["counts"]), np.uint16)
+        parts = group[group["tokens"].notna()].sort_values("first", kind="stable")
+        parts = parts[(parts["tokens"].str.len() > 0) | (parts["many"].str.len() > 0)]
+        times = np.frombuffer(head["times"], np.uint16)
+        many, many_counts = _tokens(parts["many"]), np.frombuffer(b"".join(parts["many_counts"]), np.uint16)
+        tokens = np.concatenate([_tokens(parts["tokens"]), np.repeat(many, times)])
+        where, counts = (np.concatenate([np.frombuffer(b"".join(parts[c]), np.uint16), more]) for c, more in (("docs", np.frombuffer(head["docs"], np.uint16)), ("counts", np.repeat(many_counts, times))))
         order = np.lexsort((tokens, counts, where))
         tokens, where = tokens[order], where[order].astype(np.int64)
         shared = np.bincount(where, minlength=len(sizes))
