@@ -136,3 +136,24 @@ def test_online_fdr_decides_late_tests_in_order(spark):
     assert len(got) == 60 and sum(r["rejected"] for r in got) > 3
     for p in "ab":
         assert (last[p]["tests"], last[p]["rejections"]) == (want[p]["tests"], want[p]["rejections"]) and last[p]["wealth"] == pytest.approx(want[p]["wealth"])
+
+
+def test_tests_that_wait_are_packed_and_count_once(spark):
+    shape = "program string, test_id string, finished_at timestamp, e_value double"
+    rng = random.Random(5)
+    tests = [("a", f"t{i * 7919 % 3000}", START + dt.timedelta(minutes=i // 20), rng.choice([0.5, 0.5, 4000.0])) for i in range(3000)]
+    again = [(p, n, at, 300.0) for p, n, at, _ in tests[1000:1500:7]]  # before they are decided: what came last counts
+    batches = [tests[:1500], again, tests[1500:], [("c", "last", START + dt.timedelta(days=9), 1.0)]]
+    folder = shared_folder(spark, "packed")
+    out = S.online_fdr_stream(stream(spark, batches, shape), 0.05, 0.99, "2 hours")
+    query = out.writeStream.option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").format("parquet").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((tuple(r[c] for c in ("finished_at", "test_id", "e_value", "tests", "rejections")), r["wealth"]) for r in spark.read.schema(out.schema).parquet(f"{folder}/out").collect())
+    left = {(at, n): e for _, n, at, e in tests[:1500] + again + tests[1500:]}
+    wealth, hits, want = 0.05, 0, []
+    for i, ((at, n), e) in enumerate(sorted(left.items())):
+        _, hit, wealth = S.fdr.fdr_step(wealth, i, e, 0.05, 0.99)
+        hits += hit
+        want.append(((at, n, e, i + 1, hits), pytest.approx(wealth)))
+    assert got == want and hits > 3
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 40

@@ -10,7 +10,10 @@ import math
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -257,34 +260,100 @@ def sequential_alerts(obs: DataFrame, time: str, control: str, tau_sq: float, al
     return looks.groupBy("experiment_id", "metric_id").transformWithStateInPandas(OnlineTest(control, tau_sq, alpha), shape, "Append", "None")
 
 
+#: Tests wait in pieces of this much event time, in microseconds; rows that are packed at a time, and decided at a time.
+_SPAN, _PACK, _SLICE = 3_600_000_000, 1 << 20, 1 << 15
+
+
 class FdrController(StatefulProcessor):
-    """Wealth of a program; its tests wait for the watermark and are decided in order of time."""
+    """Wealth of a program; its tests wait for the watermark and are decided in order of time.
+
+    What waits lies in packed pieces, one for an hour of event time and a million rows that came:
+    no test is a call to the store of its own, and an hour of one program is what is held at once.
+    """
 
-    def __init__(self, alpha: float, decay: float):
-        self.alpha, self.decay, self.step = alpha, decay, fdr.fdr_step
+    def __init__(self, alpha: float, decay: float, pack: int = _PACK):
+        self.alpha, self.decay, self.pack, self.step = alpha, decay, pack, fdr.fdr_step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "tests int, rejections int, wealth double")
         self.timer = handle.getValueState("timer", "at long")
-        self.waiting = handle.getMapState("waiting", "at long, test_id string", "e_value double")
+        self.last = handle.getValueState("last", "piece long")
+        self.waiting = handle.getMapState("waiting", "hour long, piece long", "tests binary")
+
+    def _put(self, held: list[pa.Table]) -> None:
+        piece = (self.last.get()[0] if self.last.exists() else 0) + 1
+        self.last.update((piece,))
+        rows = pa.concat_tables(held).combine_chunks()
+        hours = rows.column("at").to_numpy() // _SPAN
+        order = np.argsort(hours, kind="stable")  # those that came first stay first
+        rows, hours = rows.take(pa.array(order)), hours[order]
+        starts = np.flatnonzero(np.diff(hours, prepend=hours[0] - 1))
+        for start, end in zip(starts, np.append(starts[1:], len(hours)), strict=True):
+            self._keep(int(hours[start]), piece, rows.slice(start, end - start))
+
+    def _keep(self, hour: int, piece: int, rows: pa.Table) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        self.waiting.updateValue((hour, piece), (sink.getvalue().to_pybytes(),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, n, first = [], 0, None
         for batch in rows:
-            for at, name, e in zip(batch["finished_at"], batch["test_id"], batch["e_value"], strict=True):
-                self.waiting.updateValue((at.value // 1000, name), (float(e),))
-            _wake(self, batch["finished_at"].min().value // 1000)
+            if not len(batch):
+                continue
+            at = batch["finished_at"].to_numpy("datetime64[us]").astype(np.int64)
+            first = int(at.min()) if first is None else min(first, int(at.min()))
+            held.append(pa.table({"at": at, "test_id": pa.array(batch["test_id"], pa.string()), "e_value": batch["e_value"].to_numpy(float)}))
+            n += len(batch)
+            if n >= self.pack:
+                self._put(held)
+                held, n = [], 0
+        if held:
+            self._put(held)
+        if first is not None:
+            _wake(self, first)
         return iter([])
 
+    def _in_order(self, names: list[tuple[int, int]]) -> pa.Table:
+        """The tests of an hour by time and id; of one that came again, what came last."""
+        rows = pa.concat_tables([pa.ipc.open_stream(self.waiting.getValue(n)[0]).read_all() for n in names])
+        rows = rows.append_column("came", pa.array(np.arange(len(rows))))
+        rows = rows.sort_by([("at", "ascending"), ("test_id", "ascending"), ("came", "ascending")]).combine_chunks()
+        again = pc.and_(pc.equal(rows["at"][1:], rows["at"][:-1]), pc.equal(rows["test_id"][1:], rows["test_id"][:-1])).combine_chunks()
+        return rows.drop_columns("came").filter(pa.concat_arrays([pc.invert(again), pa.array([True])]))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
         tests, rejections, wealth = self.state.get() if self.state.exists() else (0, 0, self.alpha)
-        out = []
-        for (at, name), (e,) in _due(self, timerValues):
-            level, hit, wealth = self.step(wealth, tests, e, self.alpha, self.decay)
-            tests, rejections = tests + 1, rejections + int(hit)
-            out.append((*key, name, pd.Timestamp(at, unit="us"), e, level, hit, tests, rejections, wealth))
+        hours: dict[int, list] = {}
+        for hour, piece in sorted(tuple(k) for k in self.waiting.keys()):
+            hours.setdefault(hour, []).append((hour, piece))
+        self.timer.clear()
+        for hour, names in hours.items():  # in order of time
+            if hour * _SPAN >= limit:
+                _wake(self, hour * _SPAN)
+                break
+            rows = self._in_order(names)
+            due = int(np.searchsorted(rows["at"].to_numpy(), limit))
+            for start in range(0, due, _SLICE):
+                some = rows.slice(start, min(_SLICE, due - start))
+                out = []
+                for e in some["e_value"].to_pylist():
+                    level, hit, wealth = self.step(wealth, tests, e, self.alpha, self.decay)
+                    tests, rejections = tests + 1, rejections + int(hit)
+                    out.append((level, hit, tests, rejections, wealth))
+                decided = pd.DataFrame(out, columns=["level", "rejected", "tests", "rejections", "wealth"])
+                own = {"program": key[0], "test_id": some["test_id"].to_pylist(), "finished_at": some["at"].to_numpy().astype("datetime64[us]"), "e_value": some["e_value"].to_numpy()}
+                yield pd.concat([pd.DataFrame(own), decided], axis=1)
+            for name in names:
+                self.waiting.removeKey(name)
+            if due < len(rows):
+                self._keep(hour, names[-1][1], rows.slice(due))
+                _wake(self, rows["at"][due].as_py())
+                break
         self.state.update((tests, rejections, wealth))
-        yield pd.DataFrame(out, columns=["program", "test_id", "finished_at", "e_value", "level", "rejected", "tests", "rejections", "wealth"])
 
     def close(self) -> None:
         pass
@@ -293,7 +362,7 @@ class FdrController(StatefulProcessor):
 def online_fdr_stream(tests: DataFrame, alpha: float = 0.05, decay: float = 0.5, lateness: str = "1 hour") -> DataFrame:
     """Decisions of a program's tests (program, test_id, finished_at, e_value) as they finish, with the wealth after each.
 
-    State is the wealth and what waits for the watermark, never a program's history. Tests that
+    State is the wealth and what waits for the watermark, packed, never a program's history. Tests that
     finish at once are in order of their id; one that comes again before it is decided counts
     once. A null e-value is no evidence.
     """
