@@ -157,3 +157,16 @@ def test_tests_that_wait_are_packed_and_count_once(spark):
         want.append(((at, n, e, i + 1, hits), pytest.approx(wealth)))
     assert got == want and hits > 3
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 40
+
+
+def test_a_session_of_a_key_takes_three_calls_to_the_store():
+    calls, row = [], S.Row(*S._BEAT)
+    held = type("Value", (), {"get": lambda self: calls.append("get"), "update": lambda self, v: calls.append(v)})()
+    tracker = S.SessionTracker(30)
+    tracker.open, tracker.handle = held, type("Handle", (), {"registerTimer": lambda self, at: calls.append(at), "deleteTimer": lambda self, at: calls.append(-at)})()
+    second = 1_000_000
+    beats = [row(2, 2, 90 * second, False, True, 10, 720), row(1, 1, 20 * second, True, False, 10, 480), row(3, 3, 80 * second, False, True, 10, 720)]
+    done = list(tracker.handleInputRows((1, 0, 5), iter(beats), None))
+    assert [(r.session_start, r.beats, r.closed_by) for r in done] == [(20 * second, 1, "gap")]
+    state = dict(zip(S._OPEN, calls[1], strict=True))
+    assert calls[0] == "get" and calls[2:] == [120_001] and (state["beats"], state["dropped"], state["rebuffers"]) == (1, 1, 1)

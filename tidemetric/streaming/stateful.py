@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -112,7 +112,10 @@ SESSION = ["user_id", "device_id", "content_id"]
 
 
 class SessionTracker(StatefulProcessor):
-    """One open session a key: beats in order of arrival; one that is older than the last is dropped and counted."""
+    """One open session a key: beats in order of arrival; one that is older than the last is dropped and counted.
+
+    Rows come and go as plain rows, times in microseconds: keys are many and hold few beats, so a frame for each costs more than its beats.
+    """
 
     def __init__(self, gap_seconds: int):
         self.gap = gap_seconds * 1_000_000
@@ -121,18 +124,17 @@ class SessionTracker(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "first long, last long, beats long, dropped long, playing long, rebuffers long, rebuffering boolean, ratio long, bitrate long, height int, switches long, peak int")
 
-    def _closed(self, key, s, by: str) -> tuple:
+    def _closed(self, key, s, by: str) -> Row:
         playing = s["playing"]
         length, start = (0, 0) if playing is None else ((s["last"] - playing) // 1000, (playing - s["first"]) // 1000)
-        return (*key, pd.Timestamp(s["first"], unit="us"), length, start, s["rebuffers"], s["ratio"] / s["beats"], s["bitrate"] / s["beats"], s["switches"], s["peak"], s["beats"], s["dropped"], by)
+        return _CLOSED(*key, s["first"], length, start, s["rebuffers"], s["ratio"] / s["beats"], s["bitrate"] / s["beats"], s["switches"], s["peak"], s["beats"], s["dropped"], by)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = dict(zip(_OPEN, self.open.get(), strict=True)) if self.open.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.open.get()
+        s = dict(zip(_OPEN, held, strict=True)) if held else None
         before = s["last"] if s else None
         done = []
-        beats = pd.concat(list(rows)).sort_values(["arrived_at", "event_id"], kind="stable")
-        for b in beats.itertuples():
-            at = b.timestamp.value // 1000
+        for _, _, at, starting, stalled, bitrate, height in sorted((tuple(r[c] for c in _BEAT) for r in rows), key=lambda b: b[:2]):
             if s and at < s["last"]:
                 s["dropped"] += 1
                 continue
@@ -140,34 +142,37 @@ class SessionTracker(StatefulProcessor):
                 done.append(self._closed(key, s, "gap"))
                 s = None
             if s is None:
-                s = dict.fromkeys(_OPEN, 0) | {"first": at, "playing": None, "rebuffering": False, "height": int(b.current_resolution_height)}
+                s = dict.fromkeys(_OPEN, 0) | {"first": at, "playing": None, "rebuffering": False, "height": height}
             s["last"], s["beats"] = at, s["beats"] + 1
-            s["playing"] = at if s["playing"] is None and not b.is_startup else s["playing"]
-            s["rebuffers"] += int(b.is_rebuffering and not s["rebuffering"])
-            s["switches"] += int(b.current_resolution_height != s["height"])
-            s["rebuffering"], s["height"] = bool(b.is_rebuffering), int(b.current_resolution_height)
-            s["ratio"], s["bitrate"], s["peak"] = s["ratio"] + int(b.is_rebuffering), s["bitrate"] + int(b.current_bitrate_kbps), max(s["peak"], s["height"])
+            s["playing"] = at if s["playing"] is None and not starting else s["playing"]
+            s["rebuffers"] += int(stalled and not s["rebuffering"])
+            s["switches"] += int(height != s["height"])
+            s["rebuffering"], s["height"] = stalled, height
+            s["ratio"], s["bitrate"], s["peak"] = s["ratio"] + int(stalled), s["bitrate"] + bitrate, max(s["peak"], height)
         self.open.update(tuple(s[c] for c in _OPEN))
-        if before is not None:
-            self.handle.deleteTimer(self._expiry(before))
-        self.handle.registerTimer(self._expiry(s["last"]))
-        yield pd.DataFrame(done, columns=_SESSION_COLUMNS)
+        if before is None or s["last"] != before:
+            if before is not None:
+                self.handle.deleteTimer(self._expiry(before))
+            self.handle.registerTimer(self._expiry(s["last"]))
+        return iter(done)
 
     def _expiry(self, last: int) -> int:
         return (last + self.gap) // 1000 + 1
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         s = dict(zip(_OPEN, self.open.get(), strict=True))
         self.open.clear()
-        yield pd.DataFrame([self._closed(key, s, "expiry")], columns=_SESSION_COLUMNS)
+        return iter([self._closed(key, s, "expiry")])
 
     def close(self) -> None:
         pass
 
 
 _OPEN = ["first", "last", "beats", "dropped", "playing", "rebuffers", "rebuffering", "ratio", "bitrate", "height", "switches", "peak"]
-_MEASURES = "session_start timestamp, playback_duration_ms long, time_to_first_frame_ms long, rebuffer_count long, rebuffer_ratio double, avg_bitrate_kbps double, resolution_switches long, peak_resolution_height int, beats long, out_of_order long, closed_by string"
-_SESSION_COLUMNS = [*SESSION, *(c.split()[0] for c in _MEASURES.split(", "))]
+#: A beat as it travels; the first two order the beats of a batch.
+_BEAT = ["arrived", "event_id", "at", "is_startup", "is_rebuffering", "current_bitrate_kbps", "current_resolution_height"]
+_MEASURES = "session_start long, playback_duration_ms long, time_to_first_frame_ms long, rebuffer_count long, rebuffer_ratio double, avg_bitrate_kbps double, resolution_switches long, peak_resolution_height int, beats long, out_of_order long, closed_by string"
+_CLOSED = Row(*SESSION, *(c.split()[0] for c in _MEASURES.split(", ")))
 
 
 def tracked_sessions(beats: DataFrame, gap_seconds: int = 30, lateness: str = "1 minute") -> DataFrame:
@@ -181,7 +186,11 @@ def tracked_sessions(beats: DataFrame, gap_seconds: int = 30, lateness: str = "1
     kinds = dict(beats.dtypes)
     shape = ", ".join(f"{c} {kinds[c]}" for c in SESSION) + f", {_MEASURES}"
     rows = beats.filter("timestamp is not null").withWatermark("timestamp", lateness)
-    return rows.groupBy(*SESSION).transformWithStateInPandas(SessionTracker(gap_seconds), shape, "Append", "EventTime")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    last = lambda c: F.coalesce(c, F.lit((1 << 63) - 1))
+    rows = rows.select(*SESSION, "timestamp", last(micros("arrived_at")).alias("arrived"), last(F.col("event_id")).alias("event_id"), micros("timestamp").alias("at"), *_BEAT[3:])
+    out = rows.groupBy(*SESSION).transformWithState(SessionTracker(gap_seconds), shape, "Append", "EventTime")
+    return out.withColumn("session_start", F.timestamp_micros("session_start"))
 
 
 SUMS = ["n", "sy", "sx", "syy", "sxy", "sxx"]
