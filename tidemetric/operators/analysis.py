@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemetric.functions import distributions as D
 from tidemetric.operators.catalog import gini
 from tidemetric.operators.inference import benjamini_hochberg
+from tidemetric.sources.store import kept
 
 
 def consumption_divergence(consumption: DataFrame, treatment: str, control: str = "control", top: int = 100) -> DataFrame:
@@ -236,13 +237,23 @@ def portfolio_summary(outcomes: DataFrame, keys: list[str]) -> DataFrame:
 def portfolio_conflicts(experiments: DataFrame) -> DataFrame:
     """Pairs of experiments in a layer that share a metric or a population.
 
-    Reads experiment_id, layer, metrics (array) and populations (array). Experiments meet by
-    what they share, so pairs without anything in common are never made.
+    Reads experiment_id, layer, metrics (array) and populations (array). Experiments of a layer
+    with the same items are one class. Classes meet by what they share, each pair of them is
+    counted once, and its members are paired last: a pair of experiments is made once, is not
+    shuffled, and pairs without anything in common are never made.
     """
-    items = experiments.select("experiment_id", "layer", F.explode(F.concat(F.transform("metrics", lambda m: F.concat(F.lit("metric:"), m)), F.transform("populations", lambda m: F.concat(F.lit("population:"), m)))).alias("item")).distinct()
-    a, b = items.alias("a"), items.alias("b")
-    met = a.join(b, (F.col("a.layer") == F.col("b.layer")) & (F.col("a.item") == F.col("b.item")) & (F.col("a.experiment_id") < F.col("b.experiment_id")))
-    return met.groupBy(F.col("a.layer").alias("layer"), F.col("a.experiment_id").alias("first"), F.col("b.experiment_id").alias("second")).agg(F.count("*").alias("shared"))
+    named = lambda kind, items: F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda m: F.concat(F.lit(kind), m))
+    items = F.concat(named("metric:", F.col("metrics")), named("population:", F.col("populations")))
+    each = experiments.select("experiment_id", "layer", F.explode(items).alias("item"))
+    own = each.filter("item is not null").groupBy("experiment_id", "layer").agg(F.sort_array(F.collect_set("item")).alias("items"))  # items of one experiment
+    members = kept(own, "conflict-members")
+    classes = kept(members.groupBy("layer", "items").agg(F.min("experiment_id").alias("class")), "conflict-classes")
+    met = classes.select("layer", "class", F.explode("items").alias("item"))
+    a, b = met.alias("a"), met.alias("b")
+    shared = a.join(b, (F.col("a.layer") == F.col("b.layer")) & (F.col("a.item") == F.col("b.item"))).groupBy(F.col("a.layer").alias("layer"), F.col("a.class").alias("class"), F.col("b.class").alias("other")).agg(F.count("*").alias("shared"))
+    named_members = kept(members.join(classes, ["layer", "items"]).select("layer", "class", "experiment_id"), "conflict-named")
+    left, right = named_members.withColumnRenamed("experiment_id", "first"), named_members.select("layer", F.col("class").alias("other"), F.col("experiment_id").alias("second"))
+    return shared.join(left, ["layer", "class"]).join(right, ["layer", "other"]).filter("first < second").select("layer", "first", "second", "shared")
 
 
 def traffic_utilisation(allocations: DataFrame, buckets: int = 10_000) -> DataFrame:
