@@ -93,3 +93,31 @@ def test_parse_of_a_window_depends_on_its_bytes_alone():
         assert len({o[start] for o in offsets}) == 1
     with pytest.raises(ValueError, match="inside"):
         S.Parse(size=400, reach=390)
+
+
+def test_blocks_come_a_few_at_a_time(spark, monkeypatch):
+    """A worker is handed at most ``BLOCKS_A_BATCH`` blocks, however many a task has; the session's setting stays."""
+    name, real = "spark.sql.execution.arrow.maxRecordsPerBatch", S._settled
+    before = spark.conf.get(name)
+
+    def settled(size):
+        run, most = real(size), S.BLOCKS_A_BATCH
+
+        def checked(batches):
+            for batch in batches:
+                if batch.num_rows > most:
+                    raise ValueError(f"{batch.num_rows} blocks at a time")
+                yield from run(iter([batch]))
+
+        return checked
+
+    monkeypatch.setattr(S, "_settled", settled)
+    parse = S.Parse(12, 4, 7, 4, 3)
+    rows = texts(3, 40, 12)
+    assert found(spark, rows, parse, block=2) == brute(rows, 12)
+    assert spark.conf.get(name) == before
+
+
+def test_runs_of_a_row():
+    marks = np.array([[1, 1, 0, 1], [0, 0, 0, 0], [0, 1, 1, 1]], bool)
+    assert S.runs_of(marks) == [(0, 0, 1), (0, 3, 3), (2, 1, 3)]
